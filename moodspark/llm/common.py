@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,7 +16,8 @@ from pyspark.sql import types as T
 
 import moodspark
 
-# Executors need no copy of the package: functions travel with their code.
+# Executors need no copy of the package: functions travel with their code. What runs
+# there names functions and classes of the package, never its modules.
 cloudpickle.register_pickle_by_value(moodspark)
 
 #: Bytes of one Arrow batch between Spark and Python; a longer text travels alone.
@@ -67,6 +70,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def process_cache() -> dict:
+    """A dictionary that lives as long as the Python process.
+
+    Functions reach a worker anew for each task; what is costly to build is kept
+    here, so that a worker that is used again has it already.
+    """
+    holder = sys.modules.setdefault("_moodspark_process_cache", types.ModuleType("_moodspark_process_cache"))
+    return holder.__dict__.setdefault("kept", {})
+
+
+def cached(key, build: Callable):
+    """``build()``, made once a process for each key."""
+    kept = process_cache()
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
 def kept_fields(df: DataFrame, keep: list[str] | None, new: list[T.StructField]) -> list[T.StructField]:
     """Fields of ``df`` that a map carries along; those that clash with new names go."""
     names = {f.name for f in new}

@@ -1,9 +1,10 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from moodspark.llm import bpe
+from moodspark.llm import bpe, secrets
 
 QUERIES = {
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_secret_automaton": secrets.op8_secret_automaton,
 }
 
 ORACLES: dict[str, str] = {}
