@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moodspark.llm import common
+from moodspark.llm.common import cached, field, map_column, table
 
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 DEFAULT_PATTERN = public_tokenizers.PATTERN
@@ -30,10 +30,15 @@ CHUNK_CHARS = 1 << 16
 SAFE_CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
-def load_encoding(rank_path: str, pattern: str) -> tiktoken.Encoding:
-    """An encoding without special tokens from a file of base64 tokens and ranks."""
+def read_ranks(rank_path: str) -> dict[bytes, int]:
+    """The ranks of a file of base64 tokens."""
     with open(rank_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+
+
+def load_encoding(rank_path: str, pattern: str) -> tiktoken.Encoding:
+    """An encoding without special tokens."""
+    ranks = read_ranks(rank_path)
     digest = hashlib.sha256(pattern.encode()).hexdigest()[:8]
     return tiktoken.Encoding(f"local-{len(ranks)}-{digest}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
@@ -68,14 +73,12 @@ def encode(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Add the packed token ids of ``text`` (binary, 4 bytes an id, little endian)."""
-    state: dict = {}
 
     def run(values: list) -> list[pa.Array]:
-        if "encoding" not in state:
-            state["encoding"] = load_encoding(rank_path, pattern)
-        return [pa.array([encode_text(state["encoding"], v).tobytes() for v in values], pa.binary())]
+        encoding = cached(("bpe", rank_path, pattern), lambda: load_encoding(rank_path, pattern))
+        return [pa.array([encode_text(encoding, v).tobytes() for v in values], pa.binary())]
 
-    return common.map_column(df, text, run, [common.field(ids, T.BinaryType())], keep)
+    return map_column(df, text, run, [field(ids, T.BinaryType())], keep)
 
 
 def decode(
@@ -83,22 +86,16 @@ def decode(
     ids: str = "token_ids",
     raw: str = "raw_bytes",
     rank_path: str = DEFAULT_RANKS,
-    pattern: str = DEFAULT_PATTERN,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Add the bytes that packed ids stand for; ids may end inside a character. Null ids give null."""
-    state: dict = {}
 
     def run(values: list) -> list[pa.Array]:
-        if "tokens" not in state:
-            encoding = load_encoding(rank_path, pattern)
-            known = {rank: encoding.decode_single_token_bytes(rank) for rank in encoding._mergeable_ranks.values()}
-            state["tokens"] = [known.get(i) for i in range(max(known, default=-1) + 1)]
-        tokens = state["tokens"]
+        tokens = cached(("bpe tokens", rank_path), lambda: {rank: token for token, rank in read_ranks(rank_path).items()})
         made = [None if v is None else b"".join([tokens[i] for i in np.frombuffer(v, dtype="<u4").tolist()]) for v in values]
         return [pa.array(made, pa.binary())]
 
-    return common.map_column(df, ids, run, [common.field(raw, T.BinaryType())], keep)
+    return map_column(df, ids, run, [field(raw, T.BinaryType())], keep)
 
 
 def unpack(ids: str = "token_ids"):
@@ -112,7 +109,7 @@ def unpack(ids: str = "token_ids"):
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``."""
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = encode(docs, keep=["doc_id"])
     both = decode(packed, keep=["doc_id", "token_ids"])
     return both.select(
