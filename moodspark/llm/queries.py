@@ -1,11 +1,12 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from moodspark.llm import bpe, licenses, secrets, toxicity
+from moodspark.llm import bpe, decontaminate, licenses, secrets, toxicity
 
 QUERIES = {
     "op2_toxicity_grammar": toxicity.op2_toxicity_grammar,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_secret_automaton": secrets.op8_secret_automaton,
+    "op9_benchmark_bm25": decontaminate.op9_benchmark_bm25,
     "op10_license_templates": licenses.op10_license_templates,
 }
 
