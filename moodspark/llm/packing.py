@@ -57,6 +57,15 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk:
     return mix(out)
 
 
+def window_hashes_of(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every ``k`` consecutive word hashes."""
+    n = len(words)
+    if n < k:
+        return np.zeros(0, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(ODD, n), dtype=np.uint64)])
+    return mix((sums[k:] - sums[:-k]) * powers(ODD_INVERSE, n - k + 1))
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays of one block as compressed bytes; integers as differences, which are small where rows are in order."""
     parts = [np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.num, a.dtype.kind == "i"))], dtype=np.int64).tobytes()]

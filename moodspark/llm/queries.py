@@ -1,12 +1,13 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from moodspark.llm import bpe, decontaminate, doubling, fingerprints, licenses, secrets, superkmers, toxicity
+from moodspark.llm import bpe, decontaminate, doubling, fingerprints, jaccard, licenses, secrets, superkmers, toxicity
 
 QUERIES = {
     "op2_toxicity_grammar": toxicity.op2_toxicity_grammar,
     "op3_one_permutation": fingerprints.op3_one_permutation,
     "op4_super_kmers": superkmers.op4_super_kmers,
     "op5_prefix_doubling": doubling.op5_prefix_doubling,
+    "op6_token_group_join": jaccard.op6_token_group_join,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_secret_automaton": secrets.op8_secret_automaton,
     "op9_benchmark_bm25": decontaminate.op9_benchmark_bm25,

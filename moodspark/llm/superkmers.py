@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodspark.llm.common import bound_batches, table
-from moodspark.llm.packing import by_bucket, compressed, expand, mix, powers, restored, run_hashes, spread_out, squeeze, text_bytes
-from moodspark.llm.packing import ODD, ODD_INVERSE
+from moodspark.llm.packing import by_bucket, compressed, expand, restored, run_hashes, spread_out, squeeze, text_bytes, window_hashes_of
 
 SEPARATES = np.zeros(256, dtype=bool)
 SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
@@ -51,20 +50,11 @@ def normalised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return joined, new_starts, new_starts + sizes, owner
 
 
-def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every ``k`` consecutive word hashes."""
-    n = len(words)
-    if n < k:
-        return np.zeros(0, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(ODD, n), dtype=np.uint64)])
-    return mix((sums[k:] - sums[:-k]) * powers(ODD_INVERSE, n - k + 1))
-
-
 def super_kmers(words: np.ndarray, owner: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, minimiser hash) of the maximal runs of windows that share a minimiser in place."""
     if len(words) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = window_hashes(words, m)
+    grams = window_hashes_of(words, m)
     width = k - m + 1
     best = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(words) - k + 1)
     valid = owner[: len(words) - k + 1] == owner[k - 1 :]
@@ -160,7 +150,7 @@ def count_bucket(k: int):
             string_words = counts + k - 1
             base = np.cumsum(string_words) - string_words
             at = expand(base, counts)
-            hashes = window_hashes(words, k)[at]
+            hashes = window_hashes_of(words, k)[at]
             of = np.repeat(np.arange(len(ids)), counts)
             start = expand(place, counts)
             order = np.lexsort((start, ids[of], hashes))
