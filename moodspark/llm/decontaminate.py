@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from moodspark.llm.common import bound_batches, table
+from moodspark.llm.common import bound_batches, field, map_column, table
 from moodspark.llm.licenses import words_of
 
 K1, B = 1.2, 0.75
@@ -187,6 +188,16 @@ class Index:
         return hit / max(1, len(part))
 
 
+def item_parts(items: DataFrame, item_id: str, item_text: str, part_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in parts of about half of ``part_bytes`` bytes of text, at least one part."""
+    clean = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).groupBy(F.col(item_id).alias("k")).agg(F.min(item_text).alias("v"))
+    total = clean.agg(F.sum(F.octet_length("v"))).first()[0] or 0
+    parts = max(1, -(-2 * total // part_bytes))
+    for part in range(parts):
+        chosen = clean.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == part) if parts > 1 else clean
+        yield [(int(r["k"]), r["v"]) for r in chosen.collect()]
+
+
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -205,16 +216,9 @@ def find_leaks(
     """Pairs of a document and an item in it; ``verified``: only those whose overlaps reach ``overlap``."""
     spark = docs.sparkSession
     bound_batches(spark)
-    clean = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).groupBy(F.col(item_id).alias("k")).agg(F.min(item_text).alias("v"))
-    total = clean.agg(F.sum(F.octet_length("v"))).first()[0] or 0
-    parts = max(1, -(-2 * total // part_bytes))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = None
-    for part in range(parts):
-        chosen = clean.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == part) if parts > 1 else clean
-        entries = [(int(r["k"]), r["v"]) for r in chosen.collect()]
-        if not entries and part:
-            continue
+    for entries in item_parts(items, item_id, item_text, part_bytes):
         shared = spark.sparkContext.broadcast(entries)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -230,6 +234,22 @@ def find_leaks(
     return found.where((F.col("question_overlap") >= overlap) & (F.col("answer_overlap") >= overlap)) if verified else found
 
 
+def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, text: str = "text", item_id: str = "item_id", item_text: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
+    """The documents in which no item is verified, in their columns; nothing is shuffled."""
+    order = docs.columns
+    for entries in item_parts(items, item_id, item_text, part_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(entries)
+        built: list[Index] = []
+
+        def run(values: list, shared=shared, built=built) -> list[pa.Array]:
+            if not built:
+                built.append(Index(shared.value, threshold))
+            return [pa.array([any(min(hit[2:]) >= overlap for hit in built[0].search(v)) for v in values], pa.bool_())]
+
+        docs = map_column(docs, text, run, [field("__leaks", T.BooleanType())]).where(~F.col("__leaks")).select(*(f"`{c}`" for c in order))
+    return docs
+
+
 def op9_benchmark_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` against every item of ``benchmark``: one row per verified leak."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
