@@ -1 +1 @@
-
+"""Schemas, checkpoints, stage runs, reports and the query catalogue."""

@@ -1 +1 @@
-
+"""Incremental ingest of the weekly feed."""
