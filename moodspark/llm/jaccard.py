@@ -26,19 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodspark.llm.common import bound_batches, materialise, table
 from moodspark.llm.components import components
-from moodspark.llm.packing import compressed, restored, run_hashes, window_hashes_of
+from moodspark.llm.packing import restored, run_hashes, window_hashes_of
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Members of a chunk besides the pivots, and pivots of a group of several chunks.
 CHUNK, PIVOTS = 96, 3
-#: Tokens in more than one of this many documents are ordered last among a document's tokens.
-HEAVY_SHARE = 2000
-LEAST_HEAVY = 50
+#: Families of more members than this are dealt into chunks.
+LARGE = 32
+#: Tokens in this many documents are ordered last among a document's tokens, so many of them at most.
+LEAST_HEAVY, MOST_HEAVY = 50, 1_000_000
+FILTER_BITS = 1 << 25
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -60,8 +63,11 @@ def encoded(values: list) -> list[bytes]:
     return [(v or "").encode("utf-8", "surrogatepass") for v in values]
 
 
-def heavy_tokens(rows: DataFrame, size: int, documents: int) -> np.ndarray:
-    """Tokens of very many documents, from those that repeat within a batch; which ones they are decides the order only."""
+def heavy_tokens(rows: DataFrame, size: int) -> np.ndarray:
+    """Tokens of many documents, from those that repeat within a batch, ``MOST_HEAVY`` at most.
+
+    Which tokens these are decides the order of tokens only, never a result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +76,8 @@ def heavy_tokens(rows: DataFrame, size: int, documents: int) -> np.ndarray:
             often = counts >= 3
             yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "seen"])
 
-    least = max(LEAST_HEAVY, documents // HEAVY_SHARE)
-    found = rows.mapInArrow(run, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least)
-    # At most HEAVY_SHARE times a document's mean number of shingles.
+    found = rows.mapInArrow(run, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LEAST_HEAVY)
+    found = found.orderBy(F.col("seen").desc(), "token").limit(MOST_HEAVY)
     return np.sort(found.select("token").toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
@@ -155,8 +160,8 @@ def linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
     return 100 * shared >= percent * (a[:, None] + b[None, :] - shared)
 
 
-def unpacked(blocks: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint64) for b in blocks]
+def unpacked(blocks: list[bytes], size: int) -> list[np.ndarray]:
+    return shingle_sets([restored(b) for b in blocks], size)
 
 
 EDGES = "a long, b long"
@@ -184,21 +189,21 @@ def forest(found: np.ndarray, ids: list[int]) -> list[tuple[int, int]]:
     return edges
 
 
-def join_group(percent: int):
+def join_group(size: int, percent: int):
     """Links within one chunk and its pivots."""
 
     def run(group: pa.Table) -> pa.Table:
-        kept = dict(zip(group.column("doc_id").to_pylist(), group.column("tokens").to_pylist(), strict=True))
+        kept = dict(zip(group.column("doc_id").to_pylist(), group.column("packed_text").to_pylist(), strict=True))
         ids = sorted(kept)
         if len(ids) < 2:
             return edge_table([])
-        matrix = Matrix(unpacked([kept[i] for i in ids]))
+        matrix = Matrix(unpacked([kept[i] for i in ids], size))
         return edge_table(forest(linked(matrix.inside(), matrix.sizes, matrix.sizes, percent), ids))
 
     return run
 
 
-def open_groups(percent: int):
+def open_groups(size: int, percent: int):
     """Links between two groups: the queries of one whose bound with the other's union reaches the threshold are compared with its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +212,7 @@ def open_groups(percent: int):
             for left_ids, left, right_ids, right in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if len(left_ids) > len(right_ids):
                     left_ids, left, right_ids, right = right_ids, right, left_ids, left
-                matrix = Matrix(unpacked(left + right))
+                matrix = Matrix(unpacked(left + right, size))
                 queries, members = np.arange(len(left)), np.arange(len(left), len(left) + len(right))
                 bound = matrix.union_overlap(queries, members)
                 smallest = matrix.sizes[members].min()
@@ -215,78 +220,118 @@ def open_groups(percent: int):
                 opened = queries[100 * bound >= percent * np.maximum(matrix.sizes[queries], smallest)]
                 if len(opened):
                     found = linked(matrix.across(opened, members), matrix.sizes[opened], matrix.sizes[members], percent)
-                    edges += [(left_ids[opened[i]], right_ids[j]) for i, j in zip(*np.nonzero(found), strict=True)]
+                    square = np.zeros((len(opened) + len(members),) * 2, dtype=bool)
+                    square[: len(opened), len(opened) :] = found
+                    edges += forest(square | square.T, [left_ids[i] for i in opened] + right_ids)
             table_of = edge_table(edges)
             yield from table_of.to_batches() or [pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})]
 
     return run
 
 
+def wanted_only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Leave out most rows whose ``doc_id`` is not wanted, before their texts are shuffled.
+
+    The wanted ids are hashed into one bitmap of ``FILTER_BITS`` bits (4 MB), however many they are.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    maps = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in maps:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        at = (r["bucket"] - 1) * len(part)
+        bits[at : at + len(part)] = part
+    shared = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, np.uint8)
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            at = batch.column(2).to_numpy() - 1
+            kept = pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+            batch = batch.filter(kept)
+            packed = [None if v is None else press.compress(v.encode("utf-8", "surrogatepass")) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed_text"])
+
+    return rows.select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, packed_text binary")
+
+
+def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` with their compressed texts."""
+    wanted = materialise(wanted, "wanted")
+    return materialise(wanted_only(rows, wanted).join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
+
+
+def bounded_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups whose shared prefix tokens allow a link between their members.
+
+    If two sets link and one's prefix ends no later than the other's, all their common tokens in
+    it are shared prefix tokens; the rest of it has ceil(t n) - 1 tokens. So they share at least
+    t / (1 + t) (n_a + n_b) - ceil(t max(n_a, n_b)) + 1 prefix tokens. Groups count with their
+    smallest and largest sets.
+    """
+    names = ("key", "chunk", "least", "most")
+    left = entries.select("token", *(F.col(c).alias(f"{c}_a") for c in names))
+    right = entries.select("token", *(F.col(c).alias(f"{c}_b") for c in names))
+    # Groups of one key are one component already.
+    before = F.col("key_a") < F.col("key_b")
+    fits = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
+    met = left.join(right, "token").where(before & fits).groupBy("key_a", "chunk_a", "key_b", "chunk_b").agg(F.count("*").alias("shared"), F.min("least_a").alias("low_a"), F.min("least_b").alias("low_b"), F.max(F.greatest("most_a", "most_b")).alias("high"))
+    need = F.ceil(F.lit(percent) * (F.col("low_a") + F.col("low_b")) / (100 + percent) - 1e-9) - F.ceil(F.lit(percent) * F.col("high") / 100 - 1e-9) + 1
+    return met.where(F.col("shared") >= need).select("key_a", "chunk_a", "key_b", "chunk_b")
+
+
 def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id reachable by links of at least ``percent`` % similarity."""
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    heavy = heavy_tokens(rows, size, rows.count())
-    signed = materialise(signatures(rows, size, percent, heavy), "signatures")
-    filled = signed.where("n_shingles > 0")
-    classes = filled.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("family").alias("family"), F.first("prefix").alias("prefix"))
-    classes = materialise(classes.groupBy("doc_id").agg(F.min_by(F.struct("n", "family", "prefix", "set_hash"), "set_hash").alias("s")).select("doc_id", "s.*"), "classes")
-
-    # Token postings; a token of one document joins nothing.
-    postings = classes.select("doc_id", "n", F.explode("prefix").alias("token"))
-    frequent = postings.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1")
-    shared = materialise(postings.join(frequent.select("token"), "token"), "postings")
-    families = classes.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
-    grouped = classes.select("doc_id", "family", "set_hash").join(families, "family").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
-    grouped = grouped.select("doc_id", "family", "chunks", F.pmod(F.xxhash64("set_hash"), F.col("chunks")).cast("int").alias("chunk"))
-    needed = shared.select("doc_id").distinct().join(grouped.select("doc_id", "family", "chunks", "chunk"), "doc_id", "full")
-
-    packed = compressed(rows).join(needed, "doc_id")
-    token_fields = "doc_id long, family long, chunks int, chunk int, tokens binary"
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [s.tobytes() for s in shingle_sets([restored(b) for b in batch.column(4).to_pylist()], size)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(made, pa.binary())], names=["doc_id", "family", "chunks", "chunk", "tokens"])
-
-    store = materialise(packed.select("doc_id", "family", "chunks", "chunk", "packed_text").mapInArrow(sets, token_fields), "sets")
-
-    # Groups by family and chunk, each with the family's pivots.
-    members = store.where("family is not null")
-    firsts = members.where("chunks > 1").groupBy("family", "chunks").agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("chunk") == 0, F.col("doc_id")))), 1, PIVOTS).alias("pivots"))
-    firsts = firsts.select("family", "chunks", F.explode("pivots").alias("doc_id"))
-    copies = store.join(firsts.select("doc_id"), "doc_id").select("doc_id", "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "tokens")
-    groups = members.select("doc_id", "family", "chunk", "tokens").unionByName(copies)
-    inner = materialise(groups.groupBy("family", "chunk").applyInArrow(join_group(percent), EDGES), "links")
+    signed = materialise(signatures(rows, size, percent, heavy_tokens(rows, size)), "signatures")
+    ids = materialise(signed.groupBy("doc_id").agg(F.min(F.struct("set_hash", "n_shingles")).alias("s")).select("doc_id", "s.*"), "ids")
+    classes = ids.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
+    alone = signed.join(classes, ["doc_id", "set_hash"]).dropDuplicates(["doc_id", "set_hash"])
+
+    # Large families are compared in chunks that share pivots.
+    families = alone.groupBy("family").agg(F.count("*").alias("members")).where(F.col("members") > LARGE)
+    placed = alone.join(families, "family", "left").select("doc_id", F.col("n_shingles").alias("n"), "prefix", "family", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(0)).cast("int").alias("chunks"))
+    placed = materialise(placed.withColumn("chunk", F.when(F.col("chunks") > 0, F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(-1).cast("int")), "families")
+    large = placed.where("chunks > 0").select("doc_id", "family", "chunk", "chunks")
+    members = fetched(rows, large)
+    pivots = members.where("chunks > 1 and chunk = 0").groupBy("family").agg(F.slice(F.array_sort(F.collect_set("doc_id")), 1, PIVOTS).alias("ids")).select(F.explode("ids").alias("doc_id"))
+    copies = members.join(pivots, "doc_id").select("doc_id", "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "packed_text")
+    inner = materialise(members.select("doc_id", "family", "chunk", "packed_text").unionByName(copies).groupBy("family", "chunk").applyInArrow(join_group(size, percent), EDGES), "links")
     local = components(inner)
 
-    # The token-group matrix: groups are what one component has in one chunk; documents in no family are their own.
-    placed = (
-        store.select("doc_id", "family", "chunk", F.octet_length("tokens").alias("bytes"))
-        .join(local.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-        .select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("chunk", F.lit(0)).alias("chunk"), (F.col("bytes") / 8).cast("long").alias("size"))
-    )
-    placed = materialise(placed, "placed")
-    entries = shared.select("doc_id", "token").join(placed, "doc_id").groupBy("token", "component", "chunk").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    entries = materialise(entries, "entries")
-    left = entries.select("token", *(F.col(c).alias(f"{c}_a") for c in ("component", "chunk", "least", "most")))
-    right = entries.select("token", *(F.col(c).alias(f"{c}_b") for c in ("component", "chunk", "least", "most")))
-    fits = (F.col("component_a") < F.col("component_b")) & (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
-    pairs = materialise(left.join(right, "token").where(fits).select("component_a", "chunk_a", "component_b", "chunk_b").distinct(), "pairs")
-
-    # Only groups that some pair names are gathered; a group has at most a chunk's members.
-    named = pairs.select(F.col("component_a").alias("component"), F.col("chunk_a").alias("chunk")).union(pairs.select("component_b", "chunk_b")).distinct()
-    blocks = placed.join(named, ["component", "chunk"]).join(store.select("doc_id", "tokens"), "doc_id")
-    blocks = materialise(blocks.groupBy("component", "chunk").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("m")).select("component", "chunk", F.col("m.doc_id").alias("ids"), F.col("m.tokens").alias("sets")), "groups")
-    side = lambda k: blocks.select(F.col("component").alias(f"component_{k}"), F.col("chunk").alias(f"chunk_{k}"), F.col("ids").alias(f"ids_{k}"), F.col("sets").alias(f"sets_{k}"))
-    met = pairs.join(side("a"), ["component_a", "chunk_a"]).join(side("b"), ["component_b", "chunk_b"])
-    outer = materialise(met.select("ids_a", "sets_a", "ids_b", "sets_b").mapInArrow(open_groups(percent), EDGES), "links")
-
-    reached = components(inner.unionByName(outer))
-    best = classes.select("doc_id", "set_hash").join(reached.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component"))
-    once = signed.groupBy("doc_id").agg(F.min_by("n_shingles", "set_hash").alias("n"), F.min("set_hash").alias("set_hash"), F.max("n_shingles").alias("most"))
-    return once.join(best, "set_hash", "left").select("doc_id", F.coalesce("n", "most").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # The matrix: what one component has in one chunk is a group, every other document a group of its own.
+    spots = placed.join(local.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n", "prefix", F.coalesce("component", "doc_id").alias("key"), F.when(F.col("component").isNull(), -1).otherwise(F.col("chunk")).alias("chunk"))
+    tokens = spots.select("key", "chunk", "n", F.explode("prefix").alias("token"))
+    single = tokens.where("chunk < 0").select("token", "key", "chunk", F.col("n").alias("least"), F.col("n").alias("most"))
+    several = tokens.where("chunk >= 0").groupBy("token", "key", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    pairs = materialise(bounded_pairs(single.unionByName(several), percent), "pairs")
+    named = pairs.select(F.col("key_a").alias("key"), F.col("chunk_a").alias("chunk")).union(pairs.select("key_b", "chunk_b")).distinct()
+    store = fetched(rows, spots.select("doc_id", "key", "chunk").join(named, ["key", "chunk"], "left_semi"))
+
+    def opened(some: DataFrame) -> DataFrame:
+        """Links of the pairs of groups in ``some``; a group has at most a chunk's members."""
+        use = some.select(F.col("key_a").alias("key"), F.col("chunk_a").alias("chunk")).union(some.select("key_b", "chunk_b")).distinct()
+        blocks = store.join(use, ["key", "chunk"], "left_semi").groupBy("key", "chunk").agg(F.collect_list(F.struct("doc_id", "packed_text")).alias("m")).select("key", "chunk", F.col("m.doc_id").alias("ids"), F.col("m.packed_text").alias("texts"))
+        side = lambda k: blocks.select(*(F.col(c).alias(f"{c}_{k}") for c in ("key", "chunk", "ids", "texts")))
+        met = some.join(side("a"), ["key_a", "chunk_a"]).join(side("b"), ["key_b", "chunk_b"])
+        return materialise(met.select("ids_a", "texts_a", "ids_b", "texts_b").mapInArrow(open_groups(size, percent), EDGES), "links")
+
+    # First each group with one partner; then the pairs that this has not joined. All of a group is one component.
+    first = pairs.groupBy("key_b", "chunk_b").agg(F.min(F.struct("key_a", "chunk_a")).alias("s")).select("s.key_a", "s.chunk_a", "key_b", "chunk_b")
+    links = inner.unionByName(opened(first))
+    reached = components(links)
+    roots = reached.select(F.col("id").alias("key"), "component")
+    joined = pairs.join(first, ["key_a", "chunk_a", "key_b", "chunk_b"], "left_anti")
+    for k in "ab":
+        joined = joined.join(roots.select(F.col("key").alias(f"key_{k}"), F.col("component").alias(f"root_{k}")), f"key_{k}", "left")
+    rest = materialise(joined.where(F.coalesce("root_a", "key_a") != F.coalesce("root_b", "key_b")).select(pairs.columns), "pairs")
+    if not rest.isEmpty():
+        reached = components(links.unionByName(opened(rest)))
+
+    best = classes.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component"))
+    return ids.join(best, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
