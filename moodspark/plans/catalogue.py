@@ -48,7 +48,7 @@ def with_entries(sql: str) -> str:
 
 @query(
     "explode_weekly_feed",
-    """SELECT CAST(first AS DATE) AS chart_date, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS position,
+    """SELECT CAST(first AS DATE) AS chart_date, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS INTEGER) AS position,
     trim(p_name) AS title, trim(s_name) AS artist, CAST(l_linenumber AS BIGINT) AS rank, CAST(l_quantity AS BIGINT) AS weeks
     FROM (SELECT *, min(l_shipdate) OVER (PARTITION BY l_orderkey) AS first FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)
     QUALIFY l_linenumber <> 3""",
@@ -261,7 +261,7 @@ def top_titles(spark, d):
 
 IMPUTED_SQL = "imputed AS (SELECT * REPLACE (CASE WHEN decade IS NOT NULL THEN coalesce(sentiment_score, avg(sentiment_score) OVER w) END AS sentiment_score, CASE WHEN decade IS NOT NULL THEN coalesce(CAST(energy_level AS DOUBLE), avg(energy_level) OVER w) END AS energy_level, CASE WHEN decade IS NOT NULL THEN coalesce(CAST(development_score AS DOUBLE), avg(development_score) OVER w) END AS development_score) FROM songs WINDOW w AS (PARTITION BY decade))"
 RESONANCE_SQL = """round(least(greatest(0.25 * (least(greatest(sentiment_score, -1.0), 1.0) + 1) / 2 + 0.20 * (least(greatest(CAST(energy_level AS DOUBLE), 1.0), 5.0) - 1) / 4 + 0.15 * CASE WHEN chorus_detected THEN 1 ELSE 0 END
-+ 0.20 * CASE lyrics_quality WHEN 'full' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END + 0.20 * (least(greatest(CAST(development_score AS DOUBLE), 1.0), 7.0) - 1) / 6 + CASE WHEN sentiment_score IS NULL OR energy_level IS NULL OR development_score IS NULL THEN NULL ELSE 0 END, 0.0), 1.0), 4)"""
++ 0.20 * CASE lyrics_quality WHEN 'full' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END + 0.20 * (least(greatest(CAST(development_score AS DOUBLE), 1.0), 7.0) - 1) / 6 + CASE WHEN sentiment_score IS NULL OR energy_level IS NULL OR development_score IS NULL THEN NULL ELSE 0 END, 0.0), 1.0), 6)"""
 
 
 @query(
@@ -278,10 +278,7 @@ RESONANCE_SQL = """round(least(greatest(0.25 * (least(greatest(sentiment_score,
     ),
 )
 def cohort_mood_index(spark, d):
-    scored = index.with_resonance(songs(spark, d))
-    # Four digits, so that float sums in another order break no ties otherwise than the oracle.
-    even = scored.withColumn("cultural_resonance_score", F.round("cultural_resonance_score", 4))
-    return index.cohort_mood_index(even, ["doc_id"]).withColumns({"CMI_sentiment": F.round("CMI_sentiment", 6), "CMI_energy": F.round("CMI_energy", 6)})
+    return index.cohort_mood_index(index.with_resonance(songs(spark, d)), ["doc_id"]).withColumns({"CMI_sentiment": F.round("CMI_sentiment", 6), "CMI_energy": F.round("CMI_energy", 6)})
 
 
 @query("coverage_rate", with_songs("SELECT decade, round(coalesce(count(*) FILTER (lyrics_quality = 'full' AND sentiment_score IS NOT NULL) / nullif(count(*) FILTER (lyrics_quality = 'full'), 0), 1.0), 6) AS coverage FROM songs GROUP BY decade"))
@@ -596,7 +593,7 @@ def theme_shift(spark, d):
 
 @query("resonance_score", with_songs(f"SELECT doc_id, CASE WHEN sentiment_score IS NULL OR energy_level IS NULL OR development_score IS NULL THEN NULL ELSE {RESONANCE_SQL} END AS score FROM songs"))
 def resonance_score(spark, d):
-    return songs(spark, d).select("doc_id", F.round(scores.resonance_score(), 4).alias("score"))
+    return songs(spark, d).select("doc_id", scores.resonance_score().alias("score"))
 
 
 VECTOR_SQL = "SELECT vec_id, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 6)) AS v FROM embeddings"
