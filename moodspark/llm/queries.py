@@ -15,5 +15,31 @@ QUERIES = {
     "op10_license_templates": licenses.op10_license_templates,
 }
 
-#: The oracles' columns beyond the contract's are left to tests, so SQL is given where it yields every column.
-ORACLES: dict[str, str] = {}
+WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The others learn, compress, hash or match by rules that SQL has no terms for; their tests compare them with plain code.
+ORACLES: dict[str, str] = {
+    "op1_warc_merge": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        o AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to FROM o""",
+    "op4_super_kmers": f"""
+        WITH d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
+        s AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS k FROM d, generate_series(1, greatest(len(w) - 19, 0)) g(i)),
+        r AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + j AS p FROM r, generate_series(0, 19) g(j)),
+        each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+        kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.p) AS t, count(*) AS n FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "op6_token_group_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(LOWERED)} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS t FROM d, generate_series(1, greatest(len(w) - 2, least(len(w), 1))) g(i)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN n m ON c.a = m.doc_id JOIN n o ON c.b = o.doc_id WHERE 100 * x >= 90 * (m.n + o.n - x)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.r = e.a)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM d JOIN reach ON d.doc_id = reach.doc_id LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY 1""",
+}

@@ -312,4 +312,4 @@ def op1_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per row of ``pages``, read back from the archives in the order of the merged index."""
     pages = table(spark, sf_dir, "pages").where(F.col("page_id").isNotNull())
     captures = pages.select(F.col("page_id").cast("long").alias("id"), "url", (F.col("page_id").cast("long") * 1_000_000).alias("micros"), F.col("html").alias("payload"))
-    return capture_histories(captures).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "range", "place")
+    return capture_histories(captures).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
