@@ -98,13 +98,13 @@ def decode(
     return map_column(df, ids, run, [field(raw, T.BinaryType())], keep)
 
 
-def unpack(ids: str = "token_ids"):
-    """Packed ids as an array of integers, for callers that want one."""
-    hexed = F.hex(F.col(ids))
-    count = F.octet_length(F.col(ids)) / 4
-    word = lambda i: F.substring(hexed, i * 8 + 1, 8)
-    value = lambda w: F.conv(F.concat(F.substring(w, 7, 2), F.substring(w, 5, 2), F.substring(w, 3, 2), F.substring(w, 1, 2)), 16, 10).cast("long")
-    return F.when(count == 0, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: value(word(i))))
+def unpack(df: DataFrame, ids: str = "token_ids", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """Add packed ids as an array of integers, for callers that want one. Null ids give null."""
+
+    def run(values: list) -> list[pa.Array]:
+        return [pa.array([None if v is None else np.frombuffer(v, dtype="<u4") for v in values], pa.list_(pa.int64()))]
+
+    return map_column(df, ids, run, [field(out, T.ArrayType(T.LongType()))], keep)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def test_bpe_matches_the_library_and_decodes(documents, hard_texts):
     df = bpe.decode(bpe.encode(documents(texts, extra=["'old' AS token_ids", "1 AS raw_bytes"])))
     assert df.columns.count("token_ids") == 1
     whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.DEFAULT_RANKS), special_tokens={})
-    rows = df.select("doc_id", "token_ids", "raw_bytes", bpe.unpack().alias("ids")).collect()
+    rows = bpe.unpack(df).select("doc_id", "token_ids", "raw_bytes", "ids").collect()
     assert len(rows) == len(texts)
     for r in rows:
         text = texts[r.doc_id] or ""
