@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -122,19 +121,27 @@ def token_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(_col(text), F.lit(r"(?U)\S+")), F.lit(0)).cast("long")
 
 
-def _pronouns(text: Column, words: Iterable[str]) -> Column:
-    return F.regexp_count(text, F.lit(rf"(?<![a-z])({'|'.join(words)})(?![a-z])"))
-
-
 def perspective(text: str | Column) -> Column:
-    """The person whose pronouns have a share of 60 % or more, else 'abstract'."""
-    low = F.lower(F.coalesce(_col(text), F.lit("")))
-    counts = [_pronouns(low, words) for words in (FIRST_PERSON, SECOND_PERSON, THIRD_PERSON)]
-    total = counts[0] + counts[1] + counts[2]
-    out = F.when(total == 0, "abstract")
-    for count, label in zip(counts, ("first_person", "second_person", "third_person"), strict=True):
-        out = out.when(count / total >= DOMINANCE, label)
-    return out.otherwise("abstract")
+    """The person whose pronouns have a share of 60 % or more, else 'abstract'.
+
+    One pass of one pattern finds all pronouns; the fold over the few hits counts them by person.
+    """
+    people = (("first_person", FIRST_PERSON), ("second_person", SECOND_PERSON), ("third_person", THIRD_PERSON))
+    every = "|".join(w for _, group in people for w in group)
+    hits = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(rf"(?<![a-z])({every})(?![a-z])"), F.lit(1))
+    start = F.struct(*(F.lit(0).alias(name) for name, _ in people))
+
+    def step(counts: Column, word: Column) -> Column:
+        return F.struct(*((counts[name] + word.isin(*group).cast("int")).alias(name) for name, group in people))
+
+    def label(counts: Column) -> Column:
+        total = sum((counts[name] for name, _ in people), F.lit(0))
+        out = F.when(total == 0, "abstract")
+        for name, _ in people:
+            out = out.when(counts[name] / total >= DOMINANCE, name)
+        return out.otherwise("abstract")
+
+    return F.aggregate(hits, start, step, label)
 
 
 def split_tags(text: str | Column) -> Column:
