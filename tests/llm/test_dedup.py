@@ -178,9 +178,11 @@ def test_fingerprint_likeness_is_unbiased(documents, hard_texts):
 
 def test_fingerprint_query(spark, tmp_path):
     texts = [None, "", "a b c", " ".join(words(1, 50)), "é" * 41, "x"]
-    spark.createDataFrame([(10 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in fingerprints.op3_one_permutation(spark, str(tmp_path)).collect()}
-    assert len(got) == len(texts)
+    rows = [(10 * i, t) for i, t in enumerate(texts)] + [(20, "a b c"), (20, "a b c d"), (None, "lost")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = fingerprints.op3_one_permutation(spark, str(tmp_path)).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(got) == len(texts)
     for i, text in enumerate(texts):
         own, after = text or "", texts[(i + 1) % len(texts)] or ""
         m = len(own) // 4
