@@ -92,11 +92,24 @@ def tag_penetration_pivot(df: DataFrame, cohort: str, tags: str, cohorts: Sequen
 
 
 def distribution_summary(df: DataFrame, cohort: str, value: str) -> DataFrame:
-    """The exact five-number summary of each cohort and the fences beyond which values are outliers."""
-    five = df.where(F.col(value).isNotNull()).groupBy(cohort).agg(F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("p"))
+    """The exact five-number summary of each cohort (linear between neighbours) and the fences beyond which values are outliers.
+
+    Values are counted first, so a task holds no cohort in memory: the window over the distinct
+    values of a cohort is sorted and may spill.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(cohort, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(cohort)
+    ranked = counted.withColumns({"upto": F.sum("n").over(whole.orderBy("v")), "total": F.sum("n").over(whole)})
     names = ("low", "q1", "median", "q3", "high")
-    spread = F.col("p")[3] - F.col("p")[1]
-    return five.select(cohort, *(F.col("p")[i].alias(n) for i, n in enumerate(names)), (F.col("p")[1] - 1.5 * spread).alias("lower_fence"), (F.col("p")[3] + 1.5 * spread).alias("upper_fence"))
+    edges = []
+    for name, share in zip(names, (0.0, 0.25, 0.5, 0.75, 1.0), strict=True):
+        place = share * (F.col("total") - 1)
+        edges += [F.min(F.when(F.col("upto") > F.floor(place), F.col("v"))).alias(f"{name}_a"), F.min(F.when(F.col("upto") > F.ceil(place), F.col("v"))).alias(f"{name}_b")]
+        edges.append(F.first(place - F.floor(place)).alias(f"{name}_w"))
+    met = ranked.groupBy(cohort).agg(*edges)
+    five = met.select(cohort, *((F.col(f"{n}_a") + (F.col(f"{n}_b") - F.col(f"{n}_a")) * F.col(f"{n}_w")).alias(n) for n in names))
+    spread = F.col("q3") - F.col("q1")
+    return five.withColumns({"lower_fence": F.col("q1") - 1.5 * spread, "upper_fence": F.col("q3") + 1.5 * spread})
 
 
 def extreme_cohort(df: DataFrame, cohort: str, value: str, order: str, largest: bool = True) -> DataFrame:
