@@ -198,7 +198,7 @@ def _settle(joined, left, right, hashes, of, ids, start, order) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 20, m: int = 3, bucket_bytes: int = 24 << 20, flush_bytes: int = 24 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 20, m: int = 3, bucket_bytes: int = 8 << 20, flush_bytes: int = 12 << 20) -> DataFrame:
     """(doc_id, first, last): spans of words whose windows also start earlier. Spans may overlap."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     buckets = max(1, 3 * text_bytes(rows) // bucket_bytes)
