@@ -9,17 +9,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import moodspark
-
-# Executors need no copy of the package: functions travel with their code. What runs
-# there names functions and classes of the package, never its modules.
-cloudpickle.register_pickle_by_value(moodspark)
-
 #: Bytes of one Arrow batch between Spark and Python; a longer text travels alone.
 BATCH_BYTES = 4 << 20
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints/moodspark"
