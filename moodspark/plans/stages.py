@@ -172,7 +172,7 @@ def mood_index(run: Run) -> DataFrame:
 
 
 STAGES = (
-    Stage("BILLBOARD_FETCH", ingest, "metadata", "metadata"),
+    Stage("FEED_FETCH", ingest, "metadata", "metadata"),
     Stage("LYRICS_FETCH", lyrics, "lyrics"),
     Stage("TEXT_CLEANING", cleaning, "cleaned", "cleaned"),
     Stage("CHORUS_DETECTION", chorus, "chorus", "chorus"),
