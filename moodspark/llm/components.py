@@ -8,21 +8,39 @@ from pyspark.sql import functions as F
 from moodspark.llm.common import materialise
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable over undirected ``edges`` (a, b), for every id in them.
+def hooked(edges: DataFrame) -> DataFrame:
+    """(id, component): the root of every id of ``edges`` once each id has hooked to its smallest neighbour, if that is smaller.
 
-    Each round gives a node the smallest label among its neighbours' and then the label of that
-    label (pointer jumping), so rounds grow with the logarithm of long chains. Every round is
-    written to the shared folder. A node with very many edges meets a partial minimum first.
+    Roots are found by pointer jumping, in a number of steps that grows with the logarithm of the longest path to a root.
     """
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "id", "left").select("id", "component", F.least("component", "near").alias("low"))
-        parents = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
-        moved = materialise(hooked.join(parents, "low", "left").select("id", F.least("low", "far").alias("component"), (F.least("low", "far") < F.col("component")).alias("changed")), "labels")
-        labels = moved.select("id", "component")
-        if moved.where("changed").isEmpty():
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), "labels")
+    while True:
+        parents = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        jumped = materialise(labels.join(parents, "component").select("id", F.col("far").alias("component"), (F.col("far") < F.col("component")).alias("changed")), "labels")
+        labels = jumped.select("id", "component")
+        if jumped.where("changed").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id reachable over undirected ``edges`` (a, b), for every id in them.
+
+    Each round hooks ids to their smallest neighbours and keeps the edges between different roots
+    for the next. A root that takes nobody in has a smaller neighbour in the next round, so two
+    rounds at least halve the ids that still have edges, in whatever order a chain's ids are:
+    rounds grow with the logarithm and end by themselves. Every round is written to the shared
+    folder. A node with very many edges meets a partial minimum first.
+    """
+    rounds = [hooked(edges)]
+    while True:
+        a, b = (rounds[-1].select(F.col("id").alias(k), F.col("component").alias(f"root_{k}")) for k in "ab")
+        between = edges.join(a, "a").join(b, "b").where("root_a <> root_b")
+        edges = materialise(between.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            break
+        rounds.append(hooked(edges))
+    labels = rounds[0]
+    for later in rounds[1:]:
+        labels = labels.join(later.select(F.col("id").alias("component"), F.col("component").alias("far")), "component", "left").select("id", F.coalesce("far", "component").alias("component"))
+    return materialise(labels, "labels") if len(rounds) > 1 else labels

@@ -154,6 +154,19 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_components_of_shuffled_chains(spark):
+    rng = random.Random(4)
+    edges, expected = [], {9_000_000: 9_000_000}
+    for start, n in ((0, 3000), (10_000, 1000), (20_000, 2)):
+        order = list(range(start, start + n))
+        rng.shuffle(order)
+        edges += zip(order, order[1:])
+        expected |= dict.fromkeys(order, start)
+    edges.append((9_000_000, 9_000_000))
+    rng.shuffle(edges)
+    assert {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == expected
+
+
 def test_fingerprint_likeness_is_unbiased(documents, hard_texts):
     def shingles(text):
         w = (text or "").split()
