@@ -453,8 +453,9 @@ def strip_header(spark, d):
     return table(spark, d, "documents").select("doc_id", text.strip_header(F.concat(head, "text")).alias("body"))
 
 
-def tagged(spark, d):
-    whole = F.concat(F.lit("[Verse 1]\n  “"), F.substring("text", 1, 300), F.lit("” \n\n[Chorus]\n"), F.col("source"), F.lit("   sings along\n12 Embed\nSee Anybody Live\n[Verse 2]\nonce more—"), F.col("lang"))
+def tagged(spark, d, body="text"):
+    """Documents as tagged texts, whole; the queries with SQL pass the part of the text that ``TAGGED_SQL`` takes."""
+    whole = F.concat(F.lit("[Verse 1]\n  “"), body, F.lit("” \n\n[Chorus]\n"), F.col("source"), F.lit("   sings along\n12 Embed\nSee Anybody Live\n[Verse 2]\nonce more—"), F.col("lang"))
     return table(spark, d, "documents").select("doc_id", whole.alias("raw"))
 
 
@@ -467,7 +468,7 @@ TAGGED_SQL = "SELECT doc_id, '[Verse 1]' || chr(10) || '  “' || substr(text, 1
     SELECT doc_id, array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS cleaned FROM bare""",
 )
 def clean_ascii(spark, d):
-    return tagged(spark, d).select("doc_id", text.clean_ascii("raw").alias("cleaned"))
+    return tagged(spark, d, F.substring("text", 1, 300)).select("doc_id", text.clean_ascii("raw").alias("cleaned"))
 
 
 @query("clean_text")
@@ -477,7 +478,7 @@ def clean_text(spark, d):
 
 @query("tag_features", rf"WITH t AS ({TAGGED_SQL}) SELECT doc_id, regexp_matches(raw, '\[.+?\]') AS has_section_tags, len(regexp_extract_all(raw, '\[.+?\]')) AS section_count FROM t")
 def tag_features(spark, d):
-    return tagged(spark, d).select("doc_id", text.has_tags("raw").alias("has_section_tags"), text.tag_count("raw").alias("section_count"))
+    return tagged(spark, d, F.substring("text", 1, 300)).select("doc_id", text.has_tags("raw").alias("has_section_tags"), text.tag_count("raw").alias("section_count"))
 
 
 @query("extract_sections")

@@ -156,3 +156,14 @@ def test_batches(spark):
     df = spark.createDataFrame([(i,) for i in range(23)], "i int").repartition(4)
     got = {r.i: r.batch_id for r in windows.batch_assign(df, 5, ["i"]).collect()}
     assert got == {i: i // 5 for i in range(23)}
+
+
+def test_tagged_queries_read_whole_texts(spark, tmp_path):
+    from moodspark.plans.catalogue import QUERIES
+
+    body = "\n".join(f"line {i} of a long text" for i in range(400))
+    spark.createDataFrame([(1, f"{body}\n[Hook]\nfar away\n[Verse 9]\nnear", "en", "src1")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: QUERIES[name](spark, str(tmp_path)).collect() for name in ("clean_text", "extract_sections", "chorus_cascade")}
+    assert [r.cleaned for r in got["clean_text"]] == [f'"{body}\nfar away\nnear"\nsrc1 sings along\nonce more-en fine']
+    assert [r.verse_only for r in got["extract_sections"]] == [f"[Verse 1]\n  “{body}\nnear” \n\nonce more—en"]
+    assert [(r.chorus_method, r.chorus_text) for r in got["chorus_cascade"]] == [("tag", "far away")]
