@@ -8,9 +8,9 @@ members compared exactly. Groups meet a query only if they share a prefix token:
 a set that is similar to another must share one of its rarest tokens
 (Bayardo, Ma, Srikant, "Scaling up all pairs similarity search", 2007).
 
-Equal sets are one: the smallest id stands for all. All chunks of a large group
-hold the same few pivots, so that copies join over them and need not be compared
-pair by pair; what is not joined that way is compared chunk by chunk.
+Equal sets are one: the smallest id stands for all. Every pair of groups that the
+bounds allow is opened, whether or not its members are joined already, so all links
+between different sets are found (``similarity_links``), and components follow from them.
 
 Letters A-Z are lower-cased, words are separated by white space. A text of fewer
 words than a shingle is one shingle; null texts and texts without words have
@@ -35,7 +35,7 @@ from moodspark.llm.components import components
 from moodspark.llm.packing import restored, run_hashes, window_hashes_of
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Members of a chunk besides the pivots, and pivots of a group of several chunks.
+#: Members of a chunk; pivots are no longer used, as every pair of chunks that can link is opened.
 CHUNK, PIVOTS = 96, 3
 #: Families of more members than this are dealt into chunks.
 LARGE = 32
@@ -164,18 +164,14 @@ def unpacked(blocks: list[bytes], size: int) -> list[np.ndarray]:
     return shingle_sets([restored(b) for b in blocks], size)
 
 
-EDGES = "a long, b long"
+LINKS = "a long, b long, tree boolean"
 
 
-def edge_table(pairs: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
-
-
-def forest(found: np.ndarray, ids: list[int]) -> list[tuple[int, int]]:
-    """Edges that keep the components of a link matrix: each member with one that was reached before it."""
-    seen = np.zeros(len(ids), dtype=bool)
+def forest(found: np.ndarray) -> list[tuple[int, int]]:
+    """Places that keep the components of a link matrix: each member with one that was reached before it."""
+    seen = np.zeros(len(found), dtype=bool)
     edges = []
-    for root in range(len(ids)):
+    for root in range(len(found)):
         if seen[root]:
             continue
         seen[root] = True
@@ -184,21 +180,28 @@ def forest(found: np.ndarray, ids: list[int]) -> list[tuple[int, int]]:
             i = todo.pop()
             new = np.flatnonzero(found[i] & ~seen)
             seen[new] = True
-            edges += [(ids[i], ids[j]) for j in new.tolist()]
+            edges += [(i, j) for j in new.tolist()]
             todo += new.tolist()
     return edges
 
 
+def link_table(found: np.ndarray, ids: list[int]) -> pa.RecordBatch:
+    """All links of a symmetric link matrix, each once; ``tree`` marks some that keep its components."""
+    tree = np.zeros(found.shape, dtype=bool)
+    for i, j in forest(found):
+        tree[min(i, j), max(i, j)] = True
+    i, j = np.nonzero(np.triu(found, 1))
+    named = np.array(ids, dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(named[i], named[j])), pa.array(np.maximum(named[i], named[j])), pa.array(tree[i, j])], names=["a", "b", "tree"])
+
+
 def join_group(size: int, percent: int):
-    """Links within one chunk and its pivots."""
+    """Links within one group."""
 
     def run(group: pa.Table) -> pa.Table:
-        kept = dict(zip(group.column("doc_id").to_pylist(), group.column("packed_text").to_pylist(), strict=True))
-        ids = sorted(kept)
-        if len(ids) < 2:
-            return edge_table([])
-        matrix = Matrix(unpacked([kept[i] for i in ids], size))
-        return edge_table(forest(linked(matrix.inside(), matrix.sizes, matrix.sizes, percent), ids))
+        ids = group.column("doc_id").to_pylist()
+        matrix = Matrix(unpacked(group.column("packed_text").to_pylist(), size))
+        return pa.Table.from_batches([link_table(linked(matrix.inside(), matrix.sizes, matrix.sizes, percent), ids)])
 
     return run
 
@@ -208,7 +211,7 @@ def open_groups(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edges: list[tuple[int, int]] = []
+            tables = [link_table(np.zeros((0, 0), dtype=bool), [])]
             for left_ids, left, right_ids, right in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if len(left_ids) > len(right_ids):
                     left_ids, left, right_ids, right = right_ids, right, left_ids, left
@@ -222,9 +225,8 @@ def open_groups(size: int, percent: int):
                     found = linked(matrix.across(opened, members), matrix.sizes[opened], matrix.sizes[members], percent)
                     square = np.zeros((len(opened) + len(members),) * 2, dtype=bool)
                     square[: len(opened), len(opened) :] = found
-                    edges += forest(square | square.T, [left_ids[i] for i in opened] + right_ids)
-            table_of = edge_table(edges)
-            yield from table_of.to_batches() or [pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})]
+                    tables.append(link_table(square | square.T, [left_ids[i] for i in opened] + right_ids))
+            yield from pa.Table.from_batches(tables).combine_chunks().to_batches()
 
     return run
 
@@ -270,19 +272,26 @@ def bounded_pairs(entries: DataFrame, percent: int) -> DataFrame:
     t / (1 + t) (n_a + n_b) - ceil(t max(n_a, n_b)) + 1 prefix tokens. Groups count with their
     smallest and largest sets.
     """
-    names = ("key", "chunk", "least", "most")
+    names = ("key", "home", "least", "most")
     left = entries.select("token", *(F.col(c).alias(f"{c}_a") for c in names))
     right = entries.select("token", *(F.col(c).alias(f"{c}_b") for c in names))
-    # Groups of one key are one component already.
     before = F.col("key_a") < F.col("key_b")
     fits = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
-    met = left.join(right, "token").where(before & fits).groupBy("key_a", "chunk_a", "key_b", "chunk_b").agg(F.count("*").alias("shared"), F.min("least_a").alias("low_a"), F.min("least_b").alias("low_b"), F.max(F.greatest("most_a", "most_b")).alias("high"))
+    together = F.max(F.coalesce(F.col("home_a") == F.col("home_b"), F.lit(False))).alias("together")
+    met = left.join(right, "token").where(before & fits).groupBy("key_a", "key_b").agg(F.count("*").alias("shared"), together, F.min("least_a").alias("low_a"), F.min("least_b").alias("low_b"), F.max(F.greatest("most_a", "most_b")).alias("high"))
     need = F.ceil(F.lit(percent) * (F.col("low_a") + F.col("low_b")) / (100 + percent) - 1e-9) - F.ceil(F.lit(percent) * F.col("high") / 100 - 1e-9) + 1
-    return met.where(F.col("shared") >= need).select("key_a", "chunk_a", "key_b", "chunk_b")
+    return met.where(F.col("shared") >= need).select("key_a", "key_b", "together")
 
 
-def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest id reachable by links of at least ``percent`` % similarity."""
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
+
+
+def class_links(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids, classes, links): each id's set, the id that stands for each set, and all links between those.
+
+    ``links`` is (a, b, tree) with a < b, each pair once; the links with ``tree`` have the same components.
+    """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     signed = materialise(signatures(rows, size, percent, heavy_tokens(rows, size)), "signatures")
@@ -290,46 +299,55 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     classes = ids.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
     alone = signed.join(classes, ["doc_id", "set_hash"]).dropDuplicates(["doc_id", "set_hash"])
 
-    # Large families are compared in chunks that share pivots.
+    # Large families are compared within chunks first.
     families = alone.groupBy("family").agg(F.count("*").alias("members")).where(F.col("members") > LARGE)
     placed = alone.join(families, "family", "left").select("doc_id", F.col("n_shingles").alias("n"), "prefix", "family", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(0)).cast("int").alias("chunks"))
     placed = materialise(placed.withColumn("chunk", F.when(F.col("chunks") > 0, F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(-1).cast("int")), "families")
-    large = placed.where("chunks > 0").select("doc_id", "family", "chunk", "chunks")
-    members = fetched(rows, large)
-    pivots = members.where("chunks > 1 and chunk = 0").groupBy("family").agg(F.slice(F.array_sort(F.collect_set("doc_id")), 1, PIVOTS).alias("ids")).select(F.explode("ids").alias("doc_id"))
-    copies = members.join(pivots, "doc_id").select("doc_id", "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "packed_text")
-    inner = materialise(members.select("doc_id", "family", "chunk", "packed_text").unionByName(copies).groupBy("family", "chunk").applyInArrow(join_group(size, percent), EDGES), "links")
-    local = components(inner)
-
-    # The matrix: what one component has in one chunk is a group, every other document a group of its own.
-    spots = placed.join(local.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n", "prefix", F.coalesce("component", "doc_id").alias("key"), F.when(F.col("component").isNull(), -1).otherwise(F.col("chunk")).alias("chunk"))
-    tokens = spots.select("key", "chunk", "n", F.explode("prefix").alias("token"))
-    single = tokens.where("chunk < 0").select("token", "key", "chunk", F.col("n").alias("least"), F.col("n").alias("most"))
-    several = tokens.where("chunk >= 0").groupBy("token", "key", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    members = fetched(rows, placed.where("chunks > 0").select("doc_id", "family", "chunk"))
+    inner = materialise(members.groupBy("family", "chunk").applyInArrow(join_group(size, percent), LINKS), "links")
+    local = components(inner.where("tree"))
+
+    # The matrix: what one chunk has joined is a group, every other document a group of its own. Small families are the homes of theirs.
+    spots = placed.join(local.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n", "prefix", F.coalesce("component", "doc_id").alias("key"), F.when(F.col("chunks") == 0, F.col("family")).alias("home"), F.col("component").isNotNull().alias("grouped"))
+    tokens = spots.select("key", "home", "grouped", "n", F.explode("prefix").alias("token"))
+    single = tokens.where("not grouped").select("token", "key", "home", F.col("n").alias("least"), F.col("n").alias("most"))
+    several = tokens.where("grouped").groupBy("token", "key").agg(F.max("home").alias("home"), F.min("n").alias("least"), F.max("n").alias("most"))
     pairs = materialise(bounded_pairs(single.unionByName(several), percent), "pairs")
-    named = pairs.select(F.col("key_a").alias("key"), F.col("chunk_a").alias("chunk")).union(pairs.select("key_b", "chunk_b")).distinct()
-    store = fetched(rows, spots.select("doc_id", "key", "chunk").join(named, ["key", "chunk"], "left_semi"))
-
-    def opened(some: DataFrame) -> DataFrame:
-        """Links of the pairs of groups in ``some``; a group has at most a chunk's members."""
-        use = some.select(F.col("key_a").alias("key"), F.col("chunk_a").alias("chunk")).union(some.select("key_b", "chunk_b")).distinct()
-        blocks = store.join(use, ["key", "chunk"], "left_semi").groupBy("key", "chunk").agg(F.collect_list(F.struct("doc_id", "packed_text")).alias("m")).select("key", "chunk", F.col("m.doc_id").alias("ids"), F.col("m.packed_text").alias("texts"))
-        side = lambda k: blocks.select(*(F.col(c).alias(f"{c}_{k}") for c in ("key", "chunk", "ids", "texts")))
-        met = some.join(side("a"), ["key_a", "chunk_a"]).join(side("b"), ["key_b", "chunk_b"])
-        return materialise(met.select("ids_a", "texts_a", "ids_b", "texts_b").mapInArrow(open_groups(size, percent), EDGES), "links")
-
-    # First each group with one partner; then the pairs that this has not joined. All of a group is one component.
-    first = pairs.groupBy("key_b", "chunk_b").agg(F.min(F.struct("key_a", "chunk_a")).alias("s")).select("s.key_a", "s.chunk_a", "key_b", "chunk_b")
-    links = inner.unionByName(opened(first))
-    reached = components(links)
-    roots = reached.select(F.col("id").alias("key"), "component")
-    joined = pairs.join(first, ["key_a", "chunk_a", "key_b", "chunk_b"], "left_anti")
-    for k in "ab":
-        joined = joined.join(roots.select(F.col("key").alias(f"key_{k}"), F.col("component").alias(f"root_{k}")), f"key_{k}", "left")
-    rest = materialise(joined.where(F.coalesce("root_a", "key_a") != F.coalesce("root_b", "key_b")).select(pairs.columns), "pairs")
-    if not rest.isEmpty():
-        reached = components(links.unionByName(opened(rest)))
+    store = fetched(rows, spots.select("doc_id", "key", "home").join(ends(pairs), "key", "left_semi"))
 
+    # Pairs of one home are compared there, so that each text travels once for all of them.
+    homes = store.join(ends(pairs.where("together")), "key", "left_semi").groupBy("home").applyInArrow(join_group(size, percent), LINKS)
+    rest = pairs.where("not together")
+    blocks = store.join(ends(rest), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("doc_id", "packed_text")).alias("m")).select("key", F.col("m.doc_id").alias("ids"), F.col("m.packed_text").alias("texts"))
+    side = lambda k: blocks.select(*(F.col(c).alias(f"{c}_{k}") for c in ("key", "ids", "texts")))
+    met = rest.join(side("a"), "key_a").join(side("b"), "key_b")
+    across = met.select("ids_a", "texts_a", "ids_b", "texts_b").mapInArrow(open_groups(size, percent), LINKS)
+    return ids, classes, inner.unionByName(materialise(homes, "links")).unionByName(materialise(across, "links"))
+
+
+def similarity_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """(links, members): all links (a, b), a < b, between the ids that stand for different sets, and (doc_id, n_shingles, class_id).
+
+    Documents of one ``class_id`` have equal sets; those without words are classes of their own and link with nothing.
+    """
+    ids, classes, links = class_links(docs, doc_id, text, size, percent)
+    members = ids.join(classes.withColumnRenamed("doc_id", "class_id"), "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return links.select("a", "b"), members
+
+
+def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, n_links): with how many other documents each one links, those with an equal set among them."""
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("size"))
+    both = links.select(F.col("a").alias("class_id"), F.col("b").alias("other")).union(links.select("b", "a"))
+    near = both.join(sizes.select(F.col("class_id").alias("other"), "size"), "other").groupBy("class_id").agg(F.sum("size").alias("near"))
+    counts = sizes.join(near, "class_id", "left").select("class_id", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return members.join(counts, "class_id").select("doc_id", "n_links")
+
+
+def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest id reachable by links of at least ``percent`` % similarity."""
+    ids, classes, links = class_links(docs, doc_id, text, size, percent)
+    reached = components(links.where("tree"))
     best = classes.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component"))
     return ids.join(best, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

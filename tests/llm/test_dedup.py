@@ -142,6 +142,30 @@ def test_jaccard_components(documents, hard_texts, size, percent, monkeypatch):
     assert got == plain_components(list(enumerate(texts)), size, percent)
 
 
+def test_jaccard_links(documents, monkeypatch):
+    for name, value in (("LARGE", 6), ("CHUNK", 8), ("LEAST_HEAVY", 12)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(9)
+    texts = [None, "one", "One"]
+    for copies in (40, 20, 5, 4):
+        base = words(rng.random(), rng.randint(60, 160), 4000)
+        for _ in range(copies):
+            edited = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(edited))
+    rng.shuffle(texts)
+    sets = [{tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j])]
+    first = [min([i] + [j for j in range(i) if s and sets[j] == s]) for i, s in enumerate(sets)]
+    links, members = jaccard.similarity_links(documents(texts, 4))
+    found = [(r.a, r.b) for r in links.collect()]
+    assert sorted(found) == sorted({(first[j], first[i]) for i, j in linked if first[i] == i and first[j] == j and sets[i] != sets[j]})
+    assert {r.doc_id: r.class_id for r in members.collect()} == dict(enumerate(first))
+    counts = Counter(i for pair in linked for i in pair)
+    assert {r.doc_id: r.n_links for r in jaccard.link_counts(links, members).collect()} == {i: counts[i] for i in range(len(texts))}
+
+
 def test_jaccard_edges(documents):
     assert jaccard.similarity_components(documents([])).count() == 0
     rows = jaccard.similarity_components(documents([(7, "a b c d"), (7, "a b c d"), (9, "A b c d"), (3, None)])).collect()
