@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import types
 import uuid
@@ -28,9 +29,15 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    A session on one machine may leave it unset; on a cluster that is an error, as executors don't see each other's disks.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = FALLBACK_CHECKPOINT_DIR
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
@@ -63,6 +70,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """Mark a side of a join whose size follows the corpus: it is merged, never broadcast."""
+    return df.hint("merge")
+
+
+def smallest_of_key(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Add ``smallest``, the least ``value`` of the row's ``key``, to the rows whose key repeats.
+
+    A key with a third of all rows is dealt out by a second key, from ``value``, in both joins: per key there are
+    at most as many second keys as shuffle partitions, and the rows of one second key are a partition's share.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(value), F.lit(parts)).cast("int"))
+    some = dealt.groupBy(key, "__deal").agg(F.min(value).alias("low"), F.count("*").alias("n"))
+    whole = some.groupBy(key).agg(F.min("low").alias("smallest"), F.sum("n").alias("n")).where("n > 1").select(key, "smallest")
+    return dealt.join(grown(some.join(grown(whole), key).select(key, "__deal", "smallest")), [key, "__deal"]).drop("__deal")
+
+
 def process_cache() -> dict:
     """A dictionary that lives as long as the Python process.
 

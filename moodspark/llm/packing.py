@@ -37,22 +37,38 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def scattered(n: int, seed: int) -> np.ndarray:
+    """``n`` fixed pseudo-random 64-bit numbers (the splitmix sequence from ``seed``)."""
+    z = np.arange(1, n + 1, dtype=np.uint64) * ODD + np.uint64(seed)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+BYTE_NUMBERS = scattered(256, 11)
+PLACE_NUMBERS = scattered(4096, 23)
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
-    """A 64-bit polynomial hash of each run ``values[start:end]``; runs ascend and don't overlap.
+    """A 64-bit hash of each run of bytes ``values[start:end]``; runs ascend and don't overlap.
 
-    Runs are hashed in chunks of about ``chunk`` values, so that memory follows the longest run only.
+    Every place of a run has a multiplier of its own from a fixed pseudo-random sequence: with powers of one
+    number, words of certain regular patterns would meet. Runs are hashed in chunks of about ``chunk`` values,
+    so that memory follows the longest run only.
     """
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + chunk, side="right")))
         base, stop = int(starts[at]), int(ends[upto - 1])
-        up = powers(ODD, stop - base)
-        sums = np.zeros(stop - base + 1, dtype=np.uint64)
-        np.cumsum((values[base:stop].astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
         first, last = starts[at:upto] - base, ends[at:upto] - base
-        down = powers(ODD_INVERSE, stop - base)
-        out[at:upto] = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)
+        spans = np.diff(np.append(first, stop - base))
+        longest = int(spans.max())
+        numbers = PLACE_NUMBERS if longest <= len(PLACE_NUMBERS) else scattered(longest, 23)
+        place = np.arange(stop - base) - np.repeat(first, spans)
+        sums = np.zeros(stop - base + 1, dtype=np.uint64)
+        np.cumsum(BYTE_NUMBERS[values[base:stop]] * numbers[place], out=sums[1:])
+        out[at:upto] = sums[last] - sums[first] + (last - first).astype(np.uint64)
         at = upto
     return mix(out)
 
