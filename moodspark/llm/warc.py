@@ -11,10 +11,15 @@ A range has about ``range_rows`` entries whatever the skew, because its bounds a
 full keys: a URL with a third of all captures spans many ranges. The bounds come
 from a bounded sample of keys and decide balance only.
 
+Archives go through pyarrow's own file systems where it has one for the scheme, else
+through libhdfs, which opens whatever the cluster's Hadoop can.
+
 A null payload is an empty one; a null URL is the empty URL; a null timestamp is
-the epoch. Payloads are text, stored as UTF-8. Captures that repeat an id are
-records of their own, of which the first in order of payload digest may be referred
-to. Captures without an id are left out. An empty table writes no records.
+the epoch, and one outside the years 1 to 9999, which a WARC date can't hold, is the
+nearest that can. Ids are any 64-bit integers. Payloads are text, stored as UTF-8.
+Captures that repeat an id are records of their own; where their payloads differ,
+each may refer to the one with its payload that has the smallest id, if that is
+another id. Captures without an id are left out. An empty table writes no records.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -34,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, materialise, scratch, table
+from moodspark.llm.common import bound_batches, grown, materialise, scratch, smallest_of_key, table
 
 #: Payloads below this many bytes are always stored.
 LEAST_REVISIT = 100
@@ -43,6 +48,11 @@ READ_BYTES = 1 << 20
 #: Bytes of archive after which a task starts another file.
 FILE_BYTES = 256 << 20
 FOLDER = "urn:capture:"
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+#: Microseconds since the epoch of the first and last moment that a date can name.
+EARLIEST, LATEST = ((datetime(*at, tzinfo=UTC) - EPOCH) // timedelta(microseconds=1) for at in ((1, 1, 1), (9999, 12, 31, 23, 59, 59, 999_999)))
+#: The query's stand-in for capture times: seconds from the epoch to the year 2100, which ids are folded into.
+QUERY_SECONDS = 4_102_444_800
 
 
 def url_key(url: str) -> str:
@@ -61,7 +71,14 @@ def url_key(url: str) -> str:
 
 
 def stamp(micros: int) -> str:
-    return datetime.fromtimestamp(micros // 1_000_000, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    """A WARC date, with a fraction where there is one."""
+    moment = EPOCH + timedelta(microseconds=min(max(micros, EARLIEST), LATEST))
+    return moment.isoformat().removesuffix("+00:00") + "Z"
+
+
+def moment_of(date: str) -> int:
+    """Microseconds since the epoch of a WARC date."""
+    return (datetime.fromisoformat(date) - EPOCH) // timedelta(microseconds=1)
 
 
 def record_bytes(key: int, url: str, micros: int, payload: bytes, digest: str, refers: int | None) -> bytes:
@@ -116,7 +133,14 @@ class Unzipped:
 
 def open_store(path: str):
     """The file system of a path and the path in it."""
-    return pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if not re.match(r"\w+:", path):
+        path = f"file://{path}"
+    scheme, _, rest = path.partition("://")
+    try:
+        return pa.fs.FileSystem.from_uri(path)
+    except pa.ArrowInvalid:
+        host, _, inner = rest.partition("/")
+        return pa.fs.HadoopFileSystem(f"{scheme}://{host}"), f"/{inner}"
 
 
 def with_targets(captures: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -126,10 +150,10 @@ def with_targets(captures: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     copies meets a partial minimum first, and only digests that repeat are joined back.
     """
     payload = F.coalesce(F.col("payload"), F.lit("")).cast("binary")
-    heads = captures.select("id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
-    originals = heads.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("original"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    repeats = heads.where(F.col("bytes") >= least).select("id", "digest").join(originals, "digest").where(F.col("original") != F.col("id")).groupBy("id").agg(F.min("original").alias("refers"))
-    return captures.join(repeats, "id", "left")
+    rows = captures.withColumn("digest", F.unhex(F.sha2(payload, 256)))
+    heads = rows.where(F.octet_length(payload) >= least).select("id", "digest")
+    repeats = smallest_of_key(heads, "digest", "id").where(F.col("smallest") != F.col("id"))
+    return rows.join(grown(repeats.groupBy("id", "digest").agg(F.min("smallest").alias("refers"))), ["id", "digest"], "left")
 
 
 def write_archives(captures: DataFrame, folder: str) -> DataFrame:
@@ -190,8 +214,7 @@ def entry_of(offset: int, length: int, content: bytes, file: str) -> tuple:
         if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"damaged record at {offset} of {file}")
     number = lambda name: int(heads[name][1:-1].removeprefix(FOLDER)) if name in heads else None
-    moment = datetime.strptime(heads["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
-    return url_key(heads["warc-target-uri"]), int(moment.timestamp()) * 1_000_000, number("warc-record-id"), heads["warc-type"], number("warc-refers-to"), size, digest, file, offset, length
+    return url_key(heads["warc-target-uri"]), moment_of(heads["warc-date"]), number("warc-record-id"), heads["warc-type"], number("warc-refers-to"), size, digest, file, offset, length
 
 
 def read_archives(files: DataFrame, folder: str, run_rows: int = 200_000) -> DataFrame:
@@ -311,5 +334,5 @@ def capture_histories(captures: DataFrame, folder: str | None = None) -> DataFra
 def op1_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per row of ``pages``, read back from the archives in the order of the merged index."""
     pages = table(spark, sf_dir, "pages").where(F.col("page_id").isNotNull())
-    captures = pages.select(F.col("page_id").cast("long").alias("id"), "url", (F.col("page_id").cast("long") * 1_000_000).alias("micros"), F.col("html").alias("payload"))
+    captures = pages.select(F.col("page_id").cast("long").alias("id"), "url", (F.pmod(F.col("page_id").cast("long"), F.lit(QUERY_SECONDS)) * 1_000_000).alias("micros"), F.col("html").alias("payload"))
     return capture_histories(captures).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from moodspark.llm import decontaminate, warc
 from moodspark.llm.queries import ORACLES, QUERIES
@@ -41,6 +42,24 @@ def test_archives_come_back_in_order(spark):
         assert (r.record_type, r.refers_to) == (("revisit", first) if revisit else ("response", None))
 
 
+def test_archives_keep_any_id_and_time(spark, tmp_path):
+    text = "same page " * 20
+    other = "other page " * 20
+    ids = [2**62, -1, 253402300800, -(2**63), 2**63 - 1, 7, 7, 7]
+    rows = [(i, "http://a", t, p) for i, t, p in zip(ids, [2**62, -(2**62), 5, -1, None, 1_500_000, 0, 0], [text, text, text, "tiny", text, other, text, other], strict=True)]
+    got = sorted((r.id, r.record_type, r.refers_to, r.micros) for r in warc.capture_histories(captures(spark, rows)).collect())
+    assert [g for g in got if g[0] != 7] == [
+        (-(2**63), "response", None, -1), (-1, "response", None, warc.EARLIEST), (253402300800, "revisit", -1, 5), (2**62, "revisit", -1, warc.LATEST), (2**63 - 1, "revisit", -1, 0),
+    ]
+    assert [g for g in got if g[0] == 7] == [(7, "response", None, 0), (7, "response", None, 1_500_000), (7, "revisit", -1, 0)]
+    assert warc.stamp(warc.EARLIEST) == "0001-01-01T00:00:00Z" and warc.moment_of(warc.stamp(-1)) == -1
+    huge = "long page " * 300_000
+    pages = spark.createDataFrame([(i, None, t) for i, t in zip(ids[:5], [huge, text, None, huge, text], strict=True)], "page_id long, url string, html string")
+    pages.withColumn("micros", F.lit("extra")).write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.op1_warc_merge(spark, str(tmp_path)).collect()}
+    assert found == {2**62: (len(huge), "revisit", -(2**63)), -1: (len(text), "response", None), 253402300800: (0, "response", None), -(2**63): (len(huge), "response", None), 2**63 - 1: (len(text), "revisit", -1)}
+
+
 def test_no_captures(spark):
     assert warc.capture_histories(captures(spark, []).where("false")).count() == 0
 
