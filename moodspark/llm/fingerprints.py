@@ -151,21 +151,20 @@ def op3_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     beginning travels to the edited row, beside one shuffle of the whole texts by id.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
-    chosen = F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))
-    heads = materialise(docs.groupBy("doc_id").agg(F.min(chosen).alias("s")).select("doc_id", "s.n", "s.h"), "heads")
-    is_chosen = (F.length("text") == F.col("n")) & (F.xxhash64("text") == F.col("h"))
+    order = F.struct(F.length("text"), F.xxhash64("text"))
+    # One row an id before anything meets it: repeated rows go in the partial aggregation, ahead of the shuffle.
+    texts = docs.groupBy("doc_id").agg(F.min_by("text", order).alias("text"))
+    heads = materialise(docs.groupBy("doc_id").agg(F.min(F.length("text")).alias("n")), "heads")
     links = materialise(successors(heads).join(heads, "doc_id").select("doc_id", "next_id", F.floor(F.col("n") / 4).cast("int").alias("take")), "links")
-    wanted = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("__to"), "take").join(heads, "doc_id")
-    patches = docs.join(wanted, "doc_id").where(is_chosen).select(F.col("__to").alias("doc_id"), F.expr("left(text, take)").alias("__patch"))
+    wanted = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("__to"), "take")
+    patches = texts.join(wanted, "doc_id").select(F.col("__to").alias("doc_id"), F.expr("left(text, take)").alias("__patch"))
     edited = (
-        docs.join(patches.join(heads, "doc_id"), "doc_id")
-        .where(is_chosen)
-        .select("doc_id", "text", F.col("n").cast("long").alias("n_chars"), "__patch")
+        texts.join(patches, "doc_id")
+        .select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "__patch")
         .withColumn("__edited", F.concat(F.expr("left(text, n_chars - floor(n_chars / 4))"), F.col("__patch")))
     )
     printed = add_fingerprint(add_fingerprint(edited, "text", "own"), "__edited", "changed")
     rows = materialise(printed.select("doc_id", "n_chars", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), "own", "changed"), "prints")
-    rows = rows.dropDuplicates(["doc_id"])
     after = rows.select(F.col("doc_id").alias("next_id"), F.col("own").alias("following"))
     return (
         rows.join(links.select("doc_id", "next_id"), "doc_id")

@@ -215,7 +215,7 @@ def test_fingerprint_likeness_is_unbiased(documents, hard_texts):
 
 def test_fingerprint_query(spark, tmp_path):
     texts = [None, "", "a b c", " ".join(words(1, 50)), "é" * 41, "x"]
-    rows = [(10 * i, t) for i, t in enumerate(texts)] + [(20, "a b c"), (20, "a b c d"), (None, "lost")]
+    rows = [(10 * i, t) for i, t in enumerate(texts)] + [(20, "a b c"), (20, "a b c d"), (None, "lost")] + [(30, texts[3])] * 60 + [(40, texts[4])] * 50
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     found = fingerprints.op3_one_permutation(spark, str(tmp_path)).collect()
     got = {r.doc_id: r for r in found}
