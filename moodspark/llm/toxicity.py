@@ -5,8 +5,13 @@ learned from labelled texts, with a few seeds), threats, targets, negations and
 reported speech. Five small machines read the symbols of a clause; their
 composition is one automaton whose moves carry factors. An insult counts by its
 weight times the factors of its clause; a threat counts only with a target in
-its clause. The score is a logistic of the matched clauses' total weight and of
-their weight per hundred words.
+its clause, before it or after it. A quotation goes on over sentence ends to its closing
+mark or the end of the line. The score is a logistic of the matched clauses' total
+weight and of their weight per hundred words; both saturate at ``Model.cap``, as beyond
+it more evidence changes nothing.
+
+The learned insults are whole words or word beginnings of ``SHORTEST`` to ``LONGEST``
+letters, so that inflected forms count.
 
 Only labelled rows whose ``crc32(id as text) mod folds`` differs from the held-out
 remainder are learned from, ``max_rows`` of them at most (a bounded sample in the
@@ -43,7 +48,8 @@ TARGETS = ("you", "your", "yours", "they", "them", "these", "du", "dich", "dein"
 NEGATIONS = ("not", "no", "never", "nobody", "isn", "aren", "wasn", "don", "nicht", "kein", "keine", "nie", "pas", "jamais", "ni", "nunca", "jamás")
 REPORTS = ("said", "says", "wrote", "writes", "called", "claimed", "quoted", "reported", "sagte", "schrieb", "nannte", "dit", "écrit", "appelé", "dijo", "escribió", "llamó")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, STOP, LINE = SYMBOLS = range(9)
+ENDS = {".": STOP, "!": STOP, "?": STOP, ";": STOP, "\n": LINE}
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]|[\"“”„«»]")
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 10
@@ -67,15 +73,24 @@ class Machine:
 def machines(scope: int = 3) -> list[Machine]:
     """Target, negation, reported speech, insult and threat machines, in that order.
 
-    A negation holds for ``scope`` words, reported speech and a target for the rest of the clause.
+    A negation holds for ``scope`` words, or from a threat in its reach to the threat's target; a verb of report
+    and a target hold for the rest of the clause, a quotation to its end. A threat is paid for once it has its target:
+    at the threat itself if a target stands before it (state 1), else at the first target after it (state 2).
     """
+    held = scope + 1
     countdown = {(s, None): s - 1 for s in range(1, scope + 1)} | {(s, NEGATION): scope for s in range(scope + 1)}
+    countdown |= {(s, THREAT): held for s in range(1, scope + 1)} | {(held, TARGET): 0}
+    ends = lambda states: {(s, end): 0 for s in states for end in (STOP, LINE)}
+    target = {(0, TARGET): 1, (0, THREAT): 2, (2, TARGET): 1}
+    unpaid = {(0, THREAT): 0.0, (2, THREAT): 0.0, (0, TARGET): 0.0, (1, TARGET): 0.0}
+    report = {(0, REPORT): 1, (0, QUOTE): 2, (1, QUOTE): 2, (2, QUOTE): 0, (1, STOP): 0, (1, LINE): 0, (2, LINE): 0}
+    counted = (INSULT, THREAT, TARGET)
     return [
-        Machine({(0, TARGET): 1}, {(1, INSULT): 1.25, (0, THREAT): 0.0}),
-        Machine(countdown, {(s, kind): 0.5 for s in range(1, scope + 1) for kind in (INSULT, THREAT)}),
-        Machine({(0, REPORT): 1, (0, QUOTE): 1, (1, QUOTE): 0}, {(1, kind): 0.6 for kind in (INSULT, THREAT)}),
-        Machine({(0, INSULT): 1}, {(1, INSULT): 0.5}),
-        Machine({(0, THREAT): 1}, {(1, THREAT): 0.5}),
+        Machine(target | ends((1, 2)), unpaid | {(1, INSULT): 1.25}),
+        Machine(countdown | ends(range(1, held + 1)), {(s, kind): 0.5 for s in range(1, held + 1) for kind in counted}),
+        Machine(report, {(s, kind): 0.6 for s in (1, 2) for kind in counted}),
+        Machine({(0, INSULT): 1} | ends((1,)), {(1, INSULT): 0.5}),
+        Machine({(0, THREAT): 1} | ends((1,)), {(1, THREAT): 0.5}),
     ]
 
 
@@ -87,7 +102,7 @@ def compose(parts: list[Machine]) -> tuple[list[list[int]], list[list[float]]]:
     factors: list[list[float]] = []
     for current in order:  # grows while it is read
         row, weights = [], []
-        for symbol in range(7):
+        for symbol in SYMBOLS:
             target = tuple(m.step(s, symbol) for m, s in zip(parts, current, strict=True))
             if target not in number:
                 number[target] = len(order)
@@ -133,13 +148,13 @@ class Grammar:
         moves, factors, found = self.moves, self.factors, []
         state, total = 0, 0.0
         for token in TOKEN.findall(text):
-            if token in ".!?;\n":
+            if token in ENDS:
                 if total:
                     found.append(total)
-                state, total = 0, 0.0
+                state, total = moves[state][ENDS[token]], 0.0
                 continue
             symbol = QUOTE if token in '"“”„«»' else self.symbols.get(token, OTHER)
-            weight = self.model.threat_weight if symbol == THREAT else 0.0
+            weight = self.model.threat_weight if symbol in (THREAT, TARGET) else 0.0
             if symbol == OTHER and token[:SHORTEST] in self.heads and (weight := self.insult(token)):
                 symbol = INSULT
             if weight:
@@ -178,10 +193,12 @@ def beginnings(text: str | None) -> set[str]:
     return found
 
 
-def family(text: str | None) -> str:
-    """A key that near copies of a text mostly share: the word with the smallest digest among the long ones."""
+def family(text: str | None, least: int = 4) -> str:
+    """A key that near copies of a text mostly share and other texts don't: the ``least`` smallest digests of its long words."""
     words = {w for w in WORD.findall(text.lower()) if len(w) >= 8} if text else ()
-    return min((hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest() for w in words), default=f"={text}")
+    if len(words) < least:
+        return f"={text}"
+    return "".join(sorted(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest() for w in words)[:least])
 
 
 def fit(

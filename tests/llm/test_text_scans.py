@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -142,11 +143,84 @@ def test_toxicity_reads_clauses():
     plain = weight("an idiot there")
     assert weight("you idiot") > plain > weight("not an idiot") > 0
     assert weight("he said idiot") < plain
-    assert weight("we kill time") == 0 < weight("you i will kill")
     assert weight("not now. idiot") == plain
+    assert weight("we kill time") == weight("i will kill the engine") == weight("kill the noise. you win") == 0
+    assert weight("i will kill you") == weight("you i will kill") == 4
+    assert weight("i will not kill you") == weight("never kill any one of all of you") == 2
+    assert grammar.score("i will kill you") > grammar.score("i will kill the engine")
+    assert weight('he said "you are a fool. you idiot."') == weight("he said you idiot") == 0.6 * weight("you idiot")
+    assert weight('"a quotation" you idiot') == weight('"an open one\nyou idiot') == weight("you idiot")
     assert grammar.score(None) == grammar.score("") == grammar.score("calm words")
 
 
+def plain_clauses(text, weights):
+    """The clause rules word for word: what was said, quoted, denied or addressed before each word."""
+    found, quoted = [], False
+    for line in text.split("\n"):
+        quoted = False
+        for clause in re.split("[.!?;]", line):
+            total, seen, reported, insulted, threatened = 0.0, False, False, False, 0
+            denied, pending, pending_denied, pending_first = 0, False, False, True
+            for word in re.findall(r'"|\w+', clause):
+                if word == '"':
+                    quoted, reported = not quoted, reported and quoted
+                    denied = max(0, denied - 1)
+                    continue
+                factor = (0.5 if denied or pending_denied else 1) * (0.6 if quoted or reported else 1)
+                held = pending_denied
+                if word == "idiot":
+                    total += weights["idiot"] * factor * (1.25 if seen else 1) * (0.5 if insulted else 1)
+                    insulted = True
+                elif word == "kill":
+                    if seen:
+                        total += 4 * factor * (0.5 if threatened else 1)
+                    elif not pending:
+                        pending = True
+                    threatened += 1
+                    pending_denied = pending_denied or bool(denied)
+                elif word == "you":
+                    if pending:
+                        total += 4 * factor
+                    pending, seen = False, True
+                    pending_denied, denied = False, 0 if held else denied
+                elif word == "said" and not quoted:
+                    reported = True
+                denied = 0 if pending_denied or held else 3 if word == "not" else max(0, denied - 1)
+                if held and word == "not":
+                    pending_denied = True
+            if total:
+                found.append(total)
+    return found
+
+
+def test_toxicity_matches_plain_clauses():
+    weights = {"idiot": 6.0}
+    grammar, rng = toxicity.Grammar(toxicity.Model((("idiot$", 6.0),), (-2.0, 1.0, 0.0))), random.Random(12)
+    for _ in range(6000):
+        text = " ".join(rng.choice(["idiot", "kill", "you", "not", "said", '"', ".", "\n", "calm", "word", "word"]) for _ in range(rng.randint(1, 14)))
+        assert grammar.clauses(text) == pytest.approx(plain_clauses(text, weights)), text
+
+
+def test_toxicity_query(spark, tmp_path):
+    docs, labels = labelled(spark)
+    more = spark.createDataFrame([(5000, None), (5001, ""), (5002, ("calm words here. " * 60_000) + "you stupid idiot moron"), (5003, "you stupid idiot moron, you worthless scum"), (None, "x"), (5003, "calm")], "doc_id long, text string")
+    more = docs.unionByName(more).withColumns({"toxic": F.lit(1), "score": F.lit("s"), "labels": F.lit(2)})
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    twice = labels.unionByName(spark.createDataFrame([(0, 0), (3, None), (None, 1), (7777, 1)], "doc_id long, toxic int"))
+    twice.withColumn("text", F.lit("idiot")).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = toxicity.op2_toxicity_grammar(spark, str(tmp_path)).collect()
+    assert len(rows) == more.count()
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    for r in rows:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    caught = [r.predicted == (r.doc_id in toxic) for r in rows if r.held_out and r.doc_id < 5000]
+    assert sum(caught) >= 0.98 * len(caught)
+    scores = {r.doc_id: r.score for r in rows if r.doc_id in (5000, 5001, 5002)}
+    assert scores[5000] == scores[5001] < scores[5002]
+    assert sorted(r.predicted for r in rows if r.doc_id == 5003) == [0, 1]
+
+
 def test_toxicity_without_labels(documents, spark):
     docs = documents(["you stupid idiot", None, "fine"])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
