@@ -1,5 +1,8 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
+A text without white space has no safe boundary for cutting and meets the pattern whole:
+memory follows the text's length, as it does for the text itself.
+
 Null and empty texts have no ids. Rows are independent: repeated rows give
 repeated results, an empty table an empty one. Other columns are carried along;
 one that is named like a result column is replaced by it.

@@ -3,7 +3,8 @@
 Every rule is a prefix and a run of body bytes. The prefixes, each followed by
 as many body bytes as tell that the rule has begun, become one minimal automaton
 that reads a text once, byte by byte; where it accepts, a reversed automaton
-finds the leftmost start and the body run gives the end. Matches of one rule
+finds the leftmost start and the body run gives the end. A rule with a closing
+marker goes on to it, over bytes of its ``inside`` class only. Matches of one rule
 don't overlap; spans count code points, the end is exclusive.
 
 Null and empty texts have no spans. Rows are independent: repeated rows give
@@ -29,7 +30,8 @@ class Rule:
     """``prefix`` then ``body`` bytes, ``begun`` of them at least to start a match.
 
     A match that is begun takes its whole body run; it is reported when the body has
-    ``least`` bytes.
+    ``least`` bytes. With ``closing``, a reported match goes on to the end of the first closing
+    marker that only ``inside`` bytes lead to; without such a marker over the ``rest`` bytes that follow.
     """
 
     kind: str
@@ -38,6 +40,9 @@ class Rule:
     begun: int
     least: int
     ignore_case: bool = False
+    closing: str = ""
+    inside: str = ""
+    rest: str = ""
 
 
 # Kinds and patterns of the base rules.
@@ -52,7 +57,7 @@ ADDED_RULES = (
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]", 1, 10),
     Rule("google", "AIza", "[A-Za-z0-9_-]", 1, 35),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.", "[A-Za-z0-9_-]", 1, 8),
-    Rule("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY", "[-]", 1, 5),
+    Rule("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY", "[-]", 1, 5, closing="-----END ([A-Z]+ )*PRIVATE KEY-----", inside="[A-Za-z0-9+/=\\x09\\x0A\\x0D\\x20:,-]", rest="[A-Za-z0-9+/=\\x0A\\x0D]"),
 )
 DEFAULT_RULES = BASE_RULES + ADDED_RULES
 
@@ -69,16 +74,42 @@ class Scanner:
             begun.append(("cat", [prefix, ("rep", body, rule.begun, rule.begun)]))
         self.forward = compile_union(begun, anywhere=True)
         self.backward = [compile_union([mirrored(tree)], anywhere=False) for tree in begun]
-        self.body = []
-        for rule in rules:
-            values = Parser(rule.body, False).parse()[1][0][1]
-            self.body.append([b in values for b in range(256)])
+        self.body = [self.members(rule.body) for rule in rules]
+        self.inside = [self.members(rule.inside) if rule.closing else None for rule in rules]
+        self.rest = [self.members(rule.rest) if rule.closing else None for rule in rules]
+        self.closing = [compile_union([Parser(rule.closing).parse()], anywhere=True) if rule.closing else None for rule in rules]
+
+    @staticmethod
+    def members(pattern: str) -> list[bool]:
+        """Which bytes a class of one byte holds."""
+        values = Parser(pattern).parse()[1][0][1]
+        return [b in values for b in range(256)]
+
+    def closed(self, number: int, data: bytes, at: int, none_before: dict[int, int]) -> int:
+        """The end of a match of a rule with a closing marker; its body ends at ``at``.
+
+        ``none_before``: for each rule, up to where a look from an earlier match has found no marker.
+        """
+        if at >= none_before.get(number, 0):
+            inside, automaton = self.inside[number], self.closing[number]
+            state, place = automaton.start, at
+            while place < len(data) and inside[data[place]]:
+                state = automaton.rows[state][data[place]]
+                place += 1
+                if state >= automaton.first_accepting:
+                    return place
+            none_before[number] = place
+        rest = self.rest[number]
+        while at < len(data) and rest[data[at]]:
+            at += 1
+        return at
 
     def matches(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule number, end) in bytes of all reported matches, by start and rule."""
         rows, first, accepts = self.forward.rows, self.forward.first_accepting, self.forward.accepts
         done = [0] * len(self.rules)
         found = []
+        none_before: dict[int, int] = {}
         state = self.forward.start
         at = 0
         for byte in data:
@@ -94,9 +125,11 @@ class Scanner:
                     body, end = self.body[number], at
                     while end < len(data) and body[data[end]]:
                         end += 1
-                    done[number] = end
                     if end - at + self.rules[number].begun >= self.rules[number].least:
+                        if self.closing[number]:
+                            end = self.closed(number, data, end, none_before)
                         found.append((start, number, end))
+                    done[number] = end
         return sorted(found)
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:

@@ -1,9 +1,11 @@
 """Tokens, secrets, licenses and toxicity: operators that work on one text at a time."""
 
+import hashlib
 import random
 import re
 import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -57,6 +59,51 @@ def test_secrets_match_plain_patterns():
         assert [s for s in scanner.spans(text) if s[1] < 3] == plain_secrets(text), text
 
 
+def plain_added(text):
+    """The added rules as patterns; spans by rule number."""
+    runs = {3: ("gh[pousr]_([A-Za-z0-9]+)", 36), 4: ("xox[abprs]-([A-Za-z0-9-]+)", 10), 5: ("AIza([A-Za-z0-9_-]+)", 35), 6: (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)", 8)}
+    out = [(m.start(), n, m.end()) for n, (pattern, least) in runs.items() for m in re.finditer(pattern, text) if len(m[1]) >= least]
+    head = re.compile("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(-+)")
+    at = 0
+    while m := head.search(text, at):
+        at = m.end()
+        if len(m[1]) >= 5:
+            closing = re.compile(r"[A-Za-z0-9+/=\t\n\r :,-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----").match(text, at)
+            at = closing.end() if closing else re.compile(r"[A-Za-z0-9+/=\r\n]*").match(text, at).end()
+            out.append((m.start(), 7, at))
+    return sorted(out)
+
+
+def test_added_rules_match_plain_patterns():
+    scanner, rng = secrets.Scanner(), random.Random(14)
+    parts = ["ghp_", "gho_", "xoxb-", "AIza", "eyJ", "eyJab.", "eyJ_-.", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "-----END ", "PRIVATE KEY-----", "a1" * 9, "Zz09" * 9, "_", " ", "\n", "é", "end,", "-----BEGIN PRIVATE KEY-----\n"]
+    kinds = Counter()
+    for _ in range(8000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        got = [s for s in scanner.spans(text) if s[1] >= 3]
+        assert got == plain_added(text), text
+        kinds.update(n for _, n, _ in got)
+    assert set(kinds) == {3, 4, 5, 6, 7}
+    many = "-----BEGIN PRIVATE KEY-----\n" * 20_000
+    assert len(scanner.spans(many)) == 20_000
+
+
+def test_secret_query(spark, tmp_path, hard_texts):
+    texts = [*hard_texts, f"é token=abcdefgh1 {'0a' * 20}\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nab+/=\n-----END RSA PRIVATE KEY-----!"]
+    spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, spans int").write.parquet(f"{tmp_path}/documents.parquet")
+    names = [r.kind for r in secrets.DEFAULT_RULES]
+    joined = lambda found: ",".join(f"{names[n]}:{a}:{b}" for a, n, b in found)
+    rows = {r.doc_id: r for r in secrets.op8_secret_automaton(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        base, added = plain_secrets(text or ""), plain_added(text or "")
+        assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(n == k for _, n, _ in base) for k in range(3))
+        assert rows[i].base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest() and rows[i].spans == joined(sorted(base + added))
+    assert "private_key" in rows[len(texts) - 1].spans
+    redacted = secrets.redact(spark.read.parquet(f"{tmp_path}/documents.parquet").where(f"doc_id = {len(texts) - 1}")).first().text
+    assert redacted == "é [ASSIGN] [HEX]\n[PRIVATE_KEY]!"
+
+
 def test_added_rules_and_redaction(documents):
     text = f"é ghp_{'a1' * 18} and xoxb-{'1' * 12}; AIza{'b' * 35} -----BEGIN RSA PRIVATE KEY----- eyJabcd.eyJabcd.{'s' * 9}"
     kinds = {secrets.DEFAULT_RULES[n].kind for _, n, _ in secrets.Scanner().spans(text)}
