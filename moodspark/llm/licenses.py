@@ -1,9 +1,11 @@
 """License scans by matching template markup with token automata.
 
-A template is wording with marked regions: ``[[ ... ]]`` may be absent and
-``{{n}}`` stands for up to n words that may be replaced. Templates are compiled
-to automata over words; a text is accepted where the mandatory wording of a
-template stands word for word. Words are runs of letters A-Z in either case,
+A template is wording with marked regions: ``[[ ... ]]`` may be absent,
+``<<a|b>>`` is one of several wordings and ``{{n}}`` stands for up to n words that
+may be replaced. Templates are compiled to automata over words; a text is accepted
+where the mandatory wording of a template stands word for word. Templates of whole
+licenses have the license's name as label and take its whole wording; those of
+one-line notices are labelled ``-notice``. Words are runs of letters A-Z in either case,
 digits and everything outside ASCII; all else separates.
 
 Null and empty texts have no words, no labels and score 0. Rows are
@@ -30,19 +32,82 @@ BASE_PHRASES = (
     ("general public license", "gpl"),
 )
 
-#: Label and marked wording; notices as projects put them at the head of files.
+_GPL_HEADER = """
+<<this program|{name}>> is free software you can redistribute it and or modify it under the terms of the GNU {kind}general public license
+as published by the free software foundation [[either]] version {version} [[of the license [[or at your option any later version]]]]
+<<this program|{name}>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+merchantability or fitness for a particular purpose see the GNU {kind}general public license for more details"""
+
+_BSD = """
+redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+[[1|a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+[[2|b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+documentation and or other materials provided with the distribution {third}
+this software is provided by {{{{12}}}} as is and any express or implied warranties including but not limited to the implied warranties of
+merchantability and fitness for a particular purpose are disclaimed in no event shall {{{{12}}}} be liable for any direct indirect incidental
+special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits
+or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or
+otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+
+# The wording of licenses and of notices at the head of files, with their optional and replaceable regions.
 TEMPLATES = (
-    ("mit-notice", "[[this {{4}} is]] [[released|licensed|distributed]] under the [[terms of the]] MIT license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the {{3}} to deal in {{2}} without restriction"),
-    ("apache-2.0-notice", "licensed under the Apache license version 2 0 [[the {{2}}]]"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (
+        "mit",
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+        [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the
+        following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all
+        copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including
+        but not limited to the warranties of merchantability fitness for a particular purpose and <<noninfringement|non infringement>> in no event
+        shall the {{8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of
+        or in connection with the software or the use or other dealings in the software""",
+    ),
+    (
+        "isc",
+        """permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that
+        the above copyright notice and this permission notice appear in all copies the software is provided as is and {{8}} disclaims all
+        warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{8}} be liable
+        for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in
+        an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
+    ),
+    ("bsd-2-clause", _BSD.format(third="")),
+    (
+        "bsd-3-clause",
+        _BSD.format(
+            third="""[[3|c]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from
+            this software without specific prior written permission"""
+        ),
+    ),
+    (
+        "zlib",
+        """this software is provided as is without any express or implied warranty in no event will the <<author|authors>> be held liable for any
+        damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial
+        applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not
+        be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the
+        product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not
+        be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution""",
+    ),
+    (
+        "apache-2.0",
+        """licensed under the apache license version 2 0 [[the license]] you may not use this file except in compliance with the license you may
+        obtain a copy of the license at <<http|https>> www apache org licenses license 2 0 unless required by applicable law or agreed to in
+        writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either
+        express or implied see the license for the specific language governing permissions and limitations under the license""",
+    ),
+    ("gpl-2.0", _GPL_HEADER.format(name="this software", kind="", version=2)),
+    ("gpl-3.0", _GPL_HEADER.format(name="this software", kind="", version=3)),
+    ("agpl-3.0", _GPL_HEADER.format(name="this software", kind="affero ", version=3)),
+    ("lgpl-2.1", _GPL_HEADER.format(name="this library", kind="lesser ", version="2 1")),
+    ("lgpl-3.0", _GPL_HEADER.format(name="this library", kind="lesser ", version=3)),
+    ("mit-notice", "<<released|licensed|distributed|available|provided>> under the [[terms of the]] MIT license"),
+    ("apache-2.0-notice", "licensed under the [[terms of the]] Apache license version 2 0"),
     ("gpl-2.0-notice", "licensed under the [[terms of the]] GNU general public license [[as published by the free software foundation]] [[either]] version 2"),
     ("gpl-3.0-notice", "licensed under the [[terms of the]] GNU general public license [[as published by the free software foundation]] [[either]] version 3"),
     ("lgpl-notice", "licensed under the [[terms of the]] GNU lesser general public license [[as published by the free software foundation]] [[version {{2}}]]"),
     ("mpl-2.0-notice", "subject to the terms of the Mozilla public license v 2 0"),
-    ("cc-by-4.0", "licensed under [[a creative commons attribution 4 0 international license|the creative commons attribution license]] CC BY 4 0"),
-    ("cc-by-sa-4.0", "licensed under CC BY SA 4 0"),
-    ("cc-by-nc-4.0", "licensed under CC BY NC 4 0"),
+    ("cc-by-4.0-notice", "licensed under [[a creative commons attribution 4 0 international license|the creative commons attribution license]] CC BY 4 0"),
+    ("cc-by-sa-4.0-notice", "licensed under CC BY SA 4 0"),
+    ("cc-by-nc-4.0-notice", "licensed under CC BY NC 4 0"),
 )
 
 _SEPARATED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -79,27 +144,36 @@ class TokenAutomaton:
         return best
 
 
+CLOSES = {"[[": "]]", "<<": ">>"}
+
+
 def parse(markup: str) -> list:
-    """Markup as ('word', w), ('any', n) and ('opt', alternatives) items."""
-    tokens = re.findall(r"\[\[|\]\]|\||\{\{\d+\}\}|[^\s\[\]{}|]+", markup)
+    """Markup as ('word', w), ('any', n), ('opt', alternatives) and ('one', alternatives) items."""
+    tokens = re.findall(r"\[\[|\]\]|<<|>>|\||\{\{\d+\}\}|[^\s\[\]{}|<>]+|\S", markup)
 
-    def items(at: int) -> tuple[list, int]:
+    def items(at: int, closing: str | None) -> tuple[list, int]:
         branches: list[list] = [[]]
-        while at < len(tokens) and tokens[at] != "]]":
+        while at < len(tokens):
             token = tokens[at]
             at += 1
-            if token == "[[":
-                inner, at = items(at)
-                branches[-1].append(("opt", inner))
-            elif token == "|":
+            if token == closing:
+                return branches, at
+            if token in CLOSES:
+                inner, at = items(at, CLOSES[token])
+                branches[-1].append(("opt" if token == "[[" else "one", inner))
+            elif token == "|" and closing:
                 branches.append([])
             elif token.startswith("{{"):
                 branches[-1].append(("any", int(token[2:-2])))
+            elif token in ("|", "]]", ">>") or not words_of(token):
+                raise ValueError(f"{token!r} out of place in the markup: {markup}")
             else:
                 branches[-1] += [("word", word) for word in words_of(token)]
-        return branches, at + 1
+        if closing:
+            raise ValueError(f"{closing!r} is missing in the markup: {markup}")
+        return branches, at
 
-    return items(0)[0][0]
+    return items(0, None)[0][0]
 
 
 def compile_template(label: str, markup: str) -> TokenAutomaton:
@@ -130,7 +204,10 @@ def compile_template(label: str, markup: str) -> TokenAutomaton:
                     start = nxt
             else:
                 end = state()
-                empty[start].append(end)
+                if kind == "opt":
+                    empty[start].append(end)
+                else:
+                    mandatory += counted
                 for branch in value:
                     first = state()
                     empty[start].append(first)

@@ -148,16 +148,89 @@ def test_license_words_and_phrases_match_plain_code(hard_texts):
     assert matcher.scan(None) == {"n_words": 0, "places": [], "base": [], "found": [], "score": 0.0}
 
 
-def test_license_templates():
+def ends_of(items, words, at):
+    """Where marked wording that starts at a word can end, by trying everything."""
+    ends = {at}
+    for kind, value in items:
+        if kind == "word":
+            ends = {e + 1 for e in ends if e < len(words) and words[e] == value}
+        elif kind == "any":
+            ends = {e + n for e in ends for n in range(value + 1) if e + n <= len(words)}
+        else:
+            ends = (ends if kind == "opt" else set()) | {x for e in ends for branch in value for x in ends_of(branch, words, e)}
+    return ends
+
+
+def sample_of(items, rng):
+    """Some wording that the markup allows."""
+    out = []
+    for kind, value in items:
+        if kind == "word":
+            out.append(value.decode())
+        elif kind == "any":
+            out += [f"name{rng.randrange(9)}" for _ in range(rng.randint(0, value))]
+        elif kind == "one" or rng.random() < 0.5:
+            out += sample_of(rng.choice(value), rng)
+    return out
+
+
+@pytest.mark.parametrize("markup", ["a [[b|c d]] {{2}} e", "a <<b|c [[d]]>> [[{{1}} a]] b", "a {{3}} a b {{2}} a", "a [[a [[b]] c|d {{1}}]] e"])
+def test_license_automata_match_plain_search(markup):
+    automaton, rng = licenses.compile_template("t", markup), random.Random(5)
+    for _ in range(4000):
+        words = [rng.choice([b"a", b"b", b"c", b"d", b"e", b"x"]) for _ in range(rng.randint(1, 9))]
+        assert automaton.match(words, 0) == max(ends_of(licenses.parse(markup), words, 0), default=None), words
+
+
+def test_whole_licenses_match_and_altered_ones_dont():
+    matcher, rng = licenses.Matcher(), random.Random(6)
+    for label, markup in licenses.TEMPLATES:
+        parsed = licenses.parse(markup)
+        for _ in range(6):
+            words = sample_of(parsed, rng)
+            text = " ".join(["Copyright (c) 2020 Some One,", *words, "and more"]).upper()
+            assert label in matcher.scan(text)["found"]
+            at = rng.choice([i for i, w in enumerate(words) if not w.startswith("name")])
+            altered = [*words[:at], "unlike", *words[at + 1 :]]
+            altered = [w.encode() for w in altered]
+            expected = any(ends_of(parsed, altered, i) for i in range(len(altered)))
+            assert (label in matcher.scan(b" ".join(altered).decode())["found"]) == expected
+    grant = " ".join(sample_of(licenses.parse(dict(licenses.TEMPLATES)["mit"]), rng))
+    assert "mit" in matcher.scan(grant)["found"]
+    assert matcher.scan(grant[: len(grant) // 2] + " provided you pay")["found"] == []
+    assert matcher.scan("under the MIT license is not what this is") | {"score": 0} == {"n_words": 9, "places": [2], "base": ["mit"], "found": [], "score": 0}
+    two, three = (" ".join(sample_of(licenses.parse(dict(licenses.TEMPLATES)[k]), rng)) for k in ("bsd-2-clause", "bsd-3-clause"))
+    assert (matcher.scan(two)["found"], matcher.scan(three)["found"]) == (["bsd-2-clause"], ["bsd-3-clause"])
+
+
+@pytest.mark.parametrize("markup", ["a [[b", "a ]] b", "a | b", "a << b ]]", "a {x} b"])
+def test_license_markup_that_is_refused(markup):
+    with pytest.raises(ValueError):
+        licenses.parse(markup)
+
+
+def test_license_notices():
     matcher = licenses.Matcher()
     labels = lambda t: matcher.scan(t)["found"]
     assert labels("Released under the MIT License.") == ["mit-notice"]
     assert labels("licensed under the terms of the GNU General Public License, version 3 or later") == ["gpl-3.0-notice"]
     assert labels("licensed under the GNU Public License, version 3") == []
     assert labels("licensed under the Apache License; version 2.0") == ["apache-2.0-notice"]
-    automaton = licenses.compile_template("t", "a [[b|c d]] {{2}} e")
-    ends = {t: automaton.match(licenses.words_of(t), 0) for t in ("a e", "a b e", "a c d e", "a x y e", "a b x y e", "a x y z e", "a b b b e", "b e")}
-    assert ends == {"a e": 2, "a b e": 3, "a c d e": 4, "a x y e": 4, "a b x y e": 5, "a x y z e": None, "a b b b e": 5, "b e": None}
+
+
+def test_license_query(spark, tmp_path, hard_texts):
+    texts = [*hard_texts, "Released under the MIT License. mit license", ("calm words " * 300_000) + "Apache License"]
+    spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, labels int").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in licenses.op10_license_templates(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places = {label: [k for k in range(len(words)) if words[k : k + len(p.split())] == p.split()] for p, label in licenses.BASE_PHRASES}
+        every = sorted(k for found in places.values() for k in found)
+        base = sorted(label for label, found in places.items() if found)
+        r = rows[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(every), min(every, default=None), max(every, default=None))
+        assert r.base_labels == ",".join(base) and set(base) <= set(r.labels.split(",") if r.labels else []) and 0 <= r.score <= 1
+    assert rows[len(hard_texts)].labels == "mit,mit-notice" and rows[len(texts) - 1].labels == "apache"
 
 
 def labelled(spark):
