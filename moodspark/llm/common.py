@@ -98,12 +98,13 @@ def process_cache() -> dict:
     return holder.__dict__.setdefault("kept", {})
 
 
-def cached(key, build: Callable):
-    """``build()``, made once a process for each key."""
+def cached(key, build: Callable, version: str = ""):
+    """``build()``, made once a process for each key; another version takes the place of the last one."""
     kept = process_cache()
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
+    if key not in kept or kept[key][0] != version:
+        kept.pop(key, None)
+        kept[key] = (version, build())
+    return kept[key][1]
 
 
 def kept_fields(df: DataFrame, keep: list[str] | None, new: list[T.StructField]) -> list[T.StructField]:

@@ -113,9 +113,14 @@ TEMPLATES = (
 _SEPARATED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+def separated(text: str) -> bytes:
+    """A text as UTF-8 with A-Z lower-cased and spaces for all that isn't part of a word."""
+    return text.encode("utf-8", "surrogatepass").translate(_SEPARATED)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text, A-Z lower-cased, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(_SEPARATED).split() if text else []
+    return separated(text).split() if text else []
 
 
 @dataclass(frozen=True)
@@ -267,7 +272,7 @@ class Matcher:
         """Words, base places and the labels of one text."""
         if not text:
             return {"n_words": 0, "places": [], "base": [], "found": [], "score": 0.0}
-        lowered = text.encode("utf-8", "surrogatepass").translate(_SEPARATED)
+        lowered = separated(text)
         words = lowered.split()
         out = {"n_words": len(words), "places": [], "base": [], "found": [], "score": 0.0}
         if not self.gate.search(lowered):

@@ -1,8 +1,11 @@
 """Archives, decontamination and the pipeline."""
 
 import hashlib
+import math
 import os
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,11 +77,11 @@ def test_block_max_wand_retrieves_all():
     items = [(i, " ".join(words(rng.random(), rng.randint(3, 40), 120))) for i in range(90)] + [(91, None or ""), (92, "!!")]
     index = decontaminate.Index(items, 0.4)
     for _ in range(300):
-        terms = sorted({rng.randrange(len(index.terms)) for _ in range(rng.randint(1, 60))})
+        terms = sorted({rng.randrange(len(index.vocabulary)) for _ in range(rng.randint(1, 60))})
         expected = {}
         for t in terms:
-            for item, v in zip(index.items[t], index.impacts[t], strict=True):
-                expected[item] = expected.get(item, 0) + v
+            for i in range(index.start[t], index.start[t + 1]):
+                expected[index.items[i]] = expected.get(index.items[i], 0) + index.impacts[i]
         assert [i for i, _ in index.retrieve(terms)] == sorted(i for i, v in expected.items() if v >= 0.4 - 1e-9)
 
 
@@ -94,6 +97,77 @@ def test_windows_skip_no_match():
         assert (key, 1.0, 1.0) in [(k, q, a) for k, _, q, a in found]
 
 
+def plain_bm25(items, text, threshold):
+    """Scores and overlaps of each item in a text that is one passage, straight from the formulas."""
+    given = {k: re.findall("[a-z0-9]+", t.lower()) for k, t in items if t}
+    given = {k: w for k, w in given.items() if w}
+    n, mean = len(given), sum(map(len, given.values())) / len(given)
+    spread = Counter(w for words in given.values() for w in set(words))
+    passage = re.findall("[a-z0-9]+", text.lower())
+    out = {}
+    for key, own in given.items():
+        mass = {w: math.log(1 + (n - spread[w] + 0.5) / (spread[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, tf in Counter(own).items()}
+        score = sum(v for w, v in mass.items() if w in set(passage)) / sum(mass.values())
+        size = min(5, len(own))
+        there = {tuple(passage[i : i + size]) for i in range(len(passage) - size + 1)}
+        covered = [any(tuple(own[i : i + size]) in there for i in range(max(0, p - size + 1), min(p, len(own) - size) + 1)) for p in range(len(own))]
+        cut = -(-2 * len(own) // 3)
+        question = sum(covered[:cut]) / cut
+        if score >= threshold - 1e-9:
+            out[key] = (score, question, sum(covered[cut:]) / (len(own) - cut) if cut < len(own) else question)
+    return out
+
+
+def test_search_matches_plain_bm25():
+    rng = random.Random(16)
+    items = [(i, " ".join(words(rng.random(), rng.randint(1, 50), 300))) for i in range(60)] + [(61, None or ""), (62, "!!")]
+    index = decontaminate.Index(items, 0.3)
+    for _ in range(150):
+        own = rng.choice(items[:60])[1].split()
+        at = rng.randrange(len(own))
+        passage = " ".join([*words(rng.random(), rng.randint(0, 10), 300), *own[at:], *words(rng.random(), rng.randint(0, 8), 300), *own[:at]][:64])
+        got = {k: v for k, *v in index.search(passage)}
+        expected = plain_bm25(items, passage, 0.3)
+        assert sorted(got) == sorted(expected)
+        assert all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.0, 1.0), (0.05, 0.97), (0.1, 0.9)])
+def test_edited_items_are_found(share, least):
+    """Recall of items of which a share of the words was changed at random, in running text."""
+    rng = random.Random(21)
+    items = [(i, " ".join(words(rng.random(), rng.randint(24, 60), 900))) for i in range(400)]
+    index = decontaminate.Index(items, 0.6)
+    found = 0
+    for key, text in items:
+        own = text.split()
+        for p in rng.sample(range(len(own)), round(share * len(own))):
+            own[p] = f"e{rng.randrange(900)}"
+        around = words(rng.random(), 300, 900)
+        hits = {k: min(q, a) for k, _, q, a in index.search(" ".join([*around[:150], *own, *around[150:]]))}
+        found += hits.get(key, 0) >= 0.5
+    assert found >= least * len(items)
+    quiet = [k for i in range(200) for k, _, q, a in index.search(" ".join(words(1000 + i, 400, 900))) if min(q, a) >= 0.5]
+    assert quiet == []
+
+
+def test_parts_share_statistics(documents, spark):
+    rng = random.Random(31)
+    rows = [(i, " ".join(words(rng.random(), rng.randint(3, 50), 300))) for i in range(80)]
+    items = spark.createDataFrame([*rows, (None, "x y")], "item_id long, text string")
+    docs = documents([" ".join([*words(rng.random(), 40, 300), *rng.choice(rows)[1].split(), *words(rng.random(), 90, 300)]) for _ in range(40)])
+    whole, dealt = (sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.find_leaks(docs, items, threshold=0.4, verified=False, part_bytes=n).collect()) for n in (1 << 24, 12_000))
+    assert whole == dealt and len(whole) >= 40
+
+
+def test_leak_query(spark, tmp_path):
+    leak, long = " ".join(words(4, 40)), " ".join(words(5, 5000, 3000))
+    spark.createDataFrame([(1, f"x {leak} y", 3), (2, None, 3), (2, leak, 3), (None, leak, 3), (3, f"z {long}", 3)], "doc_id long, text string, item_id int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, leak, 1), (10, leak, 1), (11, long, 1), (12, None, 1), (13, "", 1)], "item_id long, text string, doc_id int").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(((r.doc_id, r.item_id) for r in decontaminate.op9_benchmark_bm25(spark, str(tmp_path)).collect()), key=str)
+    assert got == [(1, 10), (2, 10), (3, 11), (None, 10)]
+
+
 def test_leaks(documents, spark):
     items = spark.createDataFrame([(1, " ".join(words(1, 40))), (2, "tiny one"), (3, None), (2, "tiny one")], "item_id long, text string")
     item = " ".join(words(1, 40))
