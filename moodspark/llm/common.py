@@ -88,6 +88,14 @@ def smallest_of_key(rows: DataFrame, key: str, value: str) -> DataFrame:
     return dealt.join(grown(some.join(grown(whole), key).select(key, "__deal", "smallest")), [key, "__deal"]).drop("__deal")
 
 
+def joined_by_key(rows: DataFrame, key: str, value: str, facts: DataFrame) -> DataFrame:
+    """Left join ``facts``, one row a key, to rows of which a third may have one key; dealt out as in ``smallest_of_key``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(value), F.lit(parts)).cast("int"))
+    near = dealt.select(key, "__deal").distinct().join(grown(facts), key)
+    return dealt.join(grown(near), [key, "__deal"], "left").drop("__deal")
+
+
 def process_cache() -> dict:
     """A dictionary that lives as long as the Python process.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import materialise
+from moodspark.llm.common import grown, materialise
 
 
 def hooked(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def hooked(edges: DataFrame) -> DataFrame:
     labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), "labels")
     while True:
         parents = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        jumped = materialise(labels.join(parents, "component").select("id", F.col("far").alias("component"), (F.col("far") < F.col("component")).alias("changed")), "labels")
+        jumped = materialise(labels.join(grown(parents), "component").select("id", F.col("far").alias("component"), (F.col("far") < F.col("component")).alias("changed")), "labels")
         labels = jumped.select("id", "component")
         if jumped.where("changed").isEmpty():
             return labels
@@ -35,12 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
     rounds = [hooked(edges)]
     while True:
         a, b = (rounds[-1].select(F.col("id").alias(k), F.col("component").alias(f"root_{k}")) for k in "ab")
-        between = edges.join(a, "a").join(b, "b").where("root_a <> root_b")
+        between = edges.join(grown(a), "a").join(grown(b), "b").where("root_a <> root_b")
         edges = materialise(between.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "edges")
         if edges.isEmpty():
             break
         rounds.append(hooked(edges))
     labels = rounds[0]
     for later in rounds[1:]:
-        labels = labels.join(later.select(F.col("id").alias("component"), F.col("component").alias("far")), "component", "left").select("id", F.coalesce("far", "component").alias("component"))
+        labels = labels.join(grown(later.select(F.col("id").alias("component"), F.col("component").alias("far"))), "component", "left").select("id", F.coalesce("far", "component").alias("component"))
     return materialise(labels, "labels") if len(rounds) > 1 else labels

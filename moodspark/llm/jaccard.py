@@ -1,22 +1,31 @@
 """N-gram Jaccard join with a token-group matrix, and its connected components.
 
-Similar documents are put into groups: by the smallest hash among their shingles,
-in chunks of bounded size. For each group the matrix holds the union of its
-members' tokens. A query document is bounded against a group by its overlap with
-that union; only groups whose bound reaches the threshold are opened, and their
-members compared exactly. Groups meet a query only if they share a prefix token:
-a set that is similar to another must share one of its rarest tokens
-(Bayardo, Ma, Srikant, "Scaling up all pairs similarity search", 2007).
-
-Equal sets are one: the smallest id stands for all. Every pair of groups that the
-bounds allow is opened, whether or not its members are joined already, so all links
-between different sets are found (``similarity_links``), and components follow from them.
+Similar documents are put into groups: documents with one smallest shingle hash are a
+family, a large family is dealt into chunks, and what a chunk joins is a group; every other
+document is a group of its own. For each group the matrix stores the union of its
+members' prefix tokens with the sizes of its smallest and largest set. A query group is
+bounded by its overlap with that union; only groups whose bound reaches the threshold are
+opened, that is, their texts are fetched and their members compared exactly. Only prefix
+tokens are stored, since a set that is similar to another must share one of its first
+tokens in any common order (Bayardo, Ma, Srikant, "Scaling up all pairs similarity
+search", 2007); the order is rare tokens first, by counters over all documents.
+
+Equal sets are one class: the smallest id stands for all. There are two ways to ask:
+
+* ``similarity_components`` wants the components only. All chunks of a family hold the same few
+  pivots, so its members join over them, and groups that are one component already are not
+  compared again. So a family's work grows with its members, not with their pairs, and no link
+  that could join two components is left out.
+* ``similarity_links`` wants every link between different sets. It opens every bounded pair of
+  groups and gives a row for each set with the list of its links; ``link_counts`` counts them.
+  What it makes is as large as the links are many.
 
 Letters A-Z are lower-cased, words are separated by white space. A text of fewer
 words than a shingle is one shingle; null texts and texts without words have
 none, link with nothing and are components of their own. Rows that repeat an id
-count once (the smallest set hash); rows without an id are left out. An empty
-table gives an empty result; extra columns are ignored.
+count once (the smallest set hash, and of equal sets the smallest hash of the text);
+rows without an id are left out. An empty table gives an empty result; extra columns
+are ignored. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
 """
 
 from __future__ import annotations
@@ -30,17 +39,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, materialise, table
+from moodspark.llm.common import bound_batches, grown, joined_by_key, materialise, smallest_of_key, table
 from moodspark.llm.components import components
-from moodspark.llm.packing import restored, run_hashes, window_hashes_of
+from moodspark.llm.packing import restored, run_hashes, text_bytes, window_hashes_of
+from moodspark.llm.sketch import frequency_classes, slots_for
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Members of a chunk; pivots are no longer used, as every pair of chunks that can link is opened.
+#: Members of a chunk besides the pivots, and pivots of a family of several chunks.
 CHUNK, PIVOTS = 96, 3
 #: Families of more members than this are dealt into chunks.
 LARGE = 32
-#: Tokens in this many documents are ordered last among a document's tokens, so many of them at most.
-LEAST_HEAVY, MOST_HEAVY = 50, 1_000_000
 FILTER_BITS = 1 << 25
 
 
@@ -63,50 +71,43 @@ def encoded(values: list) -> list[bytes]:
     return [(v or "").encode("utf-8", "surrogatepass") for v in values]
 
 
-def heavy_tokens(rows: DataFrame, size: int) -> np.ndarray:
-    """Tokens of many documents, from those that repeat within a batch, ``MOST_HEAVY`` at most.
+def token_classes(rows: DataFrame, size: int) -> np.ndarray:
+    """The frequency class of each counter, over all documents."""
 
-    Which tokens these are decides the order of tokens only, never a result.
-    """
+    def tokens(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *shingle_sets(encoded(batch.column(1).to_pylist()), size)])
+
+    return frequency_classes(rows, tokens, slots_for(text_bytes(rows)))[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(encoded(batch.column(1).to_pylist()), size)
-            tokens, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            often = counts >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "seen"])
 
-    found = rows.mapInArrow(run, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LEAST_HEAVY)
-    found = found.orderBy(F.col("seen").desc(), "token").limit(MOST_HEAVY)
-    return np.sort(found.select("token").toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))
+SIGNED = "doc_id long, set_hash binary, n_shingles long, text_hash long, family long, prefix array<long>"
 
 
-def signatures(rows: DataFrame, size: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, family, prefix) of each document."""
-    shared = rows.sparkSession.sparkContext.broadcast(heavy.tobytes())
+def signatures(rows: DataFrame, size: int, percent: int, classes: np.ndarray) -> DataFrame:
+    """The size and hash of each row's set, its smallest token and its rarest tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast(classes.tobytes())
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    labels = [c.split()[0] for c in SIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shared.value, np.uint64)
+        known = np.frombuffer(shared.value, np.uint8)
+        slot = np.uint64(len(known) - 1)
         for batch in batches:
             out = []
-            for key, tokens in zip(batch.column(0).to_pylist(), shingle_sets(encoded(batch.column(1).to_pylist()), size), strict=True):
+            sets = shingle_sets(encoded(batch.column(1).to_pylist()), size)
+            for key, text_hash, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets, strict=True):
                 n = len(tokens)
                 if not n:
-                    out.append((key, 0, None, None, None))
+                    out.append((key, None, 0, text_hash, None, None))
                     continue
                 keep = n - -(-percent * n // 100) + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    last = known[at] == tokens
-                    prefix = np.concatenate([tokens[~last][:keep], tokens[last]])[:keep]
-                else:
-                    prefix = tokens[:keep]
-                out.append((key, n, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), int(tokens[:1].view(np.int64)[0]), prefix.view(np.int64)))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_shingles", "set_hash", "family", "prefix"])
+                # Tokens are in order of hashes, so a stable order by class settles ties alike everywhere.
+                prefix = tokens[np.argsort(known[(tokens & slot).astype(np.int64)], kind="stable")[:keep]]
+                out.append((key, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), n, text_hash, int(tokens[:1].view(np.int64)[0]), prefix.view(np.int64)))
+            columns = list(zip(*out, strict=True)) or [()] * len(labels)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=labels)
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, family long, prefix array<long>")
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SIGNED)
 
 
 class Matrix:
@@ -164,7 +165,8 @@ def unpacked(blocks: list[bytes], size: int) -> list[np.ndarray]:
     return shingle_sets([restored(b) for b in blocks], size)
 
 
-LINKS = "a long, b long, tree boolean"
+LINKS = "a long, others array<long>, tree array<long>"
+LONGS = pa.list_(pa.int64())
 
 
 def forest(found: np.ndarray) -> list[tuple[int, int]]:
@@ -185,33 +187,49 @@ def forest(found: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def link_table(found: np.ndarray, ids: list[int]) -> pa.RecordBatch:
-    """All links of a symmetric link matrix, each once; ``tree`` marks some that keep its components."""
-    tree = np.zeros(found.shape, dtype=bool)
-    for i, j in forest(found):
-        tree[min(i, j), max(i, j)] = True
-    i, j = np.nonzero(np.triu(found, 1))
+def link_table(found: np.ndarray, ids: list[int], every: bool) -> pa.RecordBatch:
+    """Links of a symmetric link matrix: a row for each id with larger ids that it links with, each link once.
+
+    ``tree`` are some that keep the components; ``others`` are all of them if ``every``, else none.
+    """
     named = np.array(ids, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(named[i], named[j])), pa.array(np.maximum(named[i], named[j])), pa.array(tree[i, j])], names=["a", "b", "tree"])
+    order = np.argsort(named)
+    named, found = named[order], found[order][:, order]
+    trees: dict[int, list[int]] = {}
+    for i, j in forest(found):
+        trees.setdefault(min(i, j), []).append(max(i, j))
+    rows = np.flatnonzero(np.triu(found, 1).any(axis=1)).tolist() if every else sorted(trees)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(named[rows], pa.int64()),
+            pa.array([named[i + 1 :][found[i, i + 1 :]] if every else [] for i in rows], LONGS),
+            pa.array([named[trees.get(i, [])] for i in rows], LONGS),
+        ],
+        names=["a", "others", "tree"],
+    )
+
+
+def no_links() -> pa.RecordBatch:
+    return link_table(np.zeros((0, 0), dtype=bool), [], False)
 
 
-def join_group(size: int, percent: int):
-    """Links within one group."""
+def join_group(size: int, percent: int, every: bool):
+    """Links within one chunk and its pivots."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_pylist()
-        matrix = Matrix(unpacked(group.column("packed_text").to_pylist(), size))
-        return pa.Table.from_batches([link_table(linked(matrix.inside(), matrix.sizes, matrix.sizes, percent), ids)])
+        kept = dict(zip(group.column("doc_id").to_pylist(), group.column("packed_text").to_pylist(), strict=True))
+        matrix = Matrix(unpacked(list(kept.values()), size))
+        return pa.Table.from_batches([link_table(linked(matrix.inside(), matrix.sizes, matrix.sizes, percent), list(kept), every)])
 
     return run
 
 
-def open_groups(size: int, percent: int):
+def open_groups(size: int, percent: int, every: bool):
     """Links between two groups: the queries of one whose bound with the other's union reaches the threshold are compared with its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables = [link_table(np.zeros((0, 0), dtype=bool), [])]
+            tables = [no_links()]
             for left_ids, left, right_ids, right in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if len(left_ids) > len(right_ids):
                     left_ids, left, right_ids, right = right_ids, right, left_ids, left
@@ -225,16 +243,17 @@ def open_groups(size: int, percent: int):
                     found = linked(matrix.across(opened, members), matrix.sizes[opened], matrix.sizes[members], percent)
                     square = np.zeros((len(opened) + len(members),) * 2, dtype=bool)
                     square[: len(opened), len(opened) :] = found
-                    tables.append(link_table(square | square.T, [left_ids[i] for i in opened] + right_ids))
+                    tables.append(link_table(square | square.T, [left_ids[i] for i in opened] + right_ids, every))
             yield from pa.Table.from_batches(tables).combine_chunks().to_batches()
 
     return run
 
 
 def wanted_only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Leave out most rows whose ``doc_id`` is not wanted, before their texts are shuffled.
+    """(doc_id, text_hash, packed_text) without most rows whose ``doc_id`` is not wanted, before their texts are shuffled.
 
     The wanted ids are hashed into one bitmap of ``FILTER_BITS`` bits (4 MB), however many they are.
+    Rows that repeat an id and a text leave a task once.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
     maps = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
@@ -248,110 +267,157 @@ def wanted_only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(shared.value, np.uint8)
         press = zstandard.ZstdCompressor(level=3)
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            at = batch.column(2).to_numpy() - 1
-            kept = pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
-            batch = batch.filter(kept)
+            at = batch.column(3).to_numpy() - 1
+            kept = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            batch = batch.filter(pa.array(kept))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            new = []
+            for key in keys:
+                new.append(key not in seen)
+                seen.add(key)
+            batch = batch.filter(pa.array(new, pa.bool_()))
             packed = [None if v is None else press.compress(v.encode("utf-8", "surrogatepass")) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "text_hash", "packed_text"])
 
-    return rows.select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, packed_text binary")
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), place.alias("place")).mapInArrow(run, "doc_id long, text_hash long, packed_text binary")
 
 
 def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``wanted`` with their compressed texts."""
+    """The rows of ``wanted``, which name a document's id and text hash, with the compressed texts."""
     wanted = materialise(wanted, "wanted")
-    return materialise(wanted_only(rows, wanted).join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    return materialise(wanted_only(rows, wanted).join(grown(wanted), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"]).drop("text_hash"), "texts")
 
 
-def bounded_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups whose shared prefix tokens allow a link between their members.
+def bounded_pairs(groups: DataFrame, wholes: DataFrame, percent: int) -> DataFrame:
+    """(key_a, chunk_a, key_b, grouped_b): groups and components whose shared prefix tokens allow a link between their members.
+
+    ``groups`` has an entry for each token of each group, ``wholes`` one for each token of each component of groups,
+    so that the chunks of a large family meet one entry of another, and none of their own. Single documents meet once.
 
     If two sets link and one's prefix ends no later than the other's, all their common tokens in
     it are shared prefix tokens; the rest of it has ceil(t n) - 1 tokens. So they share at least
     t / (1 + t) (n_a + n_b) - ceil(t max(n_a, n_b)) + 1 prefix tokens. Groups count with their
     smallest and largest sets.
     """
-    names = ("key", "home", "least", "most")
-    left = entries.select("token", *(F.col(c).alias(f"{c}_a") for c in names))
-    right = entries.select("token", *(F.col(c).alias(f"{c}_b") for c in names))
-    before = F.col("key_a") < F.col("key_b")
+    left = groups.select("token", *(F.col(c).alias(f"{c}_a") for c in ("key", "chunk", "grouped", "least", "most")))
+    right = wholes.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "grouped", "least", "most")))
+    once = (F.col("grouped_a") & (F.col("key_a") != F.col("key_b"))) | (~F.col("grouped_a") & ~F.col("grouped_b") & (F.col("key_a") < F.col("key_b")))
     fits = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
-    together = F.max(F.coalesce(F.col("home_a") == F.col("home_b"), F.lit(False))).alias("together")
-    met = left.join(right, "token").where(before & fits).groupBy("key_a", "key_b").agg(F.count("*").alias("shared"), together, F.min("least_a").alias("low_a"), F.min("least_b").alias("low_b"), F.max(F.greatest("most_a", "most_b")).alias("high"))
+    sizes = (F.min("least_a").alias("low_a"), F.min("least_b").alias("low_b"), F.max(F.greatest("most_a", "most_b")).alias("high"))
+    met = left.join(grown(right), "token").where(once & fits).groupBy("key_a", "chunk_a", "key_b", "grouped_b").agg(F.count("*").alias("shared"), *sizes)
     need = F.ceil(F.lit(percent) * (F.col("low_a") + F.col("low_b")) / (100 + percent) - 1e-9) - F.ceil(F.lit(percent) * F.col("high") / 100 - 1e-9) + 1
-    return met.where(F.col("shared") >= need).select("key_a", "key_b", "together")
+    return met.where(F.col("shared") >= need).select("key_a", "chunk_a", "key_b", "grouped_b")
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
+def group_pairs(bounded: DataFrame) -> DataFrame:
+    """(key_a, chunk_a, key_b, chunk_b): where both are large, the chunks that are bounded from either side."""
+    alone = bounded.where(~F.col("grouped_b")).select("key_a", "chunk_a", "key_b", F.lit(-1).alias("chunk_b"))
+    large = bounded.where("grouped_b")
+    back = large.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), F.col("chunk_a").alias("chunk_b"))
+    return alone.unionByName(large.where("key_a < key_b").drop("grouped_b").join(grown(back), ["key_a", "key_b"]).select("key_a", "chunk_a", "key_b", "chunk_b"))
 
 
-def class_links(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(ids, classes, links): each id's set, the id that stands for each set, and all links between those.
+def edges_of(links: DataFrame) -> DataFrame:
+    return links.select("a", F.explode("tree").alias("b"))
 
-    ``links`` is (a, b, tree) with a < b, each pair once; the links with ``tree`` have the same components.
-    """
+
+def sets_of(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, ids, copies): the rows with an id, the set of each id, and the ids whose set an id below has too."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    signed = materialise(signatures(rows, size, percent, heavy_tokens(rows, size)), "signatures")
-    ids = materialise(signed.groupBy("doc_id").agg(F.min(F.struct("set_hash", "n_shingles")).alias("s")).select("doc_id", "s.*"), "ids")
-    classes = ids.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
-    alone = signed.join(classes, ["doc_id", "set_hash"]).dropDuplicates(["doc_id", "set_hash"])
+    signed = signatures(rows, size, percent, token_classes(rows, size))
+    best = F.min(F.struct(*(c.split()[0] for c in SIGNED.split(", ")[1:]))).alias("s")
+    ids = materialise(signed.groupBy("doc_id").agg(best, F.count("*").alias("n_rows")).select("doc_id", "s.*", "n_rows"), "ids")
+    copies = smallest_of_key(ids.where("n_shingles > 0").select("doc_id", "set_hash"), "set_hash", "doc_id")
+    return rows, ids, materialise(copies.where(F.col("smallest") != F.col("doc_id")).select("doc_id", F.col("smallest").alias("class_id")), "copies")
+
+
+def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
+    """Links between the ids that stand for different sets, all if ``every``, else enough for their components."""
+    alone = ids.where("n_shingles > 0").join(grown(copies), "doc_id", "left_anti")
 
-    # Large families are compared within chunks first.
+    # Large families are compared in chunks; for components the chunks share pivots.
     families = alone.groupBy("family").agg(F.count("*").alias("members")).where(F.col("members") > LARGE)
-    placed = alone.join(families, "family", "left").select("doc_id", F.col("n_shingles").alias("n"), "prefix", "family", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(0)).cast("int").alias("chunks"))
+    placed = alone.join(grown(families), "family", "left").select("doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix", "family", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(0)).cast("int").alias("chunks"))
     placed = materialise(placed.withColumn("chunk", F.when(F.col("chunks") > 0, F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(-1).cast("int")), "families")
-    members = fetched(rows, placed.where("chunks > 0").select("doc_id", "family", "chunk"))
-    inner = materialise(members.groupBy("family", "chunk").applyInArrow(join_group(size, percent), LINKS), "links")
-    local = components(inner.where("tree"))
-
-    # The matrix: what one chunk has joined is a group, every other document a group of its own. Small families are the homes of theirs.
-    spots = placed.join(local.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n", "prefix", F.coalesce("component", "doc_id").alias("key"), F.when(F.col("chunks") == 0, F.col("family")).alias("home"), F.col("component").isNotNull().alias("grouped"))
-    tokens = spots.select("key", "home", "grouped", "n", F.explode("prefix").alias("token"))
-    single = tokens.where("not grouped").select("token", "key", "home", F.col("n").alias("least"), F.col("n").alias("most"))
-    several = tokens.where("grouped").groupBy("token", "key").agg(F.max("home").alias("home"), F.min("n").alias("least"), F.max("n").alias("most"))
-    pairs = materialise(bounded_pairs(single.unionByName(several), percent), "pairs")
-    store = fetched(rows, spots.select("doc_id", "key", "home").join(ends(pairs), "key", "left_semi"))
-
-    # Pairs of one home are compared there, so that each text travels once for all of them.
-    homes = store.join(ends(pairs.where("together")), "key", "left_semi").groupBy("home").applyInArrow(join_group(size, percent), LINKS)
-    rest = pairs.where("not together")
-    blocks = store.join(ends(rest), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("doc_id", "packed_text")).alias("m")).select("key", F.col("m.doc_id").alias("ids"), F.col("m.packed_text").alias("texts"))
-    side = lambda k: blocks.select(*(F.col(c).alias(f"{c}_{k}") for c in ("key", "ids", "texts")))
-    met = rest.join(side("a"), "key_a").join(side("b"), "key_b")
-    across = met.select("ids_a", "texts_a", "ids_b", "texts_b").mapInArrow(open_groups(size, percent), LINKS)
-    return ids, classes, inner.unionByName(materialise(homes, "links")).unionByName(materialise(across, "links"))
+    members = fetched(rows, placed.where("chunks > 0").select("doc_id", "text_hash", "family", "chunk", "chunks"))
+    chunked = members.select("doc_id", "family", "chunk", "packed_text")
+    if not every:
+        pivots = members.where("chunks > 1 and chunk = 0").groupBy("family").agg(F.slice(F.array_sort(F.collect_set("doc_id")), 1, PIVOTS).alias("ids")).select(F.explode("ids").alias("doc_id"))
+        chunked = chunked.unionByName(members.join(grown(pivots), "doc_id").select("doc_id", "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "packed_text"))
+    inner = materialise(chunked.groupBy("family", "chunk").applyInArrow(join_group(size, percent, every), LINKS), "links")
+    local = components(edges_of(inner))
+
+    # The matrix: what one component has in one chunk is a group, every other document a group of its own.
+    root = local.select(F.col("id").alias("doc_id"), "component")
+    spots = placed.join(grown(root), "doc_id", "left").select("doc_id", "text_hash", "n", "prefix", F.coalesce("component", "doc_id").alias("key"), F.when(F.col("component").isNull(), -1).otherwise(F.col("chunk")).alias("chunk"), F.col("component").isNotNull().alias("grouped"))
+    tokens = spots.select("key", "chunk", "grouped", "n", F.explode("prefix").alias("token"))
+    ends = (F.min("n").alias("least"), F.max("n").alias("most"))
+    single = tokens.where("not grouped").select("token", "key", "chunk", "grouped", F.col("n").alias("least"), F.col("n").alias("most"))
+    several = tokens.where("grouped").groupBy("token", "key", "chunk", "grouped").agg(*ends)
+    wholes = tokens.where("grouped").groupBy("token", "key", "grouped").agg(*ends)
+    bounded = materialise(bounded_pairs(single.unionByName(several), single.drop("chunk").unionByName(wholes), percent), "bounded")
+    pairs = materialise(group_pairs(bounded), "pairs")
+    named = pairs.select(F.col("key_a").alias("key"), F.col("chunk_a").alias("chunk")).union(pairs.select("key_b", "chunk_b")).distinct()
+    store = fetched(rows, spots.select("doc_id", "text_hash", "key", "chunk").join(grown(named), ["key", "chunk"], "left_semi"))
+
+    def opened(some: DataFrame) -> DataFrame:
+        """Links of the pairs of groups in ``some``; a group has at most a chunk's members."""
+        use = some.select(F.col("key_a").alias("key"), F.col("chunk_a").alias("chunk")).union(some.select("key_b", "chunk_b")).distinct()
+        blocks = store.join(grown(use), ["key", "chunk"], "left_semi").groupBy("key", "chunk").agg(F.collect_list(F.struct("doc_id", "packed_text")).alias("m")).select("key", "chunk", F.col("m.doc_id").alias("ids"), F.col("m.packed_text").alias("texts"))
+        side = lambda k: grown(blocks.select(*(F.col(c).alias(f"{c}_{k}") for c in ("key", "chunk", "ids", "texts"))))
+        met = some.join(side("a"), ["key_a", "chunk_a"]).join(side("b"), ["key_b", "chunk_b"])
+        return materialise(met.select("ids_a", "texts_a", "ids_b", "texts_b").mapInArrow(open_groups(size, percent, every), LINKS), "links")
+
+    if every:
+        return inner.unionByName(opened(pairs))
+    # First each group with one partner; then the pairs that this has not joined. All of a group is one component.
+    first = pairs.groupBy("key_b", "chunk_b").agg(F.min(F.struct("key_a", "chunk_a")).alias("s")).select("s.key_a", "s.chunk_a", "key_b", "chunk_b")
+    links = inner.unionByName(opened(first))
+    roots = components(edges_of(links)).select(F.col("id").alias("key"), "component")
+    joined = pairs.join(grown(first), ["key_a", "chunk_a", "key_b", "chunk_b"], "left_anti")
+    for k in "ab":
+        joined = joined.join(grown(roots.select(F.col("key").alias(f"key_{k}"), F.col("component").alias(f"root_{k}"))), f"key_{k}", "left")
+    rest = materialise(joined.where(F.coalesce("root_a", "key_a") != F.coalesce("root_b", "key_b")).select(pairs.columns), "pairs")
+    return links if rest.isEmpty() else links.unionByName(opened(rest))
 
 
 def similarity_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(links, members): all links (a, b), a < b, between the ids that stand for different sets, and (doc_id, n_shingles, class_id).
+    """(links, members): (a, others), the larger ids that an id which stands for its set links with, and (doc_id, n_shingles, class_id).
 
-    Documents of one ``class_id`` have equal sets; those without words are classes of their own and link with nothing.
+    Each link between different sets is there once; an id may have several rows. Documents of one ``class_id``
+    have equal sets; those without words are classes of their own and link with nothing.
     """
-    ids, classes, links = class_links(docs, doc_id, text, size, percent)
-    members = ids.join(classes.withColumnRenamed("doc_id", "class_id"), "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return links.select("a", "b"), members
+    rows, ids, copies = sets_of(docs, doc_id, text, size, percent)
+    links = class_links(rows, ids, copies, size, percent, every=True)
+    members = ids.join(grown(copies), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return links.select("a", "others"), members
 
 
 def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
     """(doc_id, n_links): with how many other documents each one links, those with an equal set among them."""
     sizes = members.groupBy("class_id").agg(F.count("*").alias("size"))
-    both = links.select(F.col("a").alias("class_id"), F.col("b").alias("other")).union(links.select("b", "a"))
-    near = both.join(sizes.select(F.col("class_id").alias("other"), "size"), "other").groupBy("class_id").agg(F.sum("size").alias("near"))
-    counts = sizes.join(near, "class_id", "left").select("class_id", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    return members.join(counts, "class_id").select("doc_id", "n_links")
+    pairs = links.select("a", F.explode("others").alias("b"))
+    both = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    near = both.join(grown(sizes.select(F.col("class_id").alias("other"), "size")), "other").groupBy("class_id").agg(F.sum("size").alias("near"))
+    counts = sizes.join(grown(near), "class_id", "left").select("class_id", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return joined_by_key(members, "class_id", "doc_id", counts).select("doc_id", "n_links")
 
 
 def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest id reachable by links of at least ``percent`` % similarity."""
-    ids, classes, links = class_links(docs, doc_id, text, size, percent)
-    reached = components(links.where("tree"))
-    best = classes.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component"))
-    return ids.join(best, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    """(doc_id, n_shingles, component_id): the smallest id reachable by links of at least ``percent`` % similarity.
+
+    ``n_rows`` and ``text_hash`` tell how many rows have the id, and the text (its xxhash64) that counts for it.
+    """
+    rows, ids, copies = sets_of(docs, doc_id, text, size, percent)
+    reached = components(edges_of(class_links(rows, ids, copies, size, percent, every=False)))
+    far = joined_by_key(copies, "class_id", "doc_id", reached.select(F.col("id").alias("class_id"), "component"))
+    found = reached.withColumnRenamed("id", "doc_id").unionByName(far.select("doc_id", F.coalesce("component", "class_id").alias("component")))
+    return ids.join(grown(found), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "n_rows", "text_hash")
 
 
 def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` by 90 % similarity of three-word shingles."""
-    return similarity_components(table(spark, sf_dir, "documents"))
+    return similarity_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
