@@ -1,10 +1,17 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read again.
 
 1. toxicity: documents that the pattern grammar rejects go.
-2. near_duplicates: of documents joined by links of 80 % of five-word shingles the one with the smallest id stays.
+2. near_duplicates: of documents joined by links of 80 % of five-word shingles the one with the smallest id stays,
+   and of the rows that repeat its id one (of the text that counts for the id the row with the smallest hash).
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: secrets are masked; every document stays and ``n_chars`` follows its text.
 5. tokens: token ids of every text, and whether they decode to it.
+
+Null and empty texts are clean documents: they pass every stage, a null text stays null until the last one, where it
+has no ids. Documents without an id are compared with no other and stay. Without labels the seeds of the grammar
+decide; without benchmark items nothing leaks; an empty table of documents gives an empty result. Extra columns of
+``documents``, whatever their names, are carried to the last stage, which returns its own columns only; extra columns
+of ``labels`` and ``benchmark`` are ignored.
 """
 
 from __future__ import annotations
@@ -13,9 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodspark.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from moodspark.llm.common import materialise, table
+from moodspark.llm.common import grown, materialise, table
 
 REJECT_FROM = 0.7
+#: Ids that may be broadcast, a few MB; more are merged.
+MOST_BROADCAST = 200_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A side of a join that is broadcast only after its rows are counted."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else grown(ids)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +39,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard.similarity_components(docs, size=5, percent=80)
-    copies = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    classes = materialise(jaccard.similarity_components(docs, size=5, percent=80), "components")
+    first = F.col("doc_id") == F.col("component_id")
+    repeats = classes.where(first & (F.col("n_rows") > 1)).select("doc_id", F.col("text_hash").alias("__kept"))
+    if repeats.isEmpty():
+        return docs.join(bounded(classes.where(~first).select("doc_id")), "doc_id", "left_anti").select(*columns)
+    gone = classes.where(~first | (F.col("n_rows") > 1)).select("doc_id")
+    one = docs.join(bounded(repeats), "doc_id").where(F.xxhash64("text") == F.col("__kept"))
+    one = one.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row")).select("__row.*")
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*columns).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
