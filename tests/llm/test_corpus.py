@@ -207,6 +207,31 @@ def test_pipeline(spark, tmp_path):
     assert masked.text == "[ASSIGN] is set" and masked.n_chars == len(masked.text)
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_pipeline_hard_rows(spark, tmp_path, hard_texts, monkeypatch, most):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "MOST_BROADCAST", most)
+    texts = [t if t is None or len(t) < 50_000 else t[:50_000] for t in hard_texts]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "one"), (3, "one"), (0, None), (1, "later"), (None, "no id"), (None, "no id"), (5, texts[5])]
+    frame = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = {"component_id": F.lit(1), "n_rows": F.lit("x"), "token": F.lit(2.5), "score": F.lit(0), "item_id": F.lit(None).cast("int")}
+    frame.repartition(3).withColumns(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").withColumn("doc_id", F.lit(3)).write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert kept.columns == [*frame.columns, *extra]
+    ids = sorted((r.doc_id for r in kept.collect()), key=str)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in out), key=str) == ids
+    assert ids.count(None) == 2 and all(ids.count(i) == 1 for i in (0, 1, 2, 3, 5)) and not {4, 6, 7, 8} & set(ids)
+    assert all(r.decodes for r in out)
+    spark.read.parquet(f"{tmp_path}/documents.parquet").where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
