@@ -1,12 +1,15 @@
 """Substring deduplication with super-k-mers of words.
 
-A window is ``k`` consecutive words of one document. Its minimiser is the run of
-``m`` words in it with the smallest hash; consecutive windows with the same
-minimiser travel as one packed string to the minimiser's bucket. There all
-windows are sorted by a hash of their words and those that are equal word by
-word are counted exactly: each but the earliest is removed. Within a task equal
-packed strings travel once, so the copies of a hot passage are gathered before
-the shuffle.
+A window is ``k`` consecutive words of one document. Its minimiser is the rarest run of
+``m`` words in it, by counters over all documents, and of equally rare ones that with
+the smallest hash; consecutive windows with the same minimiser travel as one packed
+string to the minimiser's bucket. There all windows are sorted by a hash of their words
+and those that are equal word by word are counted exactly: each but the earliest is
+removed. Within a task equal packed strings travel once, so the copies of a hot passage
+are gathered before the shuffle.
+
+A window whose every run is hot has a hot minimiser, which would send all its contexts to
+one bucket. Such windows travel singly, to the bucket of a hash of their words.
 
 Words are separated by white space and kept as they are. Null, empty and
 shorter texts have no windows. Rows that repeat an id and a text hold the same
@@ -17,18 +20,24 @@ out. An empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, table
+from moodspark.llm.common import bound_batches, grown, table
 from moodspark.llm.packing import by_bucket, compressed, expand, restored, run_hashes, spread_out, squeeze, text_bytes, window_hashes_of
+from moodspark.llm.sketch import frequency_classes, slots_for
 
 SEPARATES = np.zeros(256, dtype=bool)
 SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
+#: A run of words that occurs more often than this, and than four times the mean of the counters, is hot.
+HOT_RUNS = 20_000
+PARTITION_BYTES = 64 << 20
 SPANS = "doc_id long, first long, last long"
 
 
@@ -50,28 +59,64 @@ def normalised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return joined, new_starts, new_starts + sizes, owner
 
 
-def super_kmers(words: np.ndarray, owner: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, minimiser hash) of the maximal runs of windows that share a minimiser in place."""
+@dataclass(frozen=True)
+class Rarity:
+    """The frequency class of each counter of runs of words, and the class from which they are hot."""
+
+    classes: np.ndarray
+    hot: int
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return self.classes[(grams & np.uint64(len(self.classes) - 1)).astype(np.int64)]
+
+
+def rarity(docs: DataFrame, m: int, slots: int) -> Rarity:
+    def runs(batch: pa.RecordBatch) -> np.ndarray:
+        joined, starts, ends, _ = normalised(encoded(batch.column(1).to_pylist()))
+        return window_hashes_of(run_hashes(joined, starts, ends), m)
+
+    classes, mean = frequency_classes(docs, runs, slots)
+    return Rarity(classes, math.ceil(math.log2(max(HOT_RUNS, 4 * mean))) + 1)
+
+
+def encoded(texts: list) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def super_kmers(words: np.ndarray, owner: np.ndarray, k: int, m: int, rare: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, hash that deals them out) of the maximal runs of windows that share a minimiser in place.
+
+    Windows with a hot minimiser are runs of their own.
+    """
     if len(words) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = window_hashes_of(words, m)
     width = k - m + 1
-    best = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(words) - k + 1)
+    classes = rare.of(grams)
+    order = (classes.astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
+    best = np.lib.stride_tricks.sliding_window_view(order, width).argmin(axis=1) + np.arange(len(words) - k + 1)
     valid = owner[: len(words) - k + 1] == owner[k - 1 :]
     window = np.flatnonzero(valid)
     if not len(window):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     place = best[window]
-    new = np.concatenate([[True], (np.diff(place) != 0) | (np.diff(window) != 1)])
+    hot = classes[place] >= rare.hot
+    new = np.concatenate([[True], (np.diff(place) != 0) | (np.diff(window) != 1)]) | hot
     first = np.flatnonzero(new)
     counts = np.diff(np.concatenate([first, [len(window)]]))
-    return window[first], counts, grams[place[first]]
+    deal = grams[place[first]]
+    if hot.any():
+        single = hot[first]
+        deal = np.where(single, window_hashes_of(words, k)[window[first]], deal)
+    return window[first], counts, deal
 
 
-def partition(docs: DataFrame, k: int, m: int, buckets: int, flush_bytes: int) -> DataFrame:
+def partition(docs: DataFrame, k: int, m: int, buckets: int, flush_bytes: int, rare: Rarity) -> DataFrame:
     """(bucket, kind, block): blocks of packed strings (kind 0), and of windows that a task itself found to repeat (kind 1)."""
+    shared = docs.sparkSession.sparkContext.broadcast(rare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = shared.value
         held: list[tuple[bytes, int, int, int, int]] = []
         size = turn = 0
 
@@ -104,10 +149,10 @@ def partition(docs: DataFrame, k: int, m: int, buckets: int, flush_bytes: int) -
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            texts = encoded(batch.column(1).to_pylist())
             joined, starts, ends, owner = normalised(texts)
             words = run_hashes(joined, starts, ends)
-            first, counts, keys = super_kmers(words, owner, k, m)
+            first, counts, keys = super_kmers(words, owner, k, m, rare)
             raw = joined.tobytes()
             begins = np.searchsorted(owner, np.arange(len(ids)))
             left = starts[first].tolist()
@@ -201,8 +246,12 @@ def _settle(joined, left, right, hashes, of, ids, start, order) -> np.ndarray:
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 20, m: int = 3, bucket_bytes: int = 8 << 20, flush_bytes: int = 12 << 20) -> DataFrame:
     """(doc_id, first, last): spans of words whose windows also start earlier. Spans may overlap."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    buckets = max(1, 3 * text_bytes(rows) // bucket_bytes)
-    return partition(rows, k, m, buckets, flush_bytes).groupBy("bucket").applyInArrow(count_bucket(k), SPANS)
+    size = text_bytes(rows)
+    buckets = max(1, 3 * size // bucket_bytes)
+    packed = partition(rows, k, m, buckets, flush_bytes, rarity(rows, m, slots_for(size)))
+    # Partitions follow the bytes, so that a task's share stays the same.
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * size // PARTITION_BYTES)
+    return packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count_bucket(k), SPANS)
 
 
 def marked(intervals: list | None, n: int) -> np.ndarray:
@@ -219,7 +268,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per document: ``n_words``, ``n_removed``, ``kept_sha256`` and, if asked for, ``kept_text``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     spans = repeated_spans(rows, "doc_id", "text", **options).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    joined = compressed(rows).join(spans, "doc_id", "left").select("doc_id", "packed_text", "spans")
+    joined = compressed(rows).join(grown(spans), "doc_id", "left").select("doc_id", "packed_text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     labels = [c.split()[0] for c in schema.split(", ")]
 

@@ -65,6 +65,40 @@ def test_super_kmers(documents, hard_texts, seed):
     assert got == plain_kept_words(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("hot", [5, 20_000])
+def test_super_kmers_with_a_run_in_every_window(documents, monkeypatch, hot):
+    """A run of three words everywhere, alone and inside a common line; hot or not, the windows are counted exactly."""
+    monkeypatch.setattr(superkmers, "HOT_RUNS", hot)
+    rng = random.Random(9)
+    line = words(77, 30)
+    texts = []
+    for i in range(60):
+        body = []
+        while len(body) < 150:
+            body += ["of", "the", "day", *words(rng.random(), rng.randint(1, 4), 30)]
+        texts.append(" ".join([*body, *line, *body[:40]] if i % 2 else [*line, *body]))
+    df = superkmers.remove_repeats(documents(texts, 4), flush_bytes=4000, bucket_bytes=3000)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()} == plain_kept_words(list(enumerate(texts)))
+
+
+def test_hot_minimisers_are_dealt_out():
+    import numpy as np
+
+    from moodspark.llm.packing import window_hashes_of
+
+    numbers = np.arange(2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    numbers[::3] = 7
+    grams = window_hashes_of(numbers, 1)
+    classes = np.zeros(1 << 16, dtype=np.uint8)
+    classes[(grams & np.uint64(0xFFFF)).astype(int)] = 1
+    classes[int(grams[0] & np.uint64(0xFFFF))] = 20
+    owner = np.zeros(2000, dtype=np.int64)
+    _, counts, deal = superkmers.super_kmers(numbers, owner, 20, 1, superkmers.Rarity(classes, 18))
+    assert counts.sum() == 1981 and not (deal == grams[0]).any()
+    first, counts, deal = superkmers.super_kmers(numbers, owner, 20, 1, superkmers.Rarity(np.full(1 << 16, 20, np.uint8), 18))
+    assert counts.tolist() == [1] * 1981 and len(set(deal.tolist())) == 1981
+
+
 def test_super_kmers_repeated_rows_and_missing_ids(documents, spark):
     text = " ".join(words(5, 40))
     docs = documents([(1, text), (1, text), (2, "short")]).unionByName(spark.sql("SELECT CAST(NULL AS LONG) doc_id, 'a' text, '' lang, '' source, 1L n_chars"))
