@@ -13,8 +13,9 @@ one bucket. Such windows travel singly, to the bucket of a hash of their words.
 
 Words are separated by white space and kept as they are. Null, empty and
 shorter texts have no windows. Rows that repeat an id and a text hold the same
-positions, none of which is earlier than the other; rows without an id are left
-out. An empty table gives an empty result; extra columns are ignored.
+positions, none of which is earlier than the other; different texts of one id are
+not told apart, what is removed at a place of one is removed there in all. Rows
+without an id are left out. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -259,8 +260,9 @@ def marked(intervals: list | None, n: int) -> np.ndarray:
     steps = np.zeros(n + 1, dtype=np.int32)
     if intervals:
         pairs = np.array([(i["first"], i["last"]) for i in intervals], dtype=np.int64)
+        pairs = np.minimum(pairs + [0, 1], n)
         np.add.at(steps, pairs[:, 0], 1)
-        np.add.at(steps, pairs[:, 1] + 1, -1)
+        np.add.at(steps, pairs[:, 1], -1)
     return np.cumsum(steps[:n]) > 0
 
 

@@ -105,13 +105,16 @@ def test_super_kmers_repeated_rows_and_missing_ids(documents, spark):
     got = sorted((r.doc_id, r.n_removed) for r in superkmers.remove_repeats(docs).collect())
     assert got == [(1, 0), (1, 0), (2, 0)]
     assert superkmers.remove_repeats(documents([])).count() == 0
+    long = " ".join(words(6, 90))
+    mixed = documents([(1, long), (1, "short"), (0, long), (0, None)])
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in superkmers.remove_repeats(mixed).collect()) == [(0, 0, 0), (0, 90, 0), (1, 1, 1), (1, 90, 90)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_prefix_doubling(documents, hard_texts, seed, monkeypatch):
     monkeypatch.setattr(doubling, "PIECE", 700)
     texts = [t if t is None or len(t) < 20_000 else t[:5000] for t in hard_texts] + passages(seed)
-    df = doubling.remove_repeats(documents(texts, 5, ["1 AS first"]), flush_rows=50, bucket_bytes=2000)
+    df = doubling.remove_repeats(documents(texts, 5, ["1 AS first"]), flush_rows=50)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
     assert got == plain_kept_bytes(list(enumerate(texts)))
 
@@ -123,6 +126,20 @@ def test_prefix_doubling_edges(documents):
     text = "".join(words(5, 90))
     got = [(r.n_removed, bytes(r.kept).decode()) for r in doubling.remove_repeats(documents([(1, text), (1, text)])).collect()]
     assert got == [(0, text)] * 2
+    mixed = documents([(1, text), (1, "short"), (0, text), (0, None)])
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in doubling.remove_repeats(mixed).collect()) == [(0, 0, 0), (0, len(text), len(text)), (1, 5, 5), (1, len(text), len(text))]
+
+
+def test_prefix_doubling_of_one_rank_everywhere(documents):
+    """A line of 150 bytes in every document, between words of its own, and one of 260 bytes that repeats in full."""
+    rng = random.Random(3)
+    line, long = " ".join(words(11, 200))[:150], " ".join(words(12, 200))[:260]
+    texts = []
+    for _ in range(80):
+        own = lambda n: " ".join(f"q{rng.randrange(10**9)}" for _ in range(n))
+        texts.append(f"{own(12)} {line} {own(15)} {rng.choice([line, long])} {own(9)}")
+    df = doubling.remove_repeats(documents(texts, 6), flush_rows=30)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()} == plain_kept_bytes(list(enumerate(texts)))
 
 
 def test_blocks_come_back():
