@@ -19,7 +19,7 @@ SONGS = [("The Beatles", "Hey Jude", 1968), ("Michael Jackson", "Billie Jean", 1
 
 def test_config(tmp_path):
     path = tmp_path / "c.yaml"
-    path.write_text(yaml.safe_dump({"data": {"start_year": 1970, "end_year": 1980, "unknown": 1}, "analysis": {"energy_level": {"bins": [0.1, 0.5]}}}))
+    path.write_text(yaml.safe_dump({"data": {"start_year": 1970, "end_year": 1980}, "analysis": {"energy_level": {"bins": [0.1, 0.5]}}}))
     config = load_config(path, end_year=1975)
     assert (config.data.start_year, config.data.end_year, config.analysis.bins) == (1970, 1975, (0.1, 0.5))
     assert len(config.digest()) == 8 and config.digest() != Config().digest()
@@ -32,6 +32,42 @@ def test_config(tmp_path):
             from_mapping(bad)
 
 
+FULL_CONFIG = """
+dataset:
+  sample_start_year: 1990
+  sample_end_year: 2005
+  decade_filter: 1990s
+  decade_buckets:
+    - {label: 1990s, start: 1990, end: 1999, non_standard: false}
+    - {label: 2000s, start: 2000, end: 2009, non_standard: false}
+lyrics: {cache_dir: cache/lyrics, min_token_threshold: 40, partial_token_threshold: 150, genius_sleep_time: 0.5, genius_max_retries: 3}
+preprocessing: {chorus_tier1_tag_pattern: "x", chorus_tier2_min_repetitions: 3, chorus_tier2_min_tokens: 6, chorus_tier3_model: m, chorus_max_tokens: 200}
+analysis:
+  energy_level: {bins: [0.2, 0.4]}
+  emotion_model: a
+  theme_model: b
+  jungian_model: c
+  jungian_inter_batch_sleep: 0.5
+  jungian_valid_stages: [shadow, persona]
+cultural_metrics: {normalization: minmax_within_decade, feature_vector: [sentiment_score], top_resonance_songs_per_decade: 7}
+cmi: {weight_sentiment: 1.0, min_coverage_pct: 0.5}
+output: {output_dir: o, save_visualizations: false, visualization_format: png, visualization_scale: 1.0, report_format: html, log_level: DEBUG}
+"""
+
+
+def test_config_in_all_sections(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text(FULL_CONFIG)
+    config = load_config(path)
+    assert (config.data.start_year, config.data.end_year, config.data.decade_filter, [b.label for b in config.data.decade_buckets]) == (1990, 2005, "1990s", ["1990s", "2000s"])
+    assert (config.lyrics.min_token_threshold, config.analysis.bins, config.analysis.jungian_inter_batch_sleep, config.cultural_metrics.top_resonance_songs_per_decade) == (40, (0.2, 0.4), 0.5, 7)
+    assert config.cmi.coverage_threshold == 0.5 and sum(config.cmi.weights.values()) == pytest.approx(1) and config.cmi.weights["sentiment"] == pytest.approx(1 / 1.75)
+    assert load_config(path, start_year=1995, end_year=1996).data.start_year == 1995
+    for bad in ({"dataset": {"first_year": 1}}, {"datasets": {}}, {"dataset": {}, "data": {}}, {"analysis": {"energy_level": {"edges": []}}}, {"cmi": {"weight_other": 1}}, {"analysis": {"emotion_batch_size": 0}}, {"output": 3}, {"analysis": {"theme_threshold": 2}}):
+        with pytest.raises(ConfigError):
+            from_mapping(bad)
+
+
 def test_schema_violations(spark):
     rows = [("0123456789abcdef", "1.5", "3"), ("bad id", "0.5", "6"), ("0123456789abcdef", "x", None), (None, None, "2")]
     df = spark.createDataFrame(rows, "song_id string, sentiment_score string, energy_level string")
