@@ -11,13 +11,16 @@ from moodspark.llm.common import grown, materialise
 def hooked(edges: DataFrame) -> DataFrame:
     """(id, component): the root of every id of ``edges`` once each id has hooked to its smallest neighbour, if that is smaller.
 
-    Roots are found by pointer jumping, in a number of steps that grows with the logarithm of the longest path to a root.
+    Roots are found by pointer jumping, two jumps for each table that is written, in a number of steps that grows
+    with the logarithm of the longest path to a root.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), "labels")
     while True:
         parents = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        jumped = materialise(labels.join(grown(parents), "component").select("id", F.col("far").alias("component"), (F.col("far") < F.col("component")).alias("changed")), "labels")
+        once = labels.join(grown(parents), "component").select("id", F.col("component").alias("before"), F.col("far").alias("component"))
+        twice = once.join(grown(parents), "component").select("id", F.col("far").alias("component"), (F.col("far") < F.col("before")).alias("changed"))
+        jumped = materialise(twice, "labels")
         labels = jumped.select("id", "component")
         if jumped.where("changed").isEmpty():
             return labels

@@ -286,7 +286,6 @@ def wanted_only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``wanted``, which name a document's id and text hash, with the compressed texts."""
-    wanted = materialise(wanted, "wanted")
     return materialise(wanted_only(rows, wanted).join(grown(wanted), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"]).drop("text_hash"), "texts")
 
 
@@ -340,7 +339,7 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
 
     # Large families are compared in chunks; for components the chunks share pivots.
     families = alone.groupBy("family").agg(F.count("*").alias("members")).where(F.col("members") > LARGE)
-    placed = alone.join(grown(families), "family", "left").select("doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix", "family", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(0)).cast("int").alias("chunks"))
+    placed = joined_by_key(alone, "family", "doc_id", families).select("doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix", "family", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(0)).cast("int").alias("chunks"))
     placed = materialise(placed.withColumn("chunk", F.when(F.col("chunks") > 0, F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(-1).cast("int")), "families")
     members = fetched(rows, placed.where("chunks > 0").select("doc_id", "text_hash", "family", "chunk", "chunks"))
     chunked = members.select("doc_id", "family", "chunk", "packed_text")
