@@ -84,8 +84,11 @@ def prompt_lines(df: DataFrame, batch: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(batch).agg(F.array_join(numbered, "\n").alias("prompt"))
 
 
-def complete(prompts: DataFrame, provider: Callable[[str], str], accept: Callable[[str, str], bool] = None, tries: int = 3, pause: float = 2.0, batch: str = "batch_id") -> DataFrame:
-    """Ask a chat provider once per batch, again while the reply is not accepted; null if it never is. Providers must be idempotent."""
+def complete(prompts: DataFrame, provider: Callable[[str], str], accept: Callable[[str, str], bool] = None, tries: int = 3, pause: float = 2.0, batch: str = "batch_id", between: float = 0.0) -> DataFrame:
+    """Ask a chat provider once per batch, again while the reply is not accepted; null if it never is. Providers must be idempotent.
+
+    ``between``: seconds that a task waits after each batch.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -103,6 +106,7 @@ def complete(prompts: DataFrame, provider: Callable[[str], str], accept: Callabl
                     if attempt < tries:
                         time.sleep(pause * attempt)
                 replies.append(reply)
+                time.sleep(between)
             yield pd.DataFrame({batch: part[batch], "reply": replies})
 
     return prompts.select(batch, "prompt").mapInPandas(run, f"{batch} long, reply string")

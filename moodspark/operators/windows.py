@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from moodspark.sources.files import checkpointed
+
 #: Cohorts that are broadcast at most; beyond, their means are joined by shuffle.
 MOST_BROADCAST = 10_000
 
@@ -31,21 +33,24 @@ def impute_cohort_mean(df: DataFrame, cohort: str, columns: Sequence[str], by_wi
 def batch_assign(df: DataFrame, size: int, order: Sequence[str], part: str | None = None, out: str = "batch_id") -> DataFrame:
     """Number rows into batches of ``size`` in order, within ``part`` or else over the whole input.
 
-    Over the whole input the rows are sorted by range and each range's rows are counted first, so
-    that no task numbers more than a range.
+    The rows are dealt out by ranges of ``part`` and order, sorted and written with their places, so that no task
+    numbers more than a range, however large a part is, and a lost executor changes no number. How many rows
+    of a part stand before a range is added up over ranges.
     """
-    if part is not None:
-        place = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-        return df.withColumn(out, F.floor((place - 1) / size).cast("long"))
-    ranged = df.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order)
+    by = [part] if part is not None else []
+    keys = [F.col(c) for c in [*by, *order]]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     # monotonically_increasing_id is the partition's number in the high bits and the row's place in the low 33.
-    placed = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn("__row", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = placed.cache()
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    # One row for each range of the sort.
-    joined = placed.join(F.broadcast(before), "__part")
-    return joined.withColumn(out, F.floor((F.col("__before") + F.col("__row")) / size).cast("long")).select(*df.columns, out)
+    numbered = ranged.withColumn("__id", F.monotonically_increasing_id())
+    placed = checkpointed(numbered.withColumns({"__range": F.shiftright("__id", 33), "__row": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id"))
+    sizes = placed.groupBy("__range", *by).agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("__range").alias("__of"), *(F.col(c).alias("__part") for c in by), (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    on = F.col("__range") == F.col("__of")
+    if part is not None:
+        on = on & F.col(f"`{part}`").eqNullSafe(F.col("__part"))
+    joined = placed.join(before, on)
+    return joined.withColumn(out, F.floor((F.col("__row") + F.col("__shift")) / size).cast("long")).select(*df.columns, out)
 
 
 def canonical_sort(df: DataFrame, column: str, order: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:

@@ -72,11 +72,19 @@ class TableSchema:
         found = F.filter(F.array(*cases), lambda x: x.isNotNull())
         return cast.select(F.explode(found).alias("f")).select("f.*")
 
-    def validate(self, df: DataFrame, sample: int = 100) -> DataFrame:
-        """The conformed rows; raises with a sample of the failure cases."""
+    def check(self, df: DataFrame, sample: int = 100) -> None:
+        """Raise with a sample of the failure cases, if there are any."""
         cases = self.violations(df).limit(sample).collect()
         if cases:
             raise SchemaError(self.name, [tuple(c) for c in cases])
+
+    def conforms(self, df: DataFrame) -> bool:
+        """Whether the columns and their types are the schema's already, so that casting would change nothing."""
+        return [(f.name, f.dataType.simpleString()) for f in self.conform(df).schema.fields] == [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+    def validate(self, df: DataFrame, sample: int = 100) -> DataFrame:
+        """The conformed rows; raises with a sample of the failure cases."""
+        self.check(df, sample)
         return self.conform(df)
 
 

@@ -1,7 +1,8 @@
 """The stages of a run: a registry, a sequential runner and a command line.
 
-Each stage reads its inputs as Parquet, gives one lazy plan, passes its gate and is written
-atomically; then its checkpoint is written. Only the runner knows checkpoints, so forcing forces.
+Each stage reads its inputs as Parquet and gives one lazy plan, which is written once, beside its
+target. Schema and gate look at the written rows; only what passes takes the target's place. Then the
+checkpoint is written. Only the runner knows checkpoints, so forcing forces.
 """
 
 from __future__ import annotations
@@ -12,20 +13,22 @@ import logging.handlers
 import sys
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moodspark.config import EMOTIONS, Config, ConfigError, load_config
 from moodspark.functions import replies, scores, text
 from moodspark.operators import aggregates, filters, index, joins, providers, sections, windows
 from moodspark.plans import charts, checkpoints, report
 from moodspark.plans.schemas import SCHEMAS, SchemaError
-from moodspark.sources import feed
-from moodspark.sources.files import MissingInputError, read_csv, require_path, write_atomic, write_text
+from moodspark.sources import cache, feed
+from moodspark.sources.files import MissingInputError, exists, read_csv, require_path, write_atomic, write_text
 
 log = logging.getLogger(__name__)
+TEXTS = "song_id string, lyrics string"
 
 
 @dataclass
@@ -37,10 +40,26 @@ class Run:
     root: str
     #: A function from prompt to reply, or None to leave every row unclassified.
     chat: Callable[[str], str] | None = None
+    #: A function from title and artist to a text or None, or None to take the texts of ``lyrics.csv``.
+    lookup: Callable[[str, str], str | None] | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    def kept(self, name: str, frame: DataFrame) -> DataFrame:
+        """The frame, written beside the stages' outputs and read back."""
+        write_atomic(frame, self.path(name))
+        return self.spark.read.schema(frame.schema).parquet(self.path(name))
+
+    def landed(self) -> DataFrame:
+        return feed.read_feed(self.spark, require_path(self.spark, self.path("landing"), "the fetcher"))
+
+    def covered(self, calendar: DataFrame, landed: DataFrame) -> None:
+        feed.enforce_feed_coverage(feed.feed_coverage(calendar, landed), self.config.data.fetch_coverage)
+
+    def texts(self) -> DataFrame:
+        return read_csv(self.spark, require_path(self.spark, self.path("lyrics.csv"), "the fetcher"), TEXTS)
+
     def read(self, name: str) -> DataFrame:
         maker = next((s.name for s in STAGES if s.output == name), "ingest")
         return self.spark.read.parquet(require_path(self.spark, self.path(name), maker))
@@ -52,14 +71,14 @@ class Stage:
     build: Callable[[Run], DataFrame]
     output: str
     schema: str | None = None
+    gate: Callable[[Run, DataFrame], object] | None = None
 
 
 def ingest(run: Run) -> DataFrame:
     """Landed weeks to canonical songs with ids and cohorts."""
     data = run.config.data
-    landed = feed.explode_weekly_feed(feed.read_feed(run.spark, require_path(run.spark, run.path("landing"), "the fetcher")))
-    calendar = feed.week_calendar(run.spark, data.start_year, data.end_year)
-    feed.enforce_feed_coverage(feed.feed_coverage(calendar, landed), data.fetch_coverage)
+    landed = feed.explode_weekly_feed(run.landed())
+    run.covered(feed.week_calendar(run.spark, data.start_year, data.end_year), landed)
     songs = aggregates.dedupe_canonical(landed, ("chart_date", "position"))
     buckets = [(b.label, b.start, b.end) for b in data.decade_buckets]
     year = F.year("first_chart_date").cast("long")
@@ -71,10 +90,19 @@ def ingest(run: Run) -> DataFrame:
 
 
 def lyrics(run: Run) -> DataFrame:
-    """Fetched texts with their quality; a song without a text is 'missing'."""
+    """Texts with their quality; a song without a text is 'missing'.
+
+    With a lookup, what the cache of records lacks is looked up and added to it before anything reads it;
+    without one, the texts come from a file that a fetcher has left.
+    """
     songs = run.read("metadata")
-    raw = read_csv(run.spark, require_path(run.spark, run.path("lyrics.csv"), "the fetcher"), "song_id string, lyrics string")
     rules = run.config.lyrics
+    if run.lookup is not None:
+        cached = run.path(rules.cache_dir)
+        cache.fill(songs, cached, run.lookup, tries=max(1, rules.genius_max_retries), pause=rules.genius_sleep_time)
+        raw = cache.read_cache(run.spark, cached).select("song_id", "lyrics")
+    else:
+        raw = run.texts()
     body = text.strip_header("lyrics")
     joined = joins.left_join_pruned(songs, raw, "song_id", ["lyrics"])
     return joined.withColumn("lyrics_raw", F.coalesce(body, F.lit(""))).drop("lyrics").withColumn("lyrics_quality", scores.quality_tier(text.token_count("lyrics_raw"), rules.min_token_threshold, rules.partial_token_threshold))
@@ -138,9 +166,7 @@ def layers(run: Run) -> DataFrame:
     spine = run.read("cleaned").drop("lyrics_raw")
     joined = joins.left_join_layers(spine, [(run.read("sentiment"), "_sent"), (run.read("emotion"), "_emo"), (run.read("themes"), "_thm"), (run.read("chorus").drop("chorus_text"), "_cho")], "song_id")
     joined = filters.fill_nulls(joined, {"chorus_detected": False, "chorus_method": "none", "chorus_token_count": 0})
-    merged = index.contrast(filters.filter_cohort(joined, "decade", run.config.data.decade_filter), run.config.analysis.bins)
-    index.enforce_coverage(merged, run.config.analysis.coverage_gate_threshold)
-    return merged
+    return index.contrast(filters.filter_cohort(joined, "decade", run.config.data.decade_filter), run.config.analysis.bins)
 
 
 def stage_labels(run: Run) -> DataFrame:
@@ -150,8 +176,10 @@ def stage_labels(run: Run) -> DataFrame:
         out = providers.without_provider(rows.select("song_id"))
     else:
         rules = run.config.analysis
-        batched = windows.batch_assign(rows, rules.jungian_batch_size, ["song_id"])
-        answers = providers.complete(providers.prompt_lines(batched, "batch_id", ["song_id"]), run.chat, tries=rules.jungian_max_retries)
+        # Each table is written before it is used twice: the provider is asked once a batch, and batches keep their numbers.
+        batched = run.kept("layer5.batches", windows.batch_assign(rows, rules.jungian_batch_size, ["song_id"]))
+        prompts = providers.prompt_lines(batched, "batch_id", ["song_id"])
+        answers = run.kept("layer5.answers", providers.complete(prompts, run.chat, tries=max(1, rules.jungian_max_retries), between=rules.jungian_inter_batch_sleep))
         records = replies.parse_replies(answers)
         met = replies.reconcile(batched.select("batch_id", "song_id"), records)
         out = met.select("song_id", F.coalesce("jung_stage", F.lit("unclassified")).alias("jung_stage"), "psychological_theme", "development_score")
@@ -161,9 +189,7 @@ def stage_labels(run: Run) -> DataFrame:
 def resonance(run: Run) -> DataFrame:
     rules = run.config.cmi
     joined = joins.left_join_pruned(run.read("layer4"), run.read("layer5"), "song_id", ["jung_stage", "development_score"])
-    scored = index.with_resonance(joined, weights=rules.weights, renormalise_missing=run.chat is None)
-    index.enforce_nonnull(scored, threshold=rules.coverage_threshold)
-    return scored
+    return index.with_resonance(joined, weights=rules.weights, renormalise_missing=run.chat is None)
 
 
 def mood_index(run: Run) -> DataFrame:
@@ -179,9 +205,9 @@ STAGES = (
     Stage("SENTIMENT", sentiment, "sentiment", "layer2_sentiment"),
     Stage("EMOTION", emotion, "emotion", "layer2_emotion"),
     Stage("THEMES", themes, "themes", "layer2_themes"),
-    Stage("CONTRAST", layers, "layer4", "layer4"),
+    Stage("CONTRAST", layers, "layer4", "layer4", lambda run, rows: index.enforce_coverage(rows, run.config.analysis.coverage_gate_threshold)),
     Stage("JUNGIAN", stage_labels, "layer5", "layer5"),
-    Stage("RESONANCE", resonance, "layer6", "layer6"),
+    Stage("RESONANCE", resonance, "layer6", "layer6", lambda run, rows: index.enforce_nonnull(rows, threshold=run.config.cmi.coverage_threshold)),
     Stage("CULTURAL_METRICS", mood_index, "decade_cmi", "decade_cmi"),
 )
 
@@ -203,10 +229,18 @@ def run_stage(run: Run, stage: Stage, force: bool = False) -> bool:
         log.info("%s: current, skipped", stage.name)
         return False
     began = time.monotonic()
-    frame = stage.build(run)
-    if stage.schema:
-        frame = SCHEMAS[stage.schema].validate(frame)
-    write_atomic(frame, output)
+
+    def check(rows: DataFrame) -> DataFrame | None:
+        """Validate what was written; rows whose types the schema changes are written anew from it."""
+        if stage.gate:
+            stage.gate(run, rows)
+        if stage.schema:
+            schema = SCHEMAS[stage.schema]
+            schema.check(rows)
+            return None if schema.conforms(rows) else schema.conform(rows)
+        return None
+
+    write_atomic(stage.build(run), output, check=check)
     checkpoints.mark(run.spark, output, stage.name, digest)
     log.info("%s: %.1f s", stage.name, time.monotonic() - began)
     return True
@@ -248,15 +282,44 @@ def run_all(run: Run, stages: Sequence[Stage], force: bool = False) -> int:
 
 
 def dry_run(run: Run, stages: Sequence[Stage]) -> int:
-    """Analyse the plans of stages whose inputs exist, without running them."""
+    """Analyse the plans of the stages without running them or asking a provider.
+
+    A stage whose inputs are not there yet is analysed over empty ones of their schemas.
+    """
+    planned = _Planned(run.spark, run.config, run.root)
     for stage in stages:
-        try:
-            stage.build(run).explain("formatted")
-        except MissingInputError as error:
-            log.info("%s: %s", stage.name, error)
+        frame = stage.build(planned)
+        planned.made[stage.output] = frame.schema
+        frame.explain("formatted")
     return OK
 
 
+@dataclass
+class _Planned(Run):
+    """A run whose missing inputs are empty; ``made`` has the schemas of the stages planned so far."""
+
+    made: dict[str, T.StructType] = field(default_factory=dict)
+
+    def read(self, name: str) -> DataFrame:
+        if exists(self.spark, self.path(name)):
+            return super().read(name)
+        if name in self.made:
+            return self.spark.createDataFrame([], self.made[name])
+        maker = next(s for s in STAGES if s.output == name)
+        log.info("%s: %s is not there, planned as empty", maker.name, name)
+        self.made[name] = maker.build(self).schema
+        return self.spark.createDataFrame([], self.made[name])
+
+    def landed(self) -> DataFrame:
+        return super().landed() if exists(self.spark, self.path("landing")) else self.spark.createDataFrame([], feed.FEED)
+
+    def texts(self) -> DataFrame:
+        return super().texts() if exists(self.spark, self.path("lyrics.csv")) else self.spark.createDataFrame([], TEXTS)
+
+    def covered(self, calendar: DataFrame, landed: DataFrame) -> None:
+        """Nothing is counted in a dry run."""
+
+
 def log_to(path: str | None, level: str) -> None:
     handlers: list[logging.Handler] = [logging.StreamHandler()]
     if path:

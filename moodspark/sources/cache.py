@@ -9,13 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodspark.sources.files import exists
+
 RECORD = "song_id string, lyrics string, status string"
 
 
+def fetched_path(path: str) -> str:
+    """Where records that were looked up are added, beside the folder of single files."""
+    return f"{path.rstrip('/')}.fetched"
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file per id; files that are empty or no JSON are misses."""
-    rows = spark.read.schema(RECORD + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull() & F.col("song_id").isNotNull()).drop("_bad")
+    """The records of a cache: one JSON file per id in ``path``, of which those that are empty or no JSON are misses, and what was looked up since.
+
+    Of records of one id, one with a text counts.
+    """
+    rows = spark.createDataFrame([], RECORD)
+    if exists(spark, path):
+        files = spark.read.schema(RECORD + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+        rows = files.where(F.col("_bad").isNull() & F.col("song_id").isNotNull()).drop("_bad")
+    if exists(spark, fetched_path(path)):
+        rows = rows.unionByName(spark.read.schema(RECORD).parquet(fetched_path(path)))
+    best = F.max(F.struct(F.col("lyrics").isNotNull().alias("has"), "lyrics", "status")).alias("r")
+    return rows.groupBy("song_id").agg(best).select("song_id", "r.lyrics", "r.status")
 
 
 def cache_hits(requested: DataFrame, cache: DataFrame, key: str = "song_id") -> DataFrame:
@@ -47,7 +63,18 @@ def fetch_missing(misses: DataFrame, provider: Callable[[str, str], str | None],
     return misses.select("song_id", "song_title", "artist").mapInPandas(run, RECORD)
 
 
-def read_through(requested: DataFrame, cache: DataFrame, provider: Callable[[str, str], str | None]) -> DataFrame:
+def read_through(requested: DataFrame, cache: DataFrame, provider: Callable[[str, str], str | None], tries: int = 3, pause: float = 0.5) -> DataFrame:
     """Cached records and newly fetched ones of all requested ids."""
     found = cache_hits(requested.select("song_id"), cache).select("song_id", "lyrics", "status")
-    return found.unionByName(fetch_missing(cache_misses(requested, cache), provider))
+    return found.unionByName(fetch_missing(cache_misses(requested, cache), provider, tries, pause))
+
+
+def fill(requested: DataFrame, path: str, provider: Callable[[str, str], str | None], tries: int = 3, pause: float = 0.5) -> DataFrame:
+    """Look up what the cache at ``path`` lacks and add the records to it; the cache as it then is.
+
+    Every requested id is asked for at most once over all runs, whatever came of it.
+    """
+    spark = requested.sparkSession
+    made = fetch_missing(cache_misses(requested.dropDuplicates(["song_id"]), read_cache(spark, path)), provider, tries, pause)
+    made.write.mode("append").parquet(fetched_path(path))
+    return read_cache(spark, path)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+LOCAL_CHECKPOINTS = "/tmp/checkpoints/moodspark"
+
+
 class MissingInputError(FileNotFoundError):
     """A required input is absent; the message names the stage that makes it."""
 
@@ -30,9 +34,18 @@ def require_path(spark: SparkSession, path: str, stage: str) -> str:
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A CSV file with a header and quoted line ends. The schema is explicit: ids of digits stay text."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, text: Sequence[str] = ()) -> DataFrame:
+    """A CSV file with a header and quoted line ends.
+
+    With a schema, ids of digits stay text. Without one the types are inferred from all rows, but for the columns
+    named in ``text``, which stay strings as they stand.
+    """
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    if schema is not None:
+        return reader.schema(schema).csv(path)
+    kinds = reader.option("inferSchema", True).csv(path).schema
+    pinned = T.StructType([T.StructField(f.name, T.StringType()) if f.name in text else f for f in kinds.fields])
+    return reader.schema(pinned).csv(path)
 
 
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -48,22 +61,46 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
 
 
-def write_atomic(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Write beside the target, then rename: a write that fails leaves the target as it was."""
+def write_atomic(df: DataFrame, path: str, kind: str = "parquet", check: Callable[[DataFrame], DataFrame | None] | None = None) -> None:
+    """Write beside the target, then rename: a write that fails leaves the target as it was.
+
+    ``check`` sees the written rows before they take the target's place: it raises to refuse them, and may give
+    other rows, made from the written ones, that take it instead. So ``df`` is computed once.
+    """
     spark = df.sparkSession
     fs, target = _fs(spark, path)
-    staging = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.staging-{uuid.uuid4().hex}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    staging, changed, old = (hadoop(f"{path}.{word}-{uuid.uuid4().hex}") for word in ("staging", "changed", "old"))
     try:
         df.write.format(kind).save(staging.toString())
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
+        ready = staging
+        other = check(spark.read.schema(df.schema).format(kind).load(staging.toString())) if check else None
+        if other is not None:
+            other.write.format(kind).save(changed.toString())
+            ready = changed
         if fs.exists(target):
             fs.rename(target, old)
-        if not fs.rename(staging, target):
+        if not fs.rename(ready, target):
             fs.rename(old, target)
             raise OSError(f"can't rename to {path}")
         fs.delete(old, True)
     finally:
         fs.delete(staging, True)
+        fs.delete(changed, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the folder of ``spark.checkpoint.dir``, which outlives executors.
+
+    A session on one machine may leave the folder unset; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
+        context.setCheckpointDir(root or LOCAL_CHECKPOINTS)
+    return df.checkpoint()
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

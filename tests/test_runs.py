@@ -1,5 +1,6 @@
 """Configuration, schemas, checkpoints, the stage runner and the stream, end to end on a small feed."""
 
+import dataclasses
 import json
 
 import pytest
@@ -103,6 +104,8 @@ def test_csv_trip(spark, tmp_path):
     files.write_csv(df, str(tmp_path / "c"), quote_all=True)
     assert files.read_csv(spark, str(tmp_path / "c"), "song_id string, lyrics string").collect() == df.collect()
     assert files.read_optional(spark, str(tmp_path / "none"), "a int").count() == 0
+    inferred = files.read_csv(spark, str(tmp_path / "c"), text=["song_id"])
+    assert inferred.collect() == df.collect() and files.read_csv(spark, str(tmp_path / "c")).dtypes[0] == ("song_id", "int")
     with pytest.raises(files.MissingInputError, match="STAGE"):
         files.require_path(spark, str(tmp_path / "none"), "STAGE")
 
@@ -190,11 +193,66 @@ def test_chat_provider(run):
         ids = re.findall(r"song_id=(\S+)", prompt)
         return json.dumps([{"song_id": i, "jung_stage": "shadow", "development_score": 3, "psychological_theme": "x"} for i in ids])
 
-    run.chat = chat
+    asked = run.spark.sparkContext.accumulator(0)
+
+    def counted(prompt):
+        asked.add(1)
+        return chat(prompt)
+
+    run.chat = counted
+    run.config = dataclasses.replace(run.config, analysis=dataclasses.replace(run.config.analysis, jungian_inter_batch_sleep=0.0, jungian_batch_size=2))
     assert stages.run_all(run, stages.STAGES) == stages.OK
+    assert asked.value == 3, "five songs in batches of two are three prompts, each asked once"
     assert {(r.jung_stage, r.development_score, r.jungian_quality_flag) for r in run.read("layer5").collect()} == {("shadow", 3, "high")}
 
 
+def test_a_stage_is_computed_once_and_checked_as_written(run):
+    computed = run.spark.sparkContext.accumulator(0)
+
+    def build(score):
+        @F.udf("double")
+        def counted(value):
+            computed.add(1)
+            return score
+
+        return lambda r: r.read("metadata").select("song_id", counted("song_id").alias("sentiment_score"), F.lit("3").alias("energy_level"))
+
+    one = stages.Stage("ONE", build(0.5), "one", "layer2_sentiment")
+    assert stages.run_stage(run, one) and computed.value == 5
+    rows = run.spark.read.parquet(run.path("one"))
+    assert dict(rows.dtypes) == {"song_id": "string", "sentiment_score": "double", "energy_level": "bigint"} and rows.count() == 5
+    with pytest.raises(SchemaError):
+        stages.run_stage(run, stages.Stage("ONE", build(7.5), "one", "layer2_sentiment"), force=True)
+    assert {r.sentiment_score for r in run.spark.read.parquet(run.path("one")).collect()} == {0.5}
+    strict = stages.Stage("ONE", build(0.5), "one", None, lambda r, staged: stages.index.enforce_nonnull(staged, "sentiment_score", 1.5))
+    with pytest.raises(stages.index.CoverageError):
+        stages.run_stage(run, strict, force=True)
+    import os
+
+    assert sorted(n for n in os.listdir(run.root) if "staging" in n or ".changed" in n or ".old" in n) == []
+
+
+def test_lookups_fill_the_cache_once(run, spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def lookup(title, artist):
+        asked.add(1)
+        if title == "Bad Guy":
+            raise OSError("offline")
+        return f"{title} Lyrics\nsome words to sing " * 20
+
+    looked = stages.Run(spark, from_mapping({"lyrics": {"cache_dir": "texts", "genius_sleep_time": 0, "genius_max_retries": 2}}), run.root, lookup=lookup)
+    got = {r.song_title: (r.lyrics_quality, r.lyrics_raw == "") for r in stages.lyrics(looked).collect()}
+    assert asked.value == 6 and got["Bad Guy"] == ("missing", True) and got["Hey Jude"] == ("full", False)
+    assert stages.lyrics(looked).count() == 5 and asked.value == 6
+
+
+def test_dry_run_plans_without_inputs(spark, tmp_path, capfd):
+    planned = stages.Run(spark, Config(), str(tmp_path / "none"))
+    assert stages.dry_run(planned, stages.STAGES) == stages.OK
+    assert not (tmp_path / "none").exists()
+
+
 def test_chat_failure_is_unclassified(spark):
     prompts = spark.createDataFrame([(0, "1. song_id=a | x")], "batch_id long, prompt string")
     got = providers.complete(prompts, lambda p: "[]", tries=2, pause=0).collect()
