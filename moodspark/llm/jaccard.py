@@ -13,8 +13,9 @@ search", 2007); the order is rare tokens first, by counters over all documents.
 Equal sets are one class: the smallest id stands for all. There are two ways to ask:
 
 * ``similarity_components`` wants the components only. All chunks of a family hold the same few
-  pivots, so its members join over them, and groups that are one component already are not
-  compared again. So a family's work grows with its members, not with their pairs, and no link
+  pivots, and every group is first compared with a leader, the first group of most of its
+  tokens; so copies join over these, and groups that are one component already are not
+  compared again. A family's work grows with its members, not with their pairs, and no link
   that could join two components is left out.
 * ``similarity_links`` wants every link between different sets. It opens every bounded pair of
   groups and gives a row for each set with the list of its links; ``link_counts`` counts them.
@@ -36,7 +37,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodspark.llm.common import bound_batches, grown, joined_by_key, materialise, smallest_of_key, table
@@ -249,39 +251,61 @@ def open_groups(size: int, percent: int, every: bool):
     return run
 
 
-def wanted_only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, packed_text) without most rows whose ``doc_id`` is not wanted, before their texts are shuffled.
+def place_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
 
-    The wanted ids are hashed into one bitmap of ``FILTER_BITS`` bits (4 MB), however many they are.
-    Rows that repeat an id and a text leave a task once.
-    """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
-    maps = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+
+def bitmap_of(values: DataFrame, column: str) -> Broadcast:
+    """The values hashed into one bitmap of ``FILTER_BITS`` bits (4 MB), however many they are."""
+    maps = values.select(place_of(column).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in maps:
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
         at = (r["bucket"] - 1) * len(part)
         bits[at : at + len(part)] = part
-    shared = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return values.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def in_bitmap(bits: np.ndarray, places: pa.Array) -> pa.Array:
+    at = places.to_numpy() - 1
+    return pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+
+
+def among(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Leave out most rows whose ``column`` is not among the values, without a shuffle."""
+    shared = bitmap_of(values, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shared.value, np.uint8)
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            kept = batch.filter(in_bitmap(bits, batch.column(batch.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=batch.schema.names[:-1])
+
+    return rows.withColumn("__place", place_of(column)).mapInArrow(run, rows.schema)
+
+
+def wanted_only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, packed_text) without most rows whose ``doc_id`` is not wanted, before their texts are shuffled.
+
+    Rows that repeat an id and a text leave a task once.
+    """
+    shared = bitmap_of(wanted, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
         press = zstandard.ZstdCompressor(level=3)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            at = batch.column(3).to_numpy() - 1
-            kept = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            batch = batch.filter(pa.array(kept))
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            batch = batch.filter(in_bitmap(bits, batch.column(3)))
             new = []
-            for key in keys:
+            for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 new.append(key not in seen)
                 seen.add(key)
             batch = batch.filter(pa.array(new, pa.bool_()))
             packed = [None if v is None else press.compress(v.encode("utf-8", "surrogatepass")) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "text_hash", "packed_text"])
 
-    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), place.alias("place")).mapInArrow(run, "doc_id long, text_hash long, packed_text binary")
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), place_of("doc_id").alias("place")).mapInArrow(run, "doc_id long, text_hash long, packed_text binary")
 
 
 def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -289,33 +313,27 @@ def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialise(wanted_only(rows, wanted).join(grown(wanted), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"]).drop("text_hash"), "texts")
 
 
-def bounded_pairs(groups: DataFrame, wholes: DataFrame, percent: int) -> DataFrame:
-    """(key_a, chunk_a, key_b, grouped_b): groups and components whose shared prefix tokens allow a link between their members.
+def sizes_fit(percent: int) -> Column:
+    """Whether some sets of ``a`` and ``b`` are near enough in size."""
+    return (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
+
 
-    ``groups`` has an entry for each token of each group, ``wholes`` one for each token of each component of groups,
-    so that the chunks of a large family meet one entry of another, and none of their own. Single documents meet once.
+def bounded_pairs(left: DataFrame, right: DataFrame, once: Column, by: list[str], percent: int) -> DataFrame:
+    """The distinct ``by`` of pairs whose shared prefix tokens allow a link between their members.
+
+    ``left`` and ``right`` have the token union of each group or set of groups, an entry a token, with the sizes of its
+    smallest and largest sets (``least``, ``most``). All columns but the token get the ending ``_a`` or ``_b``; ``once``
+    is a condition on them.
 
     If two sets link and one's prefix ends no later than the other's, all their common tokens in
     it are shared prefix tokens; the rest of it has ceil(t n) - 1 tokens. So they share at least
-    t / (1 + t) (n_a + n_b) - ceil(t max(n_a, n_b)) + 1 prefix tokens. Groups count with their
-    smallest and largest sets.
+    t / (1 + t) (n_a + n_b) - ceil(t max(n_a, n_b)) + 1 prefix tokens.
     """
-    left = groups.select("token", *(F.col(c).alias(f"{c}_a") for c in ("key", "chunk", "grouped", "least", "most")))
-    right = wholes.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "grouped", "least", "most")))
-    once = (F.col("grouped_a") & (F.col("key_a") != F.col("key_b"))) | (~F.col("grouped_a") & ~F.col("grouped_b") & (F.col("key_a") < F.col("key_b")))
-    fits = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
+    side = lambda df, k: df.select("token", *(F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "token"))
+    met = side(left, "a").join(grown(side(right, "b")), "token").where(once & sizes_fit(percent))
     sizes = (F.min("least_a").alias("low_a"), F.min("least_b").alias("low_b"), F.max(F.greatest("most_a", "most_b")).alias("high"))
-    met = left.join(grown(right), "token").where(once & fits).groupBy("key_a", "chunk_a", "key_b", "grouped_b").agg(F.count("*").alias("shared"), *sizes)
     need = F.ceil(F.lit(percent) * (F.col("low_a") + F.col("low_b")) / (100 + percent) - 1e-9) - F.ceil(F.lit(percent) * F.col("high") / 100 - 1e-9) + 1
-    return met.where(F.col("shared") >= need).select("key_a", "chunk_a", "key_b", "grouped_b")
-
-
-def group_pairs(bounded: DataFrame) -> DataFrame:
-    """(key_a, chunk_a, key_b, chunk_b): where both are large, the chunks that are bounded from either side."""
-    alone = bounded.where(~F.col("grouped_b")).select("key_a", "chunk_a", "key_b", F.lit(-1).alias("chunk_b"))
-    large = bounded.where("grouped_b")
-    back = large.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), F.col("chunk_a").alias("chunk_b"))
-    return alone.unionByName(large.where("key_a < key_b").drop("grouped_b").join(grown(back), ["key_a", "key_b"]).select("key_a", "chunk_a", "key_b", "chunk_b"))
+    return met.groupBy(*by).agg(F.count("*").alias("shared"), *sizes).where(F.col("shared") >= need).select(*by)
 
 
 def edges_of(links: DataFrame) -> DataFrame:
@@ -350,36 +368,67 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
     local = components(edges_of(inner))
 
     # The matrix: what one component has in one chunk is a group, every other document a group of its own.
+    # A group has the name of its smallest member, and a key that groups of one component share.
     root = local.select(F.col("id").alias("doc_id"), "component")
-    spots = placed.join(grown(root), "doc_id", "left").select("doc_id", "text_hash", "n", "prefix", F.coalesce("component", "doc_id").alias("key"), F.when(F.col("component").isNull(), -1).otherwise(F.col("chunk")).alias("chunk"), F.col("component").isNotNull().alias("grouped"))
-    tokens = spots.select("key", "chunk", "grouped", "n", F.explode("prefix").alias("token"))
-    ends = (F.min("n").alias("least"), F.max("n").alias("most"))
-    single = tokens.where("not grouped").select("token", "key", "chunk", "grouped", F.col("n").alias("least"), F.col("n").alias("most"))
-    several = tokens.where("grouped").groupBy("token", "key", "chunk", "grouped").agg(*ends)
-    wholes = tokens.where("grouped").groupBy("token", "key", "grouped").agg(*ends)
-    bounded = materialise(bounded_pairs(single.unionByName(several), single.drop("chunk").unionByName(wholes), percent), "bounded")
-    pairs = materialise(group_pairs(bounded), "pairs")
-    named = pairs.select(F.col("key_a").alias("key"), F.col("chunk_a").alias("chunk")).union(pairs.select("key_b", "chunk_b")).distinct()
-    store = fetched(rows, spots.select("doc_id", "text_hash", "key", "chunk").join(grown(named), ["key", "chunk"], "left_semi"))
-
-    def opened(some: DataFrame) -> DataFrame:
-        """Links of the pairs of groups in ``some``; a group has at most a chunk's members."""
-        use = some.select(F.col("key_a").alias("key"), F.col("chunk_a").alias("chunk")).union(some.select("key_b", "chunk_b")).distinct()
-        blocks = store.join(grown(use), ["key", "chunk"], "left_semi").groupBy("key", "chunk").agg(F.collect_list(F.struct("doc_id", "packed_text")).alias("m")).select("key", "chunk", F.col("m.doc_id").alias("ids"), F.col("m.packed_text").alias("texts"))
-        side = lambda k: grown(blocks.select(*(F.col(c).alias(f"{c}_{k}") for c in ("key", "chunk", "ids", "texts"))))
-        met = some.join(side("a"), ["key_a", "chunk_a"]).join(side("b"), ["key_b", "chunk_b"])
+    dealt = placed.where("chunks > 0").join(grown(root), "doc_id", "left")
+    joined = materialise(dealt.where("component is not null").select("doc_id", "text_hash", "n", "prefix", "component", "chunk"), "grouped")
+    named = joined.groupBy("component", "chunk").agg(F.min("doc_id").alias("group"))
+    several = joined.join(grown(named), ["component", "chunk"]).select("doc_id", "text_hash", "n", "prefix", "group", F.col("group" if every else "component").alias("key"))
+    ones = placed.where("chunks = 0").unionByName(dealt.where("component is null").select(placed.columns))
+    ones = ones.select("doc_id", "text_hash", "n", "prefix", F.col("doc_id").alias("group"), F.col("doc_id").alias("key"))
+    tokens = lambda df: df.select("group", "key", "n", F.explode("prefix").alias("token"))
+    ends = lambda c, d: (F.min(c).alias("least"), F.max(d).alias("most"))
+    entries = tokens(ones).select("token", "group", "key", F.col("n").alias("least"), F.col("n").alias("most")).unionByName(tokens(several).groupBy("token", "group", "key").agg(*ends("n", "n")))
+    # Only tokens of several groups matter from here on; the first group of each leads it.
+    lead = F.min(F.struct("group", "key", "least", "most")).alias("lead")
+    shared = materialise(entries.groupBy("token").agg(lead, F.count("*").alias("groups")).where("groups > 1").select("token", "lead"), "tokens")
+    entries = materialise(among(entries, "token", shared), "entries")
+    homes = ones.unionByName(several).select("doc_id", "text_hash", "group")
+
+    def opened(pairs: DataFrame, heads: bool = False) -> DataFrame:
+        """Links of the pairs of groups (group_a, group_b); with ``heads`` only a few members of group_a are looked at."""
+        use = pairs.select(F.col("group_a").alias("group")).union(pairs.select("group_b")).distinct()
+        store = fetched(rows, homes.join(grown(use), "group", "left_semi"))
+        members = F.array_sort(F.collect_list(F.struct("doc_id", "packed_text")))
+        blocks = materialise(store.groupBy("group").agg(members.alias("m")), "blocks")
+        side = lambda k, m: blocks.select(F.col("group").alias(f"group_{k}"), m["doc_id"].alias(f"ids_{k}"), m["packed_text"].alias(f"texts_{k}"))
+        head = F.slice("m", 1, PIVOTS) if heads else F.col("m")
+        met = joined_by_key(joined_by_key(pairs, "group_a", "group_b", side("a", head)), "group_b", "group_a", side("b", F.col("m")))
         return materialise(met.select("ids_a", "texts_a", "ids_b", "texts_b").mapInArrow(open_groups(size, percent, every), LINKS), "links")
 
     if every:
-        return inner.unionByName(opened(pairs))
-    # First each group with one partner; then the pairs that this has not joined. All of a group is one component.
-    first = pairs.groupBy("key_b", "chunk_b").agg(F.min(F.struct("key_a", "chunk_a")).alias("s")).select("s.key_a", "s.chunk_a", "key_b", "chunk_b")
-    links = inner.unionByName(opened(first))
-    roots = components(edges_of(links)).select(F.col("id").alias("key"), "component")
-    joined = pairs.join(grown(first), ["key_a", "chunk_a", "key_b", "chunk_b"], "left_anti")
+        plain = entries.drop("key")
+        pairs = bounded_pairs(plain, plain, F.col("group_a") < F.col("group_b"), ["group_a", "group_b"], percent)
+        return inner.unionByName(opened(materialise(pairs, "pairs")))
+
+    # First every group with one leader, that of most of its tokens: copies join without meeting pair by pair.
+    led = joined_by_key(entries.select(*(F.col(c) if c == "token" else F.col(c).alias(f"{c}_b") for c in entries.columns)), "token", "group_b", shared)
+    led = led.select("group_b", "key_b", "least_b", "most_b", *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("group", "key", "least", "most")))
+    votes = led.where((F.col("key_a") != F.col("key_b")) & sizes_fit(percent)).groupBy("group_b", "group_a").agg(F.count("*").alias("votes"))
+    first = votes.groupBy("group_b").agg(F.max_by("group_a", F.struct("votes", -F.col("group_a"))).alias("group_a"))
+    links = inner.unionByName(opened(materialise(first, "pairs"), heads=True))
+    reached = components(edges_of(links)).select(F.col("id").alias("group"), "component")
+    keyed = entries.drop("key").join(grown(reached), "group", "left")
+    loose = keyed.where("component is null").select("token", "group", "least", "most")
+    tied = keyed.where("component is not null").select("token", "group", F.col("component").alias("key"), "least", "most")
+    wholes = tied.groupBy("token", "key").agg(*ends("least", "most"))
+    # Loose groups meet once; tied ones meet loose ones and whole other components, so that one component's groups never meet.
+    alone = bounded_pairs(loose, loose, F.col("group_a") < F.col("group_b"), ["group_a", "group_b"], percent)
+    mixed = bounded_pairs(tied, loose, F.lit(True), ["group_a", "key_a", "group_b"], percent)
+    half = materialise(bounded_pairs(tied, wholes, F.col("key_a") != F.col("key_b"), ["group_a", "key_a", "key_b"], percent), "bounded")
+    back = half.select(F.col("group_a").alias("group_b"), F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))
+    both = half.where("key_a < key_b").join(grown(back), ["key_a", "key_b"])
+    columns = ["group_a", "key_a", "group_b", "key_b"]
+    pairs = alone.withColumns({"key_a": F.col("group_a"), "key_b": F.col("group_b")}).select(columns).unionByName(mixed.withColumn("key_b", F.col("group_b")).select(columns)).unionByName(both.select(columns))
+    pairs = materialise(pairs, "pairs")
+    # Of two components one pair of groups; then the pairs that this has not joined.
+    second = materialise(pairs.groupBy("key_a", "key_b").agg(F.min(F.struct("group_a", "group_b")).alias("s")).select("s.*"), "pairs")
+    links = links.unionByName(opened(second))
+    roots = components(edges_of(links)).select(F.col("id").alias("group"), "component")
+    rest = pairs.join(grown(second), ["group_a", "group_b"], "left_anti")
     for k in "ab":
-        joined = joined.join(grown(roots.select(F.col("key").alias(f"key_{k}"), F.col("component").alias(f"root_{k}"))), f"key_{k}", "left")
-    rest = materialise(joined.where(F.coalesce("root_a", "key_a") != F.coalesce("root_b", "key_b")).select(pairs.columns), "pairs")
+        rest = rest.join(grown(roots.select(F.col("group").alias(f"group_{k}"), F.col("component").alias(f"root_{k}"))), f"group_{k}", "left")
+    rest = materialise(rest.where(F.coalesce("root_a", "group_a") != F.coalesce("root_b", "group_b")).select("group_a", "group_b"), "pairs")
     return links if rest.isEmpty() else links.unionByName(opened(rest))
 
 
