@@ -11,7 +11,7 @@ from moodspark.functions import replies, scores, text
 from moodspark.operators import aggregates, filters, index, joins, providers, sections, windows
 from moodspark.plans.proxies import ENTRIES_SQL, ENTRY_ORDER, SONGS_SQL, entries, songs, table
 from moodspark.plans.schemas import Field, TableSchema
-from moodspark.sources import cache, feed
+from moodspark.sources import cache, feed, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,9 +92,90 @@ def cache_misses(spark, d):
     return cache.cache_misses(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id"), "doc_id")
 
 
+EVENT_SQL = "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, value FROM events"
+EVENTS = "event_id long, user_id string, event_type string, value double"
+
+
+def event_rows(spark, d):
+    return table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), "event_type", "value")
+
+
+@query("csv_round_trip", EVENT_SQL)
+def csv_round_trip(spark, d):
+    """Written with every field quoted and read with a schema, so that ids of digits stay text."""
+    files.write_csv(event_rows(spark, d), path := files.scratch(spark, "csv"), quote_all=True)
+    return files.read_csv(spark, path, EVENTS)
+
+
+@query("csv_inferred", "SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, value FROM events")
+def csv_inferred(spark, d):
+    """Types from the rows themselves, but for an id that is pinned to text."""
+    files.write_csv(event_rows(spark, d), path := files.scratch(spark, "csv"))
+    return files.read_csv(spark, path, text=["user_id"]).withColumn("event_id", F.col("event_id").cast("long"))
+
+
+@query("column_pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem")
+def column_pruned_scan(spark, d):
+    return files.read_columns(spark, f"{d}/lineitem.parquet", ["l_orderkey", "l_quantity"])
+
+
+@query("optional_source", "SELECT doc_id, quality FROM labels")
+def optional_source(spark, d):
+    """A table that is there and one that isn't, which adds no rows."""
+    there, absent = (files.read_optional(spark, f"{d}/{name}.parquet", "doc_id long, quality int") for name in ("labels", "no_such_table"))
+    return there.select("doc_id", "quality").unionByName(absent)
+
+
+@query("required_source", "SELECT r_regionkey, r_name FROM region")
+def required_source(spark, d):
+    return spark.read.parquet(files.require_path(spark, f"{d}/region.parquet", "the driver")).select("r_regionkey", "r_name")
+
+
+@query("atomic_sink", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
+def atomic_sink(spark, d):
+    """A second write takes the place of the first; what its check gives is what stays."""
+    rows, path = table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), files.scratch(spark, "atomic")
+    files.write_atomic(rows, path)
+    files.write_atomic(rows, path, check=lambda written: written.where("o_orderstatus <> 'F'"))
+    return spark.read.parquet(path)
+
+
+@query("cache_latest", "SELECT CAST(doc_id AS VARCHAR) AS song_id, CASE WHEN doc_id % 3 > 0 THEN lang END AS lyrics, CASE WHEN doc_id % 3 > 0 THEN 'found' ELSE 'missing' END AS status FROM documents")
+def cache_latest(spark, d):
+    """A cache of files filled by look-ups: records of files stay, the others are looked up once."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("song_id"), F.col("lang").alias("song_title"), F.col("doc_id").cast("string").alias("artist"))
+    path = files.scratch(spark, "texts")
+    known = rows.where("artist % 3 = 1").select("song_id", F.col("song_title").alias("lyrics"), F.lit("found").alias("status"))
+    known.write.parquet(cache.fetched_path(path))
+    cache.fill(rows, path, lambda title, artist: title if int(artist) % 3 else None, tries=1, pause=0)
+    return cache.fill(rows, path, lambda title, artist: "asked twice", tries=1, pause=0)
+
+
 # Filters and projections.
 
 
+@query("select_present", "SELECT doc_id, lang FROM documents")
+def select_present(spark, d):
+    return filters.select_present(table(spark, d, "documents"), ["doc_id", "no_such_column", "lang"])
+
+
+@query("drop_if_present", "SELECT doc_id, lang, source FROM documents")
+def drop_if_present(spark, d):
+    return filters.drop_if_present(table(spark, d, "documents"), ["text", "n_chars", "no_such_column"])
+
+
+@query("drop_without_bucket", "SELECT o_orderkey, CASE WHEN year(o_orderdate) BETWEEN 1995 AND 1996 THEN 'early' ELSE 'middle' END AS bucket FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1998, 1999)")
+def drop_without_bucket(spark, d):
+    placed = table(spark, d, "orders").select("o_orderkey", joins.range_bucket_case(F.year("o_orderdate"), YEARS[:2]).alias("bucket"))
+    return filters.filter_not_null(placed, ["bucket"])
+
+
+@query("model_input", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE source END AS given FROM documents")
+def model_input(spark, d):
+    blank = F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 2 == 0, "  ")).otherwise(F.col("source"))
+    return table(spark, d, "documents").select("doc_id", text.model_input(blank).alias("given"))
+
+
 @query("filter_cohort", "SELECT doc_id, lang FROM documents WHERE lang = 'fr'")
 def filter_cohort(spark, d):
     return filters.filter_cohort(table(spark, d, "documents").select("doc_id", "lang"), "lang", "fr")
@@ -661,15 +742,42 @@ def quality_flag(spark, d):
     return songs(spark, d, "doc_id", "jung_stage", "development_score").select("doc_id", scores.quality_flag("jung_stage", "development_score").alias("flag"))
 
 
-@query("lexicon_score")
+def hits_sql(words) -> str:
+    return f"len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z]+', '  ', 'g') || ' ', ' ({'|'.join(words)}) '))"
+
+
+@query(
+    "lexicon_score",
+    f"""WITH h AS (SELECT doc_id, CAST({hits_sql(providers.POSITIVE)} AS DOUBLE) AS p, CAST({hits_sql(providers.NEGATIVE)} AS DOUBLE) AS n FROM documents),
+    s AS (SELECT doc_id, round(2 * (p - n) / sqrt(4 * (p - n) * (p - n) + {providers.ALPHA}), 4) AS v, CASE WHEN p + n = 0 THEN 0.0 ELSE (p - n) / (p + n) END AS b FROM h)
+    SELECT doc_id, round(least(greatest(0.6 * v + 0.4 * b, -1.0), 1.0), 4) AS score FROM s""",
+)
 def lexicon_score(spark, d):
     return table(spark, d, "documents").select("doc_id", scores.ensemble_score(providers.lexicon_score("text"), providers.polarity_score("text")).alias("score"))
 
 
-@query("classify_emotion")
+TONES = ("joy", "anger", "fear")
+TONE_SQL = "CAST(('0x' || left(md5('{0}|' || source), 8)) AS BIGINT)"
+
+
+@query(
+    "classify_emotion",
+    f"WITH t AS (SELECT doc_id, {', '.join(f'{TONE_SQL.format(t)} AS {t}' for t in TONES)} FROM documents) SELECT doc_id, CASE WHEN joy >= anger AND joy >= fear THEN 'joy' WHEN anger >= fear THEN 'anger' ELSE 'fear' END AS tone FROM t",
+)
 def classify_emotion(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source")
-    return rows.select("doc_id", scores.dominant_label(providers.classify("source", ("joy", "anger", "fear"), providers.hashed_labels(("joy", "anger", "fear"))), ("joy", "anger", "fear")).alias("tone"))
+    return rows.select("doc_id", scores.dominant_label(providers.classify("source", TONES, providers.hashed_labels(TONES)), TONES).alias("tone"))
+
+
+def measured() -> providers.Provider:
+    """A provider that gives every text's own length, so that a result that met another row would show."""
+    return lambda texts: [{"length": float(len(t)), "blank": float(not t.strip())} for t in texts]
+
+
+@query("positional_zip", "SELECT doc_id, CAST(length(coalesce(source, ' ')) AS DOUBLE) AS length, 0.0::DOUBLE AS blank FROM documents")
+def positional_zip(spark, d):
+    scored = table(spark, d, "documents").select("doc_id", providers.classify("source", ("length", "blank"), measured, 7).alias("s"))
+    return scored.select("doc_id", F.col("s.length").alias("length"), F.col("s.blank").alias("blank"))
 
 
 @query("without_provider", "SELECT doc_id, 'unclassified' AS jung_stage, CAST(NULL AS VARCHAR) AS psychological_theme, CAST(NULL AS BIGINT) AS development_score FROM documents")

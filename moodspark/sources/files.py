@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
@@ -89,17 +90,36 @@ def write_atomic(df: DataFrame, path: str, kind: str = "parquet", check: Callabl
         fs.delete(changed, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the folder of ``spark.checkpoint.dir``, which outlives executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    A session on one machine may leave the folder unset; on a cluster that is an error.
+    A session on one machine may leave it unset; on a cluster that is an error.
     """
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return (root or LOCAL_CHECKPOINTS).rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it goes when the driver's process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        fs, target = _fs(spark, path)
+        fs.delete(target, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the shared folder, which outlives executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
-        context.setCheckpointDir(root or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

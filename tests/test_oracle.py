@@ -55,7 +55,7 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-PYTHON = ("clean_text", "classify_emotion")
+PYTHON = ("clean_text", "classify_emotion", "positional_zip", "cache_latest")
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(PYTHON)))
