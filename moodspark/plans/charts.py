@@ -1,4 +1,4 @@
-"""The data of the five charts as DataFrames, and their sidecar facts. Drawing is left to the reader's tool."""
+"""The five charts: their data as DataFrames, their pictures as SVG and their sidecar facts."""
 
 from __future__ import annotations
 
@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from moodspark.config import DECADES, EMOTIONS, STAGE_LABELS, THEMES
 from moodspark.operators.aggregates import distribution_summary, label_share, tag_penetration_pivot
 from moodspark.operators.windows import canonical_place, canonical_sort
+from moodspark.plans import drawing
 from moodspark.sources.files import write_atomic, write_text
 
 log = logging.getLogger(__name__)
+MOST_ROWS = 5_000
 STAGES_SHOWN = tuple(s for s in STAGE_LABELS if s != "unclassified")
 
 
@@ -41,20 +43,59 @@ def resonance_spread(layer4: DataFrame, layer6: DataFrame) -> DataFrame:
     return canonical_sort(distribution_summary(scored, "decade", "cultural_resonance_score"), "decade", DECADES)
 
 
-def write_all(charts: dict[str, Callable[[], DataFrame]], folder: str, digest: str) -> list[str]:
-    """Write each chart's data and facts; one that fails is logged and left out. The names of those written."""
-    done = []
+class ChartError(ValueError):
+    """A chart has more rows than a picture can show."""
+
+
+def rows_of(data: DataFrame) -> list[dict]:
+    """The rows of a chart, a few for each cohort; too many are an error, never cut."""
+    rows = [r.asDict() for r in data.limit(MOST_ROWS + 1).collect()]
+    if len(rows) > MOST_ROWS:
+        raise ChartError(f"a chart shows {MOST_ROWS} rows at most")
+    return rows
+
+
+def picture(name: str, data: DataFrame) -> str:
+    """A chart as SVG."""
+    rows = rows_of(data)
+    title = name.replace("_", " ").capitalize()
+    if name == "sentiment_trend":
+        return drawing.lines(rows, "decade_label", ("CMI_sentiment", "CMI_energy"), title)
+    if name == "theme_heatmap":
+        cohorts = [c for c in data.columns if c != "tag"]
+        return drawing.heatmap(sorted(rows, key=lambda r: r["tag"]), "tag", cohorts, title)
+    if name == "resonance_spread":
+        return drawing.boxes(rows, "decade", title)
+    label, parts = ("emotional_tone", EMOTIONS) if name == "emotion_mix" else ("jung_stage", STAGES_SHOWN)
+    value = next(c for c in data.columns if c not in ("decade", label, "n"))
+    return drawing.stacked(rows, "decade", label, value, title, ordered([str(r["decade"]) for r in rows]), parts)
+
+
+def write_all(charts: dict[str, Callable[[], DataFrame]], folder: str, digest: str, draw: bool = True) -> dict[str, str]:
+    """Write each chart's data, picture and facts; one that fails is logged and left out. The pictures of those written."""
+    done = {}
     for name, make in charts.items():
         try:
             data = make()
+            spark = data.sparkSession
             write_atomic(data, f"{folder}/{name}")
-            write_text(data.sparkSession, f"{folder}/{name}.meta.json", json.dumps({"chart": name, "config_hash": digest, "columns": data.columns}))
-            done.append(name)
+            written = spark.read.schema(data.schema).parquet(f"{folder}/{name}")
+            image = picture(name, in_order(written)) if draw else ""
+            if draw:
+                write_text(spark, f"{folder}/{name}.svg", image)
+            write_text(spark, f"{folder}/{name}.meta.json", json.dumps({"chart": name, "config_hash": digest, "columns": data.columns, "picture": f"{name}.svg" if draw else None}))
+            done[name] = image
         except Exception:  # noqa: BLE001 - one chart must not stop the others
             log.exception("chart %s failed", name)
     return done
 
 
+def in_order(data: DataFrame) -> DataFrame:
+    """Cohorts in canonical order, as files keep none."""
+    column = next((c for c in ("decade_label", "decade") if c in data.columns), None)
+    return canonical_sort(data, column, DECADES) if column else data
+
+
 def rgba(colour: str, alpha: float) -> str:
     """'#rrggbb' with an opacity as rgba(...)."""
     digits = colour.removeprefix("#")
@@ -71,4 +112,4 @@ def ordered(labels: Sequence[str]) -> list[str]:
     return known + sorted(set(labels) - set(known))
 
 
-__all__ = ["canonical_place", "emotion_mix", "ordered", "resonance_spread", "rgba", "sentiment_trend", "stage_mix", "theme_heatmap", "write_all"]
+__all__ = ["canonical_place", "emotion_mix", "picture", "ordered", "resonance_spread", "rgba", "sentiment_trend", "stage_mix", "theme_heatmap", "write_all"]

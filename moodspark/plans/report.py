@@ -11,10 +11,14 @@ from moodspark.config import DECADES
 from moodspark.operators.aggregates import extreme_cohort, label_distribution
 from moodspark.operators.windows import canonical_place
 
-#: Cohorts that a report shows at most.
+#: Cohorts that a report can show; more are an error.
 MOST_ROWS = 200
 
 
+class ReportError(ValueError):
+    """There are more cohorts than a report can show."""
+
+
 def signed(value: float | None) -> str:
     return "n/a" if value is None else f"{value:+.3f}"
 
@@ -31,9 +35,12 @@ def summary(index: DataFrame) -> dict[str, object]:
     return {"songs": totals["songs"] or 0, "scored": totals["scored"] or 0, "highest": pick(True), "lowest": pick(False)}
 
 
-def build(index: DataFrame, layer4: DataFrame, title: str = "Mood report") -> str:
+def build(index: DataFrame, layer4: DataFrame, title: str = "Mood report", pictures: dict[str, str] | None = None) -> str:
+    """The report's HTML; ``pictures`` are SVG charts by name, which it holds in itself."""
     facts = summary(index)
-    rows = index.withColumn("place", canonical_place("decade_label", DECADES)).orderBy("place", "decade_label").limit(MOST_ROWS).collect()
+    rows = index.withColumn("place", canonical_place("decade_label", DECADES)).orderBy("place", "decade_label").limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ReportError(f"a report shows {MOST_ROWS} cohorts at most")
     tones = label_distribution(layer4, "emotional_tone").orderBy(F.col("n").desc(), "emotional_tone").collect()
     cell = lambda v: f"<td>{html.escape('' if v is None else str(v))}</td>"
     lines = [
@@ -48,4 +55,6 @@ def build(index: DataFrame, layer4: DataFrame, title: str = "Mood report") -> st
         lines.append("<tr>" + cell(r["decade_label"]) + cell(r["song_count"]) + cell(signed(r["CMI_sentiment"])) + bar + "".join(map(cell, (energy, r["emotional_tone"], r["dominant_jung_stage"], r["top_themes"], r["top_resonance_songs"]))) + "</tr>")
     lines.append("</table><table><tr><th>Tone</th><th>Songs</th><th>%</th></tr>")
     lines += [f"<tr>{cell(str(r['emotional_tone']).capitalize())}{cell(r['n'])}{cell(round(r['pct'], 1))}</tr>" for r in tones]
-    return "".join([*lines, "</table></body></html>"])
+    lines.append("</table>")
+    lines += [f"<figure><figcaption>{html.escape(name.replace('_', ' ').capitalize())}</figcaption>{image}</figure>" for name, image in (pictures or {}).items() if image]
+    return "".join([*lines, "</body></html>"])

@@ -256,9 +256,9 @@ def draw(run: Run) -> list[str]:
         "theme_heatmap": lambda: charts.theme_heatmap(layer4),
         "resonance_spread": lambda: charts.resonance_spread(layer4, layer6),
     }
-    done = charts.write_all(made, run.path("charts"), run.config.digest())
-    write_text(run.spark, run.path("report.html"), report.build(idx, layer4))
-    return done
+    done = charts.write_all(made, run.path("charts"), run.config.digest(), run.config.output.save_visualizations)
+    write_text(run.spark, run.path("report.html"), report.build(idx, layer4, pictures=done))
+    return list(done)
 
 
 OK, FAILED, BAD_CONFIG, BROKEN = 0, 1, 2, 3

@@ -174,7 +174,15 @@ def test_end_to_end(run, tmp_path):
     assert all(r.chorus_method == "tag" and r.has_section_tags and r.narrative_perspective == "first_person" and r.contrast_sentiment_index is not None for r in layer4)
     assert not stages.run_stage(run, stages.STAGES[3]) and stages.run_stage(run, stages.STAGES[3], force=True)
     assert sorted(stages.draw(run)) == ["emotion_mix", "resonance_spread", "sentiment_trend", "stage_mix", "theme_heatmap"]
-    assert "1960s*" in (tmp_path / "report.html").read_text()
+    page = (tmp_path / "report.html").read_text()
+    assert "1960s*" in page and page.count("<svg") == 5
+    import xml.dom.minidom
+
+    for name in ("emotion_mix", "resonance_spread", "sentiment_trend", "stage_mix", "theme_heatmap"):
+        picture = (tmp_path / "charts" / f"{name}.svg").read_text()
+        assert xml.dom.minidom.parseString(picture).documentElement.tagName == "svg" and picture in page
+        assert json.loads((tmp_path / "charts" / f"{name}.meta.json").read_text())["picture"] == f"{name}.svg"
+    assert "1991" not in picture and "1990s" in picture
 
 
 def test_failures_stop_the_run(run):
@@ -259,6 +267,16 @@ def test_chat_failure_is_unclassified(spark):
     assert [(r.batch_id, r.reply) for r in got] == [(0, None)]
 
 
+def test_report_and_charts_are_never_cut(run, spark):
+    many = spark.range(300).select(F.col("id").cast("string").alias("decade_label"), F.lit(1).alias("song_count"), F.lit(1).alias("scored_count"), F.lit(0.1).alias("CMI_sentiment"), F.lit(2.0).alias("CMI_energy"))
+    from moodspark.plans import report
+
+    with pytest.raises(report.ReportError):
+        report.build(many, spark.createDataFrame([("joy",)], "emotional_tone string"))
+    with pytest.raises(charts.ChartError):
+        charts.rows_of(spark.range(charts.MOST_ROWS + 1))
+
+
 def test_charts_helpers():
     assert charts.rgba("#ff8000", 0.5) == "rgba(255, 128, 0, 0.5)"
     for bad in (("#ff80", 0.5), ("#ff8000", 2), ("#gg8000", 1)):
