@@ -1,0 +1,169 @@
+"""Sentiment of texts by rules over a lexicon, as two published methods have it; the lexicons are files that a caller names.
+
+``RuleScorer``: valences with boosters, negations, capitals, punctuation and the turn at "but" (Hutto and Gilbert,
+"VADER: a parsimonious rule-based model for sentiment analysis of social media text", 2014), -1 to 1.
+``AverageScorer``: the mean polarity of the words found, with intensities and negations, as in the pattern analyser, -1 to 1.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+import string
+import xml.etree.ElementTree as ElementTree
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import partial
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from moodspark.operators.providers import ALPHA, NEGATIVE, POSITIVE
+
+# Fixed values of the rules: what boosters, capitals and negations add or multiply, and the words that do so.
+BOOST, CAPITALS, NEGATED = 0.293, 0.733, -0.74
+STRONGER = tuple("absolutely amazingly awfully completely considerably decidedly deeply enormously entirely especially exceptionally extremely fabulously fully greatly highly hugely incredibly intensely majorly more most particularly purely quite really remarkably so substantially thoroughly totally tremendously unbelievably unusually utterly very".split())
+WEAKER = tuple("almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split())
+NEGATIONS = tuple("aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neither neednt never none nope nor not nothing nowhere oughtnt rarely seldom shant shouldnt uhuh wasnt werent without wont wouldnt despite".split())
+#: How much of a booster's weight is left one, two and three words before the word it boosts.
+DISTANCE = (1.0, 0.95, 0.9)
+
+Scorer = Callable[[str], float]
+
+
+def words_and_marks(text: str) -> list[str]:
+    """Words without the punctuation around them; short tokens, such as emoticons, stay as they are."""
+    out = []
+    for token in text.split():
+        bare = token.strip(string.punctuation)
+        out.append(token if len(bare) <= 2 else bare)
+    return out
+
+
+def is_negation(word: str) -> bool:
+    low = word.lower().replace("'", "").replace("’", "")
+    return low in NEGATIONS or "n't" in word.lower()
+
+
+class RuleScorer:
+    """The compound score of a text."""
+
+    def __init__(self, valences: Mapping[str, float]) -> None:
+        self.valences = dict(valences)
+        self.boosts = dict.fromkeys(STRONGER, BOOST) | dict.fromkeys(WEAKER, -BOOST)
+
+    def __call__(self, text: str) -> float:
+        words = words_and_marks(text)
+        shouting = [w.isupper() and len(w) > 1 for w in words]
+        mixed = any(shouting) and not all(shouting)
+        found = [self.valence(words, i, shouting, mixed) for i in range(len(words))]
+        turn = next((i for i, w in enumerate(words) if w.lower() == "but"), None)
+        if turn is not None:
+            found = [v * (0.5 if i < turn else 1.5 if i > turn else 1.0) for i, v in enumerate(found)]
+        total = math.fsum(found)
+        marks = self.emphasis(text)
+        total += marks if total > 0 else -marks if total < 0 else 0.0
+        return round(max(-1.0, min(1.0, total / math.sqrt(total * total + ALPHA))), 4)
+
+    def valence(self, words: Sequence[str], i: int, shouting: Sequence[bool], mixed: bool) -> float:
+        low = words[i].lower()
+        if low in self.boosts or low not in self.valences:
+            return 0.0
+        value = self.valences[low]
+        if low == "no" and i + 1 < len(words) and words[i + 1].lower() in self.valences:
+            return 0.0
+        sign = 1 if value > 0 else -1
+        if mixed and shouting[i]:
+            value += sign * CAPITALS
+        for back in range(1, 4):
+            if i < back:
+                break
+            before = words[i - back].lower()
+            if before in self.valences and before not in self.boosts:
+                continue
+            boost = self.boosts.get(before, 0.0)
+            if boost:
+                boost += math.copysign(CAPITALS, boost) if mixed and shouting[i - back] else 0.0
+                value += sign * boost * DISTANCE[back - 1]
+            if is_negation(words[i - back]):
+                value *= NEGATED
+        if i and words[i - 1].lower() == "least" and (i < 2 or words[i - 2].lower() not in ("at", "very")):
+            value *= NEGATED
+        return value
+
+    @staticmethod
+    def emphasis(text: str) -> float:
+        asks = text.count("?")
+        return min(text.count("!"), 4) * 0.292 + (0.0 if asks < 2 else asks * 0.18 if asks <= 3 else 0.96)
+
+
+class AverageScorer:
+    """The mean polarity of the words of a text that the lexicon has; an intensifier multiplies the next word, a negation turns it by half."""
+
+    def __init__(self, words: Mapping[str, tuple[float, float]]) -> None:
+        self.words = dict(words)
+
+    def __call__(self, text: str) -> float:
+        found, strength, turned = [], 1.0, False
+        for word in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?]", text.lower()):
+            if word in ".!?":
+                strength, turned = 1.0, False
+            elif is_negation(word) or word == "no":
+                turned = True
+            elif word in self.words:
+                polarity, intensity = self.words[word]
+                if polarity == 0.0 and intensity != 1.0:
+                    strength *= intensity
+                    continue
+                value = max(-1.0, min(1.0, polarity * strength))
+                found.append(value * -0.5 if turned else value)
+                strength, turned = 1.0, False
+            else:
+                strength = 1.0
+        return math.fsum(found) / len(found) if found else 0.0
+
+
+def read_valences(path: str | None) -> dict[str, float]:
+    """A lexicon of lines of word, tab, mean valence and more columns; without a path the offline word lists."""
+    if path is None:
+        return dict.fromkeys(POSITIVE, 2.0) | dict.fromkeys(NEGATIVE, -2.0)
+    with open(path, encoding="utf-8") as lines:
+        return {parts[0]: float(parts[1]) for parts in (line.rstrip("\n").split("\t") for line in lines) if len(parts) > 1}
+
+
+def read_polarities(path: str | None) -> dict[str, tuple[float, float]]:
+    """A lexicon of XML ``word`` elements with form, polarity and intensity, senses averaged; without a path the offline word lists."""
+    if path is None:
+        return dict.fromkeys(POSITIVE, (0.5, 1.0)) | dict.fromkeys(NEGATIVE, (-0.5, 1.0)) | dict.fromkeys(STRONGER, (0.0, 1.3)) | dict.fromkeys(WEAKER, (0.0, 0.7))
+    senses: dict[str, list[tuple[float, float]]] = {}
+    for word in ElementTree.parse(path).getroot().iter("word"):
+        senses.setdefault(word.get("form", ""), []).append((float(word.get("polarity", 0)), float(word.get("intensity", 1))))
+    return {form: (sum(p for p, _ in s) / len(s), sum(i for _, i in s) / len(s)) for form, s in senses.items()}
+
+
+def rule_scorer(path: str | None = None) -> Callable[[], Scorer]:
+    return partial(_rule, path)
+
+
+def average_scorer(path: str | None = None) -> Callable[[], Scorer]:
+    return partial(_average, path)
+
+
+def _rule(path: str | None) -> Scorer:
+    return RuleScorer(read_valences(path))
+
+
+def _average(path: str | None) -> Scorer:
+    return AverageScorer(read_polarities(path))
+
+
+def scored(text: str | Column, factory: Callable[[], Scorer]) -> Column:
+    """The score of each text; the scorer is made once for each worker's iterator. Null stays null."""
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = factory()
+        for part in parts:
+            yield pd.Series([None if v is None else scorer(v) for v in part], dtype="float64")
+
+    return run(F.col(text) if isinstance(text, str) else text)

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from moodspark.config import EMOTIONS, Config, ConfigError, load_config
 from moodspark.functions import replies, scores, text
 from moodspark.operators import aggregates, filters, index, joins, providers, sections, windows
+from moodspark.operators import sentiment as opinions
 from moodspark.plans import charts, checkpoints, report
 from moodspark.plans.schemas import SCHEMAS, SchemaError
 from moodspark.sources import cache, feed
@@ -40,6 +41,8 @@ class Run:
     root: str
     #: A function from prompt to reply, or None to leave every row unclassified.
     chat: Callable[[str], str] | None = None
+    #: The two scorers of the ensemble as factories, or None for the built-in word lists.
+    scorers: tuple[Callable[[], Callable[[str], float]], Callable[[], Callable[[str], float]]] | None = None
     #: A function from title and artist to a text or None, or None to take the texts of ``lyrics.csv``.
     lookup: Callable[[str, str], str | None] | None = None
 
@@ -127,14 +130,17 @@ def chorus(run: Run) -> DataFrame:
     return rows.select("song_id", *sections.chorus_cascade("lyrics_raw", pattern=f"(?i){rules.chorus_tier1_tag_pattern}", least_times=rules.chorus_tier2_min_repetitions, least_tokens=rules.chorus_tier2_min_tokens))
 
 
-def scorer(column: str) -> Column:
-    """The ensemble of two offline scorers."""
-    return scores.ensemble_score(providers.lexicon_score(column), providers.polarity_score(column))
+def scorer(run: Run, column: str) -> Column:
+    """The ensemble of two scorers."""
+    if run.scorers is None:
+        return scores.ensemble_score(providers.lexicon_score(column), providers.polarity_score(column))
+    first, second = run.scorers
+    return scores.ensemble_score(opinions.scored(column, first), opinions.scored(column, second))
 
 
 def sentiment(run: Run) -> DataFrame:
     rows = run.read("cleaned").withColumn("__text", text.coalesce_nonblank("lyrics_clean", "lyrics_verse_only"))
-    scored = rows.select("song_id", scores.scored_unless_missing("lyrics_quality", scorer("__text")).alias("sentiment_score"))
+    scored = rows.select("song_id", scores.scored_unless_missing("lyrics_quality", scorer(run, "__text")).alias("sentiment_score"))
     return scored.withColumn("energy_level", scores.bin_levels("sentiment_score", run.config.analysis.bins))
 
 
@@ -148,7 +154,7 @@ def emotion(run: Run) -> DataFrame:
     return both.select(
         "song_id",
         F.when(known, scores.dominant_label("__whole", EMOTIONS)).alias("emotional_tone"),
-        F.when(known & F.col("chorus_detected"), scorer("chorus_text")).alias("chorus_sentiment_score"),
+        F.when(known & F.col("chorus_detected"), scorer(run, "chorus_text")).alias("chorus_sentiment_score"),
         F.when(known & F.col("chorus_detected"), scores.dominant_label("__part", EMOTIONS)).alias("chorus_emotional_tone"),
         *scores.widened("__whole", EMOTIONS, "emotion"),
     )
@@ -339,6 +345,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     parser.add_argument("--dry-run", action="store_true")
     parser.add_argument("--charts", action="store_true")
     parser.add_argument("--log-file")
+    parser.add_argument("--valences", help="lexicon of word, tab and valence for the first scorer of the ensemble")
+    parser.add_argument("--polarities", help="XML lexicon of polarities for the second")
     args = parser.parse_args(argv)
     try:
         config = load_config(args.config, args.start_year, args.end_year)
@@ -349,6 +357,8 @@ def main(argv: Sequence[str] | None = None) -> int:
         return BAD_CONFIG
     spark = SparkSession.builder.appName("moodspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     run = Run(spark, config, args.root or config.output.output_dir)
+    if args.valences or args.polarities:
+        run.scorers = (opinions.rule_scorer(args.valences), opinions.average_scorer(args.polarities))
     if args.dry_run:
         return dry_run(run, stages)
     code = run_all(run, stages, args.force)

@@ -185,6 +185,14 @@ def test_end_to_end(run, tmp_path):
     assert "1991" not in picture and "1990s" in picture
 
 
+def test_scorers_of_a_run(run):
+    from moodspark.operators import sentiment
+
+    run.scorers = (sentiment.rule_scorer(), sentiment.average_scorer())
+    assert stages.run_all(run, stages.STAGES[:5]) == stages.OK
+    assert all(r.sentiment_score is not None and -1 <= r.sentiment_score <= 1 for r in run.read("sentiment").collect())
+
+
 def test_failures_stop_the_run(run):
     assert stages.run_all(stages.Run(run.spark, run.config, run.root + "/nowhere"), stages.STAGES) == stages.FAILED
     with pytest.raises(ConfigError):
