@@ -8,17 +8,17 @@ ranks at growing offsets, and positions whose pair is unique drop out:
 1. rank_64 of anchors. A window of ``length`` bytes has an anchor, the place with the smallest
    name_16 among its first ``length - 127`` ones, and equal windows have it in the same place.
    An anchor that is the only one of its rank drops out with all its windows.
-2. (rank_64(p), rank_64(p + 64)) of the anchors that are left: 128 bytes, which all windows of
-   an anchor have. Where the whole stretch of an anchor's windows repeats, all are removed;
+2. (rank_64(p), rank_64(p + 64)) of the anchors that are left, of the second its first 32 bits: 128
+   bytes, which all windows of an anchor have. Where the whole stretch of an anchor's windows repeats, all are removed;
    an anchor whose pair is unique drops out.
-3. (rank_128(s), rank_128(s + length - 128)) of the windows of the anchors that are left, each
-   stretch shown once: the whole length, past which nothing is asked. Unique pairs drop out,
-   all others are removed.
+3. (rank_128(s), rank_128(s + length - 128)), as the name of the pair, of the windows of the anchors
+   that are left, each stretch shown once: the whole length, past which nothing is asked. Unique
+   pairs drop out, all others are removed.
 
 Ranks are not renumbered densely: a rank is the 64-bit name itself, so rows of one hot rank
 need not meet to get a number. Of each rank a task sends one row to the sort; what a task itself
-knows to repeat, it sends on to the next round. What is removed is equal in 128 bits or more: ranks
-of its parts and a second hash of all its bytes that is made in another way.
+knows to repeat, it sends on to the next round. What is removed is equal in 128 bits: the name of
+all its bytes and a second hash of them that is made in another way.
 
 Sorting every byte's position would move at least 24 bytes a byte of text at each offset;
 anchors are one position in 37, and few of their windows are looked at.
@@ -55,9 +55,9 @@ PARTITION_BYTES = 32 << 20
 REMOVED, FIRST, SECOND, LOOK = range(4)
 #: What is known of a row: its stretch repeats, its 128 bytes do, its 64 bytes do.
 REPEATS, MIXED_128, MIXED_64 = 4, 8, 16
-ANCHORS = "a long, b long, stretch long, check long, doc_id long, first long, meta long"
+ANCHORS = "a long, b int, stretch long, check long, doc_id long, first long, meta long"
 FOUND = "doc_id long, first long, last long, probe int"
-WINDOWS = "a long, b long, check long, doc_id long, place long, meta long"
+WINDOWS = "pair long, check long, doc_id long, place long, meta long"
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,13 +66,23 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names at 16, 64 and 128 bytes of all positions that have as many."""
-    name = mix(data.astype(np.uint64) + np.uint64(0x51ED27))
+    """Names at 16, 64 and 128 bytes of all positions that have as many.
+
+    In between a product, a sum and a shift tell pairs apart; what is kept is mixed in full.
+    """
+    name = BYTE_NUMBERS[data]
     h, kept = 1, {}
     while h < RANKED:
-        name = pair(name[:-h], name[h:]) if len(name) > h else name[:0]
+        if len(name) > h:
+            made = name[:-h] * MULTIPLIER
+            made += name[h:]
+            made ^= made >> np.uint64(32)
+            name = made
+        else:
+            name = name[:0]
         h *= 2
-        kept[h] = name
+        if h in (GRAM, HALF, RANKED):
+            kept[h] = mix(name)
     return kept[GRAM], kept[HALF], kept[RANKED]
 
 
@@ -180,7 +190,8 @@ def signed(a: np.ndarray) -> pa.Array:
 
 
 def batch_of(schema: str, columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([signed(c) for c in columns], names=[c.split()[0] for c in schema.split(", ")])
+    kinds = dict(c.split() for c in schema.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) if kind == "int" else signed(c) for c, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
 def changes(*columns: np.ndarray) -> np.ndarray:
@@ -230,7 +241,7 @@ def anchor_rows(docs: DataFrame, length: int, flush_rows: int) -> DataFrame:
         last = first[gone] + counts[gone] + length - 2
         columns = [c[lead] for c in (a, b, stretch, check, doc, first)]
         zero = np.zeros(len(gone), dtype=np.uint64)
-        spans = [zero, last.astype(np.uint64), zero, zero, doc[gone], first[gone]]
+        spans = [zero, zero.astype(np.int32), last.astype(np.uint64), zero, doc[gone], first[gone]]
         return batch_of(ANCHORS, [*(np.concatenate(c) for c in zip(columns, spans, strict=True)), np.concatenate([meta, np.full(len(gone), REMOVED)])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +258,7 @@ def anchor_rows(docs: DataFrame, length: int, flush_rows: int) -> DataFrame:
                 stretch = pair(pair(whole(first), whole(last)), shape)
                 of = owner[first]
                 begin = first - pack.starts[of] + pack.offsets[of]
-                held.append([half[place], half[place + HALF], stretch, Sums(pack.data).of(first, last + length), pack.keys[of], begin, counts])
+                held.append([half[place], (half[place + HALF] >> np.uint64(32)).astype(np.uint32).view(np.int32), stretch, Sums(pack.data).of(first, last + length), pack.keys[of], begin, counts])
                 size += len(place)
                 if size > flush_rows:
                     yield flush(held)
@@ -317,8 +328,8 @@ def third_round(length: int):
     """Windows in order of their pairs of ranks: those that share all with another place are removed, if that is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, check, ids, place, meta in whole_groups(batches, lambda c: changes(c[0], c[1], c[2])):
-            group, _, repeated = repeats(changes(a, b, check), ids, place, (meta & REPEATS) > 0)
+        for name, check, ids, place, meta in whole_groups(batches, lambda c: changes(c[0], c[1])):
+            group, _, repeated = repeats(changes(name, check), ids, place, (meta & REPEATS) > 0)
             i = np.flatnonzero(repeated[group] & ((meta & 1) > 0))
             yield batch_of("doc_id long, first long, last long", [ids[i], place[i], place[i] + length - 1])
 
@@ -356,20 +367,20 @@ def window_rows(texts: list[tuple[int, bytes]], probes: list[tuple[np.ndarray, n
             at, wanted = probes[number]
             lo, hi = np.searchsorted(at, [offset, min(offset + PIECE, offset + end - start - length + 1)])
             where = at[lo:hi] - offset + start
-            looks.append((ranked[where], ranked[where + length - RANKED], sums.of(where, where + length), np.full(hi - lo, doc_ids[number]), at[lo:hi], wanted[lo:hi]))
+            looks.append((pair(ranked[where], ranked[where + length - RANKED]), sums.of(where, where + length), np.full(hi - lo, doc_ids[number]), at[lo:hi], wanted[lo:hi]))
     if not looks:
         return None
-    a, b, check, ids, place, wanted = (np.concatenate(c) for c in zip(*looks, strict=True))
-    order = np.lexsort((place, ids, check, b, a))
-    a, b, check, ids, place, wanted = (c[order] for c in (a, b, check, ids, place, wanted))
+    name, check, ids, place, wanted = (np.concatenate(c) for c in zip(*looks, strict=True))
+    order = np.lexsort((place, ids, check, name))
+    name, check, ids, place, wanted = (c[order] for c in (name, check, ids, place, wanted))
     # Of equal windows in one batch, one travels.
-    group, lead, repeated = repeats(changes(a, b, check), ids, place, np.zeros(len(a), bool))
+    group, lead, repeated = repeats(changes(name, check), ids, place, np.zeros(len(name), bool))
     asked = np.bincount(group, wanted)[: len(lead)] > 0
     meta = np.where(repeated, REPEATS, 0) + np.where(asked & ~repeated, 1, 0)
     gone = np.flatnonzero(repeated[group] & (wanted > 0))
     back = np.lexsort((place[lead], ids[lead]))
     i = lead[back]
-    block = squeeze(a[i], b[i], check[i], ids[i], place[i], meta[back].astype(np.uint8))
+    block = squeeze(name[i], check[i], ids[i], place[i], meta[back].astype(np.uint8))
     gone = gone[np.lexsort((place[gone], ids[gone]))]
     return block, squeeze(ids[gone], place[gone]) if len(gone) else None
 
@@ -394,7 +405,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sorted_128 = ranked.where(kind == SECOND).repartition(parts, "a", "b").sortWithinPartitions("a", "b", "stretch", "check", "doc_id", "first")
     found = sorted_128.mapInArrow(second_round(length), FOUND)
     repeated = F.col("meta").bitwiseAND(REPEATS) > 0
-    gone = ranked.where(kind == REMOVED).select("doc_id", "first", F.col("b").alias("last"), F.lit(0).alias("probe"))
+    gone = ranked.where(kind == REMOVED).select("doc_id", "first", F.col("stretch").alias("last"), F.lit(0).alias("probe"))
     look = ranked.where(kind == LOOK).select("doc_id", "first", (F.col("first") + F.shiftright("meta", 5) - 1).alias("last"), F.when(repeated, 2).otherwise(1).alias("probe"))
     spans = F.struct("first", "last")
     lists = found.unionByName(gone).unionByName(look).groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("probe") == k, spans)).alias(f"p{k}") for k in range(3)))
@@ -446,7 +457,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # Round 3.
     windows = half.where(F.col("windows").isNotNull()).select("windows").mapInArrow(unpack, WINDOWS)
-    sorted_windows = windows.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "check", "doc_id", "place")
+    sorted_windows = windows.repartition(parts, "pair").sortWithinPartitions("pair", "check", "doc_id", "place")
     known = half.where(F.col("known").isNotNull()).select("known").mapInArrow(unpack_known, "doc_id long, first long, last long")
     more = sorted_windows.mapInArrow(third_round(length), "doc_id long, first long, last long").unionByName(known).groupBy("doc_id").agg(F.collect_list(spans).alias("p1"))
     waiting = half.where(F.col("packed_text").isNotNull()).select("doc_id", "packed_text", "p0").join(grown(more), "doc_id", "left").select("doc_id", "packed_text", "p0", "p1")
