@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodspark.functions.text import split_tags
+from moodspark.sources.files import checkpointed
 
 
 def dedupe_canonical(entries: DataFrame, order: Sequence[str], title: str = "title", artist: str = "artist", rank: str = "rank", weeks: str = "weeks", date: str = "chart_date") -> DataFrame:
@@ -94,12 +95,19 @@ def tag_penetration_pivot(df: DataFrame, cohort: str, tags: str, cohorts: Sequen
 def distribution_summary(df: DataFrame, cohort: str, value: str) -> DataFrame:
     """The exact five-number summary of each cohort (linear between neighbours) and the fences beyond which values are outliers.
 
-    Values are counted first, so a task holds no cohort in memory: the window over the distinct
-    values of a cohort is sorted and may spill.
+    Values are counted first; the distinct ones are dealt out by ranges of cohort and value and written, and how many
+    rows of a cohort stand before a range is added up over ranges. So no task sorts more than a range.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(cohort, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy(cohort)
-    ranked = counted.withColumns({"upto": F.sum("n").over(whole.orderBy("v")), "total": F.sum("n").over(whole)})
+    ranged = checkpointed(counted.repartitionByRange(F.col(cohort), F.col("v")).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range", cohort).agg(F.sum("n").alias("__n"))
+    part = Window.partitionBy(cohort)
+    earlier = part.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("__range").alias("__of"), F.col(cohort).alias("__cohort"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(part).alias("total"))
+    within = Window.partitionBy("__range", cohort).orderBy("v")
+    placed = ranged.withColumn("upto", F.sum("n").over(within))
+    met = placed.join(before, (F.col("__range") == F.col("__of")) & F.col(cohort).eqNullSafe(F.col("__cohort")))
+    ranked = met.select(cohort, "v", "n", (F.col("upto") + F.col("__before")).alias("upto"), "total")
     names = ("low", "q1", "median", "q3", "high")
     edges = []
     for name, share in zip(names, (0.0, 0.25, 0.5, 0.75, 1.0), strict=True):
