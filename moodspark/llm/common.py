@@ -62,12 +62,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    The files outlive any executor, so a later stage never recomputes ``df``.
+    The files outlive any executor, so a later stage never recomputes ``df``. They go with ``discard``
+    or when the driver's process ends.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` has written, once all that was made of them is written too."""
+    for made in tables:
+        _remove(made.sparkSession, made._scratch_path)
 
 
 def grown(df: DataFrame) -> DataFrame:

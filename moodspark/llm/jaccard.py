@@ -38,10 +38,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, grown, joined_by_key, materialise, smallest_of_key, table
+from moodspark.llm.common import bound_batches, discard, grown, joined_by_key, materialise, smallest_of_key, table
 from moodspark.llm.components import components
 from moodspark.llm.packing import restored, run_hashes, text_bytes, window_hashes_of
 from moodspark.llm.sketch import frequency_classes, slots_for
@@ -310,7 +310,7 @@ def wanted_only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``wanted``, which name a document's id and text hash, with the compressed texts."""
-    return materialise(wanted_only(rows, wanted).join(grown(wanted), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"]).drop("text_hash"), "texts")
+    return wanted_only(rows, wanted).join(grown(wanted), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"]).drop("text_hash")
 
 
 def sizes_fit(percent: int) -> Column:
@@ -353,27 +353,35 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) ->
 
 def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
     """Links between the ids that stand for different sets, all if ``every``, else enough for their components."""
+    kept: list[DataFrame] = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        """A table that goes when the links are there."""
+        kept.append(materialise(df, name))
+        return kept[-1]
+
     alone = ids.where("n_shingles > 0").join(grown(copies), "doc_id", "left_anti")
 
     # Large families are compared in chunks; for components the chunks share pivots.
-    families = alone.groupBy("family").agg(F.count("*").alias("members")).where(F.col("members") > LARGE)
-    placed = joined_by_key(alone, "family", "doc_id", families).select("doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix", "family", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(0)).cast("int").alias("chunks"))
-    placed = materialise(placed.withColumn("chunk", F.when(F.col("chunks") > 0, F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(-1).cast("int")), "families")
-    members = fetched(rows, placed.where("chunks > 0").select("doc_id", "text_hash", "family", "chunk", "chunks"))
+    families = written(alone.groupBy("family").agg(F.count("*").alias("members")).where(F.col("members") > LARGE), "families")
+    placed = alone.join(grown(families), "family", "left").select("doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix", "family", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(0)).cast("int").alias("chunks"))
+    placed = written(placed.withColumn("chunk", F.when(F.col("chunks") > 0, F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(-1).cast("int")), "families")
+    members = materialise(fetched(rows, placed.where("chunks > 0").select("doc_id", "text_hash", "family", "chunk", "chunks")), "texts")
     chunked = members.select("doc_id", "family", "chunk", "packed_text")
     if not every:
         pivots = members.where("chunks > 1 and chunk = 0").groupBy("family").agg(F.slice(F.array_sort(F.collect_set("doc_id")), 1, PIVOTS).alias("ids")).select(F.explode("ids").alias("doc_id"))
         chunked = chunked.unionByName(members.join(grown(pivots), "doc_id").select("doc_id", "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "packed_text"))
     inner = materialise(chunked.groupBy("family", "chunk").applyInArrow(join_group(size, percent, every), LINKS), "links")
+    discard(members)
     local = components(edges_of(inner))
 
     # The matrix: what one component has in one chunk is a group, every other document a group of its own.
     # A group has the name of its smallest member, and a key that groups of one component share.
     root = local.select(F.col("id").alias("doc_id"), "component")
     dealt = placed.where("chunks > 0").join(grown(root), "doc_id", "left")
-    joined = materialise(dealt.where("component is not null").select("doc_id", "text_hash", "n", "prefix", "component", "chunk"), "grouped")
-    named = joined.groupBy("component", "chunk").agg(F.min("doc_id").alias("group"))
-    several = joined.join(grown(named), ["component", "chunk"]).select("doc_id", "text_hash", "n", "prefix", "group", F.col("group" if every else "component").alias("key"))
+    of_group = Window.partitionBy("component", "chunk")
+    joined = dealt.where("component is not null").withColumn("group", F.min("doc_id").over(of_group))
+    several = written(joined.select("doc_id", "text_hash", "n", "prefix", "group", F.col("group" if every else "component").alias("key")), "groups")
     ones = placed.where("chunks = 0").unionByName(dealt.where("component is null").select(placed.columns))
     ones = ones.select("doc_id", "text_hash", "n", "prefix", F.col("doc_id").alias("group"), F.col("doc_id").alias("key"))
     tokens = lambda df: df.select("group", "key", "n", F.explode("prefix").alias("token"))
@@ -381,55 +389,83 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
     entries = tokens(ones).select("token", "group", "key", F.col("n").alias("least"), F.col("n").alias("most")).unionByName(tokens(several).groupBy("token", "group", "key").agg(*ends("n", "n")))
     # Only tokens of several groups matter from here on; the first group of each leads it.
     lead = F.min(F.struct("group", "key", "least", "most")).alias("lead")
-    shared = materialise(entries.groupBy("token").agg(lead, F.count("*").alias("groups")).where("groups > 1").select("token", "lead"), "tokens")
-    entries = materialise(among(entries, "token", shared), "entries")
+    shared = written(entries.groupBy("token").agg(lead, F.count("*").alias("groups")).where("groups > 1").select("token", "lead"), "tokens")
+    entries = written(among(entries, "token", shared), "entries")
     homes = ones.unionByName(several).select("doc_id", "text_hash", "group")
 
-    def opened(pairs: DataFrame, heads: bool = False) -> DataFrame:
-        """Links of the pairs of groups (group_a, group_b); with ``heads`` only a few members of group_a are looked at."""
+    def opened(pairs: DataFrame, homes: DataFrame) -> DataFrame:
+        """Links of the pairs of groups (group_a, group_b); ``homes`` has each document's group, of about a chunk's members at most."""
         use = pairs.select(F.col("group_a").alias("group")).union(pairs.select("group_b")).distinct()
         store = fetched(rows, homes.join(grown(use), "group", "left_semi"))
-        members = F.array_sort(F.collect_list(F.struct("doc_id", "packed_text")))
-        blocks = materialise(store.groupBy("group").agg(members.alias("m")), "blocks")
-        side = lambda k, m: blocks.select(F.col("group").alias(f"group_{k}"), m["doc_id"].alias(f"ids_{k}"), m["packed_text"].alias(f"texts_{k}"))
-        head = F.slice("m", 1, PIVOTS) if heads else F.col("m")
-        met = joined_by_key(joined_by_key(pairs, "group_a", "group_b", side("a", head)), "group_b", "group_a", side("b", F.col("m")))
-        return materialise(met.select("ids_a", "texts_a", "ids_b", "texts_b").mapInArrow(open_groups(size, percent, every), LINKS), "links")
+        blocks = materialise(store.groupBy("group").agg(F.collect_list(F.struct("doc_id", "packed_text")).alias("m")), "blocks")
+        side = lambda k: grown(blocks.select(F.col("group").alias(f"group_{k}"), F.col("m.doc_id").alias(f"ids_{k}"), F.col("m.packed_text").alias(f"texts_{k}")))
+        met = pairs.join(side("a"), "group_a").join(side("b"), "group_b")
+        made = materialise(met.select("ids_a", "texts_a", "ids_b", "texts_b").mapInArrow(open_groups(size, percent, every), LINKS), "links")
+        discard(blocks)
+        return made
 
     if every:
         plain = entries.drop("key")
         pairs = bounded_pairs(plain, plain, F.col("group_a") < F.col("group_b"), ["group_a", "group_b"], percent)
-        return inner.unionByName(opened(materialise(pairs, "pairs")))
-
-    # First every group with one leader, that of most of its tokens: copies join without meeting pair by pair.
-    led = joined_by_key(entries.select(*(F.col(c) if c == "token" else F.col(c).alias(f"{c}_b") for c in entries.columns)), "token", "group_b", shared)
-    led = led.select("group_b", "key_b", "least_b", "most_b", *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("group", "key", "least", "most")))
-    votes = led.where((F.col("key_a") != F.col("key_b")) & sizes_fit(percent)).groupBy("group_b", "group_a").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("group_b").agg(F.max_by("group_a", F.struct("votes", -F.col("group_a"))).alias("group_a"))
-    links = inner.unionByName(opened(materialise(first, "pairs"), heads=True))
-    reached = components(edges_of(links)).select(F.col("id").alias("group"), "component")
-    keyed = entries.drop("key").join(grown(reached), "group", "left")
-    loose = keyed.where("component is null").select("token", "group", "least", "most")
-    tied = keyed.where("component is not null").select("token", "group", F.col("component").alias("key"), "least", "most")
+        links = inner.unionByName(opened(written(pairs, "pairs"), homes))
+        discard(*kept)
+        return links
+
+    # Single documents gather behind leaders: that of most of their tokens. Chunks of a leader's documents are compared like
+    # those of a family, with some of the leader's own members as pivots. So near copies that no family holds together don't
+    # meet pair by pair either, whether they link or just miss it.
+    led = entries.select(*(F.col(c) if c == "token" else F.col(c).alias(f"{c}_b") for c in entries.columns)).join(grown(shared), "token")
+    led = led.where("group_b = key_b").select("group_b", "least_b", "most_b", *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("group", "least", "most")))
+    votes = led.where((F.col("group_a") != F.col("group_b")) & sizes_fit(percent)).groupBy("group_b", "group_a").agg(F.count("*").alias("votes"))
+    first = written(votes.groupBy(F.col("group_b").alias("doc_id")).agg(F.max_by("group_a", F.struct("votes", -F.col("group_a"))).alias("leader")), "leaders")
+    sizes = first.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    behind = ones.select("doc_id", "text_hash").join(grown(first), "doc_id").join(grown(sizes), "leader").select("doc_id", "text_hash", "leader", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
+    heads = homes.join(grown(sizes.withColumnRenamed("leader", "group")), "group").groupBy("group", "chunks").agg(F.slice(F.array_sort(F.collect_list(F.struct("doc_id", "text_hash"))), 1, PIVOTS).alias("m"))
+    heads = heads.select(F.explode("m").alias("m"), F.col("group").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select("m.doc_id", "m.text_hash", "leader", "chunk")
+    seats = written(behind.withColumn("own", F.lit(True)).unionByName(heads.withColumn("own", F.lit(False))), "seats")
+    texts = fetched(rows, seats.select("doc_id", "text_hash").distinct())
+    seated = seats.select("doc_id", "leader", "chunk").join(grown(texts), "doc_id")
+    links = inner.unionByName(materialise(seated.groupBy("leader", "chunk").applyInArrow(join_group(size, percent, False), LINKS), "links"))
+    reached = components(edges_of(links))
+
+    # New groups: of a leader's chunk what is in one component, and what is in none; the key tells components apart.
+    known = grown(reached.withColumnRenamed("id", "doc_id"))
+    spots = ones.select("doc_id").join(grown(seats.where("own").select("doc_id", "leader", "chunk")), "doc_id", "left").join(known, "doc_id", "left")
+    spots = spots.withColumns({"leader": F.coalesce("leader", "doc_id"), "chunk": F.coalesce("chunk", F.lit(-1))})
+    moved = spots.select(F.col("doc_id").alias("group"), F.min("doc_id").over(Window.partitionBy("leader", "chunk", "component")).alias("to"), "component")
+    stayed = several.select("group").distinct().join(grown(reached.withColumnRenamed("id", "group")), "group").select("group", F.col("group").alias("to"), "component")
+    moves = written(moved.unionByName(stayed), "moves")
+    homes = homes.join(grown(moves.select("group", "to")), "group").select("doc_id", "text_hash", F.col("to").alias("group"))
+    keyed = entries.drop("key").join(grown(moves), "group").groupBy("token", F.col("to").alias("group"), F.col("component").alias("key")).agg(*ends("least", "most"))
+    keyed = written(keyed, "entries")
+    loose, tied = keyed.where("key is null").drop("key"), keyed.where("key is not null")
     wholes = tied.groupBy("token", "key").agg(*ends("least", "most"))
     # Loose groups meet once; tied ones meet loose ones and whole other components, so that one component's groups never meet.
     alone = bounded_pairs(loose, loose, F.col("group_a") < F.col("group_b"), ["group_a", "group_b"], percent)
     mixed = bounded_pairs(tied, loose, F.lit(True), ["group_a", "key_a", "group_b"], percent)
-    half = materialise(bounded_pairs(tied, wholes, F.col("key_a") != F.col("key_b"), ["group_a", "key_a", "key_b"], percent), "bounded")
+    half = written(bounded_pairs(tied, wholes, F.col("key_a") != F.col("key_b"), ["group_a", "key_a", "key_b"], percent), "bounded")
     back = half.select(F.col("group_a").alias("group_b"), F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))
     both = half.where("key_a < key_b").join(grown(back), ["key_a", "key_b"])
     columns = ["group_a", "key_a", "group_b", "key_b"]
-    pairs = alone.withColumns({"key_a": F.col("group_a"), "key_b": F.col("group_b")}).select(columns).unionByName(mixed.withColumn("key_b", F.col("group_b")).select(columns)).unionByName(both.select(columns))
-    pairs = materialise(pairs, "pairs")
-    # Of two components one pair of groups; then the pairs that this has not joined.
-    second = materialise(pairs.groupBy("key_a", "key_b").agg(F.min(F.struct("group_a", "group_b")).alias("s")).select("s.*"), "pairs")
-    links = links.unionByName(opened(second))
-    roots = components(edges_of(links)).select(F.col("id").alias("group"), "component")
-    rest = pairs.join(grown(second), ["group_a", "group_b"], "left_anti")
+    unkeyed = F.lit(None).cast("long")
+    pairs = alone.withColumns({"key_a": unkeyed, "key_b": unkeyed}).select(columns).unionByName(mixed.withColumn("key_b", unkeyed).select(columns)).unionByName(both.select(columns))
+    pairs = written(pairs, "pairs")
+    # Of two components one pair of groups first; then the pairs that this has not joined.
+    one = pairs.where("key_b is not null").groupBy("key_a", "key_b").agg(F.min(F.struct("group_a", "group_b")).alias("s")).select("s.*")
+    second = written(pairs.where("key_b is null").select("group_a", "group_b").unionByName(one), "pairs")
+    links = links.unionByName(opened(second, homes))
+    rest = pairs.where("key_b is not null").join(grown(second), ["group_a", "group_b"], "left_anti")
+    if rest.isEmpty():
+        discard(*kept)
+        return links
+    roots = components(edges_of(links)).select(F.col("id").alias("key"), "component")
     for k in "ab":
-        rest = rest.join(grown(roots.select(F.col("group").alias(f"group_{k}"), F.col("component").alias(f"root_{k}"))), f"group_{k}", "left")
-    rest = materialise(rest.where(F.coalesce("root_a", "group_a") != F.coalesce("root_b", "group_b")).select("group_a", "group_b"), "pairs")
-    return links if rest.isEmpty() else links.unionByName(opened(rest))
+        rest = rest.join(grown(roots.select(F.col("key").alias(f"key_{k}"), F.col("component").alias(f"root_{k}"))), f"key_{k}", "left")
+    rest = written(rest.where(F.coalesce("root_a", "key_a") != F.coalesce("root_b", "key_b")).select("group_a", "group_b"), "pairs")
+    if not rest.isEmpty():
+        links = links.unionByName(opened(rest, homes))
+    discard(*kept)
+    return links
 
 
 def similarity_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
