@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, cached, grown, materialise, table
+from moodspark.llm.common import bound_batches, cached, discard, grown, materialise, table
 from moodspark.llm.packing import BYTE_NUMBERS, ODD, ODD_INVERSE, compressed, expand, mix, powers, restored, spread_out, squeeze, text_bytes
 from moodspark.llm.superkmers import marked
 
@@ -203,6 +203,13 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def in_order(name: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """A stable order by name and, where equal names have several, by the other column."""
+    order = np.argsort(name, kind="stable")
+    a, b = name[order], other[order]
+    return np.lexsort((other, name)) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
+
+
 def repeats(new: np.ndarray, ids: np.ndarray, place: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group of each row, first row of each group, whether a group is in two places or known to be); ``new`` marks first rows."""
     group = np.cumsum(new) - 1
@@ -218,14 +225,14 @@ def anchor_rows(docs: DataFrame, length: int, flush_rows: int) -> DataFrame:
     def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         a, b, stretch, check, doc, first, counts = (np.concatenate(c) for c in zip(*held, strict=True))
         # Of equal stretches in one task, one travels: the one that stands first, marked as repeated.
-        order = np.lexsort((first, doc, check, stretch))
+        order = in_order(stretch, check)
         new = changes(stretch[order], check[order])
         group, lead, repeated = repeats(new, doc[order], first[order], np.zeros(len(order), bool))
         gone = order[repeated[group]]
         lead = order[lead]
         meta = np.where(repeated, REPEATS, 0)
         # Of equal 128 bytes one is sorted, and of equal 64 bytes one in the first round; the others are known to repeat.
-        at = np.lexsort((first[lead], doc[lead], b[lead], a[lead]))
+        at = in_order(a[lead], b[lead])
         lead, meta = lead[at], meta[at]
         new_128 = changes(a[lead], b[lead])
         pair_of = np.cumsum(new_128) - 1
@@ -371,7 +378,7 @@ def window_rows(texts: list[tuple[int, bytes]], probes: list[tuple[np.ndarray, n
     if not looks:
         return None
     name, check, ids, place, wanted = (np.concatenate(c) for c in zip(*looks, strict=True))
-    order = np.lexsort((place, ids, check, name))
+    order = in_order(name, check)
     name, check, ids, place, wanted = (c[order] for c in (name, check, ids, place, wanted))
     # Of equal windows in one batch, one travels.
     group, lead, repeated = repeats(changes(name, check), ids, place, np.zeros(len(name), bool))
@@ -441,6 +448,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=labels)
 
     half = materialise(joined.mapInArrow(settle, wide), "settled")
+    discard(ranked)
     outcome = [c.split()[0] for c in RESULT.split(", ")] + (["kept"] if keep_bytes else [])
     done = half.where(F.col("kept_sha256").isNotNull()).select(*outcome)
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from moodspark.llm import doubling, fingerprints, jaccard, superkmers
@@ -298,6 +300,34 @@ def test_fingerprint_likeness_is_unbiased(documents, hard_texts):
     assert len(got[5][1]) == fingerprints.BINS * fingerprints.BITS // 4
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash step by step: bins, densification and packing of one text."""
+    w = [x for x in re.split("[\x20\x09-\x0d]+", text or "") if x]
+    runs = [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else ([[" ".join(w)]] if w else [])
+    bins = {}
+    for run in runs:
+        h = 42
+        for word in run:
+            h = xxhash.xxh64(word.encode(), seed=h).intdigest()
+        value = h >> 1 | 1
+        place = value >> fingerprints.LOW
+        bins[place] = min(value, bins.get(place, value))
+    if not bins:
+        return ""
+    values = []
+    for place in range(fingerprints.BINS):
+        asked = [place, *(row[place] for row in fingerprints.donors()), *((place + 101 * k) % fingerprints.BINS for k in range(1, fingerprints.BINS))]
+        values.append(next(bins[b] for b in asked if b in bins))
+    return "".join(f"{v >> 1 & 15:x}" for v in values)
+
+
+def test_fingerprints_match_plain_code(documents, hard_texts):
+    texts = [*hard_texts, *(" ".join(words(i, n, 900)) for i, n in enumerate((1, 4, 5, 6, 30, 200, 900)))]
+    df = fingerprints.add_fingerprint(documents(texts))
+    got = {r.doc_id: r.h for r in df.select("doc_id", fingerprints.hexed("fingerprint").alias("h")).collect()}
+    assert got == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+
+
 def test_fingerprint_query(spark, tmp_path):
     texts = [None, "", "a b c", " ".join(words(1, 50)), "é" * 41, "x"]
     rows = [(10 * i, t) for i, t in enumerate(texts)] + [(20, "a b c"), (20, "a b c d"), (None, "lost")] + [(30, texts[3])] * 60 + [(40, texts[4])] * 50

@@ -29,6 +29,19 @@ def test_bpe_matches_the_library_and_decodes(documents, hard_texts):
         assert bytes(r.raw_bytes) == text.encode()
 
 
+def test_bpe_query(spark, tmp_path, hard_texts):
+    texts = [*hard_texts, "naïve  café\n\n 123's", "word" * 30_000]
+    rows = [*enumerate(texts), (3, texts[3]), (None, "no id")]
+    spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_tokens string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.DEFAULT_RANKS), special_tokens={})
+    found = bpe.op7_byte_bpe(spark, str(tmp_path)).collect()
+    expected = []
+    for i, text in rows:
+        ids = whole.encode_ordinary(text or "")
+        expected.append((i, len(ids), hashlib.sha256(b"".join(n.to_bytes(4, "little") for n in ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, expected))
+
+
 def test_bpe_decodes_parts_of_characters(spark):
     ranks = bpe.read_ranks(bpe.DEFAULT_RANKS)
     first = ranks[bytes([0xE6])]
