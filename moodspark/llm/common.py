@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch between Spark and Python; a longer text travels alone.
 BATCH_BYTES = 4 << 20
+#: Rows of a few numbers that may be broadcast: some 10 MB.
+FEW_ROWS = 200_000
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints/moodspark"
 
 
@@ -79,11 +81,29 @@ def discard(*tables: DataFrame) -> None:
         _remove(made.sparkSession, made._scratch_path)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let the shuffle files of written tables go.
+
+    Spark removes them when the driver's JVM finds that nothing refers to them, which without being asked it may do
+    much later; so steps that have moved whole texts or what is as large ask.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def grown(df: DataFrame) -> DataFrame:
     """Mark a side of a join whose size follows the corpus: it is merged, never broadcast."""
     return df.hint("merge")
 
 
+def checked(table: DataFrame, part: DataFrame | None = None) -> DataFrame:
+    """A side of a join that is broadcast if the written table has few rows of numbers, else merged.
+
+    ``part``: what is joined of the table, if not all of it.
+    """
+    side = table if part is None else part
+    return F.broadcast(side) if table.count() <= FEW_ROWS else grown(side)
+
+
 def smallest_of_key(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Add ``smallest``, the least ``value`` of the row's ``key``, to the rows whose key repeats.
 

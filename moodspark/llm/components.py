@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import discard, grown, materialise
+from moodspark.llm.common import checked, discard, materialise
 
 
 def hooked(edges: DataFrame) -> DataFrame:
@@ -15,10 +15,10 @@ def hooked(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hooks = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), "hooks")
-    parents = hooks.select(F.col("id").alias("component"), F.col("component").alias("far"))
+    parents = checked(hooks, hooks.select(F.col("id").alias("component"), F.col("component").alias("far")))
     labels = hooks
     for _ in range(2):
-        labels = labels.join(grown(parents), "component").select("id", F.col("far").alias("component"))
+        labels = labels.join(parents, "component").select("id", F.col("far").alias("component"))
     made = materialise(labels, "labels")
     discard(hooks)
     return made
@@ -36,8 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     rounds, left = [hooked(edges)], []
     while True:
-        a, b = (rounds[-1].select(F.col("id").alias(k), F.col("component").alias(f"root_{k}")) for k in "ab")
-        between = edges.join(grown(a), "a").join(grown(b), "b").where("root_a <> root_b")
+        a, b = (checked(rounds[-1], rounds[-1].select(F.col("id").alias(k), F.col("component").alias(f"root_{k}"))) for k in "ab")
+        between = edges.join(a, "a").join(b, "b").where("root_a <> root_b")
         edges = materialise(between.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "edges")
         discard(*left)
         left = [edges]
@@ -46,7 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(hooked(edges))
     labels = rounds[0]
     for later in rounds[1:]:
-        labels = labels.join(grown(later.select(F.col("id").alias("component"), F.col("component").alias("far"))), "component", "left").select("id", F.coalesce("far", "component").alias("component"))
+        far = checked(later, later.select(F.col("id").alias("component"), F.col("component").alias("far")))
+        labels = labels.join(far, "component", "left").select("id", F.coalesce("far", "component").alias("component"))
     discard(*left)
     if len(rounds) == 1:
         return labels

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, cached, discard, grown, materialise, table
+from moodspark.llm.common import bound_batches, cached, discard, grown, materialise, reclaim, table
 from moodspark.llm.packing import BYTE_NUMBERS, ODD, ODD_INVERSE, compressed, expand, mix, powers, restored, spread_out, squeeze, text_bytes
 from moodspark.llm.superkmers import marked
 
@@ -407,6 +407,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = F.when(kind == FIRST, F.col("a")).otherwise(F.xxhash64("doc_id", "first"))
     sorted_64 = anchor_rows(rows, length, flush_rows).repartition(parts, dealt).sortWithinPartitions(kind, "a")
     ranked = materialise(sorted_64.mapInArrow(first_round, ANCHORS), "ranked")
+    reclaim(rows.sparkSession)
     # Round 2.
     sorted_128 = ranked.where(kind == SECOND).repartition(parts, "a", "b").sortWithinPartitions("a", "b", "stretch", "check", "doc_id", "first")
     found = sorted_128.mapInArrow(second_round(length), FOUND)
@@ -448,6 +449,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     half = materialise(joined.mapInArrow(settle, wide), "settled")
     discard(ranked)
+    reclaim(rows.sparkSession)
     outcome = [c.split()[0] for c in RESULT.split(", ")] + (["kept"] if keep_bytes else [])
     done = half.where(F.col("kept_sha256").isNotNull()).select(*outcome)
 

@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, discard, grown, joined_by_key, materialise, smallest_of_key, table
+from moodspark.llm.common import bound_batches, checked, discard, grown, joined_by_key, materialise, reclaim, smallest_of_key, table
 from moodspark.llm.components import components
 from moodspark.llm.packing import restored, run_hashes, text_bytes, window_hashes_of
 from moodspark.llm.sketch import frequency_classes, slots_for
@@ -310,7 +310,8 @@ def wanted_only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``wanted``, which name a document's id and text hash, with the compressed texts."""
-    return wanted_only(rows, wanted).join(grown(wanted), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"]).drop("text_hash")
+    met = wanted_only(rows, wanted).join(grown(wanted.withColumnRenamed("text_hash", "of_text")), "doc_id")
+    return met.where(F.col("text_hash") == F.col("of_text")).dropDuplicates(["doc_id"]).drop("text_hash", "of_text")
 
 
 def sizes_fit(percent: int) -> Column:
@@ -360,11 +361,11 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
         kept.append(materialise(df, name))
         return kept[-1]
 
-    alone = ids.where("n_shingles > 0").join(grown(copies), "doc_id", "left_anti")
+    alone = ids.where("n_shingles > 0").join(checked(copies), "doc_id", "left_anti")
 
     # Large families are compared in chunks; for components the chunks share pivots.
     families = written(alone.groupBy("family").agg(F.count("*").alias("members")).where(F.col("members") > LARGE), "families")
-    placed = alone.join(grown(families), "family", "left").select("doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix", "family", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(0)).cast("int").alias("chunks"))
+    placed = alone.join(checked(families), "family", "left").select("doc_id", "text_hash", F.col("n_shingles").alias("n"), "prefix", "family", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(0)).cast("int").alias("chunks"))
     placed = written(placed.withColumn("chunk", F.when(F.col("chunks") > 0, F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(-1).cast("int")), "families")
     members = materialise(fetched(rows, placed.where("chunks > 0").select("doc_id", "text_hash", "family", "chunk", "chunks")), "texts")
     chunked = members.select("doc_id", "family", "chunk", "packed_text")
@@ -373,12 +374,13 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
         chunked = chunked.unionByName(members.join(grown(pivots), "doc_id").select("doc_id", "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "packed_text"))
     inner = materialise(chunked.groupBy("family", "chunk").applyInArrow(join_group(size, percent, every), LINKS), "links")
     discard(members)
+    reclaim(rows.sparkSession)
     local = components(edges_of(inner))
 
     # The matrix: what one component has in one chunk is a group, every other document a group of its own.
     # A group has the name of its smallest member, and a key that groups of one component share.
     root = local.select(F.col("id").alias("doc_id"), "component")
-    dealt = placed.where("chunks > 0").join(grown(root), "doc_id", "left")
+    dealt = placed.where("chunks > 0").join(checked(local, root), "doc_id", "left")
     of_group = Window.partitionBy("component", "chunk")
     joined = dealt.where("component is not null").withColumn("group", F.min("doc_id").over(of_group))
     several = written(joined.select("doc_id", "text_hash", "n", "prefix", "group", F.col("group" if every else "component").alias("key")), "groups")
@@ -402,6 +404,7 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
         met = pairs.join(side("a"), "group_a").join(side("b"), "group_b")
         made = materialise(met.select("ids_a", "texts_a", "ids_b", "texts_b").mapInArrow(open_groups(size, percent, every), LINKS), "links")
         discard(blocks)
+        reclaim(rows.sparkSession)
         return made
 
     if every:
@@ -419,8 +422,8 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
     votes = led.where((F.col("group_a") != F.col("group_b")) & sizes_fit(percent)).groupBy("group_b", "group_a").agg(F.count("*").alias("votes"))
     first = written(votes.groupBy(F.col("group_b").alias("doc_id")).agg(F.max_by("group_a", F.struct("votes", -F.col("group_a"))).alias("leader")), "leaders")
     sizes = first.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    behind = ones.select("doc_id", "text_hash").join(grown(first), "doc_id").join(grown(sizes), "leader").select("doc_id", "text_hash", "leader", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
-    heads = homes.join(grown(sizes.withColumnRenamed("leader", "group")), "group").groupBy("group", "chunks").agg(F.slice(F.array_sort(F.collect_list(F.struct("doc_id", "text_hash"))), 1, PIVOTS).alias("m"))
+    behind = ones.select("doc_id", "text_hash").join(checked(first), "doc_id").join(checked(first, sizes), "leader").select("doc_id", "text_hash", "leader", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
+    heads = homes.join(checked(first, sizes.withColumnRenamed("leader", "group")), "group").groupBy("group", "chunks").agg(F.slice(F.array_sort(F.collect_list(F.struct("doc_id", "text_hash"))), 1, PIVOTS).alias("m"))
     heads = heads.select(F.explode("m").alias("m"), F.col("group").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select("m.doc_id", "m.text_hash", "leader", "chunk")
     seats = written(behind.withColumn("own", F.lit(True)).unionByName(heads.withColumn("own", F.lit(False))), "seats")
     texts = fetched(rows, seats.select("doc_id", "text_hash").distinct())
@@ -429,15 +432,16 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
     reached = components(edges_of(links))
 
     # New groups: of a leader's chunk what is in one component, and what is in none; the key tells components apart.
-    known = grown(reached.withColumnRenamed("id", "doc_id"))
-    spots = ones.select("doc_id").join(grown(seats.where("own").select("doc_id", "leader", "chunk")), "doc_id", "left").join(known, "doc_id", "left")
+    known = checked(reached, reached.withColumnRenamed("id", "doc_id"))
+    spots = ones.select("doc_id").join(checked(seats, seats.where("own").select("doc_id", "leader", "chunk")), "doc_id", "left").join(known, "doc_id", "left")
     spots = spots.withColumns({"leader": F.coalesce("leader", "doc_id"), "chunk": F.coalesce("chunk", F.lit(-1))})
     moved = spots.select(F.col("doc_id").alias("group"), F.min("doc_id").over(Window.partitionBy("leader", "chunk", "component")).alias("to"), "component")
-    stayed = several.select("group").distinct().join(grown(reached.withColumnRenamed("id", "group")), "group").select("group", F.col("group").alias("to"), "component")
+    stayed = several.select("group").distinct().join(checked(reached, reached.withColumnRenamed("id", "group")), "group").select("group", F.col("group").alias("to"), "component")
     moves = written(moved.unionByName(stayed), "moves")
-    homes = homes.join(grown(moves.select("group", "to")), "group").select("doc_id", "text_hash", F.col("to").alias("group"))
-    keyed = entries.drop("key").join(grown(moves), "group").groupBy("token", F.col("to").alias("group"), F.col("component").alias("key")).agg(*ends("least", "most"))
+    homes = homes.join(checked(moves, moves.select("group", "to")), "group").select("doc_id", "text_hash", F.col("to").alias("group"))
+    keyed = entries.drop("key").join(checked(moves), "group").groupBy("token", F.col("to").alias("group"), F.col("component").alias("key")).agg(*ends("least", "most"))
     keyed = written(keyed, "entries")
+    reclaim(rows.sparkSession)
     loose, tied = keyed.where("key is null").drop("key"), keyed.where("key is not null")
     wholes = tied.groupBy("token", "key").agg(*ends("least", "most"))
     # Loose groups meet once; tied ones meet loose ones and whole other components, so that one component's groups never meet.
@@ -445,7 +449,7 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
     mixed = bounded_pairs(tied, loose, F.lit(True), ["group_a", "key_a", "group_b"], percent)
     half = written(bounded_pairs(tied, wholes, F.col("key_a") != F.col("key_b"), ["group_a", "key_a", "key_b"], percent), "bounded")
     back = half.select(F.col("group_a").alias("group_b"), F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))
-    both = half.where("key_a < key_b").join(grown(back), ["key_a", "key_b"])
+    both = half.where("key_a < key_b").join(checked(half, back), ["key_a", "key_b"])
     columns = ["group_a", "key_a", "group_b", "key_b"]
     unkeyed = F.lit(None).cast("long")
     pairs = alone.withColumns({"key_a": unkeyed, "key_b": unkeyed}).select(columns).unionByName(mixed.withColumn("key_b", unkeyed).select(columns)).unionByName(both.select(columns))
@@ -454,13 +458,13 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
     one = pairs.where("key_b is not null").groupBy("key_a", "key_b").agg(F.min(F.struct("group_a", "group_b")).alias("s")).select("s.*")
     second = written(pairs.where("key_b is null").select("group_a", "group_b").unionByName(one), "pairs")
     links = links.unionByName(opened(second, homes))
-    rest = pairs.where("key_b is not null").join(grown(second), ["group_a", "group_b"], "left_anti")
+    rest = pairs.where("key_b is not null").join(checked(second), ["group_a", "group_b"], "left_anti")
     if rest.isEmpty():
         discard(*kept)
         return links
-    roots = components(edges_of(links)).select(F.col("id").alias("key"), "component")
+    roots = components(edges_of(links))
     for k in "ab":
-        rest = rest.join(grown(roots.select(F.col("key").alias(f"key_{k}"), F.col("component").alias(f"root_{k}"))), f"key_{k}", "left")
+        rest = rest.join(checked(roots, roots.select(F.col("id").alias(f"key_{k}"), F.col("component").alias(f"root_{k}"))), f"key_{k}", "left")
     rest = written(rest.where(F.coalesce("root_a", "key_a") != F.coalesce("root_b", "key_b")).select("group_a", "group_b"), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(opened(rest, homes))

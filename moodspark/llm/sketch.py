@@ -19,7 +19,7 @@ from moodspark.llm.common import bound_batches
 
 SLICE = 1 << 16
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 24
-BYTES_A_SLOT = 256
+BYTES_A_SLOT = 512
 
 
 def slots_for(n_bytes: int) -> int:

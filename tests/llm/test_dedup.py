@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from moodspark.llm import doubling, fingerprints, jaccard, superkmers
+from moodspark.llm import common, doubling, fingerprints, jaccard, superkmers
 from moodspark.llm.components import components
 from moodspark.llm.packing import spread_out, squeeze
 
@@ -177,8 +177,10 @@ def plain_components(rows, size, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_components(documents, hard_texts, size, percent, monkeypatch):
+@pytest.mark.parametrize(("size", "percent", "few"), [(3, 90, 200_000), (5, 80, 0)])
+def test_jaccard_components(documents, hard_texts, size, percent, few, monkeypatch):
+    """With small tables broadcast, and with none."""
+    monkeypatch.setattr(common, "FEW_ROWS", few)
     for name, value in (("LARGE", 6), ("CHUNK", 8), ("PIVOTS", 2)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(size)
