@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,8 +71,8 @@ def split_lines(text: str | Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
-    """Compatibility normalisation, which Spark has no function for, of a whole batch at once."""
-    return pc.utf8_normalize(pa.array(values, pa.string()), form="NFKC").to_pandas()
+    """Compatibility normalisation, which Spark has no function for; nulls stay null."""
+    return values.str.normalize("NFKC")
 
 
 def straight_quotes(text: str | Column) -> Column:
