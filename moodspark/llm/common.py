@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import sys
+import time
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -81,13 +82,16 @@ def discard(*tables: DataFrame) -> None:
         _remove(made.sparkSession, made._scratch_path)
 
 
-def reclaim(spark: SparkSession) -> None:
+def reclaim(spark: SparkSession, looks: int = 3, pause: float = 0.7) -> None:
     """Let the shuffle files of written tables go.
 
     Spark removes them when the driver's JVM finds that nothing refers to them, which without being asked it may do
-    much later; so steps that have moved whole texts or what is as large ask.
+    much later; so a step that has moved what is as large as the texts asks. Listeners still hold a plan that
+    has just ended, so it asks again after a pause.
     """
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(looks):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def grown(df: DataFrame) -> DataFrame:

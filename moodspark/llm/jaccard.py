@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, checked, discard, grown, joined_by_key, materialise, reclaim, smallest_of_key, table
+from moodspark.llm.common import bound_batches, checked, discard, grown, joined_by_key, materialise, smallest_of_key, table
 from moodspark.llm.components import components
 from moodspark.llm.packing import restored, run_hashes, text_bytes, window_hashes_of
 from moodspark.llm.sketch import frequency_classes, slots_for
@@ -374,7 +374,6 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
         chunked = chunked.unionByName(members.join(grown(pivots), "doc_id").select("doc_id", "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "packed_text"))
     inner = materialise(chunked.groupBy("family", "chunk").applyInArrow(join_group(size, percent, every), LINKS), "links")
     discard(members)
-    reclaim(rows.sparkSession)
     local = components(edges_of(inner))
 
     # The matrix: what one component has in one chunk is a group, every other document a group of its own.
@@ -404,7 +403,6 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
         met = pairs.join(side("a"), "group_a").join(side("b"), "group_b")
         made = materialise(met.select("ids_a", "texts_a", "ids_b", "texts_b").mapInArrow(open_groups(size, percent, every), LINKS), "links")
         discard(blocks)
-        reclaim(rows.sparkSession)
         return made
 
     if every:
@@ -441,7 +439,6 @@ def class_links(rows: DataFrame, ids: DataFrame, copies: DataFrame, size: int, p
     homes = homes.join(checked(moves, moves.select("group", "to")), "group").select("doc_id", "text_hash", F.col("to").alias("group"))
     keyed = entries.drop("key").join(checked(moves), "group").groupBy("token", F.col("to").alias("group"), F.col("component").alias("key")).agg(*ends("least", "most"))
     keyed = written(keyed, "entries")
-    reclaim(rows.sparkSession)
     loose, tied = keyed.where("key is null").drop("key"), keyed.where("key is not null")
     wholes = tied.groupBy("token", "key").agg(*ends("least", "most"))
     # Loose groups meet once; tied ones meet loose ones and whole other components, so that one component's groups never meet.
