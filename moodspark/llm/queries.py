@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from moodspark.llm import bpe, decontaminate, doubling, fingerprints, jaccard, licenses, secrets, superkmers, toxicity, warc
+from moodspark.llm import bpe, decontaminate, doubling, fingerprints, jaccard, licenses, secrets, superkmers, tokenfiles, toxicity, warc
 
 QUERIES = {
     "op1_warc_merge": warc.op1_warc_merge,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_secret_automaton": secrets.op8_secret_automaton,
     "op9_benchmark_bm25": decontaminate.op9_benchmark_bm25,
     "op10_license_templates": licenses.op10_license_templates,
+    "op12_token_files": tokenfiles.op12_token_files,
 }
 
 WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
