@@ -40,9 +40,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from moodspark.llm.common import BATCH_BYTES, bound_batches, cached, checked, field, grown, map_column, scratch, table
+from moodspark.llm.common import BATCH_BYTES, bound_batches, cached, checked, grown, scratch, table
 from moodspark.llm.warc import open_store
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -328,20 +327,6 @@ def fetch(spark: SparkSession, folder: str, wanted: DataFrame, key: str = "doc_i
     return read_frames(index_of(spark, folder).join(grown(keys), "doc_id", "left_semi"), folder, True)
 
 
-def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: str = DEFAULT_TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """Add the text of packed ids up to the end id that closes them, as the library decodes it: lower case, single spaces."""
-
-    def run(values: list) -> list[pa.Array]:
-        library = words_of(path).library
-        made = []
-        for v in values:
-            numbers = [] if v is None else np.frombuffer(v, dtype="<u4").tolist()
-            made.append(None if v is None else library.decode(numbers[:-1] if numbers[-1:] == [end_id] else numbers, skip_special_tokens=False))
-        return [pa.array(made, pa.string())]
-
-    return map_column(df, ids, run, [field(out, T.StringType())])
-
-
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of every whole text of ``documents`` in ascending order and read the files back."""
     folder = scratch(spark, "tokens")
