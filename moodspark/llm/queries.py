@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from moodspark.llm import bpe, decontaminate, doubling, fingerprints, jaccard, licenses, secrets, superkmers, tokenfiles, toxicity, warc
+from moodspark.llm import bpe, decontaminate, doubling, fingerprints, jaccard, licenses, merkle, secrets, superkmers, tokenfiles, toxicity, warc
 
 QUERIES = {
     "op1_warc_merge": warc.op1_warc_merge,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_benchmark_bm25": decontaminate.op9_benchmark_bm25,
     "op10_license_templates": licenses.op10_license_templates,
     "op12_token_files": tokenfiles.op12_token_files,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -43,4 +44,27 @@ ORACLES: dict[str, str] = {
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.r = e.a)
         SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM d JOIN reach ON d.doc_id = reach.doc_id LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY 1""",
+    "op13_merkle_manifest": """
+        WITH RECURSIVE bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+        crc AS (SELECT list(v ORDER BY i) AS t FROM bits),
+        d AS (SELECT doc_id, source, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            sha256(fields || coalesce(strlen(text) || ':' || CASE WHEN damaged THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS claimed
+            FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS fields,
+                coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 5 = 0, false) AS damaged FROM documents, crc)),
+        p AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+        g AS (SELECT tree, 0 AS level, pos, leaf AS h, n FROM p UNION ALL
+            SELECT tree, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM g WHERE n > 1 GROUP BY tree, level, pos // 16, n),
+        s AS (SELECT tree, level AS height, h AS subroot FROM g WHERE n = 1),
+        u AS (SELECT 0 AS level, tree AS pos, subroot AS h, (SELECT count(*) FROM s) AS n FROM s UNION ALL
+            SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY level, pos // 16, n),
+        siblings AS (SELECT p.tree, p.pos, q.level, q.pos AS k, q.h FROM p JOIN g q ON p.tree = q.tree AND q.n > 1 AND q.pos // 16 = (p.pos >> (4 * q.level)) // 16 AND q.pos <> p.pos >> (4 * q.level) UNION ALL
+            SELECT p.tree, p.pos, 100 + u.level, u.pos, u.h FROM p JOIN u ON u.n > 1 AND u.pos // 16 = (p.tree >> (4 * u.level)) // 16 AND u.pos <> p.tree >> (4 * u.level)),
+        proofs AS (SELECT tree, pos, sha256(string_agg(h, '' ORDER BY level, k)) AS proof FROM siblings GROUP BY tree, pos),
+        f AS (SELECT tree, pos, 0 AS level, pos AS at, claimed AS h FROM p UNION ALL
+            SELECT f.tree, f.pos, f.level + 1, f.at // 16, sha256(string_agg(CASE WHEN q.pos = f.at THEN f.h ELSE q.h END, '' ORDER BY q.pos)) FROM f JOIN g q ON q.tree = f.tree AND q.level = f.level AND q.n > 1 AND q.pos // 16 = f.at // 16 GROUP BY f.tree, f.pos, f.level, f.at),
+        b AS (SELECT f.tree, f.pos, 0 AS level, f.tree AS at, f.h FROM f JOIN s ON f.tree = s.tree AND f.level = s.height UNION ALL
+            SELECT b.tree, b.pos, b.level + 1, b.at // 16, sha256(string_agg(CASE WHEN u.pos = b.at THEN b.h ELSE u.h END, '' ORDER BY u.pos)) FROM b JOIN u ON u.level = b.level AND u.n > 1 AND u.pos // 16 = b.at // 16 GROUP BY b.tree, b.pos, b.level, b.at),
+        r AS (SELECT level, h AS root FROM u WHERE n = 1)
+        SELECT p.doc_id, p.leaf, s.subroot, r.root, coalesce(proof, sha256('')) AS proof_sha256, b.h AS folded_root, b.h = r.root AS verified
+        FROM p JOIN s ON p.tree = s.tree JOIN r ON true JOIN b ON p.tree = b.tree AND p.pos = b.pos AND b.level = r.level LEFT JOIN proofs o ON p.tree = o.tree AND p.pos = o.pos""",
 }
