@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from moodspark.llm import bpe, decontaminate, doubling, fingerprints, jaccard, licenses, merkle, secrets, superkmers, tokenfiles, toxicity, warc
+from moodspark.llm import bpe, decontaminate, doubling, dualtree, fingerprints, jaccard, licenses, merkle, secrets, superkmers, tokenfiles, toxicity, warc
 
 QUERIES = {
     "op1_warc_merge": warc.op1_warc_merge,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_secret_automaton": secrets.op8_secret_automaton,
     "op9_benchmark_bm25": decontaminate.op9_benchmark_bm25,
     "op10_license_templates": licenses.op10_license_templates,
+    "op11_dual_tree": dualtree.op11_dual_tree,
     "op12_token_files": tokenfiles.op12_token_files,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
@@ -44,6 +45,13 @@ ORACLES: dict[str, str] = {
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.r = e.a)
         SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM d JOIN reach ON d.doc_id = reach.doc_id LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY 1""",
+    "op11_dual_tree": """
+        WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.row AS a, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 100 = 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS positive_rank FROM s WHERE same QUALIFY positive_rank <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.positive_rank ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, p.positive_rank::INTEGER AS positive_rank
+        FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5""",
     "op13_merkle_manifest": """
         WITH RECURSIVE bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
         crc AS (SELECT list(v ORDER BY i) AS t FROM bits),
