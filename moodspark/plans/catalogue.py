@@ -817,3 +817,7 @@ CHECKED = TableSchema("checked", (Field("energy_level", "long", False, allowed=(
 )
 def schema_violations(spark, d):
     return CHECKED.violations(songs(spark, d, "energy_level", "sentiment_score", "lyrics_quality").withColumn("sentiment_score", F.round("sentiment_score", 6)))
+
+
+# Modules that register more queries.
+from moodspark.plans import opinion_queries  # noqa: E402, F401

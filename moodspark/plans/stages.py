@@ -15,14 +15,13 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodspark.config import EMOTIONS, Config, ConfigError, load_config
 from moodspark.functions import replies, scores, text
-from moodspark.operators import aggregates, filters, index, joins, providers, sections, windows
-from moodspark.operators import sentiment as opinions
+from moodspark.operators import aggregates, filters, index, joins, labels, opinions, providers, sections, windows
 from moodspark.plans import charts, checkpoints, report
 from moodspark.plans.schemas import SCHEMAS, SchemaError
 from moodspark.sources import cache, feed
@@ -41,8 +40,12 @@ class Run:
     root: str
     #: A function from prompt to reply, or None to leave every row unclassified.
     chat: Callable[[str], str] | None = None
-    #: The two scorers of the ensemble as factories, or None for the built-in word lists.
-    scorers: tuple[Callable[[], Callable[[str], float]], Callable[[], Callable[[str], float]]] | None = None
+    #: The lexicons of the two scorers of the ensemble, as files; None for the built-in word lists.
+    valences: str | None = None
+    polarities: str | None = None
+    #: Saved models of label scores, as folders; None for digests of the text, which mean nothing.
+    emotion_model: str | None = None
+    theme_model: str | None = None
     #: A function from title and artist to a text or None, or None to take the texts of ``lyrics.csv``.
     lookup: Callable[[str, str], str | None] | None = None
 
@@ -130,31 +133,37 @@ def chorus(run: Run) -> DataFrame:
     return rows.select("song_id", *sections.chorus_cascade("lyrics_raw", pattern=f"(?i){rules.chorus_tier1_tag_pattern}", least_times=rules.chorus_tier2_min_repetitions, least_tokens=rules.chorus_tier2_min_tokens))
 
 
-def scorer(run: Run, column: str) -> Column:
-    """The ensemble of two scorers."""
-    if run.scorers is None:
-        return scores.ensemble_score(providers.lexicon_score(column), providers.polarity_score(column))
-    first, second = run.scorers
-    return scores.ensemble_score(opinions.scored(column, first), opinions.scored(column, second))
+def opinion(run: Run, rows: DataFrame, column: str, out: str) -> DataFrame:
+    """The ensemble of two scorers: ``song_id`` and ``out``."""
+    return opinions.ensemble(rows, ["song_id"], column, opinions.read_valences(run.spark, run.valences), opinions.read_polarities(run.spark, run.polarities), out=out)
 
 
 def sentiment(run: Run) -> DataFrame:
-    rows = run.read("cleaned").withColumn("__text", text.coalesce_nonblank("lyrics_clean", "lyrics_verse_only"))
-    scored = rows.select("song_id", scores.scored_unless_missing("lyrics_quality", scorer(run, "__text")).alias("sentiment_score"))
+    rows = run.read("cleaned").select("song_id", "lyrics_quality", text.coalesce_nonblank("lyrics_clean", "lyrics_verse_only").alias("__text"))
+    scored = rows.join(opinion(run, rows, "__text", "__score"), "song_id").select("song_id", scores.scored_unless_missing("lyrics_quality", F.col("__score")).alias("sentiment_score"))
     return scored.withColumn("energy_level", scores.bin_levels("sentiment_score", run.config.analysis.bins))
 
 
+def label_scores(run: Run, rows: DataFrame, column: str, known: Sequence[str], model: str | None, batch: int, out: str, independent: bool = False) -> DataFrame:
+    """``song_id`` and a map of scores by the saved model, or by the stand-in. Labels that a model lacks score 0."""
+    if model is None:
+        return rows.select("song_id", providers.classify(text.model_input(column), known, providers.hashed_labels(known, independent), batch).alias(out))
+    scored = labels.bayes_scores(rows.select("song_id", text.model_input(column).alias("__input")), ["song_id"], "__input", labels.read_model(run.spark, model), out="__found")
+    names = F.array(*map(F.lit, known))
+    return scored.select("song_id", F.map_from_arrays(names, F.transform(names, lambda n: F.coalesce(F.element_at("__found", n), F.lit(0.0)))).alias(out))
+
+
 def emotion(run: Run) -> DataFrame:
     """Tones of the whole and of the chorus, which is scored by the same scorers."""
     rows = run.read("chorus").join(run.read("cleaned").select("song_id", "lyrics_clean", "lyrics_quality"), "song_id")
-    batch = run.config.analysis.emotion_batch_size
-    whole = rows.withColumn("__whole", providers.classify(text.model_input("lyrics_clean"), EMOTIONS, providers.hashed_labels(EMOTIONS), batch))
-    both = whole.withColumn("__part", providers.classify(text.model_input("chorus_text"), EMOTIONS, providers.hashed_labels(EMOTIONS), batch))
+    batch, model = run.config.analysis.emotion_batch_size, run.emotion_model
+    both = rows.join(label_scores(run, rows, "lyrics_clean", EMOTIONS, model, batch, "__whole"), "song_id").join(label_scores(run, rows, "chorus_text", EMOTIONS, model, batch, "__part"), "song_id")
+    both = both.join(opinion(run, rows, "chorus_text", "__opinion"), "song_id")
     known = F.col("lyrics_quality") != "missing"
     return both.select(
         "song_id",
         F.when(known, scores.dominant_label("__whole", EMOTIONS)).alias("emotional_tone"),
-        F.when(known & F.col("chorus_detected"), scorer(run, "chorus_text")).alias("chorus_sentiment_score"),
+        F.when(known & F.col("chorus_detected"), F.col("__opinion")).alias("chorus_sentiment_score"),
         F.when(known & F.col("chorus_detected"), scores.dominant_label("__part", EMOTIONS)).alias("chorus_emotional_tone"),
         *scores.widened("__whole", EMOTIONS, "emotion"),
     )
@@ -163,7 +172,7 @@ def emotion(run: Run) -> DataFrame:
 def themes(run: Run) -> DataFrame:
     """Themes that reach the threshold; none is null, as later stages expect."""
     rules = run.config.analysis
-    rows = run.read("cleaned").select("song_id", providers.classify(text.model_input("lyrics_clean"), rules.theme_taxonomy, providers.hashed_labels(rules.theme_taxonomy, independent=True), rules.theme_batch_size).alias("s"))
+    rows = label_scores(run, run.read("cleaned"), "lyrics_clean", rules.theme_taxonomy, run.theme_model, rules.theme_batch_size, "s", independent=True)
     return rows.select("song_id", F.nullif(scores.active_tags("s", rules.theme_taxonomy, rules.theme_threshold), F.lit("")).alias("themes"), *scores.widened("s", rules.theme_taxonomy, "theme"))
 
 
@@ -347,6 +356,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     parser.add_argument("--log-file")
     parser.add_argument("--valences", help="lexicon of word, tab and valence for the first scorer of the ensemble")
     parser.add_argument("--polarities", help="XML lexicon of polarities for the second")
+    parser.add_argument("--emotion-model", help="folder of a saved model of label scores")
+    parser.add_argument("--theme-model", help="folder of a saved model of label scores")
     args = parser.parse_args(argv)
     try:
         config = load_config(args.config, args.start_year, args.end_year)
@@ -356,9 +367,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         print(error, file=sys.stderr)
         return BAD_CONFIG
     spark = SparkSession.builder.appName("moodspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    run = Run(spark, config, args.root or config.output.output_dir)
-    if args.valences or args.polarities:
-        run.scorers = (opinions.rule_scorer(args.valences), opinions.average_scorer(args.polarities))
+    run = Run(spark, config, args.root or config.output.output_dir, valences=args.valences, polarities=args.polarities, emotion_model=args.emotion_model, theme_model=args.theme_model)
     if args.dry_run:
         return dry_run(run, stages)
     code = run_all(run, stages, args.force)

@@ -1,34 +1,14 @@
-"""Sentiment of texts by rules over a lexicon, as two published methods have it; the lexicons are files that a caller names.
-
-``RuleScorer``: valences with boosters, negations, capitals, punctuation and the turn at "but" (Hutto and Gilbert,
-"VADER: a parsimonious rule-based model for sentiment analysis of social media text", 2014), -1 to 1.
-``AverageScorer``: the mean polarity of the words found, with intensities and negations, as in the pattern analyser, -1 to 1.
-"""
+"""The two sentiment scorers as plain functions of one text: what the relational ones are held against."""
 
 from __future__ import annotations
 
 import math
 import re
 import string
-import xml.etree.ElementTree as ElementTree
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import partial
-
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from moodspark.operators.providers import ALPHA, NEGATIVE, POSITIVE
+from collections.abc import Mapping, Sequence
 
-# Fixed values of the rules: what boosters, capitals and negations add or multiply, and the words that do so.
-BOOST, CAPITALS, NEGATED = 0.293, 0.733, -0.74
-STRONGER = tuple("absolutely amazingly awfully completely considerably decidedly deeply enormously entirely especially exceptionally extremely fabulously fully greatly highly hugely incredibly intensely majorly more most particularly purely quite really remarkably so substantially thoroughly totally tremendously unbelievably unusually utterly very".split())
-WEAKER = tuple("almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split())
-NEGATIONS = tuple("aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neither neednt never none nope nor not nothing nowhere oughtnt rarely seldom shant shouldnt uhuh wasnt werent without wont wouldnt despite".split())
-#: How much of a booster's weight is left one, two and three words before the word it boosts.
-DISTANCE = (1.0, 0.95, 0.9)
-
-Scorer = Callable[[str], float]
+from moodspark.operators.opinions import BOOST, CAPITALS, DISTANCE, NEGATED, NEGATIONS, STRONGER, WEAKER
+from moodspark.operators.providers import ALPHA
 
 
 def words_and_marks(text: str) -> list[str]:
@@ -121,49 +101,3 @@ class AverageScorer:
             else:
                 strength = 1.0
         return math.fsum(found) / len(found) if found else 0.0
-
-
-def read_valences(path: str | None) -> dict[str, float]:
-    """A lexicon of lines of word, tab, mean valence and more columns; without a path the offline word lists."""
-    if path is None:
-        return dict.fromkeys(POSITIVE, 2.0) | dict.fromkeys(NEGATIVE, -2.0)
-    with open(path, encoding="utf-8") as lines:
-        return {parts[0]: float(parts[1]) for parts in (line.rstrip("\n").split("\t") for line in lines) if len(parts) > 1}
-
-
-def read_polarities(path: str | None) -> dict[str, tuple[float, float]]:
-    """A lexicon of XML ``word`` elements with form, polarity and intensity, senses averaged; without a path the offline word lists."""
-    if path is None:
-        return dict.fromkeys(POSITIVE, (0.5, 1.0)) | dict.fromkeys(NEGATIVE, (-0.5, 1.0)) | dict.fromkeys(STRONGER, (0.0, 1.3)) | dict.fromkeys(WEAKER, (0.0, 0.7))
-    senses: dict[str, list[tuple[float, float]]] = {}
-    for word in ElementTree.parse(path).getroot().iter("word"):
-        senses.setdefault(word.get("form", ""), []).append((float(word.get("polarity", 0)), float(word.get("intensity", 1))))
-    return {form: (sum(p for p, _ in s) / len(s), sum(i for _, i in s) / len(s)) for form, s in senses.items()}
-
-
-def rule_scorer(path: str | None = None) -> Callable[[], Scorer]:
-    return partial(_rule, path)
-
-
-def average_scorer(path: str | None = None) -> Callable[[], Scorer]:
-    return partial(_average, path)
-
-
-def _rule(path: str | None) -> Scorer:
-    return RuleScorer(read_valences(path))
-
-
-def _average(path: str | None) -> Scorer:
-    return AverageScorer(read_polarities(path))
-
-
-def scored(text: str | Column, factory: Callable[[], Scorer]) -> Column:
-    """The score of each text; the scorer is made once for each worker's iterator. Null stays null."""
-
-    @F.pandas_udf("double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = factory()
-        for part in parts:
-            yield pd.Series([None if v is None else scorer(v) for v in part], dtype="float64")
-
-    return run(F.col(text) if isinstance(text, str) else text)

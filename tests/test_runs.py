@@ -185,12 +185,26 @@ def test_end_to_end(run, tmp_path):
     assert "1991" not in picture and "1990s" in picture
 
 
-def test_scorers_of_a_run(run):
-    from moodspark.operators import sentiment
-
-    run.scorers = (sentiment.rule_scorer(), sentiment.average_scorer())
-    assert stages.run_all(run, stages.STAGES[:5]) == stages.OK
-    assert all(r.sentiment_score is not None and -1 <= r.sentiment_score <= 1 for r in run.read("sentiment").collect())
+def test_lexicons_of_a_run(run, tmp_path):
+    (tmp_path / "valences.txt").write_text("love\t3.2\nhope\t1.9\npain\t-2.3\nsmile\t1.5\n")
+    run.valences = str(tmp_path / "valences.txt")
+    assert stages.run_all(run, stages.STAGES[:6]) == stages.OK
+    assert all(0 < r.sentiment_score <= 1 for r in run.read("sentiment").collect())
+    assert all(0 < r.chorus_sentiment_score <= 1 for r in run.read("emotion").collect())
+
+
+def test_models_of_a_run(run, tmp_path):
+    from moodspark.config import EMOTIONS
+    from moodspark.operators import labels
+
+    themes = run.config.analysis.theme_taxonomy
+    for name, known in (("emotions", EMOTIONS), ("themes", themes)):
+        texts = [(f"{label} walk my road and love" if i == 1 else f"{label} cold night alone", label) for i, label in enumerate(known)]
+        labels.save_model(labels.fit_bayes(run.spark.createDataFrame(texts, "text string, label string"), "text", "label"), f"{tmp_path}/{name}")
+    run.emotion_model, run.theme_model = f"{tmp_path}/emotions", f"{tmp_path}/themes"
+    assert stages.run_all(run, stages.STAGES[:7]) == stages.OK
+    assert {r.emotional_tone for r in run.read("emotion").collect()} == {EMOTIONS[1]}
+    assert all(themes[1] in r.themes.split("|") for r in run.read("themes").collect())
 
 
 def test_failures_stop_the_run(run):
