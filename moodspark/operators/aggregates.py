@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodspark.functions.text import split_tags
-from moodspark.sources.files import checkpointed
+from moodspark.sources.files import checkpointed, kept
 
 
 def dedupe_canonical(entries: DataFrame, order: Sequence[str], title: str = "title", artist: str = "artist", rank: str = "rank", weeks: str = "weeks", date: str = "chart_date") -> DataFrame:
@@ -120,6 +120,55 @@ def distribution_summary(df: DataFrame, cohort: str, value: str) -> DataFrame:
     return five.withColumns({"lower_fence": F.col("q1") - 1.5 * spread, "upper_fence": F.col("q3") + 1.5 * spread})
 
 
+#: The sketch's ranks are off by one in so many at most, and cohorts that are broadcast at most.
+RANKS, MOST_COHORTS = 10_000, 10_000
+
+
+def beside(rows: DataFrame, facts: DataFrame, cohort: str) -> DataFrame:
+    """Rows with the facts of their cohort, which are written and have a row a cohort."""
+    few = facts.count() <= MOST_COHORTS
+    named = facts.withColumnRenamed(cohort, "__of")
+    return rows.join(F.broadcast(named) if few else named, F.col(cohort).eqNullSafe(F.col("__of"))).drop("__of")
+
+
+def exact_quartiles(df: DataFrame, cohort: str, value: str) -> DataFrame:
+    """Cohort, ``n``, ``q1`` and ``q3`` (linear between neighbours), exact and without sorting or writing the values.
+
+    A mergeable sketch with a proven bound on its error gives, for each rank that is wanted, two values that it must lie
+    between. A second pass counts the values below and those between, by value; the rank is picked among the latter,
+    one in ``RANKS / 4`` of a cohort's rows and fewer distinct values. Nulls and not-a-numbers don't count.
+    """
+    rows = df.select(F.col(cohort).alias("__cohort"), F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    shares = [(name, max(0.0, p - 2 / RANKS), min(1.0, p + 2 / RANKS)) for name, p in (("q1", 0.25), ("q3", 0.75))]
+    sketch = F.percentile_approx("__v", [x for _, a, b in shares for x in (a, b)], RANKS)
+    brackets = kept(rows.groupBy("__cohort").agg(F.count("*").alias("n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"), sketch.alias("__at")), "brackets")
+    sides = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), F.col("__at")[2 * i].alias("a"), F.col("__at")[2 * i + 1].alias("b")) for i, (name, p) in enumerate((("q1", 0.25), ("q3", 0.75)))))
+    # A cohort so small that a bracket may miss a neighbour is taken whole.
+    small = F.col("n") <= 10 * RANKS
+    met = beside(rows, brackets.withColumn("__sides", F.transform(sides, lambda s: F.struct(s["name"].alias("name"), s["p"].alias("p"), F.when(small, F.col("__least")).otherwise(s["a"]).alias("a"), F.when(small, F.col("__most")).otherwise(s["b"]).alias("b")))).select("__cohort", "n", "__sides"), "__cohort")
+    sided = met.select("__cohort", "n", "__v", F.explode("__sides").alias("s")).where("__v <= s.b")
+    # What lies below a bracket is one row for it.
+    counted = sided.groupBy("__cohort", "n", F.col("s.name").alias("name"), F.col("s.p").alias("p"), F.when(F.col("__v") >= F.col("s.a"), F.col("__v")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("__cohort", "name").orderBy(F.col("v").asc_nulls_first()))
+    place = F.col("p") * (F.col("n") - 1)
+    ranked = counted.withColumns({"upto": upto, "place": place})
+    ends = ranked.groupBy("__cohort", "n", "name").agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("v"))).alias("x"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("v"))).alias("y"), F.first(F.col("place") - F.floor("place")).alias("w"))
+    exact = ends.withColumn("q", F.col("x") + (F.col("y") - F.col("x")) * F.col("w"))
+    made = exact.groupBy(F.col("__cohort").alias(cohort), "n").agg(*(F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in ("q1", "q3")))
+    return kept(made, "quartiles")
+
+
+def distribution_outliers(df: DataFrame, cohort: str, value: str, reach: float = 1.5) -> DataFrame:
+    """The rows whose value is beyond its cohort's fences, with ``side`` and the ends of both whiskers: the outermost values within."""
+    spread = F.col("q3") - F.col("q1")
+    fences = exact_quartiles(df, cohort, value).select(cohort, (F.col("q1") - reach * spread).alias("lower_fence"), (F.col("q3") + reach * spread).alias("upper_fence"))
+    fenced = beside(df, fences, cohort)
+    v = F.col(value).cast("double")
+    within = fenced.where(v.between(F.col("lower_fence"), F.col("upper_fence"))).groupBy(cohort).agg(F.min(v).alias("whisker_low"), F.max(v).alias("whisker_high"))
+    out = fenced.where(((v < F.col("lower_fence")) | (v > F.col("upper_fence"))) & ~F.isnan(v)).withColumn("side", F.when(v < F.col("lower_fence"), "low").otherwise("high"))
+    return beside(out.drop("lower_fence", "upper_fence"), kept(within, "whiskers"), cohort)
+
+
 def extreme_cohort(df: DataFrame, cohort: str, value: str, order: str, largest: bool = True) -> DataFrame:
     """The cohort with the largest (smallest) value; nulls don't count, the first in order wins."""
     known = df.where(F.col(value).isNotNull())

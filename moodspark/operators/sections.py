@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,42 +19,56 @@ def _lines(text: str | Column) -> Column:
     return split_lines(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` and the lambdas in it name it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def extract_sections(text: str | Column, verse_tag: str = VERSE_TAG) -> Column:
     """The text outside of sections that are no verses.
 
     A tag line that names no verse starts a skipped section and is dropped, as is the tag line
     that ends one; other tag lines are kept. Another non-verse tag goes on with the skipping.
+    The lines are cut at tag lines into segments; whether one stays follows from its own tag and the one before.
     """
-    empty = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
 
-    def step(state: Column, line: Column) -> Column:
-        bare = F.trim(line)
-        tag = bare.rlike(ANY_TAG)
-        other = tag & ~bare.rlike(verse_tag)
-        skip = F.when(other, True).when(tag, False).otherwise(state["skip"])
-        drop = other | state["skip"]
-        out = F.when(drop, state["out"]).otherwise(F.array_append(state["out"], line))
-        return F.struct(skip.alias("skip"), out.alias("out"))
+    def of_lines(lines: Column) -> Column:
+        tags = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(x).rlike(ANY_TAG).alias("tag"), (~F.trim(x).rlike(verse_tag)).alias("other"))), lambda t: t["tag"])
+        return bound(tags, lambda t: F.trim(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(t)), lambda j: segment(lines, t, j))), "\n")))
 
-    return F.aggregate(_lines(text), empty, step, lambda s: F.trim(F.array_join(s["out"], "\n")))
+    def segment(lines: Column, tags: Column, j: Column) -> Column:
+        own, before = F.get(tags, j - 1), F.get(tags, j - 2)
+        start = F.coalesce(own["i"], F.lit(0))
+        first = start + F.when(before["other"], 1).otherwise(0)
+        end = F.coalesce(F.get(tags, j)["i"], F.size(lines))
+        return F.when(own["other"], F.array().cast("array<string>")).otherwise(F.slice(lines, first + 1, F.greatest(end - first, F.lit(0))))
+
+    return bound(_lines(text), of_lines)
 
 
 def tagged_chorus(text: str | Column, pattern: str = CHORUS_TAG) -> Column:
     """The lines after a chorus tag up to the next tag, once a line was met; another chorus tag starts anew. Null for none."""
-    empty = F.struct(F.lit(False).alias("on"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("buf"))
 
-    def step(state: Column, line: Column) -> Column:
-        bare = F.trim(line)
-        opens, tag = bare.rlike(pattern), bare.rlike(ANY_TAG)
-        ends = state["on"] & tag & (F.size(state["buf"]) > 0)
-        going = ~state["done"]
-        on = F.when(going & opens, True).when(going & ends, False).otherwise(state["on"])
-        done = state["done"] | (going & ~opens & ends)
-        buf = F.when(going & opens, F.array().cast("array<string>")).when(going & state["on"] & ~ends, F.array_append(state["buf"], bare)).otherwise(state["buf"])
-        return F.struct(on.alias("on"), done.alias("done"), buf.alias("buf"))
+    def of_lines(lines: Column) -> Column:
+        bare = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(x).rlike(pattern).alias("opens"), F.trim(x).rlike(ANY_TAG).alias("tag")))
+        events = F.filter(bare, lambda x: x["opens"] | x["tag"])
+        # Where the chorus opens and ends; an end is a tag after at least one line.
+        start = F.struct(F.lit(-1).alias("opened"), F.lit(-1).alias("ended"))
+
+        def step(state: Column, x: Column) -> Column:
+            going = state["ended"] < 0
+            ends = going & ~x["opens"] & (state["opened"] >= 0) & (x["i"] >= state["opened"] + 2)
+            return F.struct(F.when(going & x["opens"], x["i"]).otherwise(state["opened"]).alias("opened"), F.when(ends, x["i"]).otherwise(state["ended"]).alias("ended"))
 
-    joined = F.aggregate(_lines(text), empty, step, lambda s: F.array_join(F.filter(s["buf"], lambda x: x != ""), "\n"))
-    return F.when(joined != "", joined)
+        def cut(state: Column) -> Column:
+            end = F.when(state["ended"] < 0, F.size(lines)).otherwise(state["ended"])
+            kept = F.transform(F.slice(lines, state["opened"] + 2, F.greatest(end - state["opened"] - 1, F.lit(0))), lambda x: F.trim(x))
+            joined = F.array_join(F.filter(kept, lambda x: x != ""), "\n")
+            return F.when((state["opened"] >= 0) & (joined != ""), joined)
+
+        return bound(F.aggregate(events, start, step), cut)
+
+    return bound(_lines(text), of_lines)
 
 
 def normalised_stanza(text: Column) -> Column:
@@ -63,18 +79,25 @@ def normalised_stanza(text: Column) -> Column:
 def repeated_stanza(text: str | Column, least_times: int = 3, least_tokens: int = 6) -> Column:
     """The stanza that comes back most often, as it stands first; null if none comes ``least_times`` times with ``least_tokens`` words.
 
-    All within a row: stanzas are compared by their normalised form.
+    All within a row: the normalised forms are sorted, and one pass counts the runs of equal ones.
     """
     source = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     trimmed = F.transform(F.split(source, "\n{2,}"), lambda s: F.regexp_replace(s, r"(?U)\A\s+|\s+\z", ""))
-    stanzas = F.filter(trimmed, lambda s: s != "")
-    keyed = F.transform(stanzas, lambda s, i: F.struct(normalised_stanza(s).alias("k"), i.alias("i"), s.alias("s")))
-    heads = F.filter(keyed, lambda x: token_count(x["s"]) >= least_tokens)
-    counted = F.transform(heads, lambda x: F.struct(F.size(F.filter(keyed, lambda y: y["k"] == x["k"])).alias("n"), (-x["i"]).alias("p"), x["s"].alias("s"), x["k"].alias("k")))
-    # Only the first stanza of each form stands for it.
-    first = F.filter(counted, lambda x: (x["n"] >= least_times) & (F.size(F.filter(keyed, lambda y: (y["k"] == x["k"]) & (y["i"] < -x["p"]))) == 0))
-    best = F.array_max(F.transform(first, lambda x: F.struct(x["n"].alias("n"), x["p"].alias("p"), x["s"].alias("s"))))
-    return F.when(F.size(stanzas) >= 2, best["s"])
+    start = F.struct(F.lit(None).cast("string").alias("form"), F.lit(0).alias("first"), F.lit(False).alias("able"), F.lit(0).alias("n"), F.lit(0).alias("most"), F.lit(-1).alias("best"))
+
+    def step(run: Column, x: Column) -> Column:
+        same = F.coalesce(run["form"] == x["form"], F.lit(False))
+        first, able = F.when(same, run["first"]).otherwise(x["i"]), F.when(same, run["able"]).otherwise(x["able"])
+        n = F.when(same, run["n"]).otherwise(0) + 1
+        better = able & (n >= least_times) & ((n > run["most"]) | ((n == run["most"]) & (first < run["best"])))
+        return F.struct(x["form"].alias("form"), first.alias("first"), able.alias("able"), n.alias("n"), F.when(better, n).otherwise(run["most"]).alias("most"), F.when(better, first).otherwise(run["best"]).alias("best"))
+
+    def of_stanzas(stanzas: Column) -> Column:
+        formed = F.transform(stanzas, lambda s, i: F.struct(normalised_stanza(s).alias("form"), i.alias("i"), (token_count(s) >= least_tokens).alias("able")))
+        best = F.aggregate(F.array_sort(formed), start, step, lambda run: run["best"])
+        return bound(best, lambda at: F.when((at >= 0) & (F.size(stanzas) >= 2), F.get(stanzas, at)))
+
+    return bound(F.filter(trimmed, lambda s: s != ""), of_stanzas)
 
 
 def repeated_stanza_rows(df: DataFrame, key: str, text: str, least_times: int = 3, least_tokens: int = 6) -> DataFrame:

@@ -19,7 +19,6 @@ ORACLES: dict[str, str] = {}
 
 YEARS = (("early", 1995, 1996), ("middle", 1998, 1999), ("late", 2000, 2000), ("shadowed", 1999, 2000))
 LANGS = ("en", "fr", "de", "es")
-QUARTER = [f"s{i}" for i in range(4)]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -66,10 +65,10 @@ def week_calendar(spark, d):
     return feed.week_calendar(spark, 1995, 2001)
 
 
-@query("union_weeks", "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS chart_date FROM lineitem WHERE l_linenumber <= 2 OR l_linenumber = 5")
+@query("union_weeks", "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS chart_date FROM lineitem")
 def union_weeks(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("chart_date"))
-    return feed.union_weeks(lines.where("l_linenumber <= 2"), lines.where("l_linenumber = 5"))
+    return feed.union_weeks(lines.where("l_linenumber <= 2"), lines.where("l_linenumber > 2"))
 
 
 @query(
@@ -266,6 +265,22 @@ def range_bucket_join(spark, d):
     return joins.range_bucket_join(table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y")), "y", YEARS).select("o_orderkey", "bucket")
 
 
+@query(
+    "range_lookup",
+    """WITH r AS (SELECT o_orderkey, o_custkey * 1000000000 + o_orderkey AS place, CAST(o_orderdate AS DATE) AS low, CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 40 = 0 THEN 400 ELSE o_orderkey % 5 END AS INTEGER) AS high FROM orders),
+    v AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS v FROM lineitem),
+    b AS (SELECT v, arg_min(o_orderkey, place) AS first_order FROM v JOIN r ON v BETWEEN low AND high GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, first_order FROM lineitem LEFT JOIN b ON CAST(l_shipdate AS DATE) = v""",
+)
+def range_lookup(spark, d):
+    """The first order, by customer, in whose days a line was shipped; one order in forty has 400 days, the others up to five."""
+    day = F.to_date("o_orderdate")
+    days = F.when(F.col("o_orderkey") % 40 == 0, 400).otherwise(F.col("o_orderkey") % 5).cast("int")
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") * 1000000000 + F.col("o_orderkey")).alias("place"), day.alias("low"), F.date_add(day, days).alias("high"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("shipped"))
+    return joins.interval_lookup(lines, "shipped", orders, "low", "high", "o_orderkey", "place", "first_order").drop("shipped")
+
+
 @query("map_lookup", "SELECT doc_id, CASE lang WHEN 'en' THEN 1.0::DOUBLE WHEN 'fr' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS looked_up FROM documents")
 def map_lookup(spark, d):
     return table(spark, d, "documents").select("doc_id", joins.map_lookup("lang", {"en": 1.0, "fr": 0.5}, 0.0).alias("looked_up"))
@@ -406,6 +421,19 @@ def distribution_summary(spark, d):
     return out.select("event_type", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
+@query(
+    "distribution_outliers",
+    """WITH q AS (SELECT l_returnflag, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM (SELECT l_returnflag, CAST(l_extendedprice * l_quantity AS DOUBLE) AS v FROM lineitem) GROUP BY 1),
+    f AS (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_extendedprice * l_quantity AS DOUBLE) AS v, a - 1.5 * (b - a) AS low, b + 1.5 * (b - a) AS high FROM lineitem JOIN q USING (l_returnflag)),
+    w AS (SELECT l_returnflag, min(v) AS whisker_low, max(v) AS whisker_high FROM f WHERE v BETWEEN low AND high GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, l_returnflag, round(v, 4) AS amount, CASE WHEN v < low THEN 'low' ELSE 'high' END AS side, round(whisker_low, 4) AS whisker_low, round(whisker_high, 4) AS whisker_high FROM f JOIN w USING (l_returnflag) WHERE v < low OR v > high""",
+)
+def distribution_outliers(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_extendedprice") * F.col("l_quantity")).cast("double").alias("amount"))
+    out = aggregates.distribution_outliers(lines, "l_returnflag", "amount")
+    return out.withColumns({c: F.round(c, 4) for c in ("amount", "whisker_low", "whisker_high")})
+
+
 @query("argmax_cohort", with_songs("SELECT arg_max(decade, m) AS decade FROM (SELECT decade, count(sentiment_score) AS m FROM songs GROUP BY 1)"))
 def argmax_cohort(spark, d):
     counted = songs(spark, d, "decade", "sentiment_score").groupBy("decade").agg(F.count("sentiment_score").alias("m"))
@@ -705,36 +733,38 @@ def resonance_score(spark, d):
     return songs(spark, d).select("doc_id", scores.resonance_score().alias("score"))
 
 
-VECTOR_SQL = "SELECT vec_id, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 6)) AS v FROM embeddings"
+#: A label for each of the 64 dimensions.
+AXES = [f"s{i}" for i in range(64)]
+VECTOR_SQL = "SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS v FROM embeddings"
 
 
 def vectors(spark, d):
-    labels = F.array(*map(F.lit, QUARTER))
-    values = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 6))
+    labels = F.array(*map(F.lit, AXES))
+    values = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
     return table(spark, d, "embeddings").select("vec_id", F.map_from_arrays(labels, values).alias("scores"))
 
 
 @query("dominant_label", f"SELECT vec_id, 's' || (list_position(v, list_max(v)) - 1) AS label FROM ({VECTOR_SQL})")
 def dominant_label(spark, d):
-    return vectors(spark, d).select("vec_id", scores.dominant_label("scores", QUARTER).alias("label"))
+    return vectors(spark, d).select("vec_id", scores.dominant_label("scores", AXES).alias("label"))
 
 
-ACTIVE_SQL = f"SELECT v.vec_id, coalesce(string_agg('s' || (i - 1), '|' ORDER BY x DESC, i), '') AS tags FROM (SELECT vec_id FROM embeddings) v LEFT JOIN (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM ({VECTOR_SQL})) e ON v.vec_id = e.vec_id AND x >= {{}} AND i <= 3 GROUP BY 1"
+ACTIVE_SQL = f"SELECT v.vec_id, coalesce(string_agg('s' || (i - 1), '|' ORDER BY x DESC, i), '') AS tags FROM (SELECT vec_id FROM embeddings) v LEFT JOIN (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM ({VECTOR_SQL})) e ON v.vec_id = e.vec_id AND x >= {{}} GROUP BY 1"
 
 
 @query("active_tags", ACTIVE_SQL.format("0.05"))
 def active_tags(spark, d):
-    return vectors(spark, d).select("vec_id", scores.active_tags("scores", QUARTER[:3], 0.05).alias("tags"))
+    return vectors(spark, d).select("vec_id", scores.active_tags("scores", AXES, 0.05).alias("tags"))
 
 
 @query("rank_tags", ACTIVE_SQL.format("-1000"))
 def rank_tags(spark, d):
-    return vectors(spark, d).select("vec_id", F.array_join(scores.ranked_tags("scores", QUARTER[:3], -1000.0), "|").alias("tags"))
+    return vectors(spark, d).select("vec_id", F.array_join(scores.ranked_tags("scores", AXES, -1000.0), "|").alias("tags"))
 
 
-@query("widen_scores", f"SELECT vec_id, v[1] AS emotion_s0, v[2] AS emotion_s1, v[3] AS emotion_s2, v[4] AS emotion_s3, CAST(NULL AS DOUBLE) AS emotion_other FROM ({VECTOR_SQL})")
+@query("widen_scores", f"SELECT vec_id, {', '.join(f'v[{i + 1}] AS emotion_{axis}' for i, axis in enumerate(AXES))}, CAST(NULL AS DOUBLE) AS emotion_other FROM ({VECTOR_SQL})")
 def widen_scores(spark, d):
-    return vectors(spark, d).select("vec_id", *scores.widened("scores", [*QUARTER, "other"], "emotion"))
+    return vectors(spark, d).select("vec_id", *scores.widened("scores", [*AXES, "other"], "emotion"))
 
 
 @query("quality_flag", with_songs("SELECT doc_id, CASE WHEN jung_stage <> 'unclassified' AND development_score IS NOT NULL THEN 'high' ELSE 'low' END AS flag FROM songs"))
@@ -757,7 +787,7 @@ def lexicon_score(spark, d):
 
 
 TONES = ("joy", "anger", "fear")
-TONE_SQL = "CAST(('0x' || left(md5('{0}|' || source), 8)) AS BIGINT)"
+TONE_SQL = "CAST(('0x' || left(md5('{0}|' || CASE WHEN trim(coalesce(text, ''), chr(9) || chr(10) || chr(13) || ' ') = '' THEN ' ' ELSE text END), 8)) AS BIGINT)"
 
 
 @query(
@@ -765,8 +795,8 @@ TONE_SQL = "CAST(('0x' || left(md5('{0}|' || source), 8)) AS BIGINT)"
     f"WITH t AS (SELECT doc_id, {', '.join(f'{TONE_SQL.format(t)} AS {t}' for t in TONES)} FROM documents) SELECT doc_id, CASE WHEN joy >= anger AND joy >= fear THEN 'joy' WHEN anger >= fear THEN 'anger' ELSE 'fear' END AS tone FROM t",
 )
 def classify_emotion(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source")
-    return rows.select("doc_id", scores.dominant_label(providers.classify("source", TONES, providers.hashed_labels(TONES)), TONES).alias("tone"))
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    return rows.select("doc_id", scores.dominant_label(providers.classify("text", TONES, providers.hashed_labels(TONES)), TONES).alias("tone"))
 
 
 def measured() -> providers.Provider:
@@ -774,9 +804,9 @@ def measured() -> providers.Provider:
     return lambda texts: [{"length": float(len(t)), "blank": float(not t.strip())} for t in texts]
 
 
-@query("positional_zip", "SELECT doc_id, CAST(length(coalesce(source, ' ')) AS DOUBLE) AS length, 0.0::DOUBLE AS blank FROM documents")
+@query("positional_zip", "SELECT doc_id, CAST(length(t) AS DOUBLE) AS length, CASE WHEN t = ' ' THEN 1.0 ELSE 0.0 END::DOUBLE AS blank FROM (SELECT doc_id, CASE WHEN trim(coalesce(text, ''), chr(9) || chr(10) || chr(13) || ' ') = '' THEN ' ' ELSE text END AS t FROM documents)")
 def positional_zip(spark, d):
-    scored = table(spark, d, "documents").select("doc_id", providers.classify("source", ("length", "blank"), measured, 7).alias("s"))
+    scored = table(spark, d, "documents").select("doc_id", providers.classify("text", ("length", "blank"), measured, 7).alias("s"))
     return scored.select("doc_id", F.col("s.length").alias("length"), F.col("s.blank").alias("blank"))
 
 

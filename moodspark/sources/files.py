@@ -115,6 +115,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         fs.delete(target, True)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read back; they go when the driver's process ends."""
+    df.write.parquet(path := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows as they are now, in the shared folder, which outlives executors."""
     context = df.sparkSession.sparkContext

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from moodspark.functions import replies, scores, text
@@ -167,3 +170,60 @@ def test_tagged_queries_read_whole_texts(spark, tmp_path):
     assert [r.cleaned for r in got["clean_text"]] == [f'"{body}\nfar away\nnear"\nsrc1 sings along\nonce more-en fine']
     assert [r.verse_only for r in got["extract_sections"]] == [f"[Verse 1]\n  “{body}\nnear” \n\nonce more—en"]
     assert [(r.chorus_method, r.chorus_text) for r in got["chorus_cascade"]] == [("tag", "far away")]
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    import time
+
+    lines = "\n".join("[Chorus]" if i % 1000 == 0 else "[Verse 2]" if i % 1000 == 500 else f"line {i}" for i in range(100_000))
+    stanzas = "\n\n".join(f"these are the words of stanza {i % 9000 if i % 7 else 3}" for i in range(20_000))
+    df = spark.createDataFrame([(lines, stanzas)], "lines string, stanzas string")
+    began = time.monotonic()
+    row = df.select(sections.extract_sections("lines").alias("verses"), sections.tagged_chorus("lines").alias("chorus"), sections.repeated_stanza("stanzas").alias("stanza"), *sections.chorus_cascade("stanzas")).first()
+    assert time.monotonic() - began < 60
+    assert len(row.verses.split("\n")) == 100 * 499 and row.verses.startswith("line 501\n")
+    assert row.chorus == "\n".join(f"line {i}" for i in range(1, 500))
+    assert row.stanza == row.chorus_text == "these are the words of stanza 3"
+
+
+def plain_verses(text):
+    out, skip = [], False
+    for line in text.split("\n"):
+        tag = re.fullmatch(r"\[.+\]", line.strip(" "))
+        other = bool(tag) and not re.match(r"(?i)\[\s*verse", line.strip(" "))
+        if not (other or skip):
+            out.append(line)
+        skip = True if other else False if tag else skip
+    return "\n".join(out).strip(" ")
+
+
+def plain_chorus(text):
+    on, buf = False, []
+    for line in text.split("\n"):
+        bare = line.strip(" ")
+        if re.search(sections.CHORUS_TAG, bare):
+            on, buf = True, []
+        elif on and re.fullmatch(r"\[.+\]", bare) and buf:
+            break
+        elif on:
+            buf.append(bare)
+    return "\n".join(x for x in buf if x) or None
+
+
+def plain_stanza(text):
+    stanzas = [s.strip() for s in re.split("\n{2,}", text) if s.strip()]
+    forms = [" ".join(re.sub(r"[^\w\s]", "", s.lower()).split()) for s in stanzas]
+    able = [(forms.count(f), -i) for i, f in enumerate(forms) if forms.index(f) == i and forms.count(f) >= 3 and len(stanzas[i].split()) >= 6]
+    return stanzas[-max(able)[1]] if able else None
+
+
+def test_sections_of_many_texts(spark):
+    rng = random.Random(8)
+    pool = ["[Verse 1]", "[Chorus]", "[Hook 2]", "[Bridge]", "say [chorus] now", " [Outro] ", "a line", "", "[ verse x ]", "another"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(300)]
+    songs = ["\n\n".join(rng.choice(["one two three four five six", "One, two three four five six!", "six five four three two one", "short", "a b c d e f g"]) for _ in range(rng.randrange(9))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", sections.extract_sections("t").alias("v"), sections.tagged_chorus("t").alias("c")).collect()
+    for r in rows:
+        assert (r.v, r.c) == (plain_verses(texts[r.i]), plain_chorus(texts[r.i])), texts[r.i]
+    for r in spark.createDataFrame(list(enumerate(songs)), "i int, t string").select("i", sections.repeated_stanza("t").alias("s")).collect():
+        assert r.s == plain_stanza(songs[r.i]), songs[r.i]
