@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read again.
 
 1. toxicity: documents that the pattern grammar rejects go.
-2. near_duplicates: of documents joined by links of 80 % of five-word shingles the one with the smallest id stays,
-   and of the rows that repeat its id one (of the text that counts for the id the row with the smallest hash).
+2. near_duplicates: of documents joined by links of 80 % of five-word shingles the one with the smallest id stays.
+   Different texts under one id are documents of their own; of rows alike in id and text one stays.
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: secrets are masked; every document stays and ``n_chars`` follows its text.
 5. tokens: token ids of every text, and whether they decode to it.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodspark.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from moodspark.llm.common import grown, materialise, table
+from moodspark.llm.common import grown, materialise, table, told_apart
 
 REJECT_FROM = 0.7
 #: Ids that may be broadcast, a few MB; more are merged.
@@ -40,15 +40,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    classes = materialise(jaccard.similarity_components(docs, size=5, percent=80), "components")
-    first = F.col("doc_id") == F.col("component_id")
-    repeats = classes.where(first & (F.col("n_rows") > 1)).select("doc_id", F.col("text_hash").alias("__kept"))
-    if repeats.isEmpty():
-        return docs.join(bounded(classes.where(~first).select("doc_id")), "doc_id", "left_anti").select(*columns)
-    gone = classes.where(~first | (F.col("n_rows") > 1)).select("doc_id")
-    one = docs.join(bounded(repeats), "doc_id").where(F.xxhash64("text") == F.col("__kept"))
-    one = one.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row")).select("__row.*")
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(*columns).unionByName(one)
+    known = docs.where(F.col("doc_id").isNotNull())
+    rows, names = told_apart(known, "doc_id", "text")
+    classes = materialise(jaccard.similarity_components(rows.select("__row", "text"), "__row", "text", size=5, percent=80), "components")
+    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__row"))
+    if names is None:
+        return docs.join(bounded(gone), docs["doc_id"] == gone["__row"], "left_anti").select(*columns)
+    kept = rows.join(bounded(gone), "__row", "left_anti").select(*columns, "__row")
+    # Of rows alike in id and text one stays.
+    one = kept.groupBy("__row").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__one")).select("__one.*")
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

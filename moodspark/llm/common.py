@@ -129,6 +129,33 @@ def joined_by_key(rows: DataFrame, key: str, value: str, facts: DataFrame) -> Da
     return dealt.join(grown(near), [key, "__deal"], "left").drop("__deal")
 
 
+def told_apart(docs: DataFrame, doc_id: str, text: str, row: str = "__row") -> tuple[DataFrame, DataFrame | None]:
+    """Add ``row``, a number for each pair of id and text, in the order of ids (null last) and then of the texts' hashes.
+
+    Where no id repeats or is null it is the id itself, and the second result None. Otherwise the pairs are sorted and
+    numbered by their place, without the texts, and the second result has ``row`` and the id, ``of``, of each.
+    """
+    key = F.col(f"`{doc_id}`").cast("long")
+    if docs.groupBy(key.alias("id")).agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").isEmpty():
+        return docs.withColumn(row, key), None
+    pairs = docs.select(key.alias("__of"), F.xxhash64(f"`{text}`").alias("__hash")).distinct()
+    order = [F.col("__of").asc_nulls_last(), F.col("__hash")]
+    # The number of a range and the place in it, so the numbers ascend over all ranges.
+    numbered = materialise(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "rows")
+    same = key.eqNullSafe(F.col("__of")) & (F.xxhash64(f"`{text}`") == F.col("__hash"))
+    return materialise(docs.join(checked(numbered), same).drop("__of", "__hash"), "rows"), numbered.select(row, F.col("__of").alias("of"))
+
+
+def given_ids(made: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """Rows of numbers from ``told_apart`` with the ids that they stand for in the named columns."""
+    for column in columns if names is not None else ():
+        of = names.select(F.col(names.columns[0]).alias("__number"), "of")
+        at = made.columns.index(column)
+        joined = made.join(grown(of), F.col(column) == F.col("__number"), "left")
+        made = joined.select(*made.columns[:at], F.col("of").alias(column), *made.columns[at + 1 :])
+    return made
+
+
 def process_cache() -> dict:
     """A dictionary that lives as long as the Python process.
 

@@ -25,8 +25,7 @@ anchors are about one position in 35, and few of their windows are looked at.
 
 Null and empty texts have no bytes. Rows that repeat an id and a text hold the same
 strings at the same places, which don't count as other places; different
-texts of one id are not told apart, what is removed at a place of one is removed there in all.
-Rows without an id are left out. An empty table gives an empty result; extra columns are ignored.
+texts of one id are documents of their own, and rows without an id, told apart by their texts, are kept. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, cached, discard, grown, materialise, reclaim, table
+from moodspark.llm.common import bound_batches, cached, discard, given_ids, grown, materialise, reclaim, table, told_apart
 from moodspark.llm.packing import BYTE_NUMBERS, ODD, ODD_INVERSE, compressed, expand, mix, powers, restored, spread_out, squeeze, text_bytes
 from moodspark.llm.superkmers import marked
 
@@ -399,7 +398,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if not LEAST_LENGTH <= length <= 2 * RANKED:
         raise ValueError(f"length must be from {LEAST_LENGTH} to {2 * RANKED}")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
+    told, names = told_apart(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    rows = told.select(F.col("__row").alias("doc_id"), "text")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(rows) // PARTITION_BYTES)
     kind = F.col("meta").bitwiseAND(3)
 
@@ -478,7 +478,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             width = len(outcome)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:width], kinds[:width], strict=True)], names=outcome)
 
-    return done.unionByName(waiting.mapInArrow(finish, RESULT + (", kept binary" if keep_bytes else "")))
+    return given_ids(done.unionByName(waiting.mapInArrow(finish, RESULT + (", kept binary" if keep_bytes else ""))), names, "doc_id")
 
 
 def op5_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:

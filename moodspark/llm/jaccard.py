@@ -23,9 +23,11 @@ Equal sets are one class: the smallest id stands for all. There are two ways to
 
 Letters A-Z are lower-cased, words are separated by white space. A text of fewer
 words than a shingle is one shingle; null texts and texts without words have
-none, link with nothing and are components of their own. Rows that repeat an id
-count once (the smallest set hash, and of equal sets the smallest hash of the text);
-rows without an id are left out. An empty table gives an empty result; extra columns
+none, link with nothing and are components of their own. For components each text
+of an id that repeats is a document, with a result of its own, and so is each text
+without an id; a component without any id has a null one. For all links
+(``similarity_links``) ids that repeat count once (the smallest set hash, and of equal
+sets the smallest hash of the text) and rows without an id are left out. An empty table gives an empty result; extra columns
 are ignored. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
 """
 
@@ -41,7 +43,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, checked, discard, grown, joined_by_key, materialise, smallest_of_key, table
+from moodspark.llm.common import bound_batches, checked, discard, given_ids, grown, joined_by_key, materialise, smallest_of_key, table, told_apart
 from moodspark.llm.components import components
 from moodspark.llm.packing import restored, run_hashes, text_bytes, window_hashes_of
 from moodspark.llm.sketch import frequency_classes, slots_for
@@ -494,13 +496,15 @@ def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
 def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id reachable by links of at least ``percent`` % similarity.
 
-    ``n_rows`` and ``text_hash`` tell how many rows have the id, and the text (its xxhash64) that counts for it.
+    Of rows that repeat an id each text is a document; ``n_rows`` tells how many rows have it.
     """
-    rows, ids, copies = sets_of(docs, doc_id, text, size, percent)
+    told, names = told_apart(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    rows, ids, copies = sets_of(told.select("__row", "text"), "__row", "text", size, percent)
     reached = components(edges_of(class_links(rows, ids, copies, size, percent, every=False)))
     far = joined_by_key(copies, "class_id", "doc_id", reached.select(F.col("id").alias("class_id"), "component"))
     found = reached.withColumnRenamed("id", "doc_id").unionByName(far.select("doc_id", F.coalesce("component", "class_id").alias("component")))
-    return ids.join(grown(found), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "n_rows", "text_hash")
+    made = ids.join(grown(found), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "n_rows")
+    return given_ids(made, names, "doc_id", "component_id")
 
 
 def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:

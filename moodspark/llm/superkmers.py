@@ -14,8 +14,8 @@ one bucket. Such windows travel singly, to the bucket of a hash of their words.
 Words are separated by white space and kept as they are. Null, empty and
 shorter texts have no windows. Rows that repeat an id and a text hold the same
 positions, none of which is earlier than the other; different texts of one id are
-not told apart, what is removed at a place of one is removed there in all. Rows
-without an id are left out. An empty table gives an empty result; extra columns are ignored.
+documents of their own, in the order of their hashes, and rows without an id come after
+all others (``repeated_spans`` alone goes by the ids as they are). An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import bound_batches, grown, table
+from moodspark.llm.common import bound_batches, given_ids, grown, table, told_apart
 from moodspark.llm.packing import by_bucket, compressed, expand, restored, run_hashes, spread_out, squeeze, text_bytes, window_hashes_of
 from moodspark.llm.sketch import frequency_classes, slots_for
 
@@ -268,7 +268,8 @@ def marked(intervals: list | None, n: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True, **options) -> DataFrame:
     """Per document: ``n_words``, ``n_removed``, ``kept_sha256`` and, if asked for, ``kept_text``."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
+    told, names = told_apart(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    rows = told.select(F.col("__row").alias("doc_id"), "text")
     spans = repeated_spans(rows, "doc_id", "text", **options).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     joined = compressed(rows).join(grown(spans), "doc_id", "left").select("doc_id", "packed_text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
@@ -290,7 +291,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names=labels)
 
-    return joined.mapInArrow(run, schema)
+    return given_ids(joined.mapInArrow(run, schema), names, "doc_id")
 
 
 def op4_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
