@@ -1,11 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Word transducers turn words into symbols: insults (a weighted character trie
-learned from labelled texts, with a few seeds), threats, targets, negations and
-reported speech. Five small machines read the symbols of a clause; their
-composition is one automaton whose moves carry factors. An insult counts by its
-weight times the factors of its clause; a threat counts only with a target in
-its clause, before it or after it. A quotation goes on over sentence ends to its closing
+learned from labelled texts, with a few seeds), threats with their inflected
+forms, people who are addressed or acted on, negations and reported speech. Four
+small machines read the symbols of a clause; their composition is one automaton
+whose moves carry factors and whose states carry a final factor.
+
+* An insult is bound if its clause names someone, before or after it: the clause's final factor is then above one,
+  without anyone it is ``BARE``.
+* A threat counts only with its object: a pronoun that follows it, with nothing but ``FILLERS`` between, or a
+  pronoun that stands up to four words before it in the languages that put it there. Subjects and owners are no objects.
+* A text with no bound clause and one insulting word in all is no match: it scores ``LONE`` at most.
+
+A quotation goes on over sentence ends to its closing
 mark or the end of the line. The score is a logistic of the matched clauses' total
 weight and of their weight per hundred words; both saturate at ``Model.cap``, as beyond
 it more evidence changes nothing.
@@ -20,7 +27,9 @@ source and id are no inputs of a score.
 
 Null and empty texts score the prior. Rows are independent: repeated rows give
 repeated results; of contradicting labels of one id the highest counts. Without
-any labelled row the seeds alone are used and the prior is one in ten. Other
+any labelled row the seeds alone are used and the prior is one in ten. An empty table
+of documents gives an empty result. A text of any length is read once from end to end; a
+worker holds a batch of texts and the words of one. Other
 columns are carried along; one named like a result column is replaced.
 """
 
@@ -43,25 +52,42 @@ from moodspark.llm.common import bound_batches, cached, field, map_column, table
 
 # Seeds of the word transducers.
 SEED_INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "trash", "imbecile", "dumbass")
-THREATS = ("kill", "murder", "strangle", "hurt", "destroy", "beat", "burn", "töten", "umbringen", "verprügeln", "tuer", "tuerai", "frapper", "matar", "mataré", "golpear")
-TARGETS = ("you", "your", "yours", "they", "them", "these", "du", "dich", "dein", "ihr", "euch", "tu", "te", "toi", "vous", "ti", "usted", "ustedes", "vosotros")
+THREATS = ("kill", "murder", "strangle", "hurt", "destroy", "beat", "burn")
+ENDINGS = ("", "s", "ed", "ing", "in", "en", "t")
+OTHER_THREATS = ("töten", "töte", "umbringen", "verprügeln", "verprügle", "tuer", "tuerai", "tuerons", "frapper", "frapperai", "matar", "mataré", "mataremos", "golpear", "golpearé")
+OBJECTS = ("you", "u", "yourself", "yourselves", "him", "her", "them", "usted", "ustedes", "toi", "ti")
+OBJECTS_BEFORE = ("dich", "euch", "te", "vous", "os")
+ADDRESSED = ("your", "yours", "they", "these", "du", "dein", "deine", "ihr", "tu", "vosotros", "eres")
+FILLERS = ("all", "any", "one", "each", "every", "both", "of", "and", "the", "lot", "up", "down", "out", "off")
 NEGATIONS = ("not", "no", "never", "nobody", "isn", "aren", "wasn", "don", "nicht", "kein", "keine", "nie", "pas", "jamais", "ni", "nunca", "jamás")
 REPORTS = ("said", "says", "wrote", "writes", "called", "claimed", "quoted", "reported", "sagte", "schrieb", "nannte", "dit", "écrit", "appelé", "dijo", "escribió", "llamó")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, STOP, LINE = SYMBOLS = range(9)
+OTHER, INSULT, THREAT, OBJECT, BEFORE, ADDRESS, FILLER, NEGATION, REPORT, QUOTE, STOP, LINE = SYMBOLS = range(12)
+NAMED = (OBJECT, BEFORE, ADDRESS)
 ENDS = {".": STOP, "!": STOP, "?": STOP, ";": STOP, "\n": LINE}
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]|[\"“”„«»]")
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 10
 WORD_END = "$"
+#: What an insult counts for if its clause names nobody, and if it names someone.
+BARE, BOUND = 0.5, 1.25
+#: The highest score of a text whose only match is one insulting word that is bound to nobody.
+LONE = 0.6
+
+
+def inflected(stem: str) -> set[str]:
+    """The forms of a regular English verb and the few irregular ones that its endings also spell."""
+    short = stem.removesuffix("e")
+    return {stem} | {base + ending for base in (stem, short) for ending in ENDINGS if not (base != stem and ending in ("", "s", "t"))}
 
 
 @dataclass(frozen=True)
 class Machine:
-    """A small transducer: (state, symbol) -> state, and the factor of a symbol in a state."""
+    """A small transducer: (state, symbol) -> state, the factor of a symbol in a state, and a state's final factor for insults."""
 
     moves: dict
     factors: dict
+    final: dict
 
     def step(self, state: int, symbol: int) -> int:
         return self.moves.get((state, symbol), self.moves.get((state, None), state))
@@ -70,32 +96,35 @@ class Machine:
         return self.factors.get((state, symbol), 1.0)
 
 
-def machines(scope: int = 3) -> list[Machine]:
-    """Target, negation, reported speech, insult and threat machines, in that order.
+def machines(scope: int = 3, reach: int = 4) -> list[Machine]:
+    """Object, address, negation, reported speech and repetition machines, in that order.
 
-    A negation holds for ``scope`` words, or from a threat in its reach to the threat's target; a verb of report
-    and a target hold for the rest of the clause, a quotation to its end. A threat is paid for once it has its target:
-    at the threat itself if a target stands before it (state 1), else at the first target after it (state 2).
+    A threat is paid for with its object: state ``reach + 1`` waits for one that follows, states 1 to ``reach`` count down
+    the words since one that stood before. A negation holds for ``scope`` words, or from a threat in its reach to that
+    threat's object; a verb of report holds for the rest of the clause, a quotation to its end.
     """
-    held = scope + 1
-    countdown = {(s, None): s - 1 for s in range(1, scope + 1)} | {(s, NEGATION): scope for s in range(scope + 1)}
-    countdown |= {(s, THREAT): held for s in range(1, scope + 1)} | {(held, TARGET): 0}
     ends = lambda states: {(s, end): 0 for s in states for end in (STOP, LINE)}
-    target = {(0, TARGET): 1, (0, THREAT): 2, (2, TARGET): 1}
-    unpaid = {(0, THREAT): 0.0, (2, THREAT): 0.0, (0, TARGET): 0.0, (1, TARGET): 0.0}
+    waiting = reach + 1
+    objects = {(s, None): s - 1 for s in range(1, waiting)} | {(waiting, None): 0} | ends(range(1, waiting + 1))
+    objects |= {(s, BEFORE): reach for s in range(waiting)} | {(s, THREAT): 0 for s in range(1, waiting)}
+    objects |= {(0, THREAT): waiting} | {(waiting, kind): waiting for kind in (THREAT, FILLER, NEGATION)}
+    unpaid = {(s, THREAT): 0.0 for s in (0, waiting)} | {(s, kind): 0.0 for s in range(waiting) for kind in (OBJECT, BEFORE)}
+    held = scope + 1
+    denied = {(s, None): s - 1 for s in range(1, held)} | {(s, NEGATION): scope for s in range(held)} | {(held, None): 0}
+    denied |= {(s, THREAT): held for s in range(1, held)} | {(held, kind): held for kind in (THREAT, FILLER, NEGATION)}
     report = {(0, REPORT): 1, (0, QUOTE): 2, (1, QUOTE): 2, (2, QUOTE): 0, (1, STOP): 0, (1, LINE): 0, (2, LINE): 0}
-    counted = (INSULT, THREAT, TARGET)
+    counted = (INSULT, THREAT, OBJECT, BEFORE)
     return [
-        Machine(target | ends((1, 2)), unpaid | {(1, INSULT): 1.25}),
-        Machine(countdown | ends(range(1, held + 1)), {(s, kind): 0.5 for s in range(1, held + 1) for kind in counted}),
-        Machine(report, {(s, kind): 0.6 for s in (1, 2) for kind in counted}),
-        Machine({(0, INSULT): 1} | ends((1,)), {(1, INSULT): 0.5}),
-        Machine({(0, THREAT): 1} | ends((1,)), {(1, THREAT): 0.5}),
+        Machine(objects, unpaid, {}),
+        Machine({(0, kind): 1 for kind in NAMED} | ends((1,)), {}, {0: BARE, 1: BOUND}),
+        Machine(denied | ends(range(1, held + 1)), {(s, kind): 0.5 for s in range(1, held + 1) for kind in counted}, {}),
+        Machine(report, {(s, kind): 0.6 for s in (1, 2) for kind in counted}, {}),
+        Machine({(0, INSULT): 1} | ends((1,)), {(1, INSULT): 0.5}, {}),
     ]
 
 
-def compose(parts: list[Machine]) -> tuple[list[list[int]], list[list[float]]]:
-    """The product of the machines: next state and factor by state and symbol."""
+def compose(parts: list[Machine]) -> tuple[list[list[int]], list[list[float]], list[float]]:
+    """The product of the machines: next state and factor by state and symbol, final factor by state."""
     start = (0,) * len(parts)
     number, order = {start: 0}, [start]
     moves: list[list[int]] = []
@@ -111,7 +140,7 @@ def compose(parts: list[Machine]) -> tuple[list[list[int]], list[list[float]]]:
             weights.append(math.prod(m.factor(s, symbol) for m, s in zip(parts, current, strict=True)))
         moves.append(row)
         factors.append(weights)
-    return moves, factors
+    return moves, factors, [math.prod(m.final.get(s, 1.0) for m, s in zip(parts, state, strict=True)) for state in order]
 
 
 @dataclass(frozen=True)
@@ -131,9 +160,11 @@ class Grammar:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.weights = dict(model.weights)
-        self.moves, self.factors = compose(machines())
-        self.symbols = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
-        self.heads = {w[:SHORTEST] for w in self.weights} | {w[:SHORTEST] for w in THREATS}
+        self.moves, self.factors, self.final = compose(machines())
+        threats = {form for stem in THREATS for form in inflected(stem)} | set(OTHER_THREATS)
+        kinds = ((THREAT, threats), (OBJECT, OBJECTS), (BEFORE, OBJECTS_BEFORE), (ADDRESS, ADDRESSED), (FILLER, FILLERS), (NEGATION, NEGATIONS), (REPORT, REPORTS))
+        self.symbols = {w: s for s, words in kinds for w in words}
+        self.heads = {w[:SHORTEST] for w in self.weights} | {w[:SHORTEST] for w in threats}
 
     def insult(self, word: str) -> float:
         """The weight of a word: the highest among its beginnings that the trie accepts."""
@@ -143,40 +174,54 @@ class Grammar:
             ends.append(weights[whole])
         return max(ends, default=0.0)
 
-    def clauses(self, text: str) -> list[float]:
-        """The weights of the matched clauses."""
-        moves, factors, found = self.moves, self.factors, []
-        state, total = 0, 0.0
+    def matches(self, text: str) -> list[tuple[float, int, bool]]:
+        """The matched clauses of a lower-case text: weight, insulting words, and whether an insult or a threat is bound to someone."""
+        moves, factors, final, found = self.moves, self.factors, self.final, []
+        state, insults, threats, count = 0, 0.0, 0.0, 0
+
+        def close() -> None:
+            if insults or threats:
+                bound = bool(threats) or final[state] > 1
+                found.append((insults * final[state] + threats, count, bound))
+
         for token in TOKEN.findall(text):
             if token in ENDS:
-                if total:
-                    found.append(total)
-                state, total = moves[state][ENDS[token]], 0.0
+                close()
+                state, insults, threats, count = moves[state][ENDS[token]], 0.0, 0.0, 0
                 continue
             symbol = QUOTE if token in '"“”„«»' else self.symbols.get(token, OTHER)
-            weight = self.model.threat_weight if symbol in (THREAT, TARGET) else 0.0
-            if symbol == OTHER and token[:SHORTEST] in self.heads and (weight := self.insult(token)):
-                symbol = INSULT
-            if weight:
-                total += weight * factors[state][symbol]
+            if symbol in (THREAT, OBJECT, BEFORE):
+                threats += self.model.threat_weight * factors[state][symbol]
+            elif symbol == OTHER and token[:SHORTEST] in self.heads and (weight := self.insult(token)):
+                symbol, count = INSULT, count + 1
+                insults += weight * factors[state][symbol]
             state = moves[state][symbol]
-        return [*found, total] if total else found
+        close()
+        return found
+
+    def clauses(self, text: str) -> list[float]:
+        """The weights of the matched clauses."""
+        return [weight for weight, _, _ in self.matches(text)]
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """The total weight of the matched clauses and the weight per hundred words, both capped."""
+    def evidence(self, text: str | None) -> tuple[float, float, bool]:
+        """The total weight of the matched clauses and the weight per hundred words, both capped; and whether they are
+        more than one word that is bound to nobody."""
         if not text:
-            return 0.0, 0.0
+            return 0.0, 0.0, False
         lowered = text.lower()
         words = WORD.findall(lowered)
         if self.heads.isdisjoint([w[:SHORTEST] for w in words]):
-            return 0.0, 0.0
-        total = sum(self.clauses(lowered))
-        return min(self.model.cap, total), min(self.model.cap, 100 * total / (20 + len(words)))
+            return 0.0, 0.0, False
+        found = self.matches(lowered)
+        total = sum(weight for weight, _, _ in found)
+        matched = any(bound for _, _, bound in found) or sum(count for _, count, _ in found) > 1
+        return min(self.model.cap, total), min(self.model.cap, 100 * total / (20 + len(words))), matched
 
     def score(self, text: str | None) -> float:
         constant, by_total, by_density = self.model.coefficients
-        total, density = self.evidence(text)
-        return 1.0 / (1.0 + math.exp(-(constant + by_total * total + by_density * density)))
+        total, density, matched = self.evidence(text)
+        likely = 1.0 / (1.0 + math.exp(-(constant + by_total * total + by_density * density)))
+        return likely if matched or not total else min(likely, LONE)
 
 
 def remainder(doc_id: str | Column, folds: int = 3) -> Column:

@@ -274,53 +274,61 @@ def test_toxicity_reads_clauses():
     grammar = toxicity.Grammar(toxicity.Model((("idiot$", 6.0),), (-2.0, 1.0, 0.0)))
     weight = lambda t: sum(grammar.clauses(t))
     plain = weight("an idiot there")
-    assert weight("you idiot") > plain > weight("not an idiot") > 0
+    assert weight("you idiot") == weight("idiot, you") == 1.25 * 6 > plain == 0.5 * 6 > weight("not an idiot") > 0
     assert weight("he said idiot") < plain
     assert weight("not now. idiot") == plain
-    assert weight("we kill time") == weight("i will kill the engine") == weight("kill the noise. you win") == 0
-    assert weight("i will kill you") == weight("you i will kill") == 4
+    for harmless in ("we kill time", "i will kill the engine", "kill the noise. you win", "they beat the record", "your engine will burn oil", "burn these leaves", "you will burn oil", "kill the noise as you win", "you i will kill"):
+        assert weight(harmless) == 0, harmless
+    for threat in ("i will kill you", "i killed you", "i will be killing you", "we kill all of you", "beaten up and burnt them", "ich werde dich töten", "je vais te tuer", "te voy a matar"):
+        assert weight(threat) == 4, threat
     assert weight("i will not kill you") == weight("never kill any one of all of you") == 2
     assert grammar.score("i will kill you") > grammar.score("i will kill the engine")
-    assert weight('he said "you are a fool. you idiot."') == weight("he said you idiot") == 0.6 * weight("you idiot")
+    assert weight('he said "you are a fool. you idiot."') == weight('he said you idiot') == 0.6 * weight("you idiot")
     assert weight('"a quotation" you idiot') == weight('"an open one\nyou idiot') == weight("you idiot")
     assert grammar.score(None) == grammar.score("") == grammar.score("calm words")
 
 
+def test_no_lone_word_is_a_match():
+    grammar = toxicity.Grammar(toxicity.Model((("idiot$", 6.0),), (-2.0, 1.0, 1.0)))
+    for text in ("idiot", "that idiot savant", "not an idiot", "Idiot. They left"):
+        assert 0 < grammar.score(text) <= toxicity.LONE, text
+    for text in ("you idiot", "idiot, you", "idiot. an idiot", "i will kill you"):
+        assert grammar.score(text) >= 0.7, text
+
+
 def plain_clauses(text, weights):
-    """The clause rules word for word: what was said, quoted, denied or addressed before each word."""
-    found, quoted = [], False
+    """The clause rules word for word: what was said, quoted, denied or named around each word."""
+    found, linking = [], ("kill", "all", "not")
     for line in text.split("\n"):
         quoted = False
         for clause in re.split("[.!?;]", line):
-            total, seen, reported, insulted, threatened = 0.0, False, False, False, 0
-            denied, pending, pending_denied, pending_first = 0, False, False, True
-            for word in re.findall(r'"|\w+', clause):
+            words = re.findall(r'"|\w+', clause)
+            insults, threats, insulted, reported = 0.0, 0.0, False, False
+            denied, near = 0, 0  # words that a negation and an object before still reach; "held" and "waits" for an object
+            for word in words:
+                factor = (0.5 if denied else 1) * (0.6 if quoted or reported else 1)
                 if word == '"':
                     quoted, reported = not quoted, reported and quoted
-                    denied = max(0, denied - 1)
-                    continue
-                factor = (0.5 if denied or pending_denied else 1) * (0.6 if quoted or reported else 1)
-                held = pending_denied
-                if word == "idiot":
-                    total += weights["idiot"] * factor * (1.25 if seen else 1) * (0.5 if insulted else 1)
-                    insulted = True
-                elif word == "kill":
-                    if seen:
-                        total += 4 * factor * (0.5 if threatened else 1)
-                    elif not pending:
-                        pending = True
-                    threatened += 1
-                    pending_denied = pending_denied or bool(denied)
-                elif word == "you":
-                    if pending:
-                        total += 4 * factor
-                    pending, seen = False, True
-                    pending_denied, denied = False, 0 if held else denied
                 elif word == "said" and not quoted:
                     reported = True
-                denied = 0 if pending_denied or held else 3 if word == "not" else max(0, denied - 1)
-                if held and word == "not":
-                    pending_denied = True
+                elif word == "idiot":
+                    insults += weights["idiot"] * factor * (0.5 if insulted else 1)
+                    insulted = True
+                elif (word == "kill" and near not in (0, "waits")) or (word in ("you", "dich") and near == "waits"):
+                    threats += 4 * factor
+                if denied == "held":
+                    denied = "held" if word in linking else 0
+                elif denied and word == "kill":
+                    denied = "held"
+                else:
+                    denied = 3 if word == "not" else max(0, denied - 1)
+                if near == "waits":
+                    near = "waits" if word in linking else 0
+                elif word == "kill":
+                    near = 0 if near else "waits"
+                else:
+                    near = 4 if word == "dich" else max(0, near - 1)
+            total = insults * (1.25 if {"you", "dich", "they"} & set(words) else 0.5) + threats
             if total:
                 found.append(total)
     return found
@@ -330,7 +338,7 @@ def test_toxicity_matches_plain_clauses():
     weights = {"idiot": 6.0}
     grammar, rng = toxicity.Grammar(toxicity.Model((("idiot$", 6.0),), (-2.0, 1.0, 0.0))), random.Random(12)
     for _ in range(6000):
-        text = " ".join(rng.choice(["idiot", "kill", "you", "not", "said", '"', ".", "\n", "calm", "word", "word"]) for _ in range(rng.randint(1, 14)))
+        text = " ".join(rng.choice(["idiot", "kill", "you", "dich", "they", "all", "not", "said", '"', ".", "\n", "calm", "word", "word"]) for _ in range(rng.randint(1, 14)))
         assert grammar.clauses(text) == pytest.approx(plain_clauses(text, weights)), text
 
 
