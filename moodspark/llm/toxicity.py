@@ -258,7 +258,7 @@ def fit(
     max_entries: int = 4_000,
     least_weight: float = 2.0,
 ) -> Model:
-    """Learn the insult trie: beginnings that mark toxic texts beyond chance over all that were tried.
+    """Learn the insult trie: beginnings that mark toxic texts beyond chance, at a bounded rate of false discoveries over all that were tried.
 
     Near copies of a text count as one, else chance words of a text with many copies
     would look certain. A beginning's weight is its smoothed log-odds of toxic against other texts. The
@@ -314,15 +314,18 @@ def fit(
     weights: dict[str, float] = {}
     if bad_rows and good_rows:
         tried = max(tried, 40 * (bad_rows + good_rows))
-        bar = 2 * math.log(tried / 0.05)
         tests = []
         for r in ranked:
             if r["name"]:
                 a, b = r["bad"], r["good"]
                 weight = math.log((a + 0.5) / (bad_rows + 1)) - math.log((b + 0.5) / (good_rows + 1))
-                if r["name"] in seeds or (weight >= least_weight and surprise(a, b, bad_rows, good_rows) >= bar):
+                if r["name"] in seeds or weight >= least_weight:
                     tests.append((surprise(a, b, bad_rows, good_rows), r["name"], weight))
-        weights = {name: max(0.0, weight) for _, name, weight in sorted(tests, reverse=True)[:max_entries]}
+        tests.sort(reverse=True)
+        # Step-up: of the entries kept, one in twenty at most is expected to be chance among all that were tried.
+        passed = max((k for k, (found, _, _) in enumerate(tests, 1) if found >= 2 * math.log(tried / (0.05 * k))), default=0)
+        tests = tests[:passed] + [t for t in tests[passed:] if t[1] in seeds]
+        weights = {name: max(0.0, weight) for _, name, weight in tests[:max_entries]}
     for seed in seeds:
         weights.setdefault(seed, 3.5)
     prior = math.log((bad_rows + 0.5) / (good_rows + 0.5)) if bad_rows + good_rows else math.log(1 / 9)
