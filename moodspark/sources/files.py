@@ -29,6 +29,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, none where it is absent."""
+    fs, target = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()) if fs.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
 def require_path(spark: SparkSession, path: str, stage: str) -> str:
     if not exists(spark, path):
         raise MissingInputError(f"{path} is missing; run stage {stage} first")

@@ -1,13 +1,12 @@
-"""Weekly files as a stream: each batch updates the canonical entries of its titles."""
+"""Weekly files as a stream: each batch updates the canonical entries of its titles and of no others."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.operators.aggregates import dedupe_canonical
 from moodspark.sources.feed import FEED, explode_weekly_feed
-from moodspark.sources.files import exists, write_atomic
+from moodspark.streaming.canonical import keep_canonical
 
 
 def weekly_entries(spark: SparkSession, landing: str, files_per_batch: int = 16) -> DataFrame:
@@ -22,26 +21,6 @@ def distinct_entries(entries: DataFrame, delay: str = "30 days") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["chart_date", "title", "artist"])
 
 
-def upsert_canonical(target: str):
-    """A batch function that merges a batch's canonical entries into the table at ``target``.
-
-    The state is of associative parts (first in order, minimum, maximum), so a batch that is
-    processed again changes nothing.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = dedupe_canonical(batch, ("chart_date", "position"))
-        if exists(spark, target):
-            both = spark.read.parquet(target).unionByName(fresh)
-            first = lambda c: F.min_by(c, F.struct("first_chart_date", c)).alias(c)
-            fresh = both.groupBy("canonical_key").agg(first("title"), first("artist"), F.min("chart_rank").alias("chart_rank"), F.max("chart_weeks_on").alias("chart_weeks_on"), F.min("first_chart_date").alias("first_chart_date"))
-        write_atomic(fresh, target)
-
-    return run
-
-
-def run_available(spark: SparkSession, landing: str, target: str, checkpoint: str) -> None:
-    """Process all files that have landed, then stop."""
-    query = weekly_entries(spark, landing).writeStream.foreachBatch(upsert_canonical(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(spark: SparkSession, landing: str, target: str, checkpoint: str, files_per_batch: int = 16) -> None:
+    """Process all files that have landed, then stop; ``read_canonical`` gives the table."""
+    keep_canonical(weekly_entries(spark, landing, files_per_batch), ("chart_date", "position"), target, checkpoint).awaitTermination()

@@ -13,7 +13,7 @@ from moodspark.operators import providers
 from moodspark.plans import charts, checkpoints, stages
 from moodspark.plans.schemas import SCHEMAS, SchemaError
 from moodspark.sources import cache, feed, files
-from moodspark.streaming import weekly
+from moodspark.streaming import canonical, weekly
 
 SONGS = [("The Beatles", "Hey Jude", 1968), ("Michael Jackson", "Billie Jean", 1983), ("Nirvana", "Smells Like Teen Spirit", 1991), ("Beyonce", "Crazy in Love", 2003), ("Billie Eilish", "Bad Guy", 2019)]
 
@@ -313,5 +313,5 @@ def test_stream_upserts(spark, tmp_path):
     weekly.run_available(spark, str(landing), target, mark)
     land(landing, [("1999-12-25", [("A ", "x ", 9, 1), ("B", "y", 1, 1)])])
     weekly.run_available(spark, str(landing), target, mark)
-    got = {r.canonical_key: (r.chart_rank, r.chart_weeks_on, str(r.first_chart_date)) for r in spark.read.parquet(target).collect()}
+    got = {r.canonical_key: (r.chart_rank, r.chart_weeks_on, str(r.first_chart_date)) for r in canonical.read_canonical(spark, target).collect()}
     assert got == {"a||x": (3, 2, "1999-12-25"), "b||y": (1, 1, "1999-12-25")}
