@@ -850,4 +850,4 @@ def schema_violations(spark, d):
 
 
 # Modules that register more queries.
-from moodspark.plans import opinion_queries, stream_queries  # noqa: E402, F401
+from moodspark.plans import key_queries, opinion_queries, stream_queries  # noqa: E402, F401

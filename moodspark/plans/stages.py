@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from moodspark.config import EMOTIONS, Config, ConfigError, load_config
 from moodspark.functions import replies, scores, text
-from moodspark.operators import aggregates, filters, index, joins, labels, opinions, providers, sections, windows
+from moodspark.operators import aggregates, filters, index, joins, keys, labels, opinions, providers, sections, windows
 from moodspark.plans import charts, checkpoints, report
 from moodspark.plans.schemas import SCHEMAS, SchemaError
 from moodspark.sources import cache, feed
@@ -78,6 +78,15 @@ class Stage:
     output: str
     schema: str | None = None
     gate: Callable[[Run, DataFrame], object] | None = None
+    #: What it reads: names below the root, and fields of the run that hold a path or None.
+    inputs: tuple[str, ...] = ()
+    settings: tuple[str, ...] = ()
+    #: Columns whose values should be a row's own; the log names those that aren't.
+    key: tuple[str, ...] = ("song_id",)
+
+    def sources(self, run: Run) -> dict[str, str | None]:
+        """The paths that the output follows from, by name."""
+        return {name: run.path(name) for name in self.inputs} | {name: getattr(run, name) for name in self.settings}
 
 
 def ingest(run: Run) -> DataFrame:
@@ -212,18 +221,19 @@ def mood_index(run: Run) -> DataFrame:
     return index.cohort_mood_index(run.read("layer6"), ["song_id"], top_themes=rules.top_themes, top_titles=rules.top_titles)
 
 
+LEXICONS = ("valences", "polarities")
 STAGES = (
-    Stage("FEED_FETCH", ingest, "metadata", "metadata"),
-    Stage("LYRICS_FETCH", lyrics, "lyrics"),
-    Stage("TEXT_CLEANING", cleaning, "cleaned", "cleaned"),
-    Stage("CHORUS_DETECTION", chorus, "chorus", "chorus"),
-    Stage("SENTIMENT", sentiment, "sentiment", "layer2_sentiment"),
-    Stage("EMOTION", emotion, "emotion", "layer2_emotion"),
-    Stage("THEMES", themes, "themes", "layer2_themes"),
-    Stage("CONTRAST", layers, "layer4", "layer4", lambda run, rows: index.enforce_coverage(rows, run.config.analysis.coverage_gate_threshold)),
-    Stage("JUNGIAN", stage_labels, "layer5", "layer5"),
-    Stage("RESONANCE", resonance, "layer6", "layer6", lambda run, rows: index.enforce_nonnull(rows, threshold=run.config.cmi.coverage_threshold)),
-    Stage("CULTURAL_METRICS", mood_index, "decade_cmi", "decade_cmi"),
+    Stage("FEED_FETCH", ingest, "metadata", "metadata", inputs=("landing",)),
+    Stage("LYRICS_FETCH", lyrics, "lyrics", inputs=("metadata", "lyrics.csv")),
+    Stage("TEXT_CLEANING", cleaning, "cleaned", "cleaned", inputs=("lyrics",)),
+    Stage("CHORUS_DETECTION", chorus, "chorus", "chorus", inputs=("cleaned",)),
+    Stage("SENTIMENT", sentiment, "sentiment", "layer2_sentiment", inputs=("cleaned",), settings=LEXICONS),
+    Stage("EMOTION", emotion, "emotion", "layer2_emotion", inputs=("chorus", "cleaned"), settings=("emotion_model", *LEXICONS)),
+    Stage("THEMES", themes, "themes", "layer2_themes", inputs=("cleaned",), settings=("theme_model",)),
+    Stage("CONTRAST", layers, "layer4", "layer4", lambda run, rows: index.enforce_coverage(rows, run.config.analysis.coverage_gate_threshold), inputs=("cleaned", "sentiment", "emotion", "themes", "chorus")),
+    Stage("JUNGIAN", stage_labels, "layer5", "layer5", inputs=("layer4",)),
+    Stage("RESONANCE", resonance, "layer6", "layer6", lambda run, rows: index.enforce_nonnull(rows, threshold=run.config.cmi.coverage_threshold), inputs=("layer4", "layer5")),
+    Stage("CULTURAL_METRICS", mood_index, "decade_cmi", "decade_cmi", inputs=("layer6",), key=("decade_label",)),
 )
 
 
@@ -238,9 +248,13 @@ def select(names: Sequence[str] | None) -> list[Stage]:
 
 
 def run_stage(run: Run, stage: Stage, force: bool = False) -> bool:
-    """Whether the stage ran; it is skipped while its checkpoint is current."""
+    """Whether the stage ran; it is skipped while its checkpoint is current: same configuration, same inputs.
+
+    What it is made from is noted before it is built, so an input that changes meanwhile makes the output stale.
+    """
     digest, output = run.config.digest(), run.path(stage.output)
-    if not force and checkpoints.is_current(run.spark, output, digest):
+    made_from = checkpoints.fingerprint(run.spark, stage.name, digest, stage.sources(run))
+    if not force and checkpoints.is_current(run.spark, output, digest, made_from):
         log.info("%s: current, skipped", stage.name)
         return False
     began = time.monotonic()
@@ -252,11 +266,13 @@ def run_stage(run: Run, stage: Stage, force: bool = False) -> bool:
         if stage.schema:
             schema = SCHEMAS[stage.schema]
             schema.check(rows)
+            if shared := keys.shared_keys(rows, stage.key):
+                log.warning("%s: rows share %s and will multiply in joins, such as %s", stage.name, ", ".join(stage.key), shared[:3])
             return None if schema.conforms(rows) else schema.conform(rows)
         return None
 
     write_atomic(stage.build(run), output, check=check)
-    checkpoints.mark(run.spark, output, stage.name, digest)
+    checkpoints.mark(run.spark, output, stage.name, digest, made_from=made_from)
     log.info("%s: %.1f s", stage.name, time.monotonic() - began)
     return True
 

@@ -35,6 +35,18 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()) if fs.exists(target) else []
 
 
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of change of every file at or below a path, in the order of names; none where it is absent."""
+    fs, target = _fs(spark, path)
+    if not fs.exists(target):
+        return []
+    found, files = [], fs.listFiles(target, True)
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), int(status.getLen()), int(status.getModificationTime())))
+    return sorted(found)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, target = _fs(spark, path)
     fs.delete(target, True)
