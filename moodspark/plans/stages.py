@@ -24,7 +24,7 @@ from moodspark.functions import replies, scores, text
 from moodspark.operators import aggregates, filters, index, joins, keys, labels, opinions, providers, sections, windows
 from moodspark.plans import charts, checkpoints, report
 from moodspark.plans.schemas import SCHEMAS, SchemaError
-from moodspark.sources import cache, feed
+from moodspark.sources import cache, feed, replylog
 from moodspark.sources.files import MissingInputError, exists, read_csv, require_path, write_atomic, write_text
 
 log = logging.getLogger(__name__)
@@ -200,10 +200,10 @@ def stage_labels(run: Run) -> DataFrame:
         out = providers.without_provider(rows.select("song_id"))
     else:
         rules = run.config.analysis
-        # Each table is written before it is used twice: the provider is asked once a batch, and batches keep their numbers.
+        # Batches are written and keep their numbers; replies are logged round by round, so a run that stops goes on there.
         batched = run.kept("layer5.batches", windows.batch_assign(rows, rules.jungian_batch_size, ["song_id"]))
         prompts = providers.prompt_lines(batched, "batch_id", ["song_id"])
-        answers = run.kept("layer5.answers", providers.complete(prompts, run.chat, tries=max(1, rules.jungian_max_retries), between=rules.jungian_inter_batch_sleep))
+        answers = replylog.ask(prompts, run.path("layer5.replies"), run.chat, tries=max(1, rules.jungian_max_retries), between=rules.jungian_inter_batch_sleep)
         records = replies.parse_replies(answers)
         met = replies.reconcile(batched.select("batch_id", "song_id"), records)
         out = met.select("song_id", F.coalesce("jung_stage", F.lit("unclassified")).alias("jung_stage"), "psychological_theme", "development_score")
