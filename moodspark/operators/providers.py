@@ -42,7 +42,10 @@ def polarity_score(text: str | Column) -> Column:
 
 
 def hashed_labels(labels: Sequence[str], independent: bool = False) -> Callable[[], Provider]:
-    """A deterministic stand-in for a classifier: scores from a digest of the text, summing to one unless independent."""
+    """A deterministic stand-in for a classifier: scores from a digest of the text, summing to one unless independent.
+
+    Scores are not rounded: digests that differ give scores that differ, so rounding ties no two labels.
+    """
 
     def factory() -> Provider:
         def score(texts: list[str]) -> list[dict[str, float]]:
@@ -50,7 +53,7 @@ def hashed_labels(labels: Sequence[str], independent: bool = False) -> Callable[
             for text in texts:
                 raw = {label: int(hashlib.md5(f"{label}|{text}".encode()).hexdigest()[:8], 16) / 0xFFFFFFFF for label in labels}
                 total = 1.0 if independent else math.fsum(raw.values())
-                out.append({label: round(v / total, 6) for label, v in raw.items()})
+                out.append({label: v / total for label, v in raw.items()})
             return out
 
         return score
