@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodspark.functions.scores import ensemble_score
+
 # Fixed value: the normaliser of the published lexicon method (x / sqrt(x^2 + 15)).
 ALPHA = 15
 POSITIVE = ("love", "happy", "joy", "good", "great", "sweet", "smile", "bright", "beautiful", "win", "free", "hope", "dance", "sunshine", "heaven")
@@ -25,20 +27,39 @@ NEGATIVE = ("hate", "sad", "cry", "bad", "lonely", "pain", "hurt", "dark", "cold
 Provider = Callable[[list[str]], list]
 
 
+#: The words of both lists, looked for only where one of their first letters stands.
+LISTED = rf"(?=[{''.join(sorted({w[0] for w in POSITIVE + NEGATIVE}))}])(?<![a-z])(?:{'|'.join(POSITIVE + NEGATIVE)})(?![a-z])"
+
+
+def from_hits(text: str | Column, score: Callable[[Column, Column], Column]) -> Column:
+    """A score of the numbers of good and bad words, null for null: one pass over a text, however often they are used."""
+    among = lambda found, words: F.size(F.filter(found, lambda w: w.isin(*words))).cast("double")
+    found = F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(LISTED), F.lit(0))
+    return F.get(F.transform(F.array(found), lambda f: F.when(f.isNotNull(), score(among(f, POSITIVE), among(f, NEGATIVE)))), F.lit(0))
+
+
+def lexicon_balance(good: Column, bad: Column, alpha: float = ALPHA) -> Column:
+    x = (good - bad) * 2
+    return F.round(x / F.sqrt(x * x + alpha), 4)
+
+
+def polarity_balance(good: Column, bad: Column) -> Column:
+    return F.when(good + bad == 0, 0.0).otherwise((good - bad) / (good + bad))
+
+
 def lexicon_score(text: str | Column, alpha: float = ALPHA) -> Column:
     """A small lexicon's balance in -1..1, with built-in functions only."""
-    low = F.lower(F.col(text) if isinstance(text, str) else text)
-    hits = lambda words: F.regexp_count(low, F.lit(rf"(?<![a-z])({'|'.join(words)})(?![a-z])"))
-    x = (hits(POSITIVE) - hits(NEGATIVE)).cast("double") * 2
-    return F.when(low.isNotNull(), F.round(x / F.sqrt(x * x + alpha), 4))
+    return from_hits(text, lambda good, bad: lexicon_balance(good, bad, alpha))
 
 
 def polarity_score(text: str | Column) -> Column:
     """The second scorer: the balance of hits among all hits, 0 for none."""
-    low = F.lower(F.col(text) if isinstance(text, str) else text)
-    hits = lambda words: F.regexp_count(low, F.lit(rf"(?<![a-z])({'|'.join(words)})(?![a-z])")).cast("double")
-    good, bad = hits(POSITIVE), hits(NEGATIVE)
-    return F.when(low.isNotNull(), F.when(good + bad == 0, 0.0).otherwise((good - bad) / (good + bad)))
+    return from_hits(text, polarity_balance)
+
+
+def listed_score(text: str | Column) -> Column:
+    """Both scorers weighted."""
+    return from_hits(text, lambda good, bad: ensemble_score(lexicon_balance(good, bad), polarity_balance(good, bad)))
 
 
 def hashed_labels(labels: Sequence[str], independent: bool = False) -> Callable[[], Provider]:

@@ -783,7 +783,7 @@ def hits_sql(words) -> str:
     SELECT doc_id, round(least(greatest(0.6 * v + 0.4 * b, -1.0), 1.0), 4) AS score FROM s""",
 )
 def lexicon_score(spark, d):
-    return table(spark, d, "documents").select("doc_id", scores.ensemble_score(providers.lexicon_score("text"), providers.polarity_score("text")).alias("score"))
+    return table(spark, d, "documents").select("doc_id", providers.listed_score("text").alias("score"))
 
 
 TONES = ("joy", "anger", "fear")

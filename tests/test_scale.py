@@ -4,8 +4,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from moodspark.functions import scores
-from moodspark.operators import providers
+from moodspark.functions import scores, text
+from moodspark.operators import joins, labels, opinions, providers
+from moodspark.plans import stream_queries
+
+from .plain_sentiment import AverageScorer, RuleScorer
 
 TONES = ("joy", "anger", "fear")
 
@@ -18,3 +21,8 @@ def test_rounding_ties_no_labels(column):
     """Texts whose two best digests agree in six digits of their shares."""
     tone = lambda c: scores.dominant_label(providers.classify(c, TONES, providers.hashed_labels(TONES)), TONES)
     assert column(["text 315905", "text 884502"], tone) == ["anger", "fear"]
+
+
+def test_listed_words_are_found_in_one_pass(spark, column):
+    assert plan(spark.createDataFrame([("a",)], "t string").select(providers.listed_score("t").alias("s"))).split("== Optimized")[1].split("== Physical")[0].count("regexp_extract_all") == 1
+    assert column(["Love, love! hate-free", "gloves", "", None, "BAD"], providers.listed_score) == [0.4757, 0.0, 0.0, None, -0.6755]
