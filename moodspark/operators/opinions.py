@@ -4,8 +4,8 @@
 "VADER: a parsimonious rule-based model for sentiment analysis of social media text", 2014), -1 to 1.
 ``average_scores``: the mean polarity of the words found, with intensities and negations, as in the pattern analyser, -1 to 1.
 
-Every token carries what the rules ask of its neighbours, so tokens are exploded, meet the lexicon and are summed
-for their row before anything is shuffled; of a text without a word of the lexicon one row is left. Contributions are
+Every token carries what the rules ask of its neighbours, so tokens are exploded, meet the lexicon, which is broadcast after
+a count, and are summed for their row before anything is shuffled; of a text without a word of the lexicon one row is left. Contributions are
 summed as decimals, so that no order of summing changes a score. Null texts have no score, texts without a hit have 0.
 A lexicon is a table of its own, read from a file or learned from labelled texts (``learn_valences``), and may be of any size.
 """
@@ -13,6 +13,7 @@ A lexicon is a table of its own, read from a file or learned from labelled texts
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import punctuation
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 EDGES = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+\z"
 #: Words, with an apostrophe inside them, and the marks that end a sentence.
 WORDS_AND_MARKS = r"\p{L}+(?:'\p{L}+)?|[.!?]"
+#: Words of a lexicon that is broadcast, some 20 MB, and the deals of a word's tokens where a larger one is merged.
+FEW_WORDS, DEALS = 200_000, 32
 #: Digits that a contribution keeps.
 PRECISE = "decimal(24,10)"
 
@@ -44,7 +47,7 @@ def is_negation(low: Column) -> Column:
 def words_of(text: str) -> Column:
     """Words without the punctuation around them; short tokens, such as emoticons, stay as they are."""
     tokens = F.filter(F.split(F.col(text), BLANKS), lambda t: t != "")
-    bare = F.transform(tokens, lambda t: F.struct(t.alias("t"), F.regexp_replace(t, EDGES, "").alias("b")))
+    bare = F.transform(tokens, lambda t: F.struct(t.alias("t"), F.btrim(t, F.lit(punctuation)).alias("b")))
     return F.transform(bare, lambda w: F.when(F.length(w["b"]) <= 2, w["t"]).otherwise(w["b"]))
 
 
@@ -53,43 +56,58 @@ def unique_words(lexicon: DataFrame, *values: str) -> DataFrame:
     return lexicon.where("word IS NOT NULL").groupBy("word").agg(*(F.avg(v).alias(v) for v in values))
 
 
+def is_loud(word: Column) -> Column:
+    """Whether a word of two or more characters is in capitals."""
+    return (F.upper(word) == word) & (F.lower(word) != word) & (F.length(word) > 1)
+
+
+def with_words(tokens: DataFrame, words: DataFrame, column: str, few: bool) -> DataFrame:
+    """Left join of tokens to a table of words. A table of few words is broadcast, so no token moves.
+
+    A larger one is merged: the tokens of a frequent word, and those that have none, are dealt out by their row, and every word
+    has a copy for each deal.
+    """
+    if few:
+        return tokens.join(F.broadcast(words.withColumnRenamed("word", column)), column, "left")
+    dealt = tokens.withColumn("__deal", F.pmod(F.xxhash64("__row"), F.lit(DEALS)).cast("int"))
+    copies = words.withColumnRenamed("word", column).withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    return dealt.join(copies.hint("merge"), [column, "__deal"], "left").drop("__deal")
+
+
 def rule_scores(df: DataFrame, key: Sequence[str], text: str, lexicon: DataFrame, out: str = "score") -> DataFrame:
     """The compound score of each row: ``key`` columns and ``out``. ``lexicon``: (word, valence)."""
+    few = lexicon.count() <= FEW_WORDS
     scored = unique_words(lexicon.where(~F.col("word").isin(*STRONGER, *WEAKER)), "valence")
-    rows = df.select(F.struct(*key).alias("__key"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row")).withColumn("__words", words_of("__text"))
-    loud = F.transform("__words", lambda w: F.struct(w.alias("w"), F.lower(w).alias("low"), ((F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1)).alias("loud")))
-    rows = rows.withColumn("__loud", loud)
-    mixed = F.exists("__loud", lambda w: w["loud"]) & F.exists("__loud", lambda w: ~w["loud"])
+    rows = df.select(F.struct(*key).alias("__key"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"), F.coalesce(words_of(text), F.array().cast("array<string>")).alias("__words"))
+    rows = rows.withColumn("__lows", F.transform("__words", F.lower))
+    mixed = F.exists("__words", is_loud) & F.exists("__words", lambda w: ~is_loud(w))
     count = lambda mark: F.length(F.col("__text")) - F.length(F.replace(F.col("__text"), F.lit(mark), F.lit("")))
     asks = count("?")
     marks = F.least(count("!"), F.lit(4)) * 0.292 + F.when(asks < 2, 0.0).when(asks <= 3, asks * 0.18).otherwise(0.96)
-    # What stands beside the tokens is small: whatever is there is copied for each of them.
-    rows = rows.select("__key", "__row", "__loud", mixed.alias("__mixed"), F.array_position(F.col("__loud.low"), "but").alias("__turn"), marks.alias("__marks"), F.col("__text").isNull().alias("__null"))
-
-    def step(w: Column) -> Column:
-        extra = F.when(F.col("__mixed") & w["loud"], F.lit(CAPITALS)).otherwise(0.0)
-        boost = F.when(w["low"].isin(*STRONGER), F.lit(BOOST) + extra).when(w["low"].isin(*WEAKER), F.lit(-BOOST) - extra).otherwise(0.0)
-        return F.struct(w["low"].alias("low"), w["loud"].alias("loud"), boost.alias("boost"), F.when(is_negation(w["low"]), w["low"]).alias("negation"))
-
-    rows = rows.withColumn("__steps", F.transform("__loud", step))
-
-    def context(s: Column, i: Column) -> Column:
-        before = [F.get("__steps", i - b) for b in (1, 2, 3)]
-        boosts = [F.coalesce(p["boost"], F.lit(0.0)).alias(f"boost{b}") for b, p in enumerate(before, 1)]
-        negations = [p["negation"].alias(f"negation{b}") for b, p in enumerate(before, 1)]
-        least = (before[0]["low"] == "least") & ~F.coalesce(before[1]["low"].isin("at", "very"), F.lit(False))
-        return F.struct(i.alias("i"), s["low"].alias("low"), s["loud"].alias("loud"), *boosts, *negations, F.coalesce(least, F.lit(False)).alias("least"), F.when(s["low"] == "no", F.get("__steps", i + 1)["low"]).alias("next"))
-
     # The last element stands for the row itself, which is kept whether or not a word is found.
-    last = F.array(F.lit(None).cast("struct<i:int,low:string,loud:boolean,boost1:double,boost2:double,boost3:double,negation1:string,negation2:string,negation3:string,least:boolean,next:string>"))
-    contexts = F.concat(F.transform("__steps", context), last)
-    tokens = rows.select("__key", "__row", "__marks", "__mixed", "__turn", "__null", F.explode(F.coalesce(contexts, last)).alias("t"))
-    tokens = tokens.select("__key", "__row", "__marks", "__mixed", "__turn", "__null", "t.*")
-    hits = tokens.join(scored.select(F.col("word").alias("low"), "valence"), "low", "left").where(F.col("valence").isNotNull() | F.col("i").isNull())
+    rows = rows.select("__key", "__row", "__words", "__lows", F.concat("__lows", F.array(F.lit(None).cast("string"))).alias("__each"), mixed.alias("__mixed"), F.array_position("__lows", "but").alias("__turn"), marks.alias("__marks"), F.col("__text").isNull().alias("__null"))
+    tokens = rows.select("*", F.posexplode("__each").alias("i", "low"))
+    # What the rules ask of the words around: fields of the token, the arrays stay behind.
+    before = lambda b: F.get("__lows", F.col("i") - b)
+
+    def boost(b: int) -> Column:
+        extra = F.when(F.col("__mixed") & is_loud(F.get("__words", F.col("i") - b)), F.lit(CAPITALS)).otherwise(0.0)
+        return F.when(before(b).isin(*STRONGER), F.lit(BOOST) + extra).when(before(b).isin(*WEAKER), F.lit(-BOOST) - extra).otherwise(0.0)
+
+    least = (before(1) == "least") & ~F.coalesce(before(2).isin("at", "very"), F.lit(False))
+    tokens = tokens.select(
+        "__key", "__row", "__marks", "__mixed", "__turn", "__null", "i", "low",
+        is_loud(F.get("__words", F.col("i"))).alias("loud"),
+        *(boost(b).alias(f"boost{b}") for b in (1, 2, 3)),
+        *(F.when(is_negation(before(b)), before(b)).alias(f"negation{b}") for b in (1, 2, 3)),
+        F.coalesce(least, F.lit(False)).alias("least"),
+        F.when(F.col("low") == "no", F.get("__lows", F.col("i") + 1)).alias("next"),
+    )
+    hits = with_words(tokens, scored, "low", few).where(F.col("valence").isNotNull() | F.col("low").isNull())
     # A negation that the lexicon scores itself doesn't negate; "no" before a scored word isn't scored.
     for column in ("negation1", "negation2", "negation3", "next"):
         known = unique_words(lexicon, "valence") if column == "next" else scored.where(is_negation(F.col("word")))
-        hits = hits.join(known.select(F.col("word").alias(column), F.lit(True).alias(f"{column}_scored")), column, "left")
+        hits = with_words(hits, known.select("word", F.lit(True).alias(f"{column}_scored")), column, few)
     sign = F.signum("valence")
     value = F.col("valence") + F.when(F.col("__mixed") & F.col("loud"), sign * CAPITALS).otherwise(0.0)
     for b, share in enumerate(DISTANCE, 1):
@@ -115,7 +133,7 @@ def average_scores(df: DataFrame, key: Sequence[str], text: str, lexicon: DataFr
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORDS_AND_MARKS), F.lit(0))
     rows = df.select(F.struct(*key).alias("__key"), F.monotonically_increasing_id().alias("__row"), F.col(text).isNull().alias("__null"), F.coalesce(F.concat(found, F.array(F.lit(""))), F.array(F.lit(""))).alias("__found"))
     tokens = rows.select("__key", "__row", "__null", F.posexplode("__found").alias("i", "low"))
-    met = tokens.join(unique_words(lexicon, "polarity", "intensity").withColumnRenamed("word", "low"), "low", "left")
+    met = with_words(tokens, unique_words(lexicon, "polarity", "intensity"), "low", lexicon.count() <= FEW_WORDS)
     kind = F.when(F.col("low") == "", "end").when(F.col("low").isin(".", "!", "?"), "mark").when(is_negation(F.col("low")) | (F.col("low") == "no"), "negation").when((F.col("polarity") == 0) & (F.col("intensity") != 1), "intensity").when(F.col("polarity").isNotNull(), "value")
     events = met.withColumn("kind", kind).where("kind IS NOT NULL")
     listed = events.groupBy("__key", "__row", "__null").agg(F.array_sort(F.collect_list(F.struct("i", "kind", "polarity", "intensity"))).alias("__events"))

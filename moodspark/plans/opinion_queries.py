@@ -22,7 +22,7 @@ LEXICON_SQL = f"""w AS (SELECT doc_id, text, list_transform(list_filter(string_s
 
 def learned(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return opinions.learn_valences(docs, table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "text", "quality")
+    return files.kept(opinions.learn_valences(docs, table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "text", "quality"), "lexicon")
 
 
 @query("learned_valences", f"WITH {LEXICON_SQL} SELECT word, valence FROM lex")

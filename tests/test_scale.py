@@ -26,3 +26,17 @@ def test_rounding_ties_no_labels(column):
 def test_listed_words_are_found_in_one_pass(spark, column):
     assert plan(spark.createDataFrame([("a",)], "t string").select(providers.listed_score("t").alias("s"))).split("== Optimized")[1].split("== Physical")[0].count("regexp_extract_all") == 1
     assert column(["Love, love! hate-free", "gloves", "", None, "BAD"], providers.listed_score) == [0.4757, 0.0, 0.0, None, -0.6755]
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_lexicons_meet_tokens_without_moving_them(spark, monkeypatch, few):
+    """A table of few words is broadcast, a larger one merged with its frequent words dealt out; scores are the same."""
+    monkeypatch.setattr(opinions, "FEW_WORDS", few)
+    texts = ["not good no bad", "VERY good but bad!", None, "", "good " * 3000, "isn't that great"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    valences = spark.createDataFrame([("good", 1.9), ("bad", -2.5), ("great", 3.1), ("no", -1.2)], "word string, valence double").localCheckpoint()
+    polarities = valences.select("word", (F.col("valence") / 4).alias("polarity"), F.lit(1.0).alias("intensity"))
+    for scored, plain in ((opinions.rule_scores(df, ["i"], "t", valences), RuleScorer({r.word: r.valence for r in valences.collect()})), (opinions.average_scores(df, ["i"], "t", polarities), AverageScorer({r.word: (r.polarity, 1.0) for r in polarities.collect()}))):
+        joins = plan(scored).split("== Physical")[1]
+        assert ("SortMergeJoin" in joins) == (few == 0) and ("BroadcastHashJoin" in joins) == (few > 0)
+        assert {r.i: r.score for r in scored.collect()} == {i: None if t is None else pytest.approx(plain(t), abs=1.01e-4) for i, t in enumerate(texts)}
