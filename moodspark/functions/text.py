@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ TAG = r"\[.*?\]"
 FOOTER = r"(?imd)^[\s&&[^\n]]*(\d+\s*embed|see .+ live|get tickets|you might also like)[\s&&[^\n]]*$"
 #: What ends a line: everything that text editors and line splitters count as such.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+#: Bytes of one Arrow batch between Spark and Python; a longer text travels alone.
+BATCH_BYTES = 4 << 20
 CURLY, STRAIGHT = "‘’“”—–", "''\"\"--"
 
 
@@ -69,6 +71,11 @@ def split_lines(text: str | Column) -> Column:
     return F.split(_col(text), LINE_END)
 
 
+def bound_batches() -> None:
+    """Bound what one Arrow batch of the session holds by bytes: 10,000 texts, as many as Spark takes by itself, may be any size."""
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility normalisation, which Spark has no function for; nulls stay null."""
@@ -97,6 +104,7 @@ def clean_text(text: str | Column, keep_blank: bool = False) -> Column:
     Of texts in ASCII the normaliser sees nulls only, and what they are stays in the JVM. ``keep_blank``
     keeps stanza breaks, for the operators that look for stanzas.
     """
+    bound_batches()
     bare = without_tags(text)
     other = nfkc(F.when(bare.rlike(r"[^\x00-\x7F]"), bare))
     return tidy_lines(F.coalesce(straight_quotes(other), bare), keep_blank)

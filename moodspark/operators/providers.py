@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodspark.functions.scores import ensemble_score
+from moodspark.functions.text import bound_batches
 
 # Fixed value: the normaliser of the published lexicon method (x / sqrt(x^2 + 15)).
 ALPHA = 15
@@ -85,6 +86,7 @@ def hashed_labels(labels: Sequence[str], independent: bool = False) -> Callable[
 def classify(text: str | Column, labels: Sequence[str], factory: Callable[[], Provider], batch: int = 16) -> Column:
     """A map of all labels to scores; the provider is made once for each worker's iterator."""
     names = list(labels)
+    bound_batches()
 
     @F.pandas_udf("map<string,double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

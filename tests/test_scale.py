@@ -23,6 +23,16 @@ def test_rounding_ties_no_labels(column):
     assert column(["text 315905", "text 884502"], tone) == ["anger", "fear"]
 
 
+def test_batches_of_long_texts_are_bounded(spark):
+    """40 texts of a million characters reach Python in parts, whichever of the two steps asked for it."""
+    df = spark.createDataFrame([(i,) for i in range(40)], "i int").coalesce(1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    size = F.pandas_udf(lambda part: pd.Series([len(part)] * len(part)), "long")
+    for step in (text.clean_text, lambda t: providers.classify(t, TONES, providers.hashed_labels(TONES))):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        step("t")
+        assert df.select(size("t").alias("n")).agg(F.max("n")).first()[0] <= 5
+
+
 def test_listed_words_are_found_in_one_pass(spark, column):
     assert plan(spark.createDataFrame([("a",)], "t string").select(providers.listed_score("t").alias("s"))).split("== Optimized")[1].split("== Physical")[0].count("regexp_extract_all") == 1
     assert column(["Love, love! hate-free", "gloves", "", None, "BAD"], providers.listed_score) == [0.4757, 0.0, 0.0, None, -0.6755]
