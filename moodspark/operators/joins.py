@@ -71,7 +71,7 @@ def interval_lookup(df: DataFrame, value: str, ranges: DataFrame, low: str, high
     A range lies in cells of the power of two that is no narrower than itself, so it has two cells (three where rounding
     has it so), however wide it is; a value asks its one cell in each width that there is. Widths with few ranges, as
     the wide ones mostly are, are broadcast after a count; those with many are joined by (width, cell), where Spark splits a
-    cell with many values. Values are asked once each: rows that share one meet its answer by a join. Null values, null
+    cell with many values. Ranges with the same ends are reduced to their first before. Values are asked once each: rows that share one meet its answer by a join. Null values, null
     and not-a-number ends and ranges that end before they begin match nothing. Any number, date or timestamp can be a value.
     """
     kind = dict(df.dtypes)[value]
@@ -79,6 +79,8 @@ def interval_lookup(df: DataFrame, value: str, ranges: DataFrame, low: str, high
     of_type = df.schema[value].dataType
     placed = ranges.select(F.col(low).cast(of_type).alias("__low"), F.col(high).cast(of_type).alias("__high"), F.col(payload).alias("__payload"), F.col(priority).alias("__priority"))
     placed = placed.withColumns({"__from": line_position(F.col("__low"), kind), "__to": line_position(F.col("__high"), kind)}).where("__from <= __to")
+    # Of ranges with the same ends the first answers for all. On a line of few places, such as days, few are left.
+    placed = placed.groupBy("__low", "__high", "__from", "__to").agg(F.min(F.struct("__priority", "__payload")).alias("__first")).select("*", "__first.*").drop("__first")
     width = F.col("__to").cast("double") - F.col("__from").cast("double")
     if not whole:
         placed = placed.where(~F.isnan("__from") & ~F.isnan("__to"))

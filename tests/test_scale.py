@@ -50,3 +50,13 @@ def test_lexicons_meet_tokens_without_moving_them(spark, monkeypatch, few):
         joins = plan(scored).split("== Physical")[1]
         assert ("SortMergeJoin" in joins) == (few == 0) and ("BroadcastHashJoin" in joins) == (few > 0)
         assert {r.i: r.score for r in scored.collect()} == {i: None if t is None else pytest.approx(plain(t), abs=1.01e-4) for i, t in enumerate(texts)}
+
+
+def test_ranges_with_the_same_ends_are_one(spark, monkeypatch):
+    """30,000 ranges on 30 pairs of ends are few, so they are broadcast and each value meets 30 at most."""
+    monkeypatch.setattr(joins, "FEW_RANGES", 1000)
+    ranges = spark.range(30_000).select((F.col("id") % 30).alias("low"), (F.col("id") % 30 + 2).alias("high"), F.col("id").alias("x"), (-F.col("id")).alias("p"))
+    found = joins.interval_lookup(spark.range(40).withColumnRenamed("id", "v"), "v", ranges, "low", "high", "x", "p", "x")
+    side = plan(found).split("== Physical")[1]
+    assert "__level" in side and not [line for line in side.split("\n") if "SortMergeJoin" in line and "__level" in line]
+    assert {r.v: r.x for r in found.collect()} == {v: max((x for x in range(29_970, 30_000) if x % 30 <= v <= x % 30 + 2), default=None) for v in range(40)}
