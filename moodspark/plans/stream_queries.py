@@ -16,8 +16,12 @@ def stream_dedupe(spark, d):
     """All entries land as files and are taken in over several batches, with a snapshot among them."""
     rows = entries(spark, d)
     landing, work = files.scratch(spark, "landing"), files.scratch(spark, "stream")
-    rows.write.option("maxRecordsPerFile", rows.count() // BATCHES + 1).parquet(landing)
+    rows.write.parquet(landing)
     landed = spark.read.parquet(landing)
+    if len(landed.inputFiles()) < BATCHES:
+        dealt = files.scratch(spark, "landing")
+        landed.write.option("maxRecordsPerFile", landed.count() // BATCHES + 1).parquet(dealt)
+        landing, landed = dealt, spark.read.parquet(dealt)
     several = max(1, len(landed.inputFiles()) // BATCHES)
     stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", several).parquet(landing)
     canonical.keep_canonical(stream, ENTRY_ORDER, f"{work}/table", f"{work}/state", compact_every=3).awaitTermination()

@@ -60,3 +60,12 @@ def test_ranges_with_the_same_ends_are_one(spark, monkeypatch):
     side = plan(found).split("== Physical")[1]
     assert "__level" in side and not [line for line in side.split("\n") if "SortMergeJoin" in line and "__level" in line]
     assert {r.v: r.x for r in found.collect()} == {v: max((x for x in range(29_970, 30_000) if x % 30 <= v <= x % 30 + 2), default=None) for v in range(40)}
+
+
+def test_entries_are_joined_once(spark, monkeypatch):
+    """The landed rows are counted from their files, not by a second join."""
+    counted = []
+    whole = stream_queries.entries(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(whole, "count", lambda: counted.append(1), raising=False)
+    monkeypatch.setattr(stream_queries, "entries", lambda *_: whole)
+    assert stream_queries.stream_dedupe(spark, "/root/testdata/sf0.001").count() > 0 and not counted
