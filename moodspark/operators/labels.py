@@ -9,7 +9,7 @@ weights that is saved, read and joined; ``bayes_scores`` joins the tokens of a t
 gradients over the executors in a tree; its labels need not exclude each other.
 
 Null and empty texts have no tokens: naive Bayes gives them the labels' shares, the regressions their constants.
-A text's tokens are summed as decimals, so that no order of summing changes a score.
+A text's tokens are summed as whole numbers of the weights' last digit, so that no order of summing changes a score.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ BUCKETS = 1 << 18
 #: In place of a bucket: the rows of a label's own weight and of the weight that each token has before any count.
 PRIOR, EACH = -1, -2
 WORDS = r"[\p{L}\p{N}]+"
-PRECISE = "decimal(24,10)"
+#: Weights have ten digits; they are summed as whole numbers of the last one.
+UNITS = 10**10
 MODEL = "label string, feature long, weight double"
 
 
@@ -43,11 +44,23 @@ def bucket(ngram: str | Column, buckets: int) -> Column:
     return F.conv(F.substring(F.md5(F.col(ngram) if isinstance(ngram, str) else ngram), 1, 8), 16, 10).cast("long") % buckets
 
 
+def words_and_pairs(rows: DataFrame, text: str, buckets: int) -> DataFrame:
+    """A row for each word with its bucket, ``one``, and that of the pair it begins, ``two``; a text without words keeps a row.
+
+    As ``ngrams``, but the pairs are never listed: a word finds the next one where the text's words lie.
+    """
+    words = rows.withColumn("__words", F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORDS), F.lit(0)))
+    tokens = words.select("*", F.posexplode_outer("__words").alias("__i", "__word"))
+    pair = F.concat(F.col("__word"), F.lit(" "), F.get("__words", F.col("__i") + 1))
+    return tokens.select(*(c for c in rows.columns if c != text), bucket("__word", buckets).alias("one"), bucket(pair, buckets).alias("two"))
+
+
 def fit_bayes(df: DataFrame, text: str, label: str, buckets: int = BUCKETS) -> DataFrame:
     """The model of labelled texts; rows without a label take no part."""
-    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), ngrams(text).alias("__ngrams"))
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("__text"))
     texts = rows.groupBy("label").agg(F.count("*").alias("n"))
-    counts = rows.select("label", F.explode("__ngrams").alias("g")).groupBy("label", bucket("g", buckets).alias("feature")).agg(F.count("*").alias("n"))
+    features = words_and_pairs(rows, "__text", buckets).select("label", F.explode(F.array("one", "two")).alias("feature")).where("feature IS NOT NULL")
+    counts = features.groupBy("label", "feature").agg(F.count("*").alias("n"))
     each = texts.select("label").join(counts.groupBy("label").agg(F.sum("n").alias("n")), "label", "left")
     # A row a label: the share of a label among the texts needs their number, one row.
     total = texts.agg(F.sum("n").alias("total"))
@@ -71,11 +84,14 @@ def bayes_scores(df: DataFrame, key: Sequence[str], text: str, model: DataFrame,
     names = sorted({label for label, _ in heads})
     if not names:
         return df.select(*key, F.create_map().cast("map<string,double>").alias(out))
-    # A row for a bucket with the weights of all labels in order.
-    wide = model.where("feature >= 0").groupBy("feature").agg(*(F.coalesce(F.sum(F.when(F.col("label") == n, F.col("weight"))), F.lit(0.0)).cast(PRECISE).alias(f"w{i}") for i, n in enumerate(names)))
-    rows = df.select(F.struct(*key).alias("__key"), F.monotonically_increasing_id().alias("__row"), ngrams(text).alias("__ngrams"))
-    tokens = rows.select("__key", "__row", F.explode_outer("__ngrams").alias("g")).withColumn("feature", bucket("g", buckets))
-    sums = tokens.join(wide, "feature", "left").groupBy("__key", "__row").agg(F.count("g").alias("n"), *(F.coalesce(F.sum(f"w{i}"), F.lit(0)).cast("double").alias(f"w{i}") for i in range(len(names))))
+    # A row for a bucket with the weights of all labels in order, in units of the last digit: a table of ``buckets`` rows at most, which is broadcast.
+    wide = model.where("feature >= 0").groupBy("feature").agg(*(F.round(F.coalesce(F.sum(F.when(F.col("label") == n, F.col("weight"))), F.lit(0.0)) * UNITS).cast("long").alias(f"w{i}") for i, n in enumerate(names)))
+    rows = df.select(F.struct(*key).alias("__key"), F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
+    met = words_and_pairs(rows, "__text", buckets)
+    for side in ("one", "two"):
+        met = met.join(F.broadcast(wide.select(F.col("feature").alias(side), *(F.col(f"w{i}").alias(f"{side}{i}") for i in range(len(names))))), side, "left")
+    both = lambda i: F.coalesce(F.sum(F.coalesce(f"one{i}", F.lit(0)) + F.coalesce(f"two{i}", F.lit(0))), F.lit(0))
+    sums = met.groupBy("__key", "__row").agg((F.count("one") + F.count("two")).alias("n"), *((both(i) / F.lit(float(UNITS))).alias(f"w{i}") for i in range(len(names))))
     logs = [F.col(f"w{i}") + F.lit(heads[n, PRIOR]) + F.col("n") * F.lit(heads[n, EACH]) for i, n in enumerate(names)]
     powers = sums.select("__key", F.array(*logs).alias("l")).select("__key", F.transform("l", lambda x: F.exp(x - F.array_max("l"))).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)

@@ -52,6 +52,12 @@ def test_lexicons_meet_tokens_without_moving_them(spark, monkeypatch, few):
         assert {r.i: r.score for r in scored.collect()} == {i: None if t is None else pytest.approx(plain(t), abs=1.01e-4) for i, t in enumerate(texts)}
 
 
+def test_models_meet_tokens_without_moving_them(spark):
+    model = labels.fit_bayes(spark.createDataFrame([("good", "a"), ("bad", "b")], "t string, l string"), "t", "l", 64)
+    physical = plan(labels.bayes_scores(spark.createDataFrame([(0, "good")], "i int, t string"), ["i"], "t", model, 64)).split("== Physical")[1]
+    assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical
+
+
 def test_ranges_with_the_same_ends_are_one(spark, monkeypatch):
     """30,000 ranges on 30 pairs of ends are few, so they are broadcast and each value meets 30 at most."""
     monkeypatch.setattr(joins, "FEW_RANGES", 1000)
