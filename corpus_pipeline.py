@@ -61,8 +61,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    both = bpe.decode(encoded)
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     return both.select(
         "doc_id",
         "lang",

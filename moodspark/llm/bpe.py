@@ -67,6 +67,16 @@ def encode_text(encoding: tiktoken.Encoding, text: str | None) -> np.ndarray:
     return np.concatenate([np.asarray(encoding.encode_ordinary(part), dtype="<u4") for part in chunks(text)])
 
 
+def packed_ids(values: list, rank_path: str, pattern: str) -> pa.Array:
+    encoding = cached(("bpe", rank_path, pattern), lambda: load_encoding(rank_path, pattern))
+    return pa.array([encode_text(encoding, v).tobytes() for v in values], pa.binary())
+
+
+def joined_tokens(values: list, rank_path: str) -> pa.Array:
+    tokens = cached(("bpe tokens", rank_path), lambda: {rank: token for token, rank in read_ranks(rank_path).items()})
+    return pa.array([None if v is None else b"".join([tokens[i] for i in np.frombuffer(v, dtype="<u4").tolist()]) for v in values], pa.binary())
+
+
 def encode(
     df: DataFrame,
     text: str = "text",
@@ -76,12 +86,7 @@ def encode(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Add the packed token ids of ``text`` (binary, 4 bytes an id, little endian)."""
-
-    def run(values: list) -> list[pa.Array]:
-        encoding = cached(("bpe", rank_path, pattern), lambda: load_encoding(rank_path, pattern))
-        return [pa.array([encode_text(encoding, v).tobytes() for v in values], pa.binary())]
-
-    return map_column(df, text, run, [field(ids, T.BinaryType())], keep)
+    return map_column(df, text, lambda values: [packed_ids(values, rank_path, pattern)], [field(ids, T.BinaryType())], keep)
 
 
 def decode(
@@ -92,13 +97,25 @@ def decode(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Add the bytes that packed ids stand for; ids may end inside a character. Null ids give null."""
+    return map_column(df, ids, lambda values: [joined_tokens(values, rank_path)], [field(raw, T.BinaryType())], keep)
+
+
+def round_trip(
+    df: DataFrame,
+    text: str = "text",
+    ids: str = "token_ids",
+    raw: str = "raw_bytes",
+    rank_path: str = DEFAULT_RANKS,
+    pattern: str = DEFAULT_PATTERN,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """``encode`` and then ``decode`` in one Python worker a task; two maps in a row hold two, which an executor keeps for later stages."""
 
     def run(values: list) -> list[pa.Array]:
-        tokens = cached(("bpe tokens", rank_path), lambda: {rank: token for token, rank in read_ranks(rank_path).items()})
-        made = [None if v is None else b"".join([tokens[i] for i in np.frombuffer(v, dtype="<u4").tolist()]) for v in values]
-        return [pa.array(made, pa.binary())]
+        packed = packed_ids(values, rank_path, pattern)
+        return [packed, joined_tokens(packed.to_pylist(), rank_path)]
 
-    return map_column(df, ids, run, [field(raw, T.BinaryType())], keep)
+    return map_column(df, text, run, [field(ids, T.BinaryType()), field(raw, T.BinaryType())], keep)
 
 
 def unpack(df: DataFrame, ids: str = "token_ids", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -113,8 +130,7 @@ def unpack(df: DataFrame, ids: str = "token_ids", out: str = "ids", keep: list[s
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    packed = encode(docs, keep=["doc_id"])
-    both = decode(packed, keep=["doc_id", "token_ids"])
+    both = round_trip(docs, keep=["doc_id"])
     return both.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch between Spark and Python; a longer text travels alone.
 BATCH_BYTES = 4 << 20
+#: Rows that a Parquet scan holds at once. Spark's 4,096 texts are arrays of tens of MB, for which the heap grows and stays large.
+SCAN_ROWS = 256
 #: Rows of a few numbers that may be broadcast: some 10 MB.
 FEW_ROWS = 200_000
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints/moodspark"
@@ -27,8 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, whatever the length of the texts."""
+    """Bound what one Arrow batch holds, whatever the length of the texts, and how many texts a scan holds."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -42,6 +42,21 @@ def test_bpe_query(spark, tmp_path, hard_texts):
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, expected))
 
 
+def test_bpe_round_trip_is_one_map(spark, documents, hard_texts, tmp_path):
+    import corpus_pipeline
+    from moodspark.llm.common import SCAN_ROWS
+
+    docs = documents(hard_texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for made in (corpus_pipeline.to_tokens(spark, read, str(tmp_path)), bpe.op7_byte_bpe(spark, str(tmp_path))):
+        # Each map in a row is one more Python worker for every core of an executor.
+        assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == SCAN_ROWS
+    key = lambda df: sorted((r.doc_id, bytes(r.token_ids), bytes(r.raw_bytes)) for r in df.collect())
+    assert key(bpe.round_trip(docs)) == key(bpe.decode(bpe.encode(docs)))
+
+
 def test_bpe_decodes_parts_of_characters(spark):
     ranks = bpe.read_ranks(bpe.DEFAULT_RANKS)
     first = ranks[bytes([0xE6])]
